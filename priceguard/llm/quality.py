@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import BLANKS, count_of, let, stripped, whole, words
+from .text import BLANKS, count_of, let, whole, words
 
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
@@ -77,10 +77,11 @@ def repeated_words(w: Column, window: int) -> Column:
 def line_passes(line: Column, rules: LineRules) -> Column:
     """Verdict on one line (a blank line passes: it has nothing to remove)."""
     size = F.length(line)
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
+    marked = line.rlike(r"[#*$%&|<>»•]")  # most lines have none, and are not counted through
+    symbols = F.when(marked, F.length(line) - F.length(F.translate(line, SYMBOLS, ""))).otherwise(F.lit(0))
     separators = F.length(line) - F.length(F.translate(line, "|>»•", ""))
     shouted = (line == F.upper(line)) & (line != F.lower(line))
-    navigation = (separators >= rules.min_separators) & (separators * 40 >= size)
+    navigation = marked & (separators >= rules.min_separators) & (separators * 40 >= size)
     boilerplate = (size <= rules.boilerplate_chars) & line.rlike(BOILERPLATE)
     punctuated = line.rlike(r"[.!?…,;:]")
     return (size == 0) | (
@@ -100,37 +101,29 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
         return F.filter(lines, lambda x: line_passes(F.btrim(x, F.lit(BLANKS)), rules))
 
     def shares(lines: Column) -> Column:
-        good = judge(lines)
-        return let(
-            F.array_join(good, "\n"),
-            lambda c: F.struct(
-                c.alias("clean_text"),
-                F.length(F.translate(c, BLANKS, "")).cast("double").alias("kept_chars"),
-                (
-                    F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-                    - F.size(F.array_distinct(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")))
-                ).cast("long").alias("n_dup_lines"),
-            ),
-        )
+        worded = F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+        again = let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+        return F.struct(F.array_join(judge(lines), "\n").alias("clean_text"), again.alias("n_dup_lines"))
 
     counts = let(
         words(docs[text]),
         lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"), repeated_words(w, rules.window).alias("n_repeat_words")
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            repeated_words(w, rules.window).alias("n_repeat_words"),
         ),
     )
     lined = let(F.split(t, "\n"), shares)
-    word_chars = F.length(F.translate(t, BLANKS, "")).cast("long")
 
     def verdict(c: Column, li: Column) -> Column:
         base = (c["n_words"] < rules.min_words) | (
             c["n_repeat_words"] * 100 > c["n_words"] * rules.max_repeat_percent
         )
-        share = F.when(word_chars == 0, F.lit(0.0)).otherwise(li["kept_chars"] / word_chars)
+        share = F.length(li["clean_text"]) / F.greatest(F.length(t), F.lit(1))
         return F.struct(
             c["n_words"].alias("n_words"),
-            word_chars.alias("word_chars"),
-            count_of(t, SYMBOLS).alias("n_symbols"),
+            c["word_chars"].alias("word_chars"),
+            F.when(t.rlike(r"[#*$%&|<>]"), count_of(t, SYMBOLS)).otherwise(F.lit(0)).cast("long").alias("n_symbols"),
             li["n_dup_lines"].alias("n_dup_lines"),
             c["n_repeat_words"].alias("n_repeat_words"),
             base.alias("base_failed"),
@@ -141,6 +134,3 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
 
     quality = let(F.struct(counts.alias("c"), lined.alias("l")), lambda x: verdict(x["c"], x["l"]))
     return docs.select("*", quality.alias("quality"))
-
-
-__all__ = ["LineRules", "clean_lines", "line_passes", "repeated_words", "stripped"]
