@@ -102,7 +102,7 @@ def likeness(a: Column, b: Column, keep: int = 64, slack: int = 64) -> Column:
 
 
 def with_successor(rows: DataFrame, order: str, payload: Column, slices: int | None = None) -> DataFrame:
-    """``rows`` with column ``successor``: ``payload`` of the next row by ``order`` descending, cyclic.
+    """``rows`` with column ``successor`` (replacing one of that name): ``payload`` of the next row by ``order`` descending, cyclic.
 
     Rows are dealt into ``slices`` ranges of the id, so no task orders more than a range; each
     range also gets, as a sentinel, the row that follows its last one.  The driver holds one id

@@ -6,8 +6,8 @@ and so is every line by itself, since a notice is often one line of a page.  The
 a fixed list of this module (or the caller's), so broadcasting it has a known bound.
 
 Defined cases: null and empty texts, and texts that normalise to nothing, match nothing; rows
-with equal ids are looked up each on its own; other columns pass through; an empty table
-gives an empty table.
+with equal ids are looked up each on its own; other columns pass through, and one named
+``scan`` is replaced; an empty table gives an empty table.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,7 +85,7 @@ def scan_licenses(docs: DataFrame, licenses=None) -> DataFrame:
     pairs = [F.lit(x) for row in known.collect() for x in (row["digest"], row["license"])]
     table = F.create_map(*pairs)
     text = whole(docs["text"])
-    joined = docs.select("*", digest(text).alias("__digest")).join(
+    joined = docs.withColumn("__digest", digest(text)).join(
         F.broadcast(known.select(F.col("digest").alias("__d"), F.col("license").alias("__license"))),
         F.col("__digest") == F.col("__d"),
         "left",
@@ -95,6 +95,6 @@ def scan_licenses(docs: DataFrame, licenses=None) -> DataFrame:
     found = F.transform(lines, lambda x: F.try_element_at(table, digest(x)))
     notices = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"`{c}`") for c in docs.columns if c != "scan"],
         F.struct(F.col("__digest").alias("digest"), F.col("__license").alias("license"), notices.alias("notices")).alias("scan"),
     )

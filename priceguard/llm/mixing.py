@@ -14,7 +14,7 @@ found on 4096 sums per source and only the slice holding the cut is ordered.
 Defined cases: null text has size 0; an empty document is never taken; a null source is a
 source of its own, last; a null doc_id draws as the text 'null'; rows equal in id and size
 draw alike, and where the cut falls on such rows each gets the cut's part; an empty table
-gives an empty table; other columns pass through.
+gives an empty table; other columns pass through, and one named ``mix`` is replaced.
 """
 
 from pyspark.sql import DataFrame
@@ -135,7 +135,7 @@ def plan_mixture(docs: DataFrame, seed: int = 7, weights=WEIGHTS, max_repeats: i
         .withColumn("__key", key)
         .withColumn("__part", part)
         .select(
-            *[F.col(f"`{c}`") for c in docs.columns],
+            *[F.col(f"`{c}`") for c in docs.columns if c != "mix"],
             F.struct(
                 size.alias("size"),
                 m["source_size"].alias("source_size"),

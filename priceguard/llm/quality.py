@@ -6,7 +6,7 @@ is column expressions on one scan: no shuffle, no Python.
 
 Defined cases: a null text counts as empty; an empty text has no words, fails the base rule
 and is not kept; repeated rows give repeated results; an empty table gives an empty table;
-other columns pass through untouched, whatever their names.
+other columns pass through, and one named ``quality`` is replaced.
 """
 
 from dataclasses import dataclass
@@ -133,4 +133,4 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
         )
 
     quality = let(F.struct(counts.alias("c"), lined.alias("l")), lambda x: verdict(x["c"], x["l"]))
-    return docs.select("*", quality.alias("quality"))
+    return docs.withColumn("quality", quality)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, quality
+from . import classifier, fingerprints, licenses, mixing, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,35 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "scan.digest", "scan.license", F.array_join("scan.notices", ",").alias("notices"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return out.select("doc_id", *[f"quality.{n}" for n in names])
 
 
+def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    out = warc.read_archives(spark, manifest)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return classifier.score_quality(docs, model)
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan_mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select(
@@ -38,7 +61,10 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_quality": op3_line_quality,
+    "op4_warc_dictionary": op4_warc_dictionary,
+    "op5_rule_ensemble": op5_rule_ensemble,
     "op7_pareto_mix": op7_pareto_mix,
     "op10_closed_syncmers": op10_closed_syncmers,
 }
