@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, licenses, mixing, packing, quality, warc
+from . import classifier, fingerprints, licenses, mixing, ngram_join, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_quality(docs, model)
 
 
+def op6_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"), percent=85, shingle=4)
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan_mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select(
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_line_quality": op3_line_quality,
     "op4_warc_dictionary": op4_warc_dictionary,
     "op5_rule_ensemble": op5_rule_ensemble,
+    "op6_count_rtree_join": op6_count_rtree_join,
     "op7_pareto_mix": op7_pareto_mix,
     "op10_closed_syncmers": op10_closed_syncmers,
 }
