@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, licenses, mixing, ngram_join, packing, quality, warc
+from . import classifier, fingerprints, licenses, mixing, ngram_join, packing, quality, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,13 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -71,6 +78,7 @@ QUERIES = {
     "op5_rule_ensemble": op5_rule_ensemble,
     "op6_count_rtree_join": op6_count_rtree_join,
     "op7_pareto_mix": op7_pareto_mix,
+    "op9_suffix_family": op9_suffix_family,
     "op10_closed_syncmers": op10_closed_syncmers,
 }
 

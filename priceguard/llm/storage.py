@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; a temporary one only for a local master, where driver and executors are one process."""
@@ -27,8 +30,28 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage.
+
+    The shuffle files of the writing job go at its end, so an operator of many steps holds
+    its written tables and one step's shuffles.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` returned, once nothing reads it any more."""
+    _, path = _paths.pop(id(table), (None, None))
+    if path:
+        jvm = table.sparkSession._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
