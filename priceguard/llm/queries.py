@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, licenses, mixing, ngram_join, packing, quality, suffix_dedup, warc
+from . import classifier, fingerprints, katz, licenses, mixing, ngram_join, packing, quality, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -78,6 +82,7 @@ QUERIES = {
     "op5_rule_ensemble": op5_rule_ensemble,
     "op6_count_rtree_join": op6_count_rtree_join,
     "op7_pareto_mix": op7_pareto_mix,
+    "op8_katz_backoff": op8_katz_backoff,
     "op9_suffix_family": op9_suffix_family,
     "op10_closed_syncmers": op10_closed_syncmers,
 }
