@@ -3,7 +3,8 @@
 A document is the set of its word shingles.  Shingles are hashed into groups, and the counts
 per group are a point; two documents cannot share more shingles than the sum of the smaller
 coordinates of their points, and no two documents below two tree nodes more than the sum of the
-smaller upper corners.  Points are bulk-loaded into R-trees, trees are joined with themselves
+smaller upper corners.  A pair of points that passes is bounded once more over finer groups, one
+per 16 shingles, which tells long documents apart.  Points are bulk-loaded into R-trees, trees are joined with themselves
 under that bound, and surviving pairs are verified on the sets.
 
 One tree over a corpus would not distribute, so trees are grown in cells.  Documents that link
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import batches_of_bytes, mixed, shingle_hashes, word_hashes
-from .storage import materialize
+from .storage import discard, materialize
 
 GROUPS = 64
 CELL = 2048
@@ -107,6 +108,22 @@ class CountTree:
         return x + i.start, y + j.start
 
 
+def fine_counts(s: np.ndarray) -> np.ndarray:
+    """Counts over about one group per 16 shingles, ``GROUPS`` at least: groups nest, so counts fold to fewer groups."""
+    bits = min(20, max(GROUPS.bit_length() - 1, int(np.ceil(np.log2(max(1, len(s) / 16))))))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4")
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(groups, -1).sum(1)
+
+
+def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The bound over the finest groups both points have."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
+
+
 def count_points(sets: list[np.ndarray], groups: int) -> np.ndarray:
     shift = np.uint64(64 - (groups.bit_length() - 1))
     return np.array([np.bincount((s >> shift).astype(np.int64), minlength=groups) for s in sets], np.int32)
@@ -202,7 +219,7 @@ def signatures(docs: DataFrame, percent: int, shingle: int, hot: np.ndarray) ->
                     for c in ("counts", "keys", "prefix"):
                         out[c].append(None)
                     continue
-                out["counts"].append(count_points([s], GROUPS)[0].tobytes())
+                out["counts"].append(fine_counts(s).tobytes())
                 out["keys"].append([int(((s * a) ^ a).min().view(np.int64)) for a in salts])
                 first = n - -(-percent * n // 100) + 1
                 if len(names):
@@ -256,7 +273,8 @@ def _connect(batches, percent: int):
 def _candidates(batches, percent: int):
     for t in _runs(batches, ["key", "rep", "part", "n", "counts"]):
         keys, reps, parts, n = (t.column(c).to_numpy() for c in ("key", "rep", "part", "n"))
-        points = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.int32).reshape(len(keys), GROUPS)
+        fine = [np.frombuffer(c, "<u4") for c in t.column("counts").to_pylist()]
+        points = np.array([folded(f, GROUPS) for f in fine], np.int32)
         at = _bounds(keys)
         size = np.diff(at)
         us, vs = [], []
@@ -268,15 +286,20 @@ def _candidates(batches, percent: int):
             for k in range(0, len(x), 1 << 16):
                 a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
                 ok = np.minimum(points[a], points[b]).sum(1) >= needed(n[a], n[b], percent)
-                us.append(np.minimum(reps[a[ok]], reps[b[ok]]))
-                vs.append(np.maximum(reps[a[ok]], reps[b[ok]]))
+                us.append(a[ok])
+                vs.append(b[ok])
         for lo, hi in zip(at[:-1][size > 16], at[1:][size > 16], strict=True):
-            for u, v in cell_candidates(reps[lo:hi], parts[lo:hi], points[lo:hi], n[lo:hi], percent):
+            for u, v in cell_candidates(np.arange(lo, hi), parts[lo:hi], points[lo:hi], n[lo:hi], percent):
                 us.append(u)
                 vs.append(v)
-        if us and sum(map(len, us)):
-            both = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(both[:, 0]), "v": pa.array(both[:, 1])})
+        seen: dict[tuple[int, int], None] = {}
+        for a, b in zip(np.concatenate([*us, at[:0]]).tolist(), np.concatenate([*vs, at[:0]]).tolist(), strict=True):
+            pair = (min(int(reps[a]), int(reps[b])), max(int(reps[a]), int(reps[b])))
+            if pair not in seen and fine_bound(fine[a], fine[b]) >= needed(int(n[a]), int(n[b]), percent):
+                seen[pair] = None
+        if seen:
+            u, v = zip(*seen, strict=True)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def _verify(batches, percent: int):
@@ -308,12 +331,13 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     held = _with_sets(docs, wanted, shingle)
     first = _dealt(cells.join(held, "rep")).mapInArrow(lambda b: _connect(b, percent), "u long, v long")
     parts = materialize(connected_components(first), "parts")
+    discard(cells)
 
     # the rest, by prefix shingles
     placed = vertices.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("root", "rep"))
     posted = placed.select("rep", "part", F.explode("prefix").alias("key"))
     mixed_cells = posted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    posted = materialize(posted.join(mixed_cells.select("key", "m"), "key"), "postings")
+    posted_table = posted = materialize(posted.join(mixed_cells.select("key", "m"), "key"), "postings")
     blocks = F.ceil(F.col("m") / (4 * CELL)).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("x"), F.greatest(b, own).alias("y")))
@@ -330,6 +354,8 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
         late = sided.mapInArrow(lambda b: _verify(b, percent), "v long, u long")
         parts = connected_components(edges.unionByName(late.select("u", "v")))
 
+    discard(pairs)
+    discard(posted_table)
     roots = vertices.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     roots = roots.select("digest", F.coalesce("root", "rep").alias("component"))
     joined = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(roots, "digest", "left")
