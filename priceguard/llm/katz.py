@@ -16,7 +16,8 @@ all other chunks there; what comes back is one number per word, or one sum per d
 3. bigrams to the buckets of their contexts, twice: for counts of counts, then for the
    backoff weights and the scores.
 
-The tables ``unigrams`` and ``bigrams`` of ``train_tables`` are the stored, partitioned model.
+The partitioned tables are written in the shared folder; each goes when the next step has what
+it needs of it, so the disk holds one of them and one shuffle.
 
 Defined cases: null and empty texts have the end mark only; a null doc_id counts as held out;
 repeated rows are scored and counted each; without training tokens every token is unknown; an
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BASE, mixed, word_hashes
-from .storage import discard, materialize
+from .storage import discard, materialize, sliced
 
 CHUNK = 2_000_000
 K = 5
@@ -157,7 +158,7 @@ def _chunks(batches, buckets: int):
         rows += [(int(b), base + made, "words", pack(words[lo:hi], small(count[lo:hi]))) for b, lo, hi in zip(met, cut[:-1], cut[1:], strict=True)]
         return _rows(rows)
 
-    for batch in batches:
+    for batch in sliced(batches):
         for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
             ids.append(i)
             held.append(h)
@@ -199,13 +200,23 @@ def _count_words(batches):
             yield _rows([(bucket, -1, "table", pack(words[keep], small(count[keep])))])
 
 
-def _pairs(batches, model: Unigrams, buckets: int, scoring: bool):
-    """Per chunk: its bigrams for the context buckets and, when scoring, a row ``docs`` that passes through."""
+def _learn_counts(batches):
+    """One row per chunk: its words with the counts that came back for them."""
     for chunk, rows in _by_bucket(batches):
-        words, code, lengths, known, ids, held = next(unpack(d) for _, kind, d in rows if kind == "chunk")
+        parts = next(unpack(d) for _, kind, d in rows if kind == "chunk")
         counts = [(b, unpack(d)[0]) for b, kind, d in rows if kind == "counts"]
         count = np.concatenate([c.astype(np.int64) for _, c in sorted(counts, key=lambda x: x[0])])
-        code, lengths = code.astype(np.int64), lengths.astype(np.int64)
+        yield _rows([(chunk, chunk, "known", pack(small(count), *parts))])
+
+
+def _pairs(batches, model: Unigrams, buckets: int, scoring: bool):
+    """Per chunk: its bigrams for the context buckets and, when scoring, a row ``docs`` that passes through.
+
+    The words of bigrams travel as 48 bits: they are told apart within one context only.
+    """
+    for chunk, data in (row for b in batches for row in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist(), strict=True)):
+        count, words, code, lengths, known, ids, held = unpack(data)
+        count, code, lengths = count.astype(np.int64), code.astype(np.int64), lengths.astype(np.int64)
         ends = np.cumsum(lengths) - 1
         end = int(np.searchsorted(words, END))
         before = np.empty(len(code), np.int64)
@@ -232,7 +243,7 @@ def _pairs(batches, model: Unigrams, buckets: int, scoring: bool):
         started = np.concatenate([fresh, [len(order)]])
         for b, lo, hi in zip(met, cut[:-1], cut[1:], strict=True):
             contexts, context = np.unique(v[lo:hi], return_inverse=True)
-            parts = [words[contexts], small(context), words[w[lo:hi]], small(trained[lo:hi])]
+            parts = [words[contexts], small(context), words[w[lo:hi]] >> np.uint64(16), small(trained[lo:hi])]
             if scoring:
                 parts += [small(count[w[lo:hi]]), small(times[lo:hi]), small(doc[order[started[lo] : started[hi]]])]
             out.append((int(b), chunk, "pairs", pack(*parts)))
@@ -338,21 +349,23 @@ def score_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), "text")
-    chunks = materialize(rows.mapInArrow(lambda b: _chunks(b, buckets), _ROW), "chunks")
+    chunks = materialize(rows.mapInArrow(lambda b: _chunks(b, buckets), _ROW), "chunks", by="kind")
     counted = materialize(_dealt(chunks.filter("kind = 'words'")).mapInArrow(_count_words, _ROW), "unigrams")
+    discard(chunks, "kind=words")
     total, kinds, *n = (int(x) for x in _totals(counted))
     uni = unigram_totals(dict(enumerate(n, 1)), total, kinds)
     model = Trained(uni.total, uni.kinds, uni.table, uni.known_mass, total)
     own = F.struct(F.col("chunk").alias("bucket"), F.col("bucket").alias("chunk"), "kind", "data")
     parts = chunks.filter("kind = 'chunk'").union(counted.filter("kind = 'counts'")).select(own.alias("r")).select("r.*")
-    together = _dealt(parts)
-    pairs = together.mapInArrow(lambda b: _pairs(b, model, buckets, False), _ROW)
+    known = materialize(_dealt(parts).mapInArrow(_learn_counts, _ROW), "known")
+    discard(chunks)
+    discard(counted)
+    pairs = known.mapInArrow(lambda b: _pairs(b, model, buckets, False), _ROW)
     found = materialize(_dealt(pairs).mapInArrow(_count_pairs, _ROW), "bigram-totals")
     table = discounts(dict(enumerate((int(x) for x in _totals(found)), 1)))
-    pairs = together.mapInArrow(lambda b: _pairs(b, model, buckets, True), _ROW)
+    pairs = known.mapInArrow(lambda b: _pairs(b, model, buckets, True), _ROW)
     sums = materialize(_dealt(pairs).mapInArrow(lambda b: _score_pairs(b, model, table), _ROW), "sums")
-    discard(chunks)
-    discard(counted)
+    discard(known)
     return _dealt(sums).mapInArrow(
         lambda b: _finish(b, total),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

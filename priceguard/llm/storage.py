@@ -29,29 +29,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/priceguard/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage.
 
     The shuffle files of the writing job go at its end, so an operator of many steps holds
-    its written tables and one step's shuffles.
+    its written tables and one step's shuffles.  ``by`` names a column to partition the table by.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
     _paths[id(out)] = (out, path)
     return out
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table that ``materialize`` returned, once nothing reads it any more."""
-    _, path = _paths.pop(id(table), (None, None))
+def discard(table: DataFrame, part: str | None = None) -> None:
+    """Delete a table that ``materialize`` returned, or one partition of it, once nothing reads it any more."""
+    _, path = _paths.get(id(table), (None, None)) if part else _paths.pop(id(table), (None, None))
     if path:
         jvm = table.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
         target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def sliced(batches, rows: int = 256):
+    """Arrow batches cut into pieces of a few rows, so that only those are copied into Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
