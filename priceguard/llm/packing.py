@@ -24,15 +24,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import sliced
+
 CAPACITY = 4096
 END_ID = 2
 DOCS_PER_SHARD = 4096
-WORD_TABLE = 400_000
+WORD_TABLE = 800_000
+CLOSING = b".,!?;:*%$&#|"
 _tables: dict[str, "WordIds"] = {}
 
 
 class WordIds(dict):
-    """Word (UTF-8) to its ids as little-endian unsigned 32-bit bytes; at most ``WORD_TABLE`` entries between texts."""
+    """Word (UTF-8) to its ids as little-endian unsigned 32-bit bytes; at most ``WORD_TABLE`` entries between batches.
+
+    Words are encoded many at a time with a control character between them, a token of its own
+    that blanks keep apart from its neighbours.  A word of letters and closing punctuation is looked up
+    in two parts, as the pre-tokeniser splits there and lower-cases; this is switched off for
+    tokenisers that do not.
+    """
 
     def __init__(self, path: str):
         import os
@@ -42,21 +51,56 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        one, ab, trial = (self._encode([t])[0].tolist() for t in ("\x01", "ab", "ab \x01 ab"))
+        self.apart = one[0] if len(one) == 1 and trial == [*ab, *one, *ab] else None
+        parts = [x for t in ("ab", ".,", "cd", "!") for x in self._encode([t])[0].tolist()]
+        self.split = self.apart is not None and self._encode(["AB., cD!"])[0].tolist() == parts
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.encode(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        alone = [w for w in words if self.apart is None or b"\x01" in w]
+        self.update((w, ids.tobytes()) for w, ids in zip(alone, self._encode([w.decode() for w in alone]), strict=True))
+        if self.apart is None:
+            return
+        rest = [w for w in words if b"\x01" not in w]
+        for at in range(0, len(rest), 20_000):
+            groups = [rest[k : k + 200] for k in range(at, min(at + 20_000, len(rest)), 200)]
+            for group, ids in zip(groups, self._encode([b" \x01 ".join(g).decode() for g in groups]), strict=True):
+                raw, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == self.apart)).tolist(), 4 * len(ids)]
+                start = 0
+                for w, end in zip(group, ends, strict=True):
+                    self[w] = raw[start:end]
+                    start = end + 4
 
     def learn(self, words: set) -> None:
+        """Ids of all ``words`` that are not in the table yet."""
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > WORD_TABLE:
+        if len(self) + 2 * len(new) > WORD_TABLE:
             self.clear()
             new = list(words)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            coded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, coded, strict=True))
-
-    def ids(self, text: str) -> bytes:
-        words = text.encode().split()  # on [\x20\x09-\x0D]
-        self.learn(set(words))
-        return b"".join(map(self.__getitem__, words))
+        if not self.split:
+            return self._encode_words(new)
+        halves, whole = {}, []
+        for w in new:
+            stem = w.rstrip(CLOSING)
+            if len(stem) == len(w) and w == w.lower():
+                whole.append(w)
+            elif stem and stem.decode().isalpha():
+                halves[w] = (stem.lower(), w[len(stem) :])  # bytes.lower changes A-Z only
+            else:
+                whole.append(w)
+        parts = {p for pair in halves.values() for p in pair if p}
+        self._encode_words([w for w in {*whole, *parts} if w not in self])
+        for w, (stem, rest) in halves.items():
+            self[w] = self[stem] + self[rest] if rest else self[stem]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        split = [(t or "").encode().split() for t in texts]  # on [\x20\x09-\x0D]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 def word_ids(path: str) -> WordIds:
@@ -126,10 +170,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
         table, deal = word_ids(tokenizer_path), TaskContext.get().partitionId() << 40
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
-        for batch in batches:
+        for batch in sliced(batches):
             rows = {n: [] for n in ("at", "start", "length", "ids_crc32", "doc_tokens", "deal", "ids")}
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                ids = table.ids(text or "") + end
+            for k, ids in enumerate(table.ids(batch.column("text").to_pylist())):
+                ids += end
                 for start in range(0, len(ids), step):
                     piece = ids[start : start + step]
                     for name, value in zip(rows, (k, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, deal, piece if with_ids else None), strict=True):
