@@ -77,7 +77,8 @@ class Forecaster:
         def run(series: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             hours = lambda c: c.to_numpy("datetime64[s]").astype(np.int64) / 3600.0
             if not len(series) or not len(asked):
-                return pd.DataFrame({c.split()[0]: [] for c in BANDS.split(", ")})
+                kinds = {"string": "object", "timestamp_ntz": "datetime64[ns]", "double": "float64"}
+                return pd.DataFrame({n: pd.Series(dtype=kinds[k]) for n, k in (c.split() for c in BANDS.split(", "))})
             series = series.sort_values("s_hour")
             cols = fit_series(hours(series["s_hour"]), series["mean"].to_numpy(float), hours(asked["hour"]), width)
             return pd.DataFrame({"category": asked["category"], "hour": asked["hour"], **dict(zip(("ts_expected", "ts_lower", "ts_upper", "trend", "daily", "weekly"), cols, strict=True))})
