@@ -255,10 +255,10 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, as_text: bool =
     ``as_text`` gives kept as a string, without what is left of characters that were cut through.
     """
     columns = [c for c in docs.columns if c != "repeats"]
-    found = repeated_spans(docs, min_bytes).withColumnRenamed("text_id", "__found")
+    found = repeated_spans(docs, min_bytes).select(F.col("text_id").alias("__found"), F.col("copies").alias("__n"), F.col("spans").alias("__spans"))
     keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(whole(docs["text"])).alias("__id"))
-    joined = keyed.join(found, F.col("__id") == F.col("__found"), "left").withColumn("__copies", F.coalesce("copies", F.lit(1)))
-    joined = joined.select(*[F.col(f"`{c}`") for c in columns], "__copies", F.col("spans").alias("__spans"))
+    joined = keyed.join(found, F.col("__id") == F.col("__found"), "left").withColumn("__copies", F.coalesce("__n", F.lit(1)))
+    joined = joined.select(*[F.col(f"`{c}`") for c in columns], "__copies", "__spans")
     result = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("repeats", result)])
 

@@ -186,5 +186,6 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    files = manifest.select("folder", "file").repartition(F.col("file"))
+    files = manifest.select("folder", "file")
+    files = files.repartition(max(1, files.count()), "file")  # a stated number, so that small rows are not put in one task
     return files.mapInArrow(read, RECORD_SCHEMA)
