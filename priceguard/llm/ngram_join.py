@@ -4,19 +4,23 @@ A document is the set of its word shingles.  Shingles are hashed into groups, an
 per group are a point; two documents cannot share more shingles than the sum of the smaller
 coordinates of their points, and no two documents below two tree nodes more than the sum of the
 smaller upper corners.  A pair of points that passes is bounded once more over finer groups, one
-per 16 shingles, which tells long documents apart.  Points are bulk-loaded into R-trees, trees are joined with themselves
+per 8 shingles, which tells long documents apart.  Points are bulk-loaded into R-trees, trees are joined with themselves
 under that bound, and surviving pairs are verified on the sets.
 
 One tree over a corpus would not distribute, so trees are grown in cells.  Documents that link
 share a shingle among the first n - ceil(t n) + 1 of each (shingles in one global order), so
-cells by those shingles miss no link.  Three steps keep groups of copies from multiplying:
+cells by those shingles miss no link.  Four steps keep groups of copies from multiplying:
 
 1. documents with equal sets become one vertex;
 2. cells by four minimum hashes join near copies early: members are linked in their cell until
    they are connected, never pair by pair.  Larger cells are dealt into parts of ``CELL`` members;
-   this step may miss links, the next one may not;
-3. cells by prefix shingles are looked at only where they hold more than one component, and
-   there only pairs of different components are compared, in blocks where a cell is large.
+   this step may miss links, the next ones may not;
+3. cells by prefix shingles are looked at only where they hold more than one component, and only
+   for members of different components, in blocks where a cell is large.  A cell reports its
+   members that pass the bound with another component, and which components they connect: no
+   more rows than members;
+4. the reported members of connected components meet once, with their sets, in one group (in
+   blocks where it is large), where links between components are verified.
 
 Components are the result, so pairs inside a component need no further look.  Shingles that are
 frequent in a bounded sample come last in the global order, which keeps shared passages out of
@@ -108,31 +112,62 @@ class CountTree:
         return x + i.start, y + j.start
 
 
-def fine_counts(s: np.ndarray) -> np.ndarray:
-    """Counts over about one group per 16 shingles, ``GROUPS`` at least: groups nest, so counts fold to fewer groups."""
-    bits = min(20, max(GROUPS.bit_length() - 1, int(np.ceil(np.log2(max(1, len(s) / 16))))))
-    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4")
+def count_points(sets: list[np.ndarray], groups: int) -> np.ndarray:
+    shift = np.uint64(64 - (groups.bit_length() - 1))
+    return np.array([np.bincount((s >> shift).astype(np.int64), minlength=groups) for s in sets], np.int32)
 
 
-def folded(counts: np.ndarray, groups: int) -> np.ndarray:
-    return counts.reshape(groups, -1).sum(1)
+def fine_counts(s: np.ndarray) -> np.ndarray:
+    """Counts over about one group per 8 shingles, ``GROUPS`` at least: groups nest, so counts fold to fewer groups."""
+    bits = min(20, max(GROUPS.bit_length() - 1, int(np.ceil(np.log2(max(1, len(s) / 8))))))
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
 
 
-def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """The bound over the finest groups both points have."""
-    groups = min(len(a), len(b))
-    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
+def packed_counts(counts: np.ndarray) -> bytes:
+    return bytes([counts.itemsize]) + counts.tobytes()
 
 
-def count_points(sets: list[np.ndarray], groups: int) -> np.ndarray:
-    shift = np.uint64(64 - (groups.bit_length() - 1))
-    return np.array([np.bincount((s >> shift).astype(np.int64), minlength=groups) for s in sets], np.int32)
+def unpacked_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
-def connect_cell(ids: np.ndarray, sets: list[np.ndarray], percent: int, groups: int = 256) -> list[tuple[int, int]]:
-    """Links that connect what is connected among the members: fewer than there are members."""
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(groups, -1).sum(1, dtype=np.int32)
+
+
+class LeafBounds:
+    """The bound between the points of two leaves over the finest groups that all of them have."""
+
+    def __init__(self, tree: CountTree, fine: list[np.ndarray]):
+        self.tree, self.held = tree, {}
+        self.fine = [fine[k] for k in tree.order]
+
+    def _leaf(self, leaf: int, groups: int | None = None) -> np.ndarray:
+        own = self.fine[self.tree.members(leaf)]
+        most = min(len(f) for f in own)
+        groups = most if groups is None else groups
+        if (leaf, groups) not in self.held:
+            if len(self.held) > 4096:
+                self.held.clear()
+            self.held[leaf, groups] = np.array([folded(f, groups) for f in own], np.int32)
+        return self.held[leaf, groups]
+
+    def passing(self, a: int, b: int, percent: int) -> np.ndarray:
+        groups = min(self._leaf(a).shape[1], self._leaf(b).shape[1])
+        x, y = self._leaf(a, groups), self._leaf(b, groups)
+        bound = np.minimum(x[:, None, :], y[None, :, :]).sum(2)
+        sizes = self.tree.sizes
+        return bound >= needed(sizes[self.tree.members(a)][:, None], sizes[self.tree.members(b)][None, :], percent)
+
+
+def connect_cell(ids: np.ndarray, sets: list[np.ndarray], percent: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between members of different parts (all different at first, if not given): fewer than there are members."""
+    middle = int(np.median([len(s) for s in sets]))
+    groups = 1 << int(np.clip(np.ceil(np.log2(max(middle, 1) / 2)), 8, 12))
     tree = CountTree(count_points(sets, groups), np.array([len(s) for s in sets]))
-    sets, ids, part = [sets[k] for k in tree.order], ids[tree.order], np.arange(len(ids))
+    sets, ids = [sets[k] for k in tree.order], ids[tree.order]
+    part = np.arange(len(ids)) if parts is None else np.unique(parts, return_inverse=True)[1][tree.order]
     found = []
     for a, b in tree.leaf_pairs(percent):
         pa_, pb = part[tree.members(a)], part[tree.members(b)]
@@ -145,15 +180,32 @@ def connect_cell(ids: np.ndarray, sets: list[np.ndarray], percent: int, groups:
     return found
 
 
-def cell_candidates(ids: np.ndarray, parts: np.ndarray, points: np.ndarray, sizes: np.ndarray, percent: int):
-    """Pairs of members of different components that pass the bound."""
+def cell_suspects(parts: np.ndarray, points: np.ndarray, sizes: np.ndarray, fine: list[np.ndarray], percent: int):
+    """Which members pass the bound with a member of another part, and pairs of parts that connect all such parts."""
     tree = CountTree(points, sizes)
-    ids, parts = ids[tree.order], parts[tree.order]
+    leaves = LeafBounds(tree, fine)
+    parts = parts[tree.order]
+    names, group = np.unique(parts, return_inverse=True)
+    own = group.copy()
+    flags, edges = np.zeros(len(parts), bool), []
     for a, b in tree.leaf_pairs(percent):
-        x, y = tree.pairs(a, b, percent)
-        keep = parts[x] != parts[y]
-        if keep.any():
-            yield np.minimum(ids[x[keep]], ids[y[keep]]), np.maximum(ids[x[keep]], ids[y[keep]])
+        i, j = tree.members(a), tree.members(b)
+        if flags[i].all() and flags[j].all() and (group[i] == group[i][0]).all() and (group[j] == group[i][0]).all():
+            continue
+        apart = own[i][:, None] != own[j][None, :]
+        if not apart.any():
+            continue
+        ok = leaves.passing(a, b, percent) & apart
+        flags[i] |= ok.any(1)
+        flags[j] |= ok.any(0)
+        x, y = np.nonzero(ok & (group[i][:, None] != group[j][None, :]))
+        for k, m in zip(x + i.start, y + j.start, strict=True):
+            if group[k] != group[m]:
+                edges.append((int(parts[k]), int(parts[m])))
+                group[group == group[m]] = group[k]
+    out = np.zeros(len(parts), bool)
+    out[tree.order] = flags
+    return out, edges
 
 
 def _sets(texts: list, shingle: int):
@@ -219,7 +271,7 @@ def signatures(docs: DataFrame, percent: int, shingle: int, hot: np.ndarray) ->
                     for c in ("counts", "keys", "prefix"):
                         out[c].append(None)
                     continue
-                out["counts"].append(fine_counts(s).tobytes())
+                out["counts"].append(packed_counts(fine_counts(s)))
                 out["keys"].append([int(((s * a) ^ a).min().view(np.int64)) for a in salts])
                 first = n - -(-percent * n // 100) + 1
                 if len(names):
@@ -259,25 +311,27 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def _connect(batches, percent: int):
-    for t in _runs(batches, ["key", "rep", "set"]):
-        keys, reps, sets = t.column("key").to_numpy(), t.column("rep").to_numpy(), t.column("set").to_pylist()
+    """Links that connect the members of each cell."""
+    for t in _runs(batches, ["key", "rep", "part", "set"]):
+        keys, reps, parts, sets = t.column("key").to_numpy(), t.column("rep").to_numpy(), t.column("part").to_numpy(), t.column("set").to_pylist()
         found, at = [], _bounds(keys)
         for lo, hi in zip(at[:-1], at[1:], strict=True):
             if hi - lo > 1:
-                found += connect_cell(reps[lo:hi], [np.frombuffer(s, np.uint64) for s in sets[lo:hi]], percent)
+                found += connect_cell(reps[lo:hi], [np.frombuffer(s, np.uint64) for s in sets[lo:hi]], percent, parts[lo:hi])
         if found:
             u, v = zip(*found, strict=True)
             yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _candidates(batches, percent: int):
+def _suspects(batches, percent: int):
+    """Rows (suspect, rep, part) and (edge, part, part): no more than members in each cell."""
     for t in _runs(batches, ["key", "rep", "part", "n", "counts"]):
         keys, reps, parts, n = (t.column(c).to_numpy() for c in ("key", "rep", "part", "n"))
-        fine = [np.frombuffer(c, "<u4") for c in t.column("counts").to_pylist()]
+        fine = [unpacked_counts(c) for c in t.column("counts").to_pylist()]
         points = np.array([folded(f, GROUPS) for f in fine], np.int32)
         at = _bounds(keys)
         size = np.diff(at)
-        us, vs = [], []
+        flags, edges, tried = np.zeros(len(keys), bool), set(), {}
         for s in np.unique(size[(size > 1) & (size <= 16)]):  # one leaf each: all such cells at once
             rows = at[:-1][size == s][:, None] + np.arange(s)
             i, j = np.triu_indices(s, 1)
@@ -286,33 +340,39 @@ def _candidates(batches, percent: int):
             for k in range(0, len(x), 1 << 16):
                 a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
                 ok = np.minimum(points[a], points[b]).sum(1) >= needed(n[a], n[b], percent)
-                us.append(a[ok])
-                vs.append(b[ok])
+                for p, q in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                    pair = (int(reps[p]), int(reps[q]))
+                    if pair not in tried:
+                        groups = min(len(fine[p]), len(fine[q]))
+                        both = int(np.minimum(folded(fine[p], groups), folded(fine[q], groups)).sum())
+                        tried[pair] = both >= needed(int(n[p]), int(n[q]), percent)
+                    if tried[pair]:
+                        flags[p] = flags[q] = True
+                        edges.add((int(parts[p]), int(parts[q])))
         for lo, hi in zip(at[:-1][size > 16], at[1:][size > 16], strict=True):
-            for u, v in cell_candidates(np.arange(lo, hi), parts[lo:hi], points[lo:hi], n[lo:hi], percent):
-                us.append(u)
-                vs.append(v)
-        seen: dict[tuple[int, int], None] = {}
-        for a, b in zip(np.concatenate([*us, at[:0]]).tolist(), np.concatenate([*vs, at[:0]]).tolist(), strict=True):
-            pair = (min(int(reps[a]), int(reps[b])), max(int(reps[a]), int(reps[b])))
-            if pair not in seen and fine_bound(fine[a], fine[b]) >= needed(int(n[a]), int(n[b]), percent):
-                seen[pair] = None
-        if seen:
-            u, v = zip(*seen, strict=True)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-
-def _verify(batches, percent: int):
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
-        yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            flags[lo:hi], more = cell_suspects(parts[lo:hi], points[lo:hi], n[lo:hi], fine[lo:hi], percent)
+            edges.update(more)
+        if flags.any():
+            who = np.unique(np.stack([reps[flags], parts[flags]], 1), axis=0)
+            pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
+            both = np.concatenate([who, pairs])
+            kind = np.repeat([False, True], [len(who), len(pairs)])
+            yield pa.RecordBatch.from_pydict({"edge": pa.array(kind), "u": pa.array(both[:, 0]), "v": pa.array(both[:, 1])})
 
 
 def _dealt(cells: DataFrame) -> DataFrame:
     return cells.repartition("key").sortWithinPartitions("key")
 
 
+def _met(rows: DataFrame, size: int) -> DataFrame:
+    """key, rep, part where keys of more than ``size`` rows (column m) are split into pairs of blocks that all rows meet in."""
+    blocks = F.ceil(F.col("m") / size).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("x"), F.greatest(b, own).alias("y")))
+    split = rows.withColumn("meet", F.explode(F.when(blocks == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(meets)))
+    return split.select(F.xxhash64("key", "meet").alias("key"), "rep", "part")
+
+
 def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of at least ``percent`` per cent)."""
     signed = materialize(signatures(docs, percent, shingle, frequent_shingles(docs, shingle)), "signatures")
@@ -329,7 +389,7 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     cells = materialize(cells.join(once.select("key", "m"), "key").select(F.xxhash64("key", split).alias("key"), "rep"), "cells")
     wanted = cells.select("rep").distinct().join(vertices.select("rep", "digest"), "rep")
     held = _with_sets(docs, wanted, shingle)
-    first = _dealt(cells.join(held, "rep")).mapInArrow(lambda b: _connect(b, percent), "u long, v long")
+    first = _dealt(cells.withColumn("part", F.col("rep")).join(held, "rep")).mapInArrow(lambda b: _connect(b, percent), "u long, v long")
     parts = materialize(connected_components(first), "parts")
     discard(cells)
 
@@ -337,25 +397,24 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     placed = vertices.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("root", "rep"))
     posted = placed.select("rep", "part", F.explode("prefix").alias("key"))
     mixed_cells = posted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    posted_table = posted = materialize(posted.join(mixed_cells.select("key", "m"), "key"), "postings")
-    blocks = F.ceil(F.col("m") / (4 * CELL)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("x"), F.greatest(b, own).alias("y")))
-    posted = posted.withColumn("meet", F.explode(meets)).select(F.xxhash64("key", "meet").alias("key"), "rep", "part")
+    table = posted = materialize(posted.join(mixed_cells.select("key", "m"), "key"), "postings")
+    posted = _met(posted, 4 * CELL)
     points = posted.join(vertices.select("rep", "n", "counts"), "rep")
-    pairs = _dealt(points).mapInArrow(lambda b: _candidates(b, percent), "u long, v long").distinct()
-    pairs = materialize(pairs, "pairs")
-    edges = parts.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    if not pairs.isEmpty():
-        ends = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
-        held = materialize(_with_sets(docs, ends.join(vertices.select("rep", "digest"), "rep"), shingle), "sets")
-        sided = pairs.join(held.select(F.col("rep").alias("u"), F.col("set").alias("a")), "u")
-        sided = sided.join(held.select(F.col("rep").alias("v"), F.col("set").alias("b")), "v")
-        late = sided.mapInArrow(lambda b: _verify(b, percent), "v long, u long")
-        parts = connected_components(edges.unionByName(late.select("u", "v")))
-
-    discard(pairs)
-    discard(posted_table)
+    found = _dealt(points).mapInArrow(lambda b: _suspects(b, percent), "edge boolean, u long, v long").distinct()
+    found = materialize(found, "suspects")
+    discard(table)
+    if not found.isEmpty():
+        groups = connected_components(found.filter("edge").select("u", "v")).select(F.col("node").alias("part"), F.col("root").alias("group"))
+        suspects = found.filter("not edge").select(F.col("u").alias("rep"), F.col("v").alias("part"))
+        placed = suspects.join(groups, "part", "left").withColumn("key", F.coalesce("group", "part"))
+        sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+        met = _met(placed.join(sizes, "key"), CELL)
+        held = _with_sets(docs, suspects.select("rep").distinct().join(vertices.select("rep", "digest"), "rep"), shingle)
+        late = _dealt(met.join(held, "rep")).mapInArrow(lambda b: _connect(b, percent), "u long, v long")
+        early = parts.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        parts = connected_components(early.unionByName(late))
+    discard(found)
+
     roots = vertices.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     roots = roots.select("digest", F.coalesce("root", "rep").alias("component"))
     joined = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(roots, "digest", "left")

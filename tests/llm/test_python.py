@@ -202,6 +202,25 @@ def test_large_cells_and_keep_one(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == [0, *range(100, 110)]
 
 
+def test_families_without_their_root(spark, monkeypatch):
+    """Copies near the threshold, whose common original is not there, in cells of several components."""
+    monkeypatch.setattr(ngram_join, "CELL", 8)
+    from .conftest import prose
+
+    rng, rows = np.random.default_rng(2), []
+    for family in range(3):
+        base = prose(600 + family, 160).split()
+        for i in range(40):
+            w = list(base)
+            for at in rng.choice(160, 1 + i % 3, replace=False):
+                w[at] = f"edit{family}x{i}x{at}"
+            rows.append((1000 * family + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_copies(docs, 80, 5).collect()}
+    assert got == brute_components(rows, 80, 5)
+    assert 3 < len(set(got.values())) < 120
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=2, max_size=90))
 def test_tree_bound_loses_no_link(sets):
@@ -215,7 +234,8 @@ def test_tree_bound_loses_no_link(sets):
         for j in range(i):
             if ngram_join.linked(arrays[i], arrays[j], 80):
                 assert frozenset((i, j)) in found
-                assert ngram_join.fine_bound(ngram_join.fine_counts(arrays[i]), ngram_join.fine_counts(arrays[j])) >= ngram_join.needed(len(arrays[i]), len(arrays[j]), 80)
+                a, b = (ngram_join.unpacked_counts(ngram_join.packed_counts(ngram_join.fine_counts(arrays[k]))) for k in (i, j))
+                assert np.minimum(a, b).sum() >= ngram_join.needed(len(arrays[i]), len(arrays[j]), 80)
 
 
 def test_components(spark):
