@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classifier, fingerprints, katz, licenses, mixing, ngram_join, packing, quality, suffix_dedup, warc
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,5 +87,3 @@ QUERIES = {
     "op9_suffix_family": op9_suffix_family,
     "op10_closed_syncmers": op10_closed_syncmers,
 }
-
-ORACLE_SQL: dict[str, str] = {}
