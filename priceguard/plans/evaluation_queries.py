@@ -10,7 +10,7 @@ from ..sources.fixtures import pricing_events as load
 from ..sources.store import performance_history as history_of
 from . import tuning
 from .registry import query
-from .report_queries import AL, N, found, scored
+from .report_queries import AL, found, scored
 from .sql import CTX, DEV, PE, SCORED, TRAIN, context_cte, prf, rolling_sql, stats_cte, with_
 
 ENSEMBLE = ["is_anomaly", "n_methods_flagged", "ensemble_severity", "detection_methods"]
@@ -43,7 +43,7 @@ def alert_mask_by_label(spark, d):
 
 @query(with_(AL, "SELECT severity, count(*) AS n, round(sum(estimated_impact_usd), 2) AS impact, round(avg(estimated_impact_usd), 4) AS mean_impact FROM al GROUP BY 1"))
 def impact_by_severity(spark, d):
-    return found(spark, d).groupBy("severity").agg(F.count(N).alias("n"), F.round(F.sum("estimated_impact_usd"), 2).alias("impact"), F.round(F.avg("estimated_impact_usd"), 4).alias("mean_impact"))
+    return found(spark, d).groupBy("severity").agg(F.count("*").alias("n"), F.round(F.sum("estimated_impact_usd"), 2).alias("impact"), F.round(F.avg("estimated_impact_usd"), 4).alias("mean_impact"))
 
 
 _E, _R = "is_anomaly", "rule_anomaly"
@@ -170,7 +170,8 @@ def _log(spark, d):
     return experiments.parse(lines)
 
 
-_F1 = F.round(experiments.metric("f1"), 7).alias("f1")
+def _f1():
+    return F.round(experiments.metric("f1"), 7).alias("f1")
 
 
 @query(with_(_RUN, 'SELECT experiment_id, "timestamp", method, z AS param_z, round(f1, 7) AS f1 FROM rn'))
@@ -181,7 +182,7 @@ def experiment_history(spark, d):
 
 @query(with_(_RUN, "SELECT experiment_id, method, round(f1, 7) AS f1 FROM rn WHERE method = 'ensemble' ORDER BY rn.f1 DESC LIMIT 1"))
 def best_experiment(spark, d):
-    return experiments.best_by_metric(_log(spark, d), "f1", "ensemble").select("experiment_id", "method", _F1)
+    return experiments.best_by_metric(_log(spark, d), "f1", "ensemble").select("experiment_id", "method", _f1())
 
 
 @query(with_(_RUN, 'SELECT method, arg_max(experiment_id, "timestamp") AS experiment_id FROM rn GROUP BY 1'))
@@ -191,12 +192,12 @@ def latest_per_method(spark, d):
 
 @query(with_(_RUN, "SELECT experiment_id, method, round(f1, 7) AS f1 FROM rn WHERE experiment_id IN (3, 7, 11)"))
 def compare_experiments(spark, d):
-    return experiments.compare(_log(spark, d), [3, 7, 11]).select("experiment_id", "method", _F1)
+    return experiments.compare(_log(spark, d), [3, 7, 11]).select("experiment_id", "method", _f1())
 
 
 @query(with_(_RUN, "SELECT experiment_id, method, round(f1, 7) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY method, z ORDER BY f1 DESC, experiment_id) AS place FROM rn) t WHERE place = 1"))
 def experiment_dedup(spark, d):
-    return experiments.best_per_setting(_log(spark, d)).select("experiment_id", "method", _F1)
+    return experiments.best_per_setting(_log(spark, d)).select("experiment_id", "method", _f1())
 
 
 @query(with_(_RUN, "SELECT regexp_replace(method, '_optimized', '') AS base_method, round(max(CASE WHEN NOT contains(method, 'optimized') THEN f1 END), 7) AS default_f1, round(max(CASE WHEN contains(method, 'optimized') THEN f1 END), 7) AS optimized_f1 FROM rn GROUP BY 1"))

@@ -27,7 +27,6 @@ def found(spark, d):
 
 
 AL = f"{SCORED},\n{ALERTS}"
-N = F.lit(1)
 
 
 @query(with_(PE, f"SELECT {HOUR} AS hour, category, count(*) AS event_count, round(avg(final_price), 6) AS avg_price, min(final_price) AS min_price, max(final_price) AS max_price, round(avg(surge_multiplier), 6) AS avg_surge, round(avg(demand_level), 6) AS avg_demand, round(avg(supply_level), 6) AS avg_supply, count_if(label_is_anomaly) AS anomaly_count FROM pe GROUP BY ALL"))
@@ -38,7 +37,7 @@ def hourly_stats(spark, d):
 @query(with_(PE, f"SELECT {HOUR} AS hour, round(avg(final_price), 6) AS mean, round(stddev_samp(final_price), 6) AS std, count(*) AS n, count_if(label_is_anomaly) > 0 AS flagged FROM pe WHERE category = 'ride_standard' GROUP BY 1"))
 def category_series(spark, d):
     rows = load(spark, d).filter(F.col("category") == "ride_standard").groupBy(reports.hour_text(F.col("timestamp")).alias("hour"))
-    return rows.agg(F.round(F.avg("final_price"), 6).alias("mean"), F.round(F.stddev_samp("final_price"), 6).alias("std"), F.count(N).alias("n"), (F.count_if("label_is_anomaly") > 0).alias("flagged"))
+    return rows.agg(F.round(F.avg("final_price"), 6).alias("mean"), F.round(F.stddev_samp("final_price"), 6).alias("std"), F.count("*").alias("n"), (F.count_if("label_is_anomaly") > 0).alias("flagged"))
 
 
 @query(with_(AL, f"SELECT category, severity, detection_method, count(*) AS count, round(avg(anomaly_score), 6) AS avg_score, min({TS}) AS first_seen, max({TS}) AS last_seen FROM al GROUP BY ALL"))
@@ -80,7 +79,7 @@ def anomalous_only(spark, d):
 
 @query(with_(PE, "SELECT label_is_anomaly, count(*) AS n, round(avg(final_price), 6) AS avg_price, round(avg(surge_multiplier), 6) AS avg_surge FROM pe GROUP BY 1"))
 def label_split(spark, d):
-    return load(spark, d).groupBy("label_is_anomaly").agg(F.count(N).alias("n"), F.round(F.avg("final_price"), 6).alias("avg_price"), F.round(F.avg("surge_multiplier"), 6).alias("avg_surge"))
+    return load(spark, d).groupBy("label_is_anomaly").agg(F.count("*").alias("n"), F.round(F.avg("final_price"), 6).alias("avg_price"), F.round(F.avg("surge_multiplier"), 6).alias("avg_surge"))
 
 
 @query(with_(AL, "SELECT (SELECT count(*) FROM pe) AS events, count(*) AS anomalies, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, round(sum(abs(final_price)), 2) AS abs_price_sum, round(sum(estimated_impact_usd), 2) AS impact_usd_sum, round(100.0 * count(*) / (SELECT count(*) FROM pe), 4) AS rate_pct FROM al"))
@@ -165,12 +164,12 @@ def _truth(spark, d):
 
 @query(with_(PE, f"SELECT label_type AS anomaly_type, {_TYPE_SEV} AS severity, count(*) AS n FROM pe WHERE label_is_anomaly GROUP BY ALL"))
 def truth_counts(spark, d):
-    return _truth(spark, d).groupBy(F.col("label_type").alias("anomaly_type"), "severity").agg(F.count(N).alias("n"))
+    return _truth(spark, d).groupBy(F.col("label_type").alias("anomaly_type"), "severity").agg(F.count("*").alias("n"))
 
 
 @query(with_(PE, f"SELECT label_type AS anomaly_type, count_if({_TYPE_SEV} = 'critical') AS critical, count_if({_TYPE_SEV} = 'high') AS high FROM pe WHERE label_is_anomaly GROUP BY 1"))
 def type_severity_crosstab(spark, d):
-    return _truth(spark, d).groupBy(F.col("label_type").alias("anomaly_type")).pivot("severity", ["critical", "high"]).agg(F.count(N)).na.fill(0, ["critical", "high"])
+    return _truth(spark, d).groupBy(F.col("label_type").alias("anomaly_type")).pivot("severity", ["critical", "high"]).agg(F.count(F.lit(1))).na.fill(0, ["critical", "high"])
 
 
 def _box(by: str) -> str:
