@@ -9,7 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go with the job, and Arrow batches stay small, as rows can be large.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
@@ -26,7 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/priceguard/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, with its scheme, so that Spark and Arrow mean the same store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/priceguard/{name}-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -37,12 +41,14 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
     _paths[id(out)] = (out, path)
     return out
