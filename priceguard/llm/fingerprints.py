@@ -109,7 +109,8 @@ def with_successor(rows: DataFrame, order: str, payload: Column, slices: int | N
     per range and nothing else.
     """
     spark = rows.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or max(tasks, min(8 * tasks, 2000))  # several a task, as ranges are dealt by hash
     ids = rows.select(F.col(order).alias("id"))
     cuts = ids.agg(
         F.percentile_approx("id", [i / slices for i in range(1, slices)] or [0.5], 20 * slices)
