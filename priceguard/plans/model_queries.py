@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from ..config import TUNED
 from ..operators import context, forest, neighbors, stats, svm
 from ..operators.forecast import Forecaster
+from ..operators.rules import validate
+from ..sources import trips
 from ..sources.fixtures import pricing_events as load
+from ..sources.fixtures import trip_records
 from ..sources.scratch import written
 from ..streaming import alerts as stream
-from .benchmark import compare_detectors
+from . import tuning
+from .benchmark import compare_detectors, ranked
 from .pipeline import detect
 from .registry import query
+from .sql import PE, RULED, with_
 
 
 @query()
@@ -78,6 +83,14 @@ def synthetic_truth(spark, d):
     return generate(spark, dt.datetime(2024, 6, 15, 12), dt.datetime(2024, 6, 1, 12))[1]
 
 
+def _drained(rows, mode: str):
+    """All a stream gives for what there is, as a table."""
+    name = "stream_" + uuid.uuid4().hex
+    run = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rows.sparkSession.table(name)
+
+
 @query()
 def stream_rules(spark, d):
     events = load(spark, d)
@@ -85,7 +98,27 @@ def stream_rules(spark, d):
     maxima = written(stats.batch_maxima(stats.with_stats(events, st)), "maxima")
     source = written(events, "stream").inputFiles()[0].rsplit("/", 1)[0]
     scored = stream.score_stream(stream.read_stream(spark, source), st, base, maxima)
-    name = "stream_" + uuid.uuid4().hex
-    run = scored.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("event_id", "rule_anomaly", "rule_score", "stat_anomaly", "ctx_anomaly", F.round("stat_score", 6).alias("stat_score"))
+    rows = _drained(scored, "append")
+    return rows.select("event_id", "rule_anomaly", "rule_score", "stat_anomaly", "ctx_anomaly", F.round("stat_score", 6).alias("stat_score"))
+
+
+@query(with_(f"{PE},\n{RULED}", "SELECT strftime(date_trunc('hour', \"timestamp\"), '%Y-%m-%d %H:00:00') AS hour, category, count(*) AS events, count_if(rule_anomaly) AS violations FROM ruled GROUP BY ALL"))
+def stream_hourly_counts(spark, d):
+    source = written(load(spark, d), "stream").inputFiles()[0].rsplit("/", 1)[0]
+    counts = _drained(stream.hourly_counts(validate(stream.read_stream(spark, source))), "complete")
+    return counts.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:00:00"))
+
+
+@query()
+def tuned_evaluation(spark, d):
+    """Sweep and grid with the forest, and the evaluation of a run with the grid's best settings."""
+    events = load(spark, d)
+    results = tuning.analyse(events, detect(events, TUNED), TUNED)
+    return tuning.optimised_run(events, results)[1]
+
+
+@query()
+def trip_comparison(spark, d):
+    """Detectors on labelled and injected trips with the default settings."""
+    events, _ = trips.inject(trips.label_natural(trips.transform(trip_records(spark, d))))
+    return compare_detectors(ranked(written(events, "trips")), slow=False)[0]

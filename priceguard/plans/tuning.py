@@ -48,3 +48,47 @@ def save_results(results: dict[str, DataFrame], folder: str) -> None:
     """Each result table as one CSV file: they have at most a few hundred rows."""
     for name, df in results.items():
         df.coalesce(1).write.mode("overwrite").csv(f"{folder}/{name}", header=True)
+
+
+def optimised_run(events: DataFrame, results: dict, settings: Settings = TUNED, use_forest: bool = True) -> tuple[Settings, DataFrame]:
+    """Settings of the grid's best row, and the evaluation of a run with them on the held-out rows."""
+    from dataclasses import replace
+
+    from .pipeline import detect
+
+    best = results["best"].first()
+    chosen = replace(
+        settings, zscore_threshold=best["zscore_threshold"], ensemble_threshold=best["ensemble_threshold"],
+        contamination=best["contamination"] if "contamination" in results["best"].columns else settings.contamination,
+    )
+    return chosen, evaluate.prf_by_method(detect(events, chosen, use_forest).filter("split = 'test'"))
+
+
+def main(args: list[str] | None = None) -> None:
+    """Command line: --folder OUT --end-date D [--sample N] [--no-forest]: sweep, grid and best settings of generated events."""
+    import argparse
+    import datetime as dt
+
+    from pyspark.sql import SparkSession
+
+    from ..sources.generator import generate
+    from ..sources.scratch import written
+    from ..sources.trips import sample_rows
+    from .pipeline import detect
+
+    p = argparse.ArgumentParser()
+    p.add_argument("--folder", required=True)
+    p.add_argument("--end-date", type=dt.datetime.fromisoformat, required=True)
+    p.add_argument("--sample", type=int)
+    p.add_argument("--no-forest", action="store_true")
+    a = p.parse_args(args)
+    events, _ = generate(SparkSession.builder.getOrCreate(), a.end_date)
+    if a.sample is not None:
+        events = sample_rows(events, a.sample)
+    events = written(events, "events")
+    results = analyse(events, written(detect(events, TUNED, not a.no_forest), "scored"), TUNED, not a.no_forest)
+    save_results(results | {"optimised": optimised_run(events, results, TUNED, not a.no_forest)[1]}, a.folder)
+
+
+if __name__ == "__main__":
+    main()

@@ -20,7 +20,7 @@ from priceguard.sources.store import PricingStore
 from .helpers import events
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"lof", "dbscan", "detector_comparison", "full_ensemble"}
+SLOW = {"lof", "dbscan", "detector_comparison", "full_ensemble", "tuned_evaluation", "trip_comparison"}
 
 
 def scored(spark, *rows):
