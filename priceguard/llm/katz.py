@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import BASE, mixed, word_hashes
+from .hashing import BASE, batches_of_bytes, mixed, word_hashes
 from .storage import discard, materialize, sliced
 
 CHUNK = 2_000_000
@@ -143,8 +143,9 @@ def _chunks(batches, buckets: int):
 
     def close():
         raw = [(t or "").encode() for t in texts]
-        hashes, at = word_hashes(raw)
-        lengths = np.diff(at) + 1
+        parts = [word_hashes(raw[lo:hi]) for lo, hi in batches_of_bytes(raw)]
+        hashes = np.concatenate([h for h, _ in parts])
+        lengths = np.concatenate([np.diff(at) for _, at in parts]) + 1
         ends = np.cumsum(lengths) - 1
         tokens = np.empty(int(lengths.sum()), np.uint64)
         body = np.ones(len(tokens), bool)
