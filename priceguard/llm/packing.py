@@ -15,6 +15,7 @@ repeated rows are packed each on its own; a document longer than a window spans
 pieces; an empty table gives an empty table; columns beside doc_id and text are ignored.
 """
 
+import re
 import zlib
 from math import ceil
 
@@ -30,7 +31,7 @@ CAPACITY = 4096
 END_ID = 2
 DOCS_PER_SHARD = 4096
 WORD_TABLE = 800_000
-CLOSING = b".,!?;:*%$&#|"
+CLOSING = re.compile(rb"[.,!?;:*%$&#|](?<=[a-z0-9][.,!?;:*%$&#|])[.,!?;:*%$&#|]*(?=[\x20\x09-\x0D]|\Z)")
 _tables: dict[str, "WordIds"] = {}
 
 
@@ -38,9 +39,9 @@ class WordIds(dict):
     """Word (UTF-8) to its ids as little-endian unsigned 32-bit bytes; at most ``WORD_TABLE`` entries between batches.
 
     Words are encoded many at a time with a control character between them, a token of its own
-    that blanks keep apart from its neighbours.  A word of letters and closing punctuation is looked up
-    in two parts, as the pre-tokeniser splits there and lower-cases; this is switched off for
-    tokenisers that do not.
+    that blanks keep apart from its neighbours.  Texts are lower-cased and closing punctuation is
+    set apart before they are split, as the tokeniser does both itself, so the table holds fewer
+    words; this is switched off for tokenisers that do not, and for texts with special tokens.
     """
 
     def __init__(self, path: str):
@@ -55,7 +56,8 @@ class WordIds(dict):
         one, ab, trial = (self._encode([t])[0].tolist() for t in ("\x01", "ab", "ab \x01 ab"))
         self.apart = one[0] if len(one) == 1 and trial == [*ab, *one, *ab] else None
         parts = [x for t in ("ab", ".,", "cd", "!") for x in self._encode([t])[0].tolist()]
-        self.split = self.apart is not None and self._encode(["AB., cD!"])[0].tolist() == parts
+        self.apart_closing = self.apart is not None and self._encode(["AB., cD!"])[0].tolist() == parts
+        self.marks = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.encode(texts, add_special_tokens=False)]
@@ -76,29 +78,21 @@ class WordIds(dict):
                     start = end + 4
 
     def learn(self, words: set) -> None:
-        """Ids of all ``words`` that are not in the table yet."""
-        new = [w for w in words if w not in self]
-        if len(self) + 2 * len(new) > WORD_TABLE:
+        """Put the ids of all ``words`` into the table."""
+        new = list(words.difference(self))
+        if len(self) + len(new) > WORD_TABLE:
             self.clear()
             new = list(words)
-        if not self.split:
-            return self._encode_words(new)
-        halves, whole = {}, []
-        for w in new:
-            stem = w.rstrip(CLOSING)
-            if len(stem) == len(w) and w == w.lower():
-                whole.append(w)
-            elif stem and stem.decode().isalpha():
-                halves[w] = (stem.lower(), w[len(stem) :])  # bytes.lower changes A-Z only
-            else:
-                whole.append(w)
-        parts = {p for pair in halves.values() for p in pair if p}
-        self._encode_words([w for w in {*whole, *parts} if w not in self])
-        for w, (stem, rest) in halves.items():
-            self[w] = self[stem] + self[rest] if rest else self[stem]
+        self._encode_words(new)
+
+    def _plain(self, text: bytes) -> bytes:
+        low = text.lower()  # A-Z only
+        if not self.apart_closing or any(m in low for m in self.marks):
+            return text
+        return CLOSING.sub(rb" \g<0>", low)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]  # on [\x20\x09-\x0D]
+        split = [self._plain((t or "").encode()).split() for t in texts]  # on [\x20\x09-\x0D]
         self.learn(set().union(*split))
         return [b"".join(map(self.__getitem__, words)) for words in split]
 

@@ -79,7 +79,7 @@ def test_word_ids_equal_whole_texts(tokenizer):
     table = packing.word_ids(tokenizer_path())
     rng, letters = np.random.default_rng(3), "aAbB'́é.É,!?\x01 \n Σς0ﬁ<|> 😀"
     texts = ["".join(rng.choice(list(letters), rng.integers(0, 40))) for _ in range(1500)]
-    texts += ["It's he'll I'M <|endoftext|>x<|startoftext|> a\x01b \x01. ΣΑΣ. İstanbul! don't. ...!! 12.5", ""]
+    texts += ["A. <|ENDOFTEXT|> B! <|EndOfText|>", "12. a... b?! 'c'. »d. e».", "It's he'll I'M <|endoftext|>x<|startoftext|> a\x01b \x01. ΣΑΣ. İstanbul! don't. ...!! 12.5", ""]
     for t, got in zip(texts, table.ids(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
