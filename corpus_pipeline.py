@@ -21,8 +21,10 @@ def _as_documents(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go from the texts, and documents that lose too much go altogether."""
-    judged = quality.clean_lines(docs).filter("quality.kept")
-    return _as_documents(judged.withColumn("text", F.col("quality")["clean_text"]))
+    judged = quality.clean_lines(docs)
+    # a generator and not a filter: a filter would be pushed below and judge every text again
+    kept = judged.withColumn("quality", F.explode(F.filter(F.array("quality"), lambda q: q["kept"])))
+    return _as_documents(kept.withColumn("text", F.col("quality")["clean_text"]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
