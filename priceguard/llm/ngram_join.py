@@ -380,6 +380,8 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     fields = F.struct(F.col("doc_id").alias("rep"), "n", "counts", "keys", "prefix")
     vertices = usable.groupBy("digest").agg(F.min_by(fields, "doc_id").alias("r")).select("digest", "r.*")
     vertices = materialize(vertices, "vertices")
+    rows = materialize(signed.select("doc_id", F.col("n").alias("n_shingles"), "digest"), "rows")
+    discard(signed)
 
     # near copies, by minimum hashes
     cells = vertices.select("rep", F.posexplode("keys").alias("k", "key")).select("rep", F.xxhash64("k", "key").alias("key"))
@@ -397,7 +399,9 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     placed = vertices.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("root", "rep"))
     posted = placed.select("rep", "part", F.explode("prefix").alias("key"))
     mixed_cells = posted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    table = posted = materialize(posted.join(mixed_cells.select("key", "m"), "key"), "postings")
+    mixed_cells = materialize(mixed_cells.select("key", "m"), "mixed-cells")  # a job of its own: its shuffle is gone before the next
+    table = posted = materialize(posted.join(mixed_cells, "key"), "postings")
+    discard(mixed_cells)
     posted = _met(posted, 4 * CELL)
     points = posted.join(vertices.select("rep", "n", "counts"), "rep")
     found = _dealt(points).mapInArrow(lambda b: _suspects(b, percent), "edge boolean, u long, v long").distinct()
@@ -417,7 +421,7 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
 
     roots = vertices.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     roots = roots.select("digest", F.coalesce("root", "rep").alias("component"))
-    joined = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(roots, "digest", "left")
+    joined = rows.join(roots, "digest", "left")
     part = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", part.alias("component_id"))
 
