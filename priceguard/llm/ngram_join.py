@@ -46,7 +46,7 @@ GROUPS = 64
 CELL = 2048
 LEAF = 32
 KEYS = 4
-SAMPLE_DOCS = 1000
+SAMPLE_DOCS = 400
 HOT_SHINGLES = 20_000
 
 
@@ -407,19 +407,22 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     found = _dealt(points).mapInArrow(lambda b: _suspects(b, percent), "edge boolean, u long, v long").distinct()
     found = materialize(found, "suspects")
     discard(table)
+    names = materialize(vertices.select("digest", "rep"), "names")
+    discard(vertices)
     if not found.isEmpty():
         groups = connected_components(found.filter("edge").select("u", "v")).select(F.col("node").alias("part"), F.col("root").alias("group"))
         suspects = found.filter("not edge").select(F.col("u").alias("rep"), F.col("v").alias("part"))
         placed = suspects.join(groups, "part", "left").withColumn("key", F.coalesce("group", "part"))
         sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
         met = _met(placed.join(sizes, "key"), CELL)
-        held = _with_sets(docs, suspects.select("rep").distinct().join(vertices.select("rep", "digest"), "rep"), shingle)
+        held = materialize(_with_sets(docs, suspects.select("rep").distinct().join(names, "rep"), shingle), "sets")
         late = _dealt(met.join(held, "rep")).mapInArrow(lambda b: _connect(b, percent), "u long, v long")
         early = parts.select(F.col("node").alias("u"), F.col("root").alias("v"))
         parts = connected_components(early.unionByName(late))
+        discard(held)
     discard(found)
 
-    roots = vertices.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    roots = names.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     roots = roots.select("digest", F.coalesce("root", "rep").alias("component"))
     joined = rows.join(roots, "digest", "left")
     part = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
