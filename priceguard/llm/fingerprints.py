@@ -118,17 +118,18 @@ def with_successor(rows: DataFrame, order: str, payload: Column, slices: int | N
     bounds = sorted(set(cuts or []))
     table = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
     slot = F.coalesce(F.size(F.filter(table, lambda b: b <= F.col(order))), F.lit(0))
-    slot = F.when(F.col(order).isNull(), F.lit(0)).otherwise(slot)
-    held = rows.withColumn("__payload", payload).withColumn("__slot", slot)
     tops = (
         ids.withColumn(order, F.col("id")).select(slot.alias("slot"), "id").groupBy("slot").agg(F.max("id").alias("top"))
     )
     tops = [r for r in tops.orderBy("slot").collect() if r["top"] is not None]
     if not tops:
         return rows.withColumn("successor", F.lead(payload, 1).over(W.orderBy(F.col(order).desc_nulls_last())))
+    lowest = tops[0]["slot"]  # not 0 where the least id is itself a bound; rows without an id follow there
+    slot = F.when(F.col(order).isNull(), F.lit(lowest)).otherwise(slot)
+    held = rows.withColumn("__payload", payload).withColumn("__slot", slot)
     after = {tops[i - 1]["top"]: tops[i]["slot"] for i in range(1, len(tops))}
     follow = [(top, slot_) for top, slot_ in after.items()]
-    low = [(tops[-1]["top"], 0)]
+    low = [(tops[-1]["top"], lowest)]
     marks = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s")) for t, s in follow + low])
     sentinels = (
         held.filter(F.col(order).isin([t for t, _ in follow + low]))
