@@ -12,6 +12,7 @@ from priceguard.llm import mixing, ngram_join, packing, quality, suffix_dedup
 from priceguard.llm.queries import tokenizer_path
 from priceguard.llm.storage import materialize
 
+PASSAGE_WORDS = 51  # passages of over 50 words are repeats, however few bytes they have
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -33,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur twice go; documents left without a word go too."""
-    return _as_documents(suffix_dedup.deduplicated(docs)).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Passages of over 50 words, or of 400 bytes or more, that occur twice go; documents left without a word go too."""
+    return _as_documents(suffix_dedup.deduplicated(docs, min_words=PASSAGE_WORDS)).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,10 @@ Equal windows have equal anchors at equal distances, so
 Texts are known by a 64-bit hash of their content, so exact copies are one text: a text with
 copies loses everything if it has ``min_bytes`` bytes, and only one of its rows is indexed.
 
+With ``min_words``, words that lie in a run of so many words that also starts somewhere else go
+too, whatever their bytes and the blanks between them; the same steps then run a second time
+over 64-bit hashes of words in place of bytes.
+
 Defined cases: null text counts as empty; texts shorter than ``min_bytes`` lose nothing; null
 or repeated ids do no harm (rows with equal text are copies of each other); an empty table
 gives an empty table; other columns pass through, and one named ``repeats`` is replaced.
@@ -31,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import BASE, batches_of_bytes, mixed, powers
+from .hashing import BASE, BLANK, batches_of_bytes, mixed, powers, word_hashes
 from .storage import discard, materialize, sliced
 from .text import whole
 
 MIN_BYTES = 400
 SEGMENT = 1 << 20
+GRAM = 8  # bytes that are hashed together; words are hashed each by itself (a gram of 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -53,9 +58,25 @@ def prefix_sums(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` bytes from each start."""
-    return mixed((sums[start + (size - 7)] - sums[start]) * powers(len(sums), inverse=True)[start])
+def range_hash(sums: np.ndarray, start: np.ndarray, size: int, gram: int = GRAM) -> np.ndarray:
+    """Hash of the ``size`` bytes (or words) from each start."""
+    return mixed((sums[start + (size - gram + 1)] - sums[start]) * powers(len(sums), inverse=True)[start])
+
+
+def _joined(pieces: list, gram: int) -> np.ndarray:
+    """Gram hashes of byte strings, or of arrays of word hashes, put together."""
+    return np.concatenate(pieces) if gram == 1 else gram_hashes(np.frombuffer(b"".join(pieces), np.uint8))
+
+
+def _units(texts: list[bytes], gram: int) -> list:
+    """The texts themselves, or an array of word hashes of each."""
+    if gram > 1:
+        return texts
+    out = []
+    for lo, hi in batches_of_bytes(texts, SEGMENT):
+        hashes, bounds = word_hashes(texts[lo:hi], lower=False)
+        out += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -69,38 +90,38 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[: n - width + 1], head[width - 1 : n])
 
 
-def anchor_runs(texts: list[bytes], size: int):
+def anchor_runs(texts: list, size: int, gram: int = GRAM):
     """Per batch of segments: text number, first and last window, anchor, and key, as arrays.
 
-    Places are within the text; long texts are taken in segments that overlap by size - 1.
+    Texts are byte strings, or arrays of word hashes for a gram of 1.  Places are within the
+    text; long texts are taken in segments that overlap by size - 1.
     """
     half = size // 2 + 1
     pieces = [(k, s, t[s : s + SEGMENT - 1]) for k, t in enumerate(texts) if len(t) >= size for s in range(0, len(t) - size + 1, SEGMENT - size)]
     raw = [p[2] for p in pieces]
     for lo, hi in batches_of_bytes(raw, SEGMENT):
-        joined = np.frombuffer(b"".join(raw[lo:hi]), np.uint8)
-        grams = gram_hashes(joined)
+        grams = _joined(raw[lo:hi], gram)
         place = np.arange(len(grams), dtype=np.uint64)
         low = np.uint64((1 << 21) - 1)
         least = (sliding_least((grams & ~low) | place, half) & low).astype(np.int64)
         lengths = np.array([len(x) for x in raw[lo:hi]], np.int64)
         ends = np.cumsum(lengths)
         begins = ends - lengths
-        windows = np.zeros(len(joined) + 1, np.int64)  # 1 where a window lies in one piece
+        windows = np.zeros(ends[-1] + 1, np.int64)  # 1 where a window lies in one piece
         np.add.at(windows, begins, 1)
         np.add.at(windows, ends - size + 1, -1)
         inside = np.cumsum(windows[:-1])[: len(least)] > 0
         # texts meet without a gap, so runs are also cut where a piece begins
         fresh = np.ones(len(least), bool)
         fresh[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
-        starts = np.zeros(len(joined) + 1, bool)
+        starts = np.zeros(ends[-1] + 1, bool)
         starts[begins] = True
         fresh |= starts[: len(least)]
         first = np.flatnonzero(fresh & inside)
         last = np.concatenate([np.flatnonzero(fresh | ~inside), [len(least)]])
         last = last[np.searchsorted(last, first, side="right")] - 1
         anchor = least[first]
-        key = range_hash(prefix_sums(grams), anchor, size - half + 1)
+        key = range_hash(prefix_sums(grams), anchor, size - half + 1, gram)
         piece = np.searchsorted(ends, first, side="right")
         number = np.array([p[0] for p in pieces[lo:hi]], np.int64)[piece]
         shift = np.array([p[1] for p in pieces[lo:hi]], np.int64)[piece] - begins[piece]
@@ -147,11 +168,11 @@ class IndexFamily:
             self.levels[-2:] = [(both[order], np.concatenate([na, nb])[order])]
 
 
-def _anchors(batches, size: int):
+def _anchors(batches, size: int, gram: int):
     for batch in sliced(batches):
         ids = batch.column("text_id").to_numpy()
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        for number, first, last, anchor, key in anchor_runs(texts, size):
+        for number, first, last, anchor, key in anchor_runs(_units(texts, gram), size, gram):
             yield pa.RecordBatch.from_pydict(
                 {
                     "text_id": ids[number],
@@ -164,14 +185,14 @@ def _anchors(batches, size: int):
             )
 
 
-def _contexts(batches, size: int):
+def _contexts(batches, size: int, gram: int):
     for batch in sliced(batches):
         out = {c: [] for c in ("key", "text_id", "first", "last", "anchor", "bytes")}
         held = 0
         for text_id, text, runs in zip(*(batch.column(c).to_pylist() for c in ("text_id", "text", "runs")), strict=True):
-            data = (text or "").encode()
+            data = _units([(text or "").encode()], gram)[0]
             for r in runs:
-                piece = data[r["first"] : r["last"] + size]
+                piece = bytes(data[r["first"] : r["last"] + size])
                 for c, v in zip(out, (r["key"], text_id, r["first"], r["last"], r["anchor"], piece), strict=True):
                     out[c].append(v)
                 held += len(piece)
@@ -185,19 +206,20 @@ def _contexts(batches, size: int):
 _CONTEXT = pa.schema([("key", pa.int64()), ("text_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("anchor", pa.int64()), ("bytes", pa.binary())])
 
 
-def _spans(batches, size: int):
+def _spans(batches, size: int, gram: int):
     """Index family over the runs of one task: spans [from, to) of repeated windows."""
     family, rows = IndexFamily(), []
     for batch in batches:
         if batch.num_rows == 0:
             continue
         key, text_id, first, last, anchor = (batch.column(c).to_numpy() for c in ("key", "text_id", "first", "last", "anchor"))
-        data = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8)
+        pieces = batch.column("bytes").to_pylist()
+        grams = _joined([np.frombuffer(x, np.uint64) for x in pieces] if gram == 1 else pieces, gram)
         count = last - first + 1
         begin = np.concatenate([[0], np.cumsum(count + size - 1)[:-1]])
         run = np.repeat(np.arange(len(count)), count)
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        prints = range_hash(prefix_sums(gram_hashes(data)), begin[run] + step, size)
+        prints = range_hash(prefix_sums(grams), begin[run] + step, size, gram)
         distance = (anchor - first)[run] - step
         family.add(mixed(prints ^ mixed(key.view(np.uint64))[run]) + distance.astype(np.uint64))
         rows.append((text_id, first, count))
@@ -224,53 +246,76 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """text_id, copies, spans (array of from, to) of every text with something to remove or with copies."""
-    texts = docs.select("doc_id", "text", F.xxhash64(whole(docs["text"])).alias("text_id")).filter(F.octet_length("text") >= min_bytes)
+def word_spans_as_bytes(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes, from the first byte of a word to the last of another."""
+    edge = np.flatnonzero(np.diff(BLANK[np.frombuffer(data, np.uint8)], prepend=True, append=True))
+    return [(int(edge[2 * lo]), int(edge[2 * hi - 1])) for lo, hi in spans]
+
+
+def has_words(data: bytes, least: int) -> bool:
+    return len(np.flatnonzero(np.diff(BLANK[np.frombuffer(data, np.uint8)], prepend=True, append=True))) >= 2 * least
+
+
+def _repeats(texts: DataFrame, copies: DataFrame, size: int, gram: int, name: str) -> DataFrame:
+    """text_id and ``name``: spans (array of from, to) of the repeated windows of ``size`` bytes, or words for a gram of 1."""
     runs = texts.select("text_id", "text").mapInArrow(
-        lambda b: _anchors(b, min_bytes), "text_id long, first long, last long, anchor long, key long, place long"
+        lambda b: _anchors(b, size, gram), "text_id long, first long, last long, anchor long, key long, place long"
     )
     runs = materialize(runs, "runs")
     keys = runs.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).filter("lo <> hi").select("key")
     again = materialize(runs.join(keys, "key"), "repeated-runs")
     discard(runs)
-    wanted = again.groupBy("text_id").agg(F.collect_set(F.struct("key", "first", "last", "anchor")).alias("runs"))
-    copies = texts.groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one"))
-    copies = materialize(copies, "copies")
-    wanted = wanted.join(copies, "text_id")
+    wanted = again.groupBy("text_id").agg(F.collect_set(F.struct("key", "first", "last", "anchor")).alias("runs")).join(copies, "text_id")
     held = texts.withColumnRenamed("text_id", "t").join(wanted, (F.col("t") == F.col("text_id")) & F.col("doc_id").eqNullSafe(F.col("one")))
     contexts = held.select("text_id", "text", "runs").mapInArrow(
-        lambda b: _contexts(b, min_bytes), "key long, text_id long, first long, last long, anchor long, bytes binary"
+        lambda b: _contexts(b, size, gram), "key long, text_id long, first long, last long, anchor long, bytes binary"
     )
-    spans = contexts.repartition("key").mapInArrow(lambda b: _spans(b, min_bytes), "text_id long, `from` long, `to` long")
+    spans = contexts.repartition("key").mapInArrow(lambda b: _spans(b, size, gram), "text_id long, `from` long, `to` long")
     spans = materialize(spans, "spans")
     discard(again)
-    merged = spans.groupBy("text_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    return copies.filter("copies > 1").select("text_id", "copies").join(merged, "text_id", "full_outer")
+    return spans.groupBy("text_id").agg(F.collect_list(F.struct("from", "to")).alias(name))
+
 
+def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int | None = None) -> DataFrame:
+    """text_id, copies, spans and word_spans (arrays of from, to) of every text with something to remove or with copies.
 
-def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, as_text: bool = False) -> DataFrame:
+    ``word_spans`` counts words and is null without ``min_words``.
+    """
+    least = min(min_bytes, 2 * min_words - 1) if min_words else min_bytes  # words and the blanks between them
+    texts = docs.select("doc_id", "text", F.xxhash64(whole(docs["text"])).alias("text_id")).filter(F.octet_length("text") >= least)
+    copies = texts.groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one"))
+    copies = materialize(copies, "copies")
+    found = copies.filter("copies > 1").select("text_id", "copies").join(_repeats(texts, copies, min_bytes, GRAM, "spans"), "text_id", "full_outer")
+    if not min_words:
+        return found.withColumn("word_spans", F.lit(None).cast(found.schema["spans"].dataType))
+    return found.join(_repeats(texts, copies, min_words, 1, "word_spans"), "text_id", "full_outer")
+
+
+def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, as_text: bool = False, min_words: int | None = None) -> DataFrame:
     """``docs`` with a struct ``repeats``: n_bytes, n_removed, n_spans (long) and kept (the bytes that stay).
 
     ``as_text`` gives kept as a string, without what is left of characters that were cut through.
     """
     columns = [c for c in docs.columns if c != "repeats"]
-    found = repeated_spans(docs, min_bytes).select(F.col("text_id").alias("__found"), F.col("copies").alias("__n"), F.col("spans").alias("__spans"))
+    found = repeated_spans(docs, min_bytes, min_words).select(
+        F.col("text_id").alias("__found"), F.col("copies").alias("__n"), F.col("spans").alias("__spans"), F.col("word_spans").alias("__words")
+    )
     keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(whole(docs["text"])).alias("__id"))
     joined = keyed.join(found, F.col("__id") == F.col("__found"), "left").withColumn("__copies", F.coalesce("__n", F.lit(1)))
-    joined = joined.select(*[F.col(f"`{c}`") for c in columns], "__copies", "__spans")
+    joined = joined.select(*[F.col(f"`{c}`") for c in columns], "__copies", "__spans", "__words")
     result = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("repeats", result)])
 
     def cut(batches):
         for batch in sliced(batches):
             out = []
-            for text, copies, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "__copies", "__spans")), strict=True):
+            for text, copies, spans, words in zip(*(batch.column(c).to_pylist() for c in ("text", "__copies", "__spans", "__words")), strict=True):
                 data = (text or "").encode()
-                if copies > 1 and len(data) >= min_bytes:
+                if copies > 1 and (len(data) >= min_bytes or min_words and has_words(data, min_words)):
                     merged = [(0, len(data))]
                 else:
-                    merged = merge_spans([(s["from"], s["to"]) for s in spans or ()])
+                    in_words = merge_spans([(s["from"], s["to"]) for s in words or ()])
+                    merged = merge_spans([(s["from"], s["to"]) for s in spans or ()] + (word_spans_as_bytes(data, in_words) if in_words else []))
                 stays, at = [], 0
                 for lo, hi in merged:
                     stays.append(data[at:lo])
@@ -283,7 +328,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, as_text: bool =
     return joined.mapInArrow(cut, schema)
 
 
-def deduplicated(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int | None = None) -> DataFrame:
     """``docs`` with repeated passages cut out of the text."""
-    out = remove_repeats(docs, min_bytes, as_text=True)
+    out = remove_repeats(docs, min_bytes, as_text=True, min_words=min_words)
     return out.withColumn("text", F.col("repeats")["kept"]).drop("repeats")
