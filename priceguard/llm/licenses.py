@@ -10,6 +10,8 @@ with equal ids are looked up each on its own; other columns pass through, and on
 ``scan`` is replaced; an empty table gives an empty table.
 """
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,14 @@ LICENSES = [
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
 ]
 
+_BSD_2 = dict(LICENSES)["BSD-2-Clause"]
+# Whole texts and the whole GPL notice, beside the shorter ones above; the folder holds one text per identifier.
+WHOLE = [
+    *((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))),
+    ("BSD-3-Clause", _BSD_2.replace("\n\nTHIS SOFTWARE", "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE")),
+    ("GPL-3.0-or-later", dict(LICENSES)["GPL-3.0-or-later"] + "\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+]
+
 # Spellings counted as equal (after lower-casing).
 SPELLINGS = [
     ("licence", "license"),
@@ -49,12 +59,19 @@ SPELLINGS = [
     ("https", "http"),
     ("version", "v"),
 ]
+#: Read by the SQL only: it also takes lines of a licence's body that begin with 'copyright'.
 COPYRIGHT_LINE = r"(?m)^[^\S\n]*(copyright|©|\(c\)|all rights reserved)[^\n]*$"
+_BODY = "notice|holder|owner|licen[sc]e|law|statement|interest|disclaimer|treat(?:y|ie)|permission|protection|right|work|claim|and|or|on|in|is|to|of|as|under|for|that|the above"
+#: A line that states a year, a sign or a holder, and not a line of a body that happens to begin with these words.
+COPYRIGHT_STATEMENT = (
+    rf"(?m)^[^\S\n]*(copyright\b(?=[^\S\n]*[^\s,;.-])(?![^\S\n]+(?:{_BODY})s?\b)|©"
+    r"|\(c\)(?![^\S\n]+(?:you|if|any|to|for|such|this|in|each|no|all|where|when)\b)|all rights reserved)[^\n]*$"
+)
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, without copyright lines and punctuation, one spelling, single blanks."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    """Lower case, without copyright statements and punctuation, one spelling, single blanks."""
+    t = F.regexp_replace(F.lower(text), COPYRIGHT_STATEMENT, " ")
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
     return F.btrim(F.regexp_replace(t, r"[^a-z0-9]+", " "), F.lit(" "))
@@ -67,7 +84,7 @@ def digest(text: Column) -> Column:
 
 def catalogue(spark: SparkSession, licenses=None) -> DataFrame:
     """license, digest: one row per known text (at most ``MAX_CATALOGUE``)."""
-    known = list(licenses or LICENSES)
+    known = list(licenses or LICENSES + WHOLE)
     if len(known) > MAX_CATALOGUE:
         raise ValueError("the catalogue is broadcast and must stay small")
     rows = spark.range(1).select(

@@ -146,3 +146,17 @@ def test_license_scan(spark, messy, empty):
     assert got[4]["notices"] == ["MIT"] and got[3]["notices"] == []
     assert got[5]["digest"] == hashlib.sha256(b"").hexdigest()
     assert licenses.scan_licenses(messy).count() == messy.count() and licenses.scan_licenses(empty).count() == 0
+
+
+def test_license_texts_hard_wrapped_and_whole(spark):
+    import textwrap
+
+    wrapped = [(n, w, "\n\n".join(textwrap.fill(x, w, break_long_words=False) for x in t.split("\n\n"))) for n, t in licenses.LICENSES[:9] + licenses.WHOLE[-2:] for w in (40, 56, 62, 66, 70, 72, 76, 79)]
+    isc = dict(licenses.LICENSES)["ISC"].replace("above copyright notice", "above\ncopyright notice")
+    heads = ["Copyright (c) 2020, Some One", "Copyright Some One", "(c) 2021 Some One\nAll rights reserved.", "Copyright: 2019 Some One"]
+    cases = [(n, t) for n, _, t in wrapped] + [("ISC", isc)] + [("ISC", f"{h}\n\n{isc}") for h in heads] + [(n, "\n  ".join(t.split("\n"))) for n, t in licenses.WHOLE]
+    cases += [(None, "\n\n".join(dict(licenses.WHOLE)["Unlicense"].split("\n\n")[:3]))]
+    rows = [(i, t) for i, (_, t) in enumerate(cases)]
+    got = {r["doc_id"]: r["scan"]["license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(n, t[:60]) for i, (n, t) in enumerate(cases) if got[i] != n] == []
+    assert {"Apache-2.0", "BSD-3-Clause", "GPL-3.0-or-later", "Unlicense"} <= {n for n, _ in licenses.WHOLE}
