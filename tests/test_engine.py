@@ -215,3 +215,12 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry_module.queries()) and set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_whole_experiment_log(spark):
+    from priceguard.plans.registry import QUERIES
+
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert n > 40
+    for name in ("whole_experiment_history", "whole_performance_history", "whole_runtime_ranking"):
+        assert QUERIES[name](spark, SF).count() == n
