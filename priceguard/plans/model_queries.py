@@ -66,7 +66,7 @@ def full_ensemble(spark, d):
 
 @query()
 def detector_comparison(spark, d):
-    return compare_detectors(load(spark, d), slow=False)[0]
+    return compare_detectors(load(spark, d))[0]
 
 
 @query()
@@ -121,4 +121,4 @@ def tuned_evaluation(spark, d):
 def trip_comparison(spark, d):
     """Detectors on labelled and injected trips with the default settings."""
     events, _ = trips.inject(trips.label_natural(trips.transform(trip_records(spark, d))))
-    return compare_detectors(ranked(written(events, "trips")), slow=False)[0]
+    return compare_detectors(ranked(written(events, "trips")))[0]

@@ -224,3 +224,11 @@ def test_whole_experiment_log(spark):
     assert n > 40
     for name in ("whole_experiment_history", "whole_performance_history", "whole_runtime_ranking"):
         assert QUERIES[name](spark, SF).count() == n
+
+
+@pytest.mark.parametrize("name", ["detector_comparison", "trip_comparison"])
+def test_comparisons_evaluate_every_detector(spark, name):
+    from priceguard.plans.registry import QUERIES
+
+    methods = {r["method"] for r in QUERIES[name](spark, SF).collect()}
+    assert methods == {"ensemble", "business_rules", "combined", "lof", "dbscan", "one_class_svm"}
