@@ -106,8 +106,31 @@ gc AS (SELECT z AS zscore_threshold, t AS ensemble_threshold, count_if((round(s,
 gg AS (SELECT zscore_threshold, ensemble_threshold, {prf()} FROM gc)"""
 
 
-def _grid(spark, d):
-    return evaluate.grid_search(tuning.grid_input(load(spark, d)).filter("split = 'test'"))
+def _grid(spark, d, use_forest=False):
+    """24 settings without the forest, as the SQL has them, or all 96 with it."""
+    return evaluate.grid_search(tuning.grid_input(load(spark, d), use_forest=use_forest).filter("split = 'test'"))
+
+
+@query()
+def grid_search_forest(spark, d):
+    return _grid(spark, d, True)
+
+
+@query()
+def grid_pivot_forest(spark, d):
+    return evaluate.grid_pivot(_grid(spark, d, True))
+
+
+@query()
+def grid_top10_forest(spark, d):
+    return _grid(spark, d, True).orderBy(F.col("f1").desc(), "contamination", "zscore_threshold", "ensemble_threshold").limit(10)
+
+
+@query()
+def f1_histogram_forest(spark, d):
+    from ..operators.reports import histogram
+
+    return histogram(_grid(spark, d, True), "f1", 0.0, 1.0, 30, [])
 
 
 @query(with_(_GRID, "SELECT * FROM gg"))

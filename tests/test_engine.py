@@ -232,3 +232,30 @@ def test_comparisons_evaluate_every_detector(spark, name):
 
     methods = {r["method"] for r in QUERIES[name](spark, SF).collect()}
     assert methods == {"ensemble", "business_rules", "combined", "lof", "dbscan", "one_class_svm"}
+
+
+def test_grid_with_forest_against_brute_force(spark):
+    from priceguard.config import TUNED
+    from priceguard.operators.evaluate import GRID
+    from priceguard.plans import tuning
+    from priceguard.plans.registry import QUERIES
+    from priceguard.sources.fixtures import pricing_events
+
+    rows = [r.asDict() for r in tuning.grid_input(pricing_events(spark, SF), use_forest=True).filter("split = 'test'").collect()]
+    want = {}
+    for c in GRID["contamination"]:
+        for z in GRID["zscore_threshold"]:
+            for t in GRID["ensemble_threshold"]:
+                tp = fp = fn = 0
+                for r in rows:
+                    roll = r[f"roll_{round(10 * z)}"]
+                    stat = min(max(r["parts"] + 0.10 * roll, 0), 1)
+                    score = TUNED.stat_weight * stat + TUNED.context_weight * r["ctx_score"] + TUNED.forest_weight * r["if_score"]
+                    over = (r["z_dev"] or 0) > z or (r["mad_dev"] or 0) > z or (r["iqr_dev"] or 0) > 0 or roll
+                    flag = round(min(max(score, 0), 1), 9) > t or bool(over) + bool(r["ctx_anomaly"]) + bool(r[f"if_{c}"]) >= 2
+                    y = bool(r["label_is_anomaly"])
+                    tp, fp, fn = tp + (flag and y), fp + (flag and not y), fn + (y and not flag)
+                want[c, z, t] = round(2 * tp / (2 * tp + fp + fn), 4) if tp else 0.0
+    got = {(r["contamination"], r["zscore_threshold"], r["ensemble_threshold"]): r["f1"] for r in QUERIES["grid_search_forest"](spark, SF).collect()}
+    assert len(want) == 96 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1.1e-4 for k in want)
