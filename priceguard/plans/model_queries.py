@@ -73,14 +73,14 @@ def detector_comparison(spark, d):
 def synthetic_events(spark, d):
     from ..sources.generator import generate
 
-    return generate(spark, dt.datetime(2024, 6, 15, 12), dt.datetime(2024, 6, 1, 12))[0]
+    return generate(spark, dt.datetime(2024, 6, 15, 12))[0]
 
 
 @query()
 def synthetic_truth(spark, d):
     from ..sources.generator import generate
 
-    return generate(spark, dt.datetime(2024, 6, 15, 12), dt.datetime(2024, 6, 1, 12))[1]
+    return generate(spark, dt.datetime(2024, 6, 15, 12))[1]
 
 
 def _drained(rows, mode: str):

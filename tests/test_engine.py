@@ -259,3 +259,10 @@ def test_grid_with_forest_against_brute_force(spark):
     got = {(r["contamination"], r["zscore_threshold"], r["ensemble_threshold"]): r["f1"] for r in QUERIES["grid_search_forest"](spark, SF).collect()}
     assert len(want) == 96 and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1.1e-4 for k in want)
+
+
+def test_synthetic_queries_take_the_whole_history(spark):
+    from priceguard.plans.registry import QUERIES
+
+    first, last = QUERIES["synthetic_events"](spark, SF).selectExpr("min(timestamp)", "max(timestamp)").first()
+    assert first.date() == dt.date(2024, 3, 17) and last.date() == dt.date(2024, 6, 15)
