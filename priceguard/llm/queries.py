@@ -61,9 +61,10 @@ def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.remove_repeats(docs, min_words=suffix_dedup.PASSAGE_WORDS, cut_words=False)  # passages are counted only
     return out.select(
-        "doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256")
+        "doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"), "repeats.n_passage_words"
     )
 
 

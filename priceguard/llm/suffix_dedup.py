@@ -10,19 +10,22 @@ To keep indexes small and apart, suffixes are grouped by content-chosen anchors:
 the window at p is the least hashed 8-byte string that begins in its first ``half`` places.
 Equal windows have equal anchors at equal distances, so
 
-1. every run of windows with one anchor is one row keyed by the bytes that follow the anchor
-   inside all of them; keys that occur once are dropped (a sum per key, combined before the
-   shuffle);
-2. only the remaining runs fetch their bytes and are dealt by key; each task keeps an index
-   family over its keys and reports the repeated windows as spans;
-3. spans are merged per text, and the text is cut.
-
-Texts are known by a 64-bit hash of their content, so exact copies are one text: a text with
-copies loses everything if it has ``min_bytes`` bytes, and only one of its rows is indexed.
-
-With ``min_words``, words that lie in a run of so many words that also starts somewhere else go
-too, whatever their bytes and the blanks between them; the same steps then run a second time
-over 64-bit hashes of words in place of bytes.
+1. rows with equal text become one text with a number of copies, combined before the shuffle;
+2. every run of windows with one anchor is one row keyed by the bytes that follow the anchor
+   inside all of them; keys that occur once are dropped (a sum per key, combined likewise);
+3. only the remaining runs fetch their bytes and are dealt by key; each task keeps an index
+   family over its keys and reports the repeated windows as spans.  Runs of a key with more
+   than ``HOT_RUNS`` are not dealt by key: their windows are, by fingerprint, in blocks of
+   bounded size, after equal windows of a task have become one;
+4. spans are collected per text, and the text is cut.
+
+Texts are known by a 64-bit hash of their content.  A text with copies loses everything if it
+has ``min_bytes`` bytes, and it is indexed once.
+
+With ``min_words``, words that lie in a run of so many words that also starts somewhere else
+are found too, whatever their bytes and the blanks between them: the same steps take 64-bit
+hashes of words in place of bytes, as rows of the same tables.  They are counted, and go
+unless ``cut_words`` is false.
 
 Defined cases: null text counts as empty; texts shorter than ``min_bytes`` lose nothing; null
 or repeated ids do no harm (rows with equal text are copies of each other); an empty table
@@ -40,8 +43,13 @@ from .storage import discard, materialize, sliced
 from .text import whole
 
 MIN_BYTES = 400
+PASSAGE_WORDS = 51  # passages of over 50 words
 SEGMENT = 1 << 20
 GRAM = 8  # bytes that are hashed together; words are hashed each by itself (a gram of 1)
+WORDS = np.uint64(0xA0761D6478BD642F)  # told apart from bytes by their keys
+HOT_RUNS = 4096  # a key with more runs has its windows dealt by fingerprint
+BLOCK = 1 << 18  # windows of such keys that one block holds, about
+FLUSH = 1 << 20  # and that a task combines before it sends them
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -168,71 +176,151 @@ class IndexFamily:
             self.levels[-2:] = [(both[order], np.concatenate([na, nb])[order])]
 
 
-def _anchors(batches, size: int, gram: int):
+def _anchors(batches, min_bytes: int, min_words: int | None):
     for batch in sliced(batches):
         ids = batch.column("text_id").to_numpy()
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        for number, first, last, anchor, key in anchor_runs(_units(texts, gram), size, gram):
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "text_id": ids[number],
-                    "first": first,
-                    "last": last,
-                    "anchor": anchor,
-                    "key": key.view(np.int64),
-                    "place": mixed(ids[number].view(np.uint64) + anchor.astype(np.uint64) * BASE + (anchor - first).astype(np.uint64)).view(np.int64),
-                }
-            )
-
-
-def _contexts(batches, size: int, gram: int):
+        for size, gram in _kinds(min_bytes, min_words):
+            for number, first, last, anchor, key in anchor_runs(_units(texts, gram), size, gram):
+                place = mixed(ids[number].view(np.uint64) + anchor.astype(np.uint64) * BASE + (anchor - first).astype(np.uint64))
+                columns = {"text_id": ids[number], "words": np.full(len(first), gram == 1), "first": first, "last": last, "anchor": anchor}
+                key = key ^ WORDS if gram == 1 else key
+                yield pa.RecordBatch.from_pydict(columns | {"key": key.view(np.int64), "place": place.view(np.int64)})
+
+
+def _kinds(min_bytes: int, min_words: int | None) -> list[tuple[int, int]]:
+    """Window size and gram for bytes and, if asked for, for words."""
+    return [(min_bytes, GRAM)] + ([(min_words, 1)] if min_words else [])
+
+
+def window_prints(pieces: list, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, key: np.ndarray, size: int, gram: int):
+    """Fingerprints of all windows of the runs, the run of each, and its number within the run."""
+    sums = prefix_sums(_joined(pieces, gram))
+    count = last - first + 1
+    begin = np.concatenate([[0], np.cumsum(count + size - 1)[:-1]])
+    run = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    distance = (anchor - first)[run] - step
+    prints = range_hash(sums, begin[run] + step, size, gram)
+    return mixed(prints ^ mixed(key.view(np.uint64))[run]) + distance.astype(np.uint64), run, step
+
+
+def _as_spans(text_id: np.ndarray, words: np.ndarray, place: np.ndarray, sizes: dict[bool, int]) -> dict:
+    """Windows that begin at the places, as spans [from, to): neighbours become one."""
+    order = np.lexsort((place, text_id, words))
+    text_id, words, place = text_id[order], words[order], place[order]
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = (np.diff(text_id) != 0) | (words[1:] != words[:-1]) | (np.diff(place) > 1)
+    start = np.flatnonzero(fresh)
+    stop = np.concatenate([start[1:], [len(place)]]) - 1 if len(start) else start
+    size = np.where(words[start], sizes.get(True, 0), sizes[False])
+    return {"text_id": text_id[start], "words": words[start], "from": place[start], "to": place[stop] + size}
+
+
+_CONTEXT = pa.schema(
+    [("deal", pa.int64()), ("kind", pa.int8()), ("text_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("anchor", pa.int64()), ("key", pa.int64()), ("data", pa.binary())]
+)
+_CONTEXT_SQL = "deal long, kind byte, text_id long, first long, last long, anchor long, key long, data binary"
+_BYTES, _WORD_RUN, _WINDOWS, _DONE = range(4)  # kinds of rows: runs of bytes, runs of words, windows by fingerprint, spans already known
+_WINDOW = np.dtype([("print", "<u8"), ("text_id", "<i8"), ("place", "<i8"), ("words", "?"), ("known", "?")])
+
+
+class _Windows:
+    """Windows of hot keys in one task: equal ones become one before they are sent by fingerprint."""
+
+    def __init__(self, blocks: int, sizes: dict[bool, int]):
+        self.blocks, self.sizes, self.held, self.count = blocks, sizes, [], 0
+
+    def add(self, prints, text_id, place, words):
+        one = np.empty(len(prints), _WINDOW)
+        one["print"], one["text_id"], one["place"], one["words"], one["known"] = prints, text_id, place, words, False
+        self.held.append(one)
+        self.count += len(one)
+        if self.count >= FLUSH:
+            yield from self.flush()
+
+    def flush(self):
+        if not self.count:
+            return
+        all_ = np.concatenate(self.held)
+        self.held, self.count = [], 0
+        all_ = all_[np.argsort(all_["print"], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(all_["print"]) != 0]))
+        times = np.diff(np.concatenate([first, [len(all_)]]))
+        again = np.repeat(times > 1, times)
+        spans = _as_spans(all_["text_id"][again], all_["words"][again], all_["place"][again], self.sizes)
+        rows = [(t, _DONE, t, lo, hi, int(w), 0, b"") for t, w, lo, hi in zip(*(x.tolist() for x in spans.values()), strict=True)]
+        one = all_[first]
+        one["known"] = times > 1
+        block = ((one["print"] >> np.uint64(32)) * np.uint64(self.blocks) >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(block, prepend=-1))
+        for lo, hi in zip(cut, np.concatenate([cut[1:], [len(one)]]), strict=True):
+            rows.append((int(mixed(block[lo : lo + 1].astype(np.uint64)).view(np.int64)[0]), _WINDOWS, 0, 0, 0, 0, 0, one[lo:hi].tobytes()))
+        for at in range(0, len(rows), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096], strict=True), _CONTEXT.types, strict=True)], schema=_CONTEXT)
+
+
+def _contexts(batches, min_bytes: int, min_words: int | None, blocks: int):
+    """The bytes (or word hashes) of the runs, dealt by key; windows of hot keys, dealt by fingerprint."""
+    windows = _Windows(blocks, {gram == 1: size for size, gram in _kinds(min_bytes, min_words)})
     for batch in sliced(batches):
-        out = {c: [] for c in ("key", "text_id", "first", "last", "anchor", "bytes")}
-        held = 0
-        for text_id, text, runs in zip(*(batch.column(c).to_pylist() for c in ("text_id", "text", "runs")), strict=True):
-            data = _units([(text or "").encode()], gram)[0]
-            for r in runs:
-                piece = bytes(data[r["first"] : r["last"] + size])
-                for c, v in zip(out, (r["key"], text_id, r["first"], r["last"], r["anchor"], piece), strict=True):
-                    out[c].append(v)
-                held += len(piece)
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_pydict(out, schema=_CONTEXT)
-                    out, held = {c: [] for c in out}, 0
-        if out["key"]:
-            yield pa.RecordBatch.from_pydict(out, schema=_CONTEXT)
-
-
-_CONTEXT = pa.schema([("key", pa.int64()), ("text_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("anchor", pa.int64()), ("bytes", pa.binary())])
-
-
-def _spans(batches, size: int, gram: int):
-    """Index family over the runs of one task: spans [from, to) of repeated windows."""
+        ids, listed = batch.column("text_id").to_numpy(), batch.column("runs")
+        cut = np.asarray(listed.offsets) - listed.offsets[0].as_py()
+        runs = {c: listed.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("words", "hot", "key", "first", "last", "anchor")}
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            raw = (text or "").encode()
+            for size, gram in _kinds(min_bytes, min_words):
+                at = np.arange(cut[k], cut[k + 1])
+                at = at[runs["words"][at] == (gram == 1)]
+                if not len(at):
+                    continue
+                data = _units([raw], gram)[0]
+                for part in np.array_split(at, -(-len(at) // 4096)):
+                    first, last, anchor, key, hot = (runs[c][part] for c in ("first", "last", "anchor", "key", "hot"))
+                    pieces = [data[a : b + size] for a, b in zip(first, last, strict=True)]
+                    if hot.any():
+                        chosen = [p for p, h in zip(pieces, hot, strict=True) if h]
+                        prints, run, step = window_prints(chosen, first[hot], last[hot], anchor[hot], key[hot], size, gram)
+                        yield from windows.add(prints, ids[k], first[hot][run] + step, gram == 1)
+                    rest = ~hot
+                    if rest.any():
+                        held = [bytes(p) for p, h in zip(pieces, hot, strict=True) if not h]
+                        n = len(held)
+                        columns = [key[rest], np.full(n, _WORD_RUN if gram == 1 else _BYTES, np.int8), np.full(n, ids[k]), first[rest], last[rest], anchor[rest], key[rest]]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, _CONTEXT.types, strict=False)), pa.array(held, pa.binary())], schema=_CONTEXT)
+    yield from windows.flush()
+
+
+def _spans(batches, min_bytes: int, min_words: int | None):
+    """Index family over the windows of one task: spans [from, to) of repeated ones."""
     family, rows = IndexFamily(), []
+    sizes = {gram == 1: size for size, gram in _kinds(min_bytes, min_words)}
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        key, text_id, first, last, anchor = (batch.column(c).to_numpy() for c in ("key", "text_id", "first", "last", "anchor"))
-        pieces = batch.column("bytes").to_pylist()
-        grams = _joined([np.frombuffer(x, np.uint64) for x in pieces] if gram == 1 else pieces, gram)
-        count = last - first + 1
-        begin = np.concatenate([[0], np.cumsum(count + size - 1)[:-1]])
-        run = np.repeat(np.arange(len(count)), count)
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        prints = range_hash(prefix_sums(grams), begin[run] + step, size, gram)
-        distance = (anchor - first)[run] - step
-        family.add(mixed(prints ^ mixed(key.view(np.uint64))[run]) + distance.astype(np.uint64))
-        rows.append((text_id, first, count))
-    for (text_id, first, count), flags in zip(rows, family.repeated, strict=True):
-        if not flags.any():
-            continue
-        run = np.repeat(np.arange(len(count)), count)
-        step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-        same = np.diff(run, prepend=-1) == 0
-        start = np.flatnonzero(flags & ~(np.concatenate([[False], flags[:-1]]) & same))
-        stop = np.flatnonzero(flags & ~(np.concatenate([flags[1:], [False]]) & np.concatenate([same[1:], [False]])))
-        at = first[run[start]] + step[start]
-        yield pa.RecordBatch.from_pydict({"text_id": text_id[run[start]], "from": at, "to": at + (stop - start) + size})
+        kinds = batch.column("kind").to_numpy()
+        for kind, size, gram in ((_BYTES, min_bytes, GRAM), (_WORD_RUN, min_words, 1)):
+            if not (kinds == kind).any():
+                continue
+            part = batch.filter(pa.array(kinds == kind))
+            text_id, first, last, anchor, key = (part.column(c).to_numpy() for c in ("text_id", "first", "last", "anchor", "key"))
+            pieces = part.column("data").to_pylist()
+            prints, run, step = window_prints([np.frombuffer(x, np.uint64) for x in pieces] if gram == 1 else pieces, first, last, anchor, key, size, gram)
+            family.add(prints)
+            rows.append((text_id, first, last - first + 1, np.full(len(text_id), gram == 1), None))
+        if (kinds == _WINDOWS).any():
+            w = np.concatenate([np.frombuffer(x, _WINDOW) for x in batch.filter(pa.array(kinds == _WINDOWS)).column("data").to_pylist()])
+            family.add(w["print"])
+            rows.append((w["text_id"], w["place"], np.ones(len(w), np.int64), w["words"], w["known"]))
+        if (kinds == _DONE).any():
+            part = batch.filter(pa.array(kinds == _DONE))
+            lo, hi, words = (part.column(c).to_numpy() for c in ("first", "last", "anchor"))
+            yield pa.RecordBatch.from_pydict({"text_id": part.column("text_id"), "words": words == 1, "from": lo, "to": hi})
+    for (text_id, first, count, words, known), flags in zip(rows, family.repeated, strict=True):
+        flags = flags if known is None else flags & ~known  # known ones have been reported
+        if flags.any():
+            run = np.repeat(np.arange(len(count)), count)
+            step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+            run, step = run[flags], step[flags]
+            yield pa.RecordBatch.from_pydict(_as_spans(text_id[run], words[run], first[run] + step, sizes))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -252,77 +340,88 @@ def word_spans_as_bytes(data: bytes, spans: list[tuple[int, int]]) -> list[tuple
     return [(int(edge[2 * lo]), int(edge[2 * hi - 1])) for lo, hi in spans]
 
 
-def has_words(data: bytes, least: int) -> bool:
-    return len(np.flatnonzero(np.diff(BLANK[np.frombuffer(data, np.uint8)], prepend=True, append=True))) >= 2 * least
+def word_count(data: bytes) -> int:
+    return len(np.flatnonzero(np.diff(BLANK[np.frombuffer(data, np.uint8)], prepend=True, append=True))) // 2
+
 
+def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int | None = None, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """text_id, copies, spans and word_spans (arrays of from, to) of every text with a repeat or with copies.
 
-def _repeats(texts: DataFrame, copies: DataFrame, size: int, gram: int, name: str) -> DataFrame:
-    """text_id and ``name``: spans (array of from, to) of the repeated windows of ``size`` bytes, or words for a gram of 1."""
+    ``word_spans`` counts words and is empty without ``min_words``.
+    """
+    least = min(min_bytes, 2 * min_words - 1) if min_words else min_bytes  # words and the blanks between them
+    rows = docs.select(F.xxhash64(whole(docs["text"])).alias("text_id"), "text").filter(F.octet_length("text") >= least)
+    texts = materialize(rows.groupBy("text_id").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts")
     runs = texts.select("text_id", "text").mapInArrow(
-        lambda b: _anchors(b, size, gram), "text_id long, first long, last long, anchor long, key long, place long"
+        lambda b: _anchors(b, min_bytes, min_words), "text_id long, words boolean, first long, last long, anchor long, key long, place long"
     )
     runs = materialize(runs, "runs")
-    keys = runs.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).filter("lo <> hi").select("key")
-    again = materialize(runs.join(keys, "key"), "repeated-runs")
+    keys = runs.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    keys = materialize(keys.select("key", "n", (F.col("n") > hot_runs).alias("hot")), "keys")  # a table: so a hot key's rows can be split in the join
+    windows = (keys.filter("hot").agg(F.sum("n")).first()[0] or 0) * min_bytes // 2
+    again = materialize(runs.select("text_id", "words", "first", "last", "anchor", "key").join(keys.select("key", "hot"), "key"), "repeated-runs")
     discard(runs)
-    wanted = again.groupBy("text_id").agg(F.collect_set(F.struct("key", "first", "last", "anchor")).alias("runs")).join(copies, "text_id")
-    held = texts.withColumnRenamed("text_id", "t").join(wanted, (F.col("t") == F.col("text_id")) & F.col("doc_id").eqNullSafe(F.col("one")))
-    contexts = held.select("text_id", "text", "runs").mapInArrow(
-        lambda b: _contexts(b, size, gram), "key long, text_id long, first long, last long, anchor long, bytes binary"
-    )
-    spans = contexts.repartition("key").mapInArrow(lambda b: _spans(b, size, gram), "text_id long, `from` long, `to` long")
+    discard(keys)
+    wanted = again.groupBy("text_id").agg(F.collect_list(F.struct("words", "hot", "key", "first", "last", "anchor")).alias("runs"))
+    held = texts.select("text_id", "text").join(wanted, "text_id")
+    blocks = windows // BLOCK + 1
+    contexts = held.select("text_id", "text", "runs").mapInArrow(lambda b: _contexts(b, min_bytes, min_words, blocks), _CONTEXT_SQL)
+    spans = contexts.repartition("deal").mapInArrow(lambda b: _spans(b, min_bytes, min_words), "text_id long, words boolean, `from` long, `to` long")
     spans = materialize(spans, "spans")
     discard(again)
-    return spans.groupBy("text_id").agg(F.collect_list(F.struct("from", "to")).alias(name))
-
-
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int | None = None) -> DataFrame:
-    """text_id, copies, spans and word_spans (arrays of from, to) of every text with something to remove or with copies.
-
-    ``word_spans`` counts words and is null without ``min_words``.
-    """
-    least = min(min_bytes, 2 * min_words - 1) if min_words else min_bytes  # words and the blanks between them
-    texts = docs.select("doc_id", "text", F.xxhash64(whole(docs["text"])).alias("text_id")).filter(F.octet_length("text") >= least)
-    copies = texts.groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one"))
-    copies = materialize(copies, "copies")
-    found = copies.filter("copies > 1").select("text_id", "copies").join(_repeats(texts, copies, min_bytes, GRAM, "spans"), "text_id", "full_outer")
-    if not min_words:
-        return found.withColumn("word_spans", F.lit(None).cast(found.schema["spans"].dataType))
-    return found.join(_repeats(texts, copies, min_words, 1, "word_spans"), "text_id", "full_outer")
+    copied = texts.filter("copies > 1").select("text_id", "copies", F.lit(False).alias("words"), F.lit(None).cast("struct<from:long,to:long>").alias("span"))
+    both = copied.unionByName(spans.select("text_id", F.lit(1).cast("long").alias("copies"), "words", F.struct("from", "to").alias("span")))
+    found = both.groupBy("text_id").agg(
+        F.max("copies").alias("copies"), F.collect_list(F.when(~F.col("words"), F.col("span"))).alias("spans"), F.collect_list(F.when(F.col("words"), F.col("span"))).alias("word_spans")
+    )
+    found = materialize(found, "repeats")
+    discard(texts)
+    discard(spans)
+    return found
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, as_text: bool = False, min_words: int | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, min_bytes: int = MIN_BYTES, as_text: bool = False, min_words: int | None = None, cut_words: bool = True, hot_runs: int = HOT_RUNS
+) -> DataFrame:
     """``docs`` with a struct ``repeats``: n_bytes, n_removed, n_spans (long) and kept (the bytes that stay).
 
+    With ``min_words`` also n_passage_words (long): the words in repeated runs of so many words.
     ``as_text`` gives kept as a string, without what is left of characters that were cut through.
     """
     columns = [c for c in docs.columns if c != "repeats"]
-    found = repeated_spans(docs, min_bytes, min_words).select(
+    found = repeated_spans(docs, min_bytes, min_words, hot_runs).select(
         F.col("text_id").alias("__found"), F.col("copies").alias("__n"), F.col("spans").alias("__spans"), F.col("word_spans").alias("__words")
     )
     keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(whole(docs["text"])).alias("__id"))
     joined = keyed.join(found, F.col("__id") == F.col("__found"), "left").withColumn("__copies", F.coalesce("__n", F.lit(1)))
     joined = joined.select(*[F.col(f"`{c}`") for c in columns], "__copies", "__spans", "__words")
-    result = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary())]
+    fields += [("n_passage_words", pa.int64())] if min_words else []
+    kinds = {pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType()}
+    result = T.StructType([T.StructField(n, kinds[t]) for n, t in fields])
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("repeats", result)])
 
     def cut(batches):
+        kind = pa.struct(fields)
         for batch in sliced(batches):
             out = []
             for text, copies, spans, words in zip(*(batch.column(c).to_pylist() for c in ("text", "__copies", "__spans", "__words")), strict=True):
                 data = (text or "").encode()
-                if copies > 1 and (len(data) >= min_bytes or min_words and has_words(data, min_words)):
+                copied_words = copies > 1 and min_words and word_count(data) >= min_words
+                in_words = [(0, word_count(data))] if copied_words else merge_spans([(s["from"], s["to"]) for s in words or ()])
+                if copies > 1 and (len(data) >= min_bytes or copied_words and cut_words):
                     merged = [(0, len(data))]
                 else:
-                    in_words = merge_spans([(s["from"], s["to"]) for s in words or ()])
-                    merged = merge_spans([(s["from"], s["to"]) for s in spans or ()] + (word_spans_as_bytes(data, in_words) if in_words else []))
+                    by_words = word_spans_as_bytes(data, in_words) if in_words and cut_words else []
+                    merged = merge_spans([(s["from"], s["to"]) for s in spans or ()] + by_words)
                 stays, at = [], 0
                 for lo, hi in merged:
                     stays.append(data[at:lo])
                     at = hi
                 kept = b"".join([*stays, data[at:]])
-                out.append({"n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(merged), "kept": kept.decode(errors="ignore") if as_text else kept})
-            kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary())])
+                kept_as = kept.decode(errors="ignore") if as_text else kept
+                one = {"n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(merged), "kept": kept_as}
+                out.append(one | {"n_passage_words": sum(hi - lo for lo, hi in in_words)} if min_words else one)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, kind)], names=[*columns, "repeats"])
 
     return joined.mapInArrow(cut, schema)

@@ -17,6 +17,8 @@ from priceguard.llm import classifier, katz, ngram_join, packing, suffix_dedup,
 from priceguard.llm.components import connected_components
 from priceguard.llm.queries import tokenizer_path
 
+from .conftest import prose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -266,6 +268,23 @@ def test_repeats(corpus, messy, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def brute_passage_words(texts, size):
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    seen = collections.Counter(tuple(w[i : i + size]) for w in words for i in range(len(w) - size + 1))
+    return [len({j for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1 for j in range(i, i + size)}) for w in words]
+
+
+def test_repeats_of_hot_keys_and_passages_that_are_only_counted(spark, corpus, messy):
+    shared = prose(77, 120)
+    hot = spark.createDataFrame([(i, prose(500 + i, 40 + i % 9) + " " + shared + " " + prose(900 + i, 35)) for i in range(60)], "doc_id long, text string")
+    for docs in (hot, corpus.select("doc_id", "text"), messy):
+        for hot_runs in (0, 1000):
+            rows = suffix_dedup.remove_repeats(docs, 400, min_words=51, cut_words=False, hot_runs=hot_runs).collect()
+            texts = [r["text"] for r in rows]
+            assert [tuple(r["repeats"])[:4] for r in rows] == brute_repeats(texts, 400)
+            assert [r["repeats"]["n_passage_words"] for r in rows] == brute_passage_words(texts, 51)
+
+
 def test_repeats_of_periodic_and_short_strings(spark):
     texts = ["ab" * 300, "x" * 399, "x" * 400, "x" * 401, "é" * 250 + "tail", "q" * 10 + "é" * 250, "abc" * 400 + "z" + "abc" * 400]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
