@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import BASE, BLANK, batches_of_bytes, mixed, powers, word_hashes
+from .hashing import BLANK, batches_of_bytes, mixed, powers, word_hashes
 from .storage import discard, materialize, sliced
 from .text import whole
 
@@ -141,33 +141,33 @@ class IndexFamily:
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.repeated: list[np.ndarray] = []
-        self.count = 0
+        self.flags = np.zeros(1024, bool)
+        self.starts = [0]
+
+    @property
+    def repeated(self) -> list[np.ndarray]:
+        """For each batch, which of its suffixes have an equal elsewhere."""
+        return [self.flags[a:b] for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
 
     def add(self, prints: np.ndarray) -> None:
         """Index a batch; marks every suffix, new or old, that has an equal elsewhere."""
+        count = self.starts[-1]
+        self.starts.append(count + len(prints))
+        if not len(prints):
+            return
+        if self.starts[-1] > len(self.flags):
+            self.flags = np.concatenate([self.flags, np.zeros(self.starts[-1], bool)])
         order = np.argsort(prints, kind="stable")
-        sorted_, number = prints[order], order + self.count
-        flags = np.zeros(len(prints), bool)
+        sorted_, number = prints[order], order + count
         twin = sorted_[1:] == sorted_[:-1]
-        flags[order[1:][twin]] = True
-        flags[order[:-1][twin]] = True
-        self.repeated.append(flags)
-        starts = np.cumsum([0] + [len(f) for f in self.repeated])
+        self.flags[number[1:][twin]] = True
+        self.flags[number[:-1][twin]] = True
         for old, names in self.levels:
             at = np.searchsorted(old, sorted_)
             at[at == len(old)] = 0
             hit = old[at] == sorted_ if len(old) else np.zeros(len(sorted_), bool)
-            flags[order[hit]] = True
-            lo, hi = at[hit], np.searchsorted(old, sorted_[hit], side="right")
-            marked = np.zeros(len(old) + 1, np.int64)
-            np.add.at(marked, lo, 1)
-            np.add.at(marked, hi, -1)
-            found = names[np.cumsum(marked[:-1]) > 0]
-            batch = np.searchsorted(starts, found, side="right") - 1
-            for b in np.unique(batch):
-                self.repeated[b][found[batch == b] - starts[b]] = True
-        self.count += len(prints)
+            self.flags[number[hit]] = True
+            self.flags[names[at[hit]]] = True  # equals further on in the level were marked when they came
         self.levels.append((sorted_, number))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             (a, na), (b, nb) = self.levels[-2:]
@@ -182,10 +182,9 @@ def _anchors(batches, min_bytes: int, min_words: int | None):
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         for size, gram in _kinds(min_bytes, min_words):
             for number, first, last, anchor, key in anchor_runs(_units(texts, gram), size, gram):
-                place = mixed(ids[number].view(np.uint64) + anchor.astype(np.uint64) * BASE + (anchor - first).astype(np.uint64))
                 columns = {"text_id": ids[number], "words": np.full(len(first), gram == 1), "first": first, "last": last, "anchor": anchor}
                 key = key ^ WORDS if gram == 1 else key
-                yield pa.RecordBatch.from_pydict(columns | {"key": key.view(np.int64), "place": place.view(np.int64)})
+                yield pa.RecordBatch.from_pydict(columns | {"key": key.view(np.int64)})
 
 
 def _kinds(min_bytes: int, min_words: int | None) -> list[tuple[int, int]]:
@@ -293,8 +292,20 @@ def _contexts(batches, min_bytes: int, min_words: int | None, blocks: int):
 
 def _spans(batches, min_bytes: int, min_words: int | None):
     """Index family over the windows of one task: spans [from, to) of repeated ones."""
-    family, rows = IndexFamily(), []
+    family, rows, waiting = IndexFamily(), [], []
     sizes = {gram == 1: size for size, gram in _kinds(min_bytes, min_words)}
+
+    def hold(prints, *row):
+        waiting.append(prints)
+        rows.append(row)
+        if sum(map(len, waiting)) >= FLUSH:
+            index()
+
+    def index():
+        if waiting:
+            family.add(np.concatenate(waiting))
+            waiting.clear()
+
     for batch in batches:
         kinds = batch.column("kind").to_numpy()
         for kind, size, gram in ((_BYTES, min_bytes, GRAM), (_WORD_RUN, min_words, 1)):
@@ -303,18 +314,20 @@ def _spans(batches, min_bytes: int, min_words: int | None):
             part = batch.filter(pa.array(kinds == kind))
             text_id, first, last, anchor, key = (part.column(c).to_numpy() for c in ("text_id", "first", "last", "anchor", "key"))
             pieces = part.column("data").to_pylist()
-            prints, run, step = window_prints([np.frombuffer(x, np.uint64) for x in pieces] if gram == 1 else pieces, first, last, anchor, key, size, gram)
-            family.add(prints)
-            rows.append((text_id, first, last - first + 1, np.full(len(text_id), gram == 1), None))
+            prints, _, _ = window_prints([np.frombuffer(x, np.uint64) for x in pieces] if gram == 1 else pieces, first, last, anchor, key, size, gram)
+            hold(prints, text_id, first, last - first + 1, np.full(len(text_id), gram == 1), None)
         if (kinds == _WINDOWS).any():
             w = np.concatenate([np.frombuffer(x, _WINDOW) for x in batch.filter(pa.array(kinds == _WINDOWS)).column("data").to_pylist()])
-            family.add(w["print"])
-            rows.append((w["text_id"], w["place"], np.ones(len(w), np.int64), w["words"], w["known"]))
+            hold(w["print"], w["text_id"], w["place"], np.ones(len(w), np.int64), w["words"], w["known"])
         if (kinds == _DONE).any():
             part = batch.filter(pa.array(kinds == _DONE))
             lo, hi, words = (part.column(c).to_numpy() for c in ("first", "last", "anchor"))
             yield pa.RecordBatch.from_pydict({"text_id": part.column("text_id"), "words": words == 1, "from": lo, "to": hi})
-    for (text_id, first, count, words, known), flags in zip(rows, family.repeated, strict=True):
+    index()
+    at = 0
+    for text_id, first, count, words, known in rows:
+        flags = family.flags[at : at + count.sum()]
+        at += len(flags)
         flags = flags if known is None else flags & ~known  # known ones have been reported
         if flags.any():
             run = np.repeat(np.arange(len(count)), count)
@@ -353,13 +366,13 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int |
     rows = docs.select(F.xxhash64(whole(docs["text"])).alias("text_id"), "text").filter(F.octet_length("text") >= least)
     texts = materialize(rows.groupBy("text_id").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts")
     runs = texts.select("text_id", "text").mapInArrow(
-        lambda b: _anchors(b, min_bytes, min_words), "text_id long, words boolean, first long, last long, anchor long, key long, place long"
+        lambda b: _anchors(b, min_bytes, min_words), "text_id long, words boolean, first long, last long, anchor long, key long"
     )
     runs = materialize(runs, "runs")
-    keys = runs.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    keys = materialize(keys.select("key", "n", (F.col("n") > hot_runs).alias("hot")), "keys")  # a table: so a hot key's rows can be split in the join
+    keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keys = materialize(keys.withColumn("hot", F.col("n") > hot_runs), "keys")  # a table: so a hot key's rows can be split in the join
     windows = (keys.filter("hot").agg(F.sum("n")).first()[0] or 0) * min_bytes // 2
-    again = materialize(runs.select("text_id", "words", "first", "last", "anchor", "key").join(keys.select("key", "hot"), "key"), "repeated-runs")
+    again = materialize(runs.join(keys.select("key", "hot"), "key"), "repeated-runs")
     discard(runs)
     discard(keys)
     wanted = again.groupBy("text_id").agg(F.collect_list(F.struct("words", "hot", "key", "first", "last", "anchor")).alias("runs"))
