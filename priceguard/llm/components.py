@@ -7,7 +7,7 @@ the lineage is one round deep and no labels reach the driver, which sees two sum
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize, renamed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before or state[0] == 0:
             break
-        before, now = state, materialize(_small_star(_large_star(now)), "edges")
+        last, before, now = now, state, materialize(_small_star(_large_star(now)), "edges")
+        discard(last)
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return renamed(now, u="node", v="root")

@@ -11,7 +11,7 @@ One tree over a corpus would not distribute, so trees are grown in cells.  Docum
 share a shingle among the first n - ceil(t n) + 1 of each (shingles in one global order), so
 cells by those shingles miss no link.  Four steps keep groups of copies from multiplying:
 
-1. documents with equal sets become one vertex;
+1. documents with equal sets become one vertex, named by a 64-bit hash of the set;
 2. cells by four minimum hashes join near copies early: members are linked in their cell until
    they are connected, never pair by pair.  Larger cells are dealt into parts of ``CELL`` members;
    this step may miss links, the next ones may not;
@@ -27,8 +27,9 @@ frequent in a bounded sample come last in the global order, which keeps shared p
 the cells; any order is exact.
 
 Defined cases: null and empty texts have empty sets and link with nothing; rows that share a
-doc_id are one vertex; rows without a doc_id link with nothing and have no component; repeated
-rows repeat in the result; an empty table gives an empty table; other columns are ignored.
+doc_id are one document, linked with whatever one of its texts is linked with; rows without a
+doc_id link with nothing and have no component; repeated rows repeat in the result; an empty
+table gives an empty table; other columns are ignored.
 """
 
 import hashlib
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .hashing import batches_of_bytes, mixed, shingle_hashes, word_hashes
 from .storage import discard, materialize, sliced
+from .text import whole
 
 GROUPS = 64
 CELL = 2048
@@ -217,8 +219,8 @@ def _sets(texts: list, shingle: int):
             yield np.unique(shingle_hashes(words[at[k] : at[k + 1]], shingle))
 
 
-def _digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def _name(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _runs(batches, names: list[str]):
@@ -255,18 +257,18 @@ def frequent_shingles(docs: DataFrame, shingle: int, rows: int = SAMPLE_DOCS, mo
 
 
 def signatures(docs: DataFrame, percent: int, shingle: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, digest, counts (point), keys (minimum hashes), prefix (first shingles in the global order)."""
+    """doc_id, n, rep (the set's name), counts (point), keys (minimum hashes), prefix (first shingles in the global order)."""
     salts = mixed(np.arange(1, KEYS + 1, dtype=np.uint64)) | np.uint64(1)
     names = np.sort(hot)
     place = np.argsort(hot)
 
     def sign(batches):
         for batch in sliced(batches):
-            out = {c: [] for c in ("n", "digest", "counts", "keys", "prefix")}
+            out = {c: [] for c in ("n", "rep", "counts", "keys", "prefix")}
             for s in _sets(batch.column("text").to_pylist(), shingle):
                 n = len(s)
                 out["n"].append(n)
-                out["digest"].append(_digest(s) if n else None)
+                out["rep"].append(_name(s) if n else None)
                 if not n:
                     for c in ("counts", "keys", "prefix"):
                         out[c].append(None)
@@ -283,31 +285,30 @@ def signatures(docs: DataFrame, percent: int, shingle: int, hot: np.ndarray) ->
                 out["prefix"].append(s[:first].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["digest"], pa.binary()), pa.array(out["counts"], pa.binary()),
+                    batch.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["rep"], pa.int64()), pa.array(out["counts"], pa.binary()),
                     pa.array(out["keys"], pa.list_(pa.int64())), pa.array(out["prefix"], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", *out],
             )
 
-    schema = "doc_id long, n long, digest binary, counts binary, keys array<long>, prefix array<long>"
+    schema = "doc_id long, n long, rep long, counts binary, keys array<long>, prefix array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema)
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """rep, set (sorted hashes, binary) for the wanted (rep, digest)."""
+    """rep, set (sorted hashes, binary) for the wanted (rep, doc_id)."""
 
     def make(batches):
         for batch in sliced(batches):
-            ids, sets = [], []
-            rows = zip(batch.column("rep").to_pylist(), batch.column("digest").to_pylist(), strict=True)
-            for (rep, digest), s in zip(rows, _sets(batch.column("text").to_pylist(), shingle), strict=True):
-                if _digest(s) == digest:
-                    ids.append(rep)
+            names, sets = [], []
+            for rep, s in zip(batch.column("rep").to_pylist(), _sets(batch.column("text").to_pylist(), shingle), strict=True):
+                if _name(s) == rep:
+                    names.append(rep)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    return texts.join(wanted, "rep").mapInArrow(make, "rep long, set binary").groupBy("rep").agg(F.first("set").alias("set"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(wanted, "doc_id").select("rep", "text").mapInArrow(make, "rep long, set binary").groupBy("rep").agg(F.first("set").alias("set"))
 
 
 def _connect(batches, percent: int):
@@ -365,22 +366,29 @@ def _dealt(cells: DataFrame) -> DataFrame:
 
 
 def _met(rows: DataFrame, size: int) -> DataFrame:
-    """key, rep, part where keys of more than ``size`` rows (column m) are split into pairs of blocks that all rows meet in."""
+    """key, rep, part where keys of more than ``size`` rows (column m) are split into blocks, and any two blocks meet."""
     blocks = F.ceil(F.col("m") / size).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("x"), F.greatest(b, own).alias("y")))
-    split = rows.withColumn("meet", F.explode(F.when(blocks == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(meets)))
-    return split.select(F.xxhash64("key", "meet").alias("key"), "rep", "part")
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: (b != own) | (blocks == 1))
+    meets = F.transform(others, lambda b: F.struct(F.least(b, own).alias("x"), F.greatest(b, own).alias("y")))
+    return rows.withColumn("meet", F.explode(meets)).select(F.xxhash64("key", "meet").alias("key"), "rep", "part")
+
+
+def _same_document(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) between the sets of one doc_id."""
+    named = rows.filter("rep is not null and doc_id is not null").select("doc_id", "rep")
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("hi")).filter("v <> hi").select("doc_id", "v")
+    return named.join(several, "doc_id").select(F.col("rep").alias("u"), "v").distinct()
 
 
 def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of at least ``percent`` per cent)."""
     signed = materialize(signatures(docs, percent, shingle, frequent_shingles(docs, shingle)), "signatures")
     usable = signed.filter("n > 0 and doc_id is not null")
-    fields = F.struct(F.col("doc_id").alias("rep"), "n", "counts", "keys", "prefix")
-    vertices = usable.groupBy("digest").agg(F.min_by(fields, "doc_id").alias("r")).select("digest", "r.*")
+    fields = F.struct("doc_id", "n", "counts", "keys", "prefix")
+    vertices = usable.groupBy("rep").agg(F.min_by(fields, "doc_id").alias("r")).select("rep", "r.*")
     vertices = materialize(vertices, "vertices")
-    rows = materialize(signed.select("doc_id", F.col("n").alias("n_shingles"), "digest"), "rows")
+    rows = materialize(signed.select("doc_id", F.col("n").alias("n_shingles"), "rep"), "rows")
     discard(signed)
 
     # near copies, by minimum hashes
@@ -389,10 +397,10 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     once = shape.groupBy("m", "who").agg(F.min("key").alias("key"))  # cells of the same members: one is enough
     split = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("m") / CELL))
     cells = materialize(cells.join(once.select("key", "m"), "key").select(F.xxhash64("key", split).alias("key"), "rep"), "cells")
-    wanted = cells.select("rep").distinct().join(vertices.select("rep", "digest"), "rep")
+    wanted = cells.select("rep").distinct().join(vertices.select("rep", "doc_id"), "rep")
     held = _with_sets(docs, wanted, shingle)
     first = _dealt(cells.withColumn("part", F.col("rep")).join(held, "rep")).mapInArrow(lambda b: _connect(b, percent), "u long, v long")
-    parts = materialize(connected_components(first), "parts")
+    parts = connected_components(first.unionByName(_same_document(rows)))
     discard(cells)
 
     # the rest, by prefix shingles
@@ -402,36 +410,43 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     mixed_cells = materialize(mixed_cells.select("key", "m"), "mixed-cells")  # a job of its own: its shuffle is gone before the next
     table = posted = materialize(posted.join(mixed_cells, "key"), "postings")
     discard(mixed_cells)
-    posted = _met(posted, 4 * CELL)
+    posted = _met(posted, 2 * CELL)
     points = posted.join(vertices.select("rep", "n", "counts"), "rep")
     found = _dealt(points).mapInArrow(lambda b: _suspects(b, percent), "edge boolean, u long, v long").distinct()
     found = materialize(found, "suspects")
     discard(table)
-    names = materialize(vertices.select("digest", "rep"), "names")
+    names = materialize(vertices.select("rep", "doc_id"), "names")
     discard(vertices)
     if not found.isEmpty():
         groups = connected_components(found.filter("edge").select("u", "v")).select(F.col("node").alias("part"), F.col("root").alias("group"))
         suspects = found.filter("not edge").select(F.col("u").alias("rep"), F.col("v").alias("part"))
         placed = suspects.join(groups, "part", "left").withColumn("key", F.coalesce("group", "part"))
         sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-        met = _met(placed.join(sizes, "key"), CELL)
+        met = _met(placed.join(sizes, "key"), CELL // 2)
         held = materialize(_with_sets(docs, suspects.select("rep").distinct().join(names, "rep"), shingle), "sets")
         late = _dealt(met.join(held, "rep")).mapInArrow(lambda b: _connect(b, percent), "u long, v long")
         early = parts.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        parts = connected_components(early.unionByName(late))
+        before, parts = parts, connected_components(early.unionByName(late))
+        discard(before)
         discard(held)
     discard(found)
 
-    roots = names.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    roots = roots.select("digest", F.coalesce("root", "rep").alias("component"))
-    joined = rows.join(roots, "digest", "left")
+    labelled = names.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("root", "rep").alias("root"))
+    least = materialize(labelled.groupBy("root").agg(F.min("doc_id").alias("component")), "least")  # tables: so hot keys can be split in the joins
+    roots = materialize(labelled.join(least, "root").select("rep", "component"), "roots")
+    for table in (least, names, parts):
+        discard(table)
     part = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", part.alias("component_id"))
+    return rows.join(roots, "rep", "left").select("doc_id", "n_shingles", part.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """One document of each component: the one that names it.  Rows without an id stay."""
+    """One row of each component, of the document that names it (of its rows, the one with the least text).
+
+    Rows without an id stay.
+    """
     names = near_copies(docs, percent, shingle)
     lost = names.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti")
-
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, whole(docs["text"])).alias("row"))
+    return one.join(lost, "doc_id", "left_anti").select("row.*").unionByName(docs.filter("doc_id is null"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: While a table is written: shuffle files go with the job, and Arrow batches stay small, as rows can be large.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -63,6 +64,14 @@ def discard(table: DataFrame, part: str | None = None) -> None:
         target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def renamed(table: DataFrame, **names: str) -> DataFrame:
+    """A written table with other column names, which ``discard`` knows too."""
+    out = table.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in table.columns])
+    _, path = _paths.pop(id(table))
+    _paths[id(out)] = (out, path)
+    return out
+
+
 def sliced(batches, rows: int = 256):
     """Arrow batches cut into pieces of a few rows, so that only those are copied into Python objects."""
     for batch in batches:

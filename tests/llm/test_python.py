@@ -187,6 +187,19 @@ def test_near_copies(corpus, messy, empty, percent, size):
     assert ngram_join.near_copies(empty).count() == 0
 
 
+def test_texts_of_one_document_keep_all_their_links(spark):
+    a, b = prose(61, 100).split(), prose(62, 100).split()
+    near = [" ".join([*w[:-1], "other"]) for w in (a, b)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, near[0]), (3, near[1]), (4, prose(63, 90)), (4, prose(63, 90)), (4, None), (None, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.near_copies(docs, 85, 4).collect())
+    assert got == [(0, None), (2, 2), (3, 2), (4, 4), (4, 4), (4, 4), (5, 2), (5, 2)]
+    kept = ngram_join.keep_one(docs, 85, 4).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept if r["doc_id"] != 4) == [(0, " ".join(a)), (2, near[0])]
+    assert [r["text"] for r in kept if r["doc_id"] == 4] == [None]
+    assert connected_components(docs.selectExpr("doc_id u", "doc_id v").filter("u < 0")).count() == 0
+
+
 def test_large_cells_and_keep_one(spark, monkeypatch):
     """Cells over the part size: every member is still linked; one document of the group stays."""
     monkeypatch.setattr(ngram_join, "CELL", 8)
