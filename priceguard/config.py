@@ -13,6 +13,7 @@ REGION_DEMAND = {"downtown": 1.3, "suburbs": 0.9, "airport": 1.4, "university":
 REGION_DISTANCE = {"downtown": 0.7, "suburbs": 1.4, "airport": 2.0, "university": 0.8, "industrial": 1.2}
 HOURLY_DEMAND = [0.7, 0.5, 0.4, 0.3, 0.3, 0.5, 0.8, 1.2, 1.5, 1.3, 1.0, 1.1, 1.3, 1.2, 1.0, 1.0, 1.2, 1.6, 1.8, 1.5, 1.2, 1.1, 1.0, 0.8]
 WEEKDAY_DEMAND = [1.0, 1.0, 1.0, 1.05, 1.15, 1.3, 1.2]
+# Severities, rule names and recommended actions.
 SEVERITIES = ["critical", "high", "medium", "low"]
 RULES = [
     "negative_price", "below_floor", "surge_cap_exceeded", "extreme_price_per_mile",

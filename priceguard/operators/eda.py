@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import at_least
 
+ID_BLOCK = 1 << 16
 CORRELATED = [
     "final_price", "surge_multiplier", "demand_level", "supply_level", "price_to_base_ratio",
     "price_per_mile", "demand_supply_gap", "surge_demand_ratio", "distance_miles", "duration_minutes",
@@ -44,10 +45,12 @@ def profile(events: DataFrame) -> DataFrame:
 
 
 def correlation(rows: DataFrame, columns=CORRELATED) -> DataFrame:
-    """a, b, corr of every ordered pair, from one aggregate."""
-    pairs = [(a, b) for a in columns for b in columns]
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(a, b), 6).alias("corr")) for a, b in pairs]
-    return rows.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    """a, b, corr of every ordered pair: unordered ones are computed, as one group each, and mirrored."""
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]
+    found = rows.select(F.inline(F.array(*cells))).groupBy("a", "b").agg(F.round(F.corr("x", "y"), 6).alias("corr"))
+    mirrored = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return found.select(F.explode(mirrored).alias("p"), "corr").select("p.a", "p.b", "corr")
 
 
 def welch(rows: DataFrame, columns=CORRELATED, label: str = "label_is_anomaly") -> DataFrame:
@@ -74,12 +77,14 @@ def shape(rows: DataFrame, by: str = "category", column: str = "final_price") ->
 def anomaly_runs(events: DataFrame) -> DataFrame:
     """run, start_id, length, run_type: islands of consecutive labelled rows (the last type seen names a run).
 
-    ``event_id`` is dense and in time order.  Only labelled rows are ranked, so the one ordered
-    partition holds the anomalies and not the events.
+    ``event_id`` is dense and in time order.  Labelled rows are ranked within blocks of ids, after
+    running sums of the blocks' counts.
     """
-    hits = events.filter("label_is_anomaly").select("event_id", "label_type")
-    island = F.col("event_id") - F.row_number().over(W.orderBy("event_id"))
-    return hits.withColumn("island", island).groupBy("island").agg(
+    hits = events.filter("label_is_anomaly").select("event_id", "label_type", F.floor(F.col("event_id") / ID_BLOCK).alias("block"))
+    upto = F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, 0))
+    blocks = hits.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", (upto - F.col("n")).alias("before"))
+    island = F.col("event_id") - F.col("before") - F.row_number().over(W.partitionBy("block").orderBy("event_id"))
+    return hits.join(blocks, "block").withColumn("island", island).groupBy("island").agg(
         F.min("event_id").alias("start_id"), F.count(F.lit(1)).alias("length"), F.max_by("label_type", F.when(F.col("label_type").isNotNull(), F.col("event_id"))).alias("run_type")
     ).drop("island")
 
@@ -103,9 +108,17 @@ def normal_quantile(p: Column) -> Column:
 def qq_points(rows: DataFrame, by: str = "category", column: str = "final_price") -> DataFrame:
     """category, place, theoretical, sample: Filliben plotting positions against sorted values.
 
-    Theoretical quantiles are a rational approximation (error below 4.5e-4).
+    Theoretical quantiles are a rational approximation (error below 4.5e-4).  Values are ranked
+    within whole numbers, after running sums of their counts.
     """
-    ranked = rows.filter(F.col(column).isNotNull()).select(by, column, F.row_number().over(W.partitionBy(by).orderBy(column, "event_id")).alias("place"), F.count(F.lit(1)).over(W.partitionBy(by)).alias("n"))
+    whole = F.when(F.isnan(column), F.lit(2**62)).otherwise(F.floor(column))
+    values = rows.filter(F.col(column).isNotNull()).select(by, column, "event_id", whole.alias("whole"))
+    sizes = values.groupBy(by, "whole").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.sum("m").over(W.partitionBy(by).orderBy("whole").rowsBetween(W.unboundedPreceding, 0))
+    starts = sizes.select(F.col(by).alias("by"), F.col("whole").alias("w"), (upto - F.col("m")).alias("before"), F.sum("m").over(W.partitionBy(by)).alias("n"))
+    local = F.row_number().over(W.partitionBy(by, "whole").orderBy(column, "event_id"))
+    joined = values.join(starts, F.col(by).eqNullSafe(F.col("by")) & (F.col("whole") == F.col("w")))
+    ranked = joined.select(by, column, (F.col("before") + local).alias("place"), "n")
     end = F.pow(F.lit(0.5), 1.0 / F.col("n"))
     p = F.when(F.col("place") == F.col("n"), end).when(F.col("place") == 1, 1 - end).otherwise((F.col("place") - 0.3175) / (F.col("n") + 0.365))
     return ranked.select(by, "place", F.round(normal_quantile(p), 6).alias("theoretical"), F.col(column).alias("sample"))

@@ -25,12 +25,23 @@ def confusion(flag: Column, label: Column) -> list[Column]:
 
 
 def train_test(events: DataFrame, share: float = 0.8) -> DataFrame:
-    """``events`` with split 'train' or 'test' by place in (timestamp, event_id) order.
+    """``events`` with split 'train' or 'test' by place in (timestamp, event_id) order, whatever the ids are.
 
-    ``event_id`` is dense and in time order in the event table, so its rank needs no sort.
+    The first event of the test part is found without a sort: counts per minute give its minute,
+    and only the rows of that minute are ranked.  Null timestamps come first; rows that share
+    timestamp and id stay together.
     """
-    cut = events.agg(F.floor(F.count(F.lit(1)) * share).alias("cut"))  # one row
-    return events.crossJoin(F.broadcast(cut)).withColumn("split", F.when(F.col("event_id") < F.col("cut"), "train").otherwise("test")).drop("cut")
+    keys = events.select("timestamp", "event_id", F.date_trunc("minute", "timestamp").alias("minute"))
+    sizes = keys.groupBy("minute").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.orderBy("minute").rowsBetween(W.unboundedPreceding, 0))  # a row per minute, not per event
+    placed = sizes.select("minute", (upto - F.col("n")).alias("before"), upto.alias("upto"), F.floor(F.sum("n").over(W.partitionBy()) * share).alias("cut"))
+    at = placed.filter("before <= cut and cut < upto").select(F.col("minute").alias("m"), (F.col("cut") - F.col("before") + 1).alias("place"))  # one row
+    near = keys.join(F.broadcast(at), F.col("minute").eqNullSafe(F.col("m")))
+    ranked = near.withColumn("own", F.row_number().over(W.orderBy("timestamp", "event_id"))).filter("own = place")
+    first = ranked.agg(F.first(F.struct("timestamp", "event_id")).alias("__first"))  # one row, null without a test part
+    early = F.struct("timestamp", "event_id") < F.col("__first")
+    split = F.when(F.coalesce(early, F.lit(True)), "train").otherwise("test")
+    return events.crossJoin(F.broadcast(first)).select(*[F.col(f"`{c}`") for c in events.columns if c != "split"], split.alias("split"))
 
 
 def flags_of(scored: DataFrame) -> dict[str, Column]:
@@ -85,16 +96,11 @@ def pr_auc(sweep: DataFrame) -> DataFrame:
 GRID = {"contamination": [0.05, 0.10, 0.15, 0.20], "zscore_threshold": [2.0, 2.5, 2.8, 3.0], "ensemble_threshold": [0.15, 0.20, 0.25, 0.30, 0.35, 0.40]}
 
 
-def roll_name(z: float) -> str:
-    """Column of the rolling flag at a z threshold."""
-    return f"roll_{round(10 * z)}"
-
-
 def grid_search(scored: DataFrame, thresholds=None, z_values=None, settings: Settings = TUNED) -> DataFrame:
     """zscore_threshold, ensemble_threshold, precision, recall, f1 without refitting anything.
 
     ``scored`` carries raw deviations divided by their maxima (z_part, mad_part, iqr_part), the raw
-    z_dev, mad_dev, iqr_dev, one rolling flag per z value (``roll_name``), ctx and label columns, and
+    z_dev, mad_dev, iqr_dev, the largest rolling deviation roll_dev, ctx and label columns, and
     optionally forest columns per contamination (``if_<c>`` flags with one if_score).
     """
     z_values = z_values or GRID["zscore_threshold"]
@@ -104,7 +110,7 @@ def grid_search(scored: DataFrame, thresholds=None, z_values=None, settings: Set
     configs = []
     for level in levels:
         for z in z_values:
-            roll = F.col(roll_name(z))
+            roll = true(F.col("roll_dev") > z)
             stat = clip(F.col("parts") + 0.10 * roll.cast("double"), 0.0, 1.0)
             flag = true(F.col("z_dev") > z) | true(F.col("mad_dev") > z) | true(F.col("iqr_dev") > 0) | roll
             total = settings.stat_weight * stat + settings.context_weight * F.col("ctx_score")
@@ -149,6 +155,12 @@ def grid_pivot(grid: DataFrame) -> DataFrame:
     return grid.groupBy("zscore_threshold").agg(*cells)
 
 
+def contamination_pivot(grid: DataFrame) -> DataFrame:
+    """F1 by ensemble threshold and contamination (rows) and z threshold (columns)."""
+    cells = [F.max(F.when(F.col("zscore_threshold") == z, F.col("f1"))).alias(f"z_{z}".replace(".", "_")) for z in GRID["zscore_threshold"]]
+    return grid.groupBy("ensemble_threshold", "contamination").agg(*cells)
+
+
 def iso_f1(spark, levels=(0.2, 0.4, 0.6, 0.8), points: int = 100) -> DataFrame:
     """f, recall, precision of curves of equal F1, where 0 < precision <= 1."""
     rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in levels])).alias("f"))

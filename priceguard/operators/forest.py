@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import FEATURES, engineer_features
+from ..sources.scratch import written
 
 POOL = 20_000
 SAMPLE = 256
@@ -50,18 +51,20 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, height: int):
 
 
 def path_lengths(x: np.ndarray, trees: list, height: int) -> np.ndarray:
-    """Mean path length of each row over the trees."""
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for feature, cut, left, path in trees:
-        at = np.zeros(len(x), np.int32)
-        for _ in range(height):
-            f = feature[at]
-            inner = f >= 0
-            step = (x[rows, np.maximum(f, 0)] >= cut[at]).astype(np.int32)
-            at = np.where(inner, left[at] + step, at)
-        total += path[at]
-    return total / len(trees)
+    """Mean path length of each row over the trees; leaves lead to themselves, so every row takes ``height`` steps."""
+    out = []
+    ready = [(np.maximum(f, 0), np.where(f >= 0, cut, np.inf), np.where(f >= 0, left, np.arange(len(f))).astype(np.int64), path) for f, cut, left, path in trees]
+    for lo in range(0, len(x), 4096):
+        part = np.ascontiguousarray(np.nan_to_num(x[lo : lo + 4096], nan=np.finfo(float).min))
+        flat, base = part.ravel(), np.arange(len(part), dtype=np.int64) * part.shape[1]
+        total = np.zeros(len(part))
+        for feature, cut, left, path in ready:
+            at = np.zeros(len(part), np.int64)
+            for _ in range(height):
+                at = left.take(at) + (flat.take(base + feature.take(at)) >= cut.take(at))
+            total += path.take(at)
+        out.append(total / len(trees))
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 class IsolationForest:
@@ -102,10 +105,11 @@ class IsolationForest:
         return features.mapInPandas(run, "event_id long, sample_score double")
 
     def predict(self, events: DataFrame) -> DataFrame:
-        """event_id, if_anomaly, if_score (relative to the batch) and if_raw_score."""
+        """event_id, if_anomaly, if_score (relative to the batch) and if_raw_score; raw scores are written once."""
         if self.trees is None:
             raise RuntimeError("the detector is not fitted")
         raw = self._scored(engineer_features(events)).select("event_id", (F.col("sample_score") - self.offset).alias("if_raw_score"))
+        raw = written(raw, "forest")
         ends = raw.agg(F.min("if_raw_score").alias("lo"), F.max("if_raw_score").alias("hi"))  # one row
         score = 1.0 - (F.col("if_raw_score") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-10)
         return raw.crossJoin(F.broadcast(ends)).select("event_id", (F.col("if_raw_score") < 0).alias("if_anomaly"), score.alias("if_score"), "if_raw_score")

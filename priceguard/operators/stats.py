@@ -54,50 +54,50 @@ def with_stats(events: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def rolling_flags(events: DataFrame, settings: Settings = TUNED) -> DataFrame:
-    """``events`` with stat_rolling: a price far from its category's running mean over the last 10, 30 or 120 rows.
-
-    The frames share one partitioning and order, so one exchange and one sort serve all three.
-    """
-    order = W.partitionBy("category").orderBy("timestamp", "event_id")
-    p, hit = F.col("final_price"), F.lit(False)
+def _deviation(by: list[str], order: list[str], settings: Settings) -> Column:
+    """Largest deviation of a price from its running means, in running spreads; the frames share one exchange and sort."""
+    p, found = F.col("final_price"), []
     for rows in settings.rolling_rows:
-        frame = order.rowsBetween(-(rows - 1), 0)
+        frame = W.partitionBy(*by).orderBy(*order).rowsBetween(-(rows - 1), 0)
         mean, std, n = F.avg(p).over(frame), F.stddev_samp(p).over(frame), F.count(p).over(frame)
-        spread = F.when(std.isNotNull(), F.greatest(std, F.lit(0.01)))
-        hit = hit | true((n >= 3) & (F.abs(p - mean) / spread > settings.zscore_threshold))
-    enough = F.count(F.lit(1)).over(W.partitionBy("category")) >= 10
-    return events.withColumn("stat_rolling", hit & enough)
+        found.append(F.when(n >= 3, F.abs(p - mean) / F.when(std.isNotNull(), F.greatest(std, F.lit(0.01)))))
+    return F.greatest(*found)
 
 
-def salted_rolling_flags(events: DataFrame, settings: Settings = TUNED) -> DataFrame:
-    """The same flags with (category, day) as the unit of work.
+def rolling_deviations(events: DataFrame, settings: Settings = TUNED) -> DataFrame:
+    """``events`` with roll_dev: the largest deviation from the category's last 10, 30 and 120 rows (null for under 10 rows).
 
-    Five categories make at most five busy tasks; here every day is a task's share, and carries
-    the last 119 rows before it as a halo.  Exact while each day starts within 119 rows of the
-    rows it needs, which the halo guarantees by row number.
+    The unit of work is a day of a category.  A day also gets the rows that lie less than 120
+    places before its first one; which days a row serves is worked out on the counts per day, so
+    a row is copied to those days alone.
     """
     halo = max(settings.rolling_rows) - 1
     day = F.to_date("timestamp")
-    sizes = events.groupBy("category", day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    running = W.partitionBy("category").orderBy("day")
-    starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(running.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    starts = starts.withColumn("total", F.sum("n").over(W.partitionBy("category")))
-    local = W.partitionBy("category", "day").orderBy("timestamp", "event_id")
-    placed = events.withColumn("day", day).join(starts, ["category", "day"]).withColumn("place", F.col("before") + F.row_number().over(local))
-    reach = starts.select("category", F.col("day").alias("unit"), F.col("before").alias("lo"), (F.col("before") + F.col("n")).alias("hi"))
-    # rows of the last `halo` places before a day also go to that day
-    late = placed.filter(F.col("place") > F.col("before") + F.col("n") - halo)
-    copies = late.join(reach, "category").filter((F.col("lo") >= F.col("place")) & (F.col("lo") - F.col("place") < halo))
-    own = placed.withColumn("unit", F.col("day")).withColumn("mine", F.lit(True))
-    both = own.unionByName(copies.drop("lo", "hi").withColumn("mine", F.lit(False)))
-    p, hit = F.col("final_price"), F.lit(False)
-    for rows in settings.rolling_rows:
-        frame = W.partitionBy("category", "unit").orderBy("place").rowsBetween(-(rows - 1), 0)
-        mean, std, n = F.avg(p).over(frame), F.stddev_samp(p).over(frame), F.count(p).over(frame)
-        hit = hit | true((n >= 3) & (F.abs(p - mean) / F.when(std.isNotNull(), F.greatest(std, F.lit(0.01))) > settings.zscore_threshold))
-    flagged = both.withColumn("stat_rolling", hit & (F.col("total") >= 10)).filter("mine")
-    return flagged.select(*[F.col(c) for c in events.columns], "stat_rolling")
+    sizes = events.groupBy("category", day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
+    by = W.partitionBy("category").orderBy(F.col("__day").asc_nulls_first())
+    upto = F.sum("__n").over(by.rowsBetween(W.unboundedPreceding, 0))
+    days = sizes.withColumn("__upto", upto).withColumn("__total", F.sum("__n").over(W.partitionBy("category"))).withColumn("__before", F.col("__upto") - F.col("__n"))
+    later = F.collect_list(F.struct(F.col("__day").alias("unit"), F.col("__before").alias("lo"))).over(by.rowsBetween(1, halo))  # each day has a row
+    days = days.withColumn("__later", F.filter(later, lambda u: u["lo"] < F.col("__upto") + halo)).withColumnRenamed("category", "__category")
+    same = F.col("category").eqNullSafe(F.col("__category")) & F.col("__own").eqNullSafe(F.col("__day"))
+    local = W.partitionBy("category", "__own").orderBy("timestamp", "event_id")
+    placed = events.withColumn("__own", day).join(days, same).withColumn("__place", F.col("__before") + F.row_number().over(local))
+    own = F.array(F.struct(F.col("__own").alias("unit"), F.lit(True).alias("mine")))
+    serves = F.transform(F.filter("__later", lambda u: u["lo"] - F.col("__place") < halo), lambda u: F.struct(u["unit"].alias("unit"), F.lit(False).alias("mine")))
+    spread = placed.select(*[F.col(f"`{c}`") for c in events.columns], "__place", "__total", F.explode(F.concat(own, serves)).alias("__for")).withColumn("__unit", F.col("__for")["unit"])
+    found = spread.withColumn("roll_dev", F.when(F.col("__total") >= 10, _deviation(["category", "__unit"], ["__place"], settings))).filter(F.col("__for")["mine"])
+    return found.select(*[F.col(f"`{c}`") for c in events.columns], "roll_dev")
+
+
+def rolling_flags(events: DataFrame, settings: Settings = TUNED) -> DataFrame:
+    """``events`` with stat_rolling: a price far from its category's running mean over the last 10, 30 or 120 rows."""
+    return rolling_deviations(events, settings).withColumn("stat_rolling", true(F.col("roll_dev") > settings.zscore_threshold)).drop("roll_dev")
+
+
+def rolling_flags_by_category(events: DataFrame, settings: Settings = TUNED) -> DataFrame:
+    """The same flags with a category as the unit of work: for a few rows only."""
+    enough = F.count(F.lit(1)).over(W.partitionBy("category")) >= 10
+    return events.withColumn("stat_rolling", true(_deviation(["category"], ["timestamp", "event_id"], settings) > settings.zscore_threshold) & enough)
 
 
 def batch_maxima(scored: DataFrame) -> DataFrame:

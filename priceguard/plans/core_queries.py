@@ -85,6 +85,13 @@ def _stat_scored(spark, d):
     return stats.score(events, stats.category_stats(train))
 
 
+@query(with_(PE, """SELECT id AS event_id, CASE WHEN row_number() OVER (ORDER BY "timestamp", id) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM (SELECT (event_id * 7919) % 1000003 AS id, "timestamp" FROM pe) t"""))
+def sparse_split(spark, d):
+    """The split by time where ids are neither dense nor in time order."""
+    events = load(spark, d).withColumn("event_id", F.col("event_id") * 7919 % 1000003)
+    return evaluate.train_test(events).select("event_id", "split")
+
+
 @query(with_(_STAT_SQL, "SELECT event_id, stat_zscore, stat_mad, stat_iqr, stat_rolling, stat_anomaly, round(stat_score, 6) AS stat_score FROM ss"))
 def stat_score(spark, d):
     return _stat_scored(spark, d).select("event_id", "stat_zscore", "stat_mad", "stat_iqr", "stat_rolling", "stat_anomaly", F.round("stat_score", 6).alias("stat_score"))
@@ -104,7 +111,7 @@ def rolling_flags(spark, d):
 
 @query(with_(PE, f"SELECT event_id, {rolling_sql(Z, 'stat_rolling')} FROM pe"))
 def rolling_flags_by_day(spark, d):
-    return stats.salted_rolling_flags(load(spark, d)).select("event_id", "stat_rolling")
+    return stats.rolling_flags(load(spark, d)).select("event_id", "stat_rolling")
 
 
 _CTX = ["mean", "std", "median", "surge_mean", "surge_std"]

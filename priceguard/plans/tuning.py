@@ -9,17 +9,13 @@ from ..operators.evaluate import GRID
 
 
 def grid_input(events: DataFrame, settings: Settings = TUNED, use_forest: bool = False) -> DataFrame:
-    """The table ``grid_search`` reads: deviations, one rolling flag per z value, context and labels.
+    """The table ``grid_search`` reads: deviations, context and labels.
 
     Contamination moves only the forest's threshold, so one forest serves all its values.
     """
-    from dataclasses import replace
-
     train = evaluate.train_test(events).filter("split = 'train'").drop("split")
     st, base = stats.category_stats(train), context.baselines(train)
-    rows = context.score(events, base, settings)
-    for z in GRID["zscore_threshold"]:
-        rows = stats.rolling_flags(rows, replace(settings, zscore_threshold=z)).withColumnRenamed("stat_rolling", evaluate.roll_name(z))
+    rows = stats.rolling_deviations(context.score(events, base, settings), settings)
     raw = stats.with_stats(rows, st)
     both = raw.crossJoin(F.broadcast(stats.batch_maxima(stats.with_stats(events, st))))
     parts = [F.coalesce(w * F.col(c) / F.col(f"{c}_max"), F.lit(0.0)) for w, c in ((0.35, "z_dev"), (0.35, "mad_dev"), (0.20, "iqr_dev"))]

@@ -1,13 +1,16 @@
 """The store: five Parquet tables below one folder.
 
 Loads replace a table, alerts and metrics append; a run is two appended rows whose later state
-wins, so no row is ever updated in place.  Events are partitioned by day.
+wins, so no row is ever updated in place.  Events are partitioned by day, and time ranges read
+the days they touch.
 """
 
 import datetime as dt
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from . import schemas
 
@@ -20,6 +23,7 @@ TABLES = {
 class PricingStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._kept: dict[str, tuple[float, DataFrame]] = {}
         for name, schema in TABLES.items():
             if not self._exists(name):
                 spark.createDataFrame([], schema).write.parquet(self._path(name))
@@ -32,7 +36,25 @@ class PricingStore:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(self._path(name))
+        return self._read(name).select(*TABLES[name].names)
+
+    def _read(self, name: str) -> DataFrame:
+        schema = StructType([*TABLES[name], *([StructField("day", DateType())] if name == "pricing_events" else [])])
+        return self.spark.read.schema(schema).parquet(self._path(name))
+
+    def dashboard_table(self, name: str, seconds: float = 60.0) -> DataFrame:
+        """A table that is kept in executor memory (and disk) and read anew once it is ``seconds`` old or this store has written it."""
+        at, kept = self._kept.get(name, (0.0, None))
+        if kept is None or time.monotonic() - at >= seconds:
+            self._forget(name)
+            kept = self.table(name).persist()
+            self._kept[name] = (time.monotonic(), kept)
+        return kept
+
+    def _forget(self, name: str) -> None:
+        _, kept = self._kept.pop(name, (0.0, None))
+        if kept is not None:
+            kept.unpersist()
 
     def _shaped(self, df: DataFrame, name: str) -> DataFrame:
         have = set(df.columns)
@@ -40,10 +62,14 @@ class PricingStore:
 
     def load_pricing_data(self, events: DataFrame) -> int:
         """Replace the events; returns their number."""
-        self._shaped(events, "pricing_events").write.mode("overwrite").parquet(self._path("pricing_events"))
+        shaped = self._shaped(events, "pricing_events").withColumn("day", F.to_date("timestamp"))
+        self._forget("pricing_events")
+        # a few files a day; days too large for a task are split
+        shaped.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(self._path("pricing_events"))
         return self.table("pricing_events").count()
 
     def load_ground_truth(self, truth: DataFrame) -> int:
+        self._forget("anomaly_ground_truth")
         self._shaped(truth, "anomaly_ground_truth").write.mode("overwrite").parquet(self._path("anomaly_ground_truth"))
         return self.table("anomaly_ground_truth").count()
 
@@ -51,11 +77,13 @@ class PricingStore:
         """Append alerts; none is no write."""
         shaped = self._shaped(alerts, "detected_anomalies")
         n = shaped.count()
+        self._forget("detected_anomalies")
         if n:
             shaped.write.mode("append").parquet(self._path("detected_anomalies"))
         return n
 
     def clear_detected_anomalies(self) -> None:
+        self._forget("detected_anomalies")
         self.spark.createDataFrame([], schemas.ALERTS).write.mode("overwrite").parquet(self._path("detected_anomalies"))
 
     def start_detection_run(self, methods: list[str], now: dt.datetime | None = None) -> int:
@@ -71,6 +99,7 @@ class PricingStore:
         self._append("detection_runs", [(run_id, state["started_at"], now or dt.datetime.now(), events, anomalies, state["methods_used"], status, error)])
 
     def _append(self, name: str, rows: list[tuple]) -> None:
+        self._forget(name)
         self.spark.createDataFrame(rows, TABLES[name]).coalesce(1).write.mode("append").parquet(self._path(name))
 
     def detection_runs(self) -> DataFrame:
@@ -85,10 +114,15 @@ class PricingStore:
     def get_performance_history(self) -> DataFrame:
         return performance_history(self.table("model_performance"), self.detection_runs())
 
-    def get_pricing_events(self, **filters) -> DataFrame:
+    def get_pricing_events(self, start: str | None = None, end: str | None = None, **filters) -> DataFrame:
         from ..operators.reports import events_between
 
-        return events_between(self.table("pricing_events"), **filters)
+        rows = self._read("pricing_events")
+        if start is not None:
+            rows = rows.filter(F.col("day") >= F.lit(start).cast("timestamp_ntz").cast("date"))
+        if end is not None:
+            rows = rows.filter(F.col("day") <= F.lit(end).cast("timestamp_ntz").cast("date"))
+        return events_between(rows.select(*schemas.EVENTS.names), start, end, **filters)
 
     def get_detected_anomalies(self, **filters) -> DataFrame:
         from ..operators.reports import top_alerts

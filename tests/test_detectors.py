@@ -74,7 +74,7 @@ def test_rolling_by_hand_and_by_day(spark):
                 hit |= len(w) >= 3 and abs(p[k] - w.mean()) / max(w.std(ddof=1), 0.01) > 2.8
             want[i] = bool(hit)
     assert got == want
-    assert {r["event_id"]: r["stat_rolling"] for r in stats.salted_rolling_flags(e).collect()} == want
+    assert {r["event_id"]: r["stat_rolling"] for r in stats.rolling_flags_by_category(e).collect()} == want
     assert not any(r["stat_rolling"] for r in stats.rolling_flags(events(spark, *hourly(9, outliers={8: dict(final_price=999.0)}))).collect())
 
 

@@ -13,6 +13,7 @@ from priceguard.operators import alerts, eda, evaluate
 from priceguard.plans.pipeline import AnomalyPipeline
 from priceguard.plans.registry import ORACLE, QUERIES
 from priceguard.sources import experiments, trips
+from priceguard.sources.fixtures import pricing_events
 from priceguard.sources.generator import generate
 from priceguard.sources.settings import from_mapping, load_settings
 from priceguard.sources.store import PricingStore
@@ -134,6 +135,12 @@ def test_store_and_runs(spark, tmp_path):
     e = events(spark, {}, {}, dict(label_is_anomaly=True, label_type="flash_crash", final_price=0.01))
     assert store.load_pricing_data(e) == 3 and store.load_pricing_data(e) == 3
     assert store.get_pricing_events(category="ride_standard", limit=2).count() == 2
+    first, last = store.table("pricing_events").agg(F.min("timestamp"), F.max("timestamp")).first()
+    some = store.get_pricing_events(start=str(last.date()), end=str(last))
+    assert some.count() == store.table("pricing_events").filter(F.col("timestamp") >= F.lit(str(last.date())).cast("timestamp_ntz")).count() > 0
+    assert "PartitionFilters: [isnotnull(day" in some._jdf.queryExecution().toString()
+    kept = store.dashboard_table("pricing_events")
+    assert store.dashboard_table("pricing_events") is kept and store.dashboard_table("pricing_events", 0.0) is not kept
     assert store.save_detected_anomalies(e.limit(0)) == 0
     a, b = store.start_detection_run(["x", "y"]), store.start_detection_run(["z"])
     store.complete_detection_run(a, 3, 1)
@@ -248,7 +255,7 @@ def test_grid_with_forest_against_brute_force(spark):
             for t in GRID["ensemble_threshold"]:
                 tp = fp = fn = 0
                 for r in rows:
-                    roll = r[f"roll_{round(10 * z)}"]
+                    roll = (r["roll_dev"] or 0.0) > z
                     stat = min(max(r["parts"] + 0.10 * roll, 0), 1)
                     score = TUNED.stat_weight * stat + TUNED.context_weight * r["ctx_score"] + TUNED.forest_weight * r["if_score"]
                     over = (r["z_dev"] or 0) > z or (r["mad_dev"] or 0) > z or (r["iqr_dev"] or 0) > 0 or roll
@@ -266,3 +273,28 @@ def test_synthetic_queries_take_the_whole_history(spark):
 
     first, last = QUERIES["synthetic_events"](spark, SF).selectExpr("min(timestamp)", "max(timestamp)").first()
     assert first.date() == dt.date(2024, 3, 17) and last.date() == dt.date(2024, 6, 15)
+
+
+def test_split_by_time_on_sampled_and_repeated_ids(spark):
+    from priceguard.sources.trips import sample_rows
+
+    events = pricing_events(spark, SF)
+    for rows in (sample_rows(events, 500, 42), events.withColumn("event_id", F.col("event_id") % 7), events.limit(0), events.limit(1)):
+        got = [(r["timestamp"], r["event_id"], r["split"]) for r in evaluate.train_test(rows).collect()]
+        got.sort(key=lambda r: r[:2])
+        cut = len(got) * 8 // 10
+        first = got[cut][:2] if cut < len(got) else None
+        assert [r[2] for r in got] == ["train" if first is None or r[:2] < first else "test" for r in got]
+    assert abs(sum(r[2] == "train" for r in got) - cut) <= 1
+
+
+def test_contamination_pivot(spark):
+    grid = [(c, z, t, round(c * z * t, 4)) for c in evaluate.GRID["contamination"] for z in evaluate.GRID["zscore_threshold"] for t in evaluate.GRID["ensemble_threshold"]]
+    rows = evaluate.contamination_pivot(spark.createDataFrame(grid, "contamination double, zscore_threshold double, ensemble_threshold double, f1 double")).collect()
+    assert len(rows) == 24 and all(r["z_2_8"] == round(r["contamination"] * 2.8 * r["ensemble_threshold"], 4) for r in rows)
+
+
+def test_synthetic_kinds_are_the_published_labels(spark):
+    from priceguard.sources.generator import KINDS
+
+    assert {"price_inversion", "regional_bleedthrough"} < set(KINDS) and len(KINDS) == 11
