@@ -27,8 +27,9 @@ def confusion(flag: Column, label: Column) -> list[Column]:
 def train_test(events: DataFrame, share: float = 0.8) -> DataFrame:
     """``events`` with split 'train' or 'test' by place in (timestamp, event_id) order, whatever the ids are.
 
-    The first event of the test part is found without a sort: counts per minute give its minute,
-    and only the rows of that minute are ranked.  Null timestamps come first; rows that share
+    The first event of the test part is found without a sort, when this is called: counts per
+    minute give its minute, and only the rows of that minute are ranked; the driver gets that one
+    row, so filters on the split stay simple comparisons.  Nulls come first; rows that share
     timestamp and id stay together.
     """
     keys = events.select("timestamp", "event_id", F.date_trunc("minute", "timestamp").alias("minute"))
@@ -38,10 +39,13 @@ def train_test(events: DataFrame, share: float = 0.8) -> DataFrame:
     at = placed.filter("before <= cut and cut < upto").select(F.col("minute").alias("m"), (F.col("cut") - F.col("before") + 1).alias("place"))  # one row
     near = keys.join(F.broadcast(at), F.col("minute").eqNullSafe(F.col("m")))
     ranked = near.withColumn("own", F.row_number().over(W.orderBy("timestamp", "event_id"))).filter("own = place")
-    first = ranked.agg(F.first(F.struct("timestamp", "event_id")).alias("__first"))  # one row, null without a test part
-    early = F.struct("timestamp", "event_id") < F.col("__first")
-    split = F.when(F.coalesce(early, F.lit(True)), "train").otherwise("test")
-    return events.crossJoin(F.broadcast(first)).select(*[F.col(f"`{c}`") for c in events.columns if c != "split"], split.alias("split"))
+    first = ranked.select(F.col("timestamp").cast("string").alias("at"), "event_id").first()  # none without a test part
+    early = F.lit(True)
+    if first is not None:
+        ts, at = F.col("timestamp"), F.lit(first["at"]).cast(events.schema["timestamp"].dataType)
+        before = F.col("event_id").isNull() | (F.col("event_id") < first["event_id"]) if first["event_id"] is not None else F.lit(False)
+        early = (ts.isNull() & before) if first["at"] is None else ts.isNull() | (ts < at) | ((ts == at) & before)
+    return events.withColumn("split", F.when(early, "train").otherwise("test"))
 
 
 def flags_of(scored: DataFrame) -> dict[str, Column]:

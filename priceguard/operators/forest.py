@@ -37,14 +37,15 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, height: int):
         at, rows, depth = queue.pop(0)
         if depth >= height or len(rows) <= 1:
             continue
-        low, high = x[rows].min(0), x[rows].max(0)
+        held = x[rows]
+        low, high = held.min(0), held.max(0)
         usable = np.flatnonzero(high > low)
         if not len(usable):
             continue
-        f = int(rng.choice(usable))
+        f = int(usable[int(rng.random() * len(usable))])
         c = rng.uniform(low[f], high[f])
         feature[at], cut[at], left[at] = f, c, len(feature)
-        side = x[rows, f] < c
+        side = held[:, f] < c
         node(rows[side], depth + 1)
         node(rows[~side], depth + 1)
     return np.array(feature, np.int32), np.array(cut), np.array(left, np.int32), np.array(path)
