@@ -365,6 +365,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int |
     least = min(min_bytes, 2 * min_words - 1) if min_words else min_bytes  # words and the blanks between them
     rows = docs.select(F.xxhash64(whole(docs["text"])).alias("text_id"), "text").filter(F.octet_length("text") >= least)
     texts = materialize(rows.groupBy("text_id").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts")
+    copied = materialize(texts.filter("copies > 1").select("text_id", "copies"), "copies")
     runs = texts.select("text_id", "text").mapInArrow(
         lambda b: _anchors(b, min_bytes, min_words), "text_id long, words boolean, first long, last long, anchor long, key long"
     )
@@ -376,19 +377,22 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int |
     discard(runs)
     discard(keys)
     wanted = again.groupBy("text_id").agg(F.collect_list(F.struct("words", "hot", "key", "first", "last", "anchor")).alias("runs"))
-    held = texts.select("text_id", "text").join(wanted, "text_id")
+    # a table: so the shuffles of the texts and of the windows are not on disk together
+    held = materialize(texts.select("text_id", "text").join(wanted, "text_id").select("text_id", "text", "runs"), "texts-with-runs")
+    for table in (texts, again):
+        discard(table)
     blocks = windows // BLOCK + 1
-    contexts = held.select("text_id", "text", "runs").mapInArrow(lambda b: _contexts(b, min_bytes, min_words, blocks), _CONTEXT_SQL)
+    contexts = held.mapInArrow(lambda b: _contexts(b, min_bytes, min_words, blocks), _CONTEXT_SQL)
     spans = contexts.repartition("deal").mapInArrow(lambda b: _spans(b, min_bytes, min_words), "text_id long, words boolean, `from` long, `to` long")
     spans = materialize(spans, "spans")
-    discard(again)
-    copied = texts.filter("copies > 1").select("text_id", "copies", F.lit(False).alias("words"), F.lit(None).cast("struct<from:long,to:long>").alias("span"))
-    both = copied.unionByName(spans.select("text_id", F.lit(1).cast("long").alias("copies"), "words", F.struct("from", "to").alias("span")))
+    discard(held)
+    whole_texts = copied.select("text_id", "copies", F.lit(False).alias("words"), F.lit(None).cast("struct<from:long,to:long>").alias("span"))
+    both = whole_texts.unionByName(spans.select("text_id", F.lit(1).cast("long").alias("copies"), "words", F.struct("from", "to").alias("span")))
     found = both.groupBy("text_id").agg(
         F.max("copies").alias("copies"), F.collect_list(F.when(~F.col("words"), F.col("span"))).alias("spans"), F.collect_list(F.when(F.col("words"), F.col("span"))).alias("word_spans")
     )
     found = materialize(found, "repeats")
-    discard(texts)
+    discard(copied)
     discard(spans)
     return found
 
