@@ -107,9 +107,7 @@ def scan_licenses(docs: DataFrame, licenses=None) -> DataFrame:
         F.col("__digest") == F.col("__d"),
         "left",
     )
-    candidate = r"(?i)licen[sc]e|spdx|released under|free software|public domain"
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(candidate))
-    found = F.transform(lines, lambda x: F.try_element_at(table, digest(x)))
+    found = F.transform(F.split(text, "\n"), lambda x: F.try_element_at(table, digest(x)))
     notices = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns if c != "scan"],

@@ -22,7 +22,7 @@ OP1 = f"""WITH known AS (SELECT sha256({_normalised("t")}) AS digest, min(n) AS
 d AS (SELECT doc_id, coalesce(text, '') AS t, sha256({_normalised("coalesce(text, '')")}) AS digest FROM documents),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 m AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(k.license))), ',') AS notices
-  FROM (SELECT doc_id, sha256({_normalised("line")}) AS digest FROM l WHERE regexp_matches(line, '(?i)licen[sc]e|spdx|released under|free software|public domain')) x JOIN known k USING (digest) GROUP BY doc_id)
+  FROM (SELECT doc_id, sha256({_normalised("line")}) AS digest FROM l) x JOIN known k USING (digest) GROUP BY doc_id)
 SELECT d.doc_id, d.digest, k.license, coalesce(m.notices, '') AS notices FROM d LEFT JOIN known k ON k.digest = d.digest LEFT JOIN m ON m.doc_id = d.doc_id"""
 
 _R = quality.LineRules()

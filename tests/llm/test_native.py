@@ -1,9 +1,11 @@
 """Quality rules, mixing, fingerprints and licences against plain Python."""
 
 import collections
+import functools
 import hashlib
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from priceguard.llm import fingerprints, licenses, mixing, quality
@@ -123,6 +125,43 @@ def test_fingerprints(corpus, messy, empty):
     assert fingerprints.fingerprint_documents(empty).count() == 0
 
 
+def plain_fingerprint(text, k=4, keep=64):
+    """The fingerprint from its definition; hashes of arrays are seeded with the hash before."""
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in WORD.findall(text)]
+    signed = [x - 2**64 if x >= 2**63 else x for x in h]
+    name = lambda lo, hi: functools.reduce(lambda seed, x: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed), h[lo:hi], 42) & (2**40 - 1)
+    if len(h) >= k:
+        spots = [i for i in range(len(h) - k + 1) if min(signed[i : i + k]) in (signed[i], signed[i + k - 1])]
+    else:
+        spots, k = ([0] if h else []), len(h)
+    first = {}
+    for i in spots:
+        first.setdefault(name(i, i + k), i)
+    return sorted(first.items())[:keep]
+
+
+def plain_likeness(a, b, keep=64, slack=64):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    union = sorted({h for h, _ in a} | {h for h, _ in b})[:keep]
+    place = dict(b)
+    moved = sorted(i - place[h] for h, i in a if h in place and h <= union[-1])
+    return sum(abs(d - moved[len(moved) // 2]) <= slack for d in moved) / len(union)
+
+
+def test_fingerprints_against_their_definition(corpus, messy):
+    shown = lambda f: " ".join(f"{h:x}@{i:x}" for h, i in f)
+    for docs in (corpus, messy.filter("doc_id is not null").dropDuplicates(["doc_id"])):
+        texts = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+        after = {i: texts[(k + 1) % len(texts)][1] for k, (i, _) in enumerate(texts)}
+        for r in fingerprints.fingerprint_documents(docs).collect():
+            own, edit, following = (plain_fingerprint(t) for t in (r["text"], r["edited_text"], after[r["doc_id"]]))
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(own), shown(edit))
+            assert abs(r["near_edited"] - plain_likeness(own, edit)) < 1e-12 and abs(r["near_next"] - plain_likeness(own, following)) < 1e-12
+
+
 def test_likeness_orders_texts(corpus):
     rows = fingerprints.fingerprint_documents(corpus.filter("doc_id < 150")).collect()
     assert sum(r["near_edited"] > r["near_next"] for r in rows) > 0.98 * len(rows)
@@ -148,6 +187,14 @@ def test_license_scan(spark, messy, empty):
     assert licenses.scan_licenses(messy).count() == messy.count() and licenses.scan_licenses(empty).count() == 0
 
 
+def test_any_line_of_a_catalogue_is_found(spark):
+    known = [("Own-1.0", "Free for all, with thanks."), ("Own-2.0", "Ask first")]
+    rows = [(1, "a\n  free for ALL with thanks!\nb\nask, first"), (2, "Ask first"), (3, "Ask first, then"), (4, "\n\n")]
+    got = {r["doc_id"]: r["scan"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert [got[i]["notices"] for i in range(1, 5)] == [["Own-1.0", "Own-2.0"], ["Own-2.0"], [], []]
+    assert got[2]["license"] == "Own-2.0" and got[1]["license"] is None
+
+
 def test_license_texts_hard_wrapped_and_whole(spark):
     import textwrap
 

@@ -145,6 +145,38 @@ def test_classifier(spark, messy, empty):
     assert classifier.fit_quality(docs, marks.limit(0)).rules == ()
 
 
+def test_scores_are_the_rules_applied_one_by_one(spark, corpus, messy):
+    """The compiled column against the fitted rules, over statistics counted in plain Python."""
+    docs = corpus.select("doc_id", "text")
+    marks = docs.select("doc_id", (F.length("text") > 700).cast("int").alias("quality"))
+    model = classifier.fit_quality(docs, marks)
+    assert model.rules
+    both = docs.unionByName(messy.select("doc_id", "text"))
+    scores = collections.defaultdict(list)
+    for r in classifier.score_quality(both, model).collect():
+        scores[r["doc_id"]].append(r["score"])
+    want = collections.defaultdict(list)
+    for r in classifier.statistics(both).collect():
+        t, x = r["text"] or "", r["stats"].asDict()
+        w = WORD.findall(t)
+        n, chars = max(1, len(w)), max(1, len(t))
+        plain = {
+            "words": min(len(w), 10_000), "word_length": sum(map(len, w)) / n, "symbols": sum(c in "#*$%&|<>" for c in t) / chars, "distinct": len(set(w)) / n,
+            "echo": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, "sentences": len(re.findall(r"[.!?]+(?:\s|$)", t)) / n, "shouts": t.count("!") / n,
+        }
+        assert all(abs(x[name] - v) < 1e-9 for name, v in plain.items()), (r["doc_id"], plain, x)
+        total = model.intercept
+        for weight, tests in model.rules:
+            if all((x[name] > at) == above for name, above, at in tests):
+                total += weight
+        want[r["doc_id"]].append(1 / (1 + math.exp(-total)))
+    assert scores.keys() == want.keys()
+    assert all(np.allclose(sorted(scores[i]), sorted(want[i]), atol=1e-12) for i in want)
+    names = classifier.statistics(docs).schema["stats"].dataType.names
+    x = np.array([list(r["stats"]) for r in classifier.statistics(both).collect()])
+    assert np.allclose(np.sort(model.predict(x, names)), np.sort([v for vs in want.values() for v in vs]), atol=1e-12)
+
+
 def test_held_out_labels_do_not_matter(spark):
     docs = spark.createDataFrame([(i, "word " * (i % 30)) for i in range(200)], "doc_id long, text string")
     a = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
