@@ -31,8 +31,8 @@ def anomaly_summary(alerts: DataFrame) -> DataFrame:
     )
 
 
-def events_between(events: DataFrame, start: str | None = None, end: str | None = None, category: str | None = None, limit: int = 10_000) -> DataFrame:
-    """Latest events of a closed time range; filters reach the scan."""
+def events_between(events: DataFrame, start: str | None = None, end: str | None = None, category: str | None = None, limit: int | None = 10_000) -> DataFrame:
+    """Latest events of a closed time range (without ``limit`` all, in no order); filters reach the scan."""
     out = events
     if start is not None:
         out = out.filter(F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
@@ -40,7 +40,7 @@ def events_between(events: DataFrame, start: str | None = None, end: str | None
         out = out.filter(F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
     if category is not None:
         out = out.filter(F.col("category") == category)
-    return out.orderBy(F.col("timestamp").desc(), F.col("event_id").desc()).limit(limit)
+    return out if limit is None else out.orderBy(F.col("timestamp").desc(), F.col("event_id").desc()).limit(limit)
 
 
 def top_alerts(alerts: DataFrame, severities=None, start: str | None = None, limit: int = 500) -> DataFrame:
