@@ -26,10 +26,11 @@ def standardise(features: DataFrame, names=FEATURES, fitted: DataFrame | None =
 
 
 def blocks(points: DataFrame) -> DataFrame:
-    """block, ids, xs: about ``BLOCK`` points a row."""
+    """block, ids (ascending), xs: about ``BLOCK`` points a row."""
     n = max(1, -(-points.count() // BLOCK))
     dealt = points.withColumn("block", F.pmod(F.xxhash64("event_id"), F.lit(n)).cast("int"))
-    return dealt.groupBy("block").agg(F.collect_list("event_id").alias("ids"), F.collect_list("x").alias("xs"))
+    held = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("event_id", "x"))).alias("p"))
+    return held.select("block", F.col("p.event_id").alias("ids"), F.col("p.x").alias("xs"))
 
 
 def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -66,6 +67,51 @@ def nearest(points: DataFrame, k: int, others: DataFrame | None = None) -> DataF
     return found.groupBy("event_id").agg(near.alias("near"))
 
 
+def radius_counts(points: DataFrame, radius: float) -> DataFrame:
+    """event_id, n: how many other points lie within the radius; a pair of blocks gives a row per point, not per pair."""
+
+    def run(frames):
+        for f in frames:
+            for a_ids, a_xs, b_ids, b_xs in f.itertuples(index=False):
+                a_ids = np.asarray(a_ids)
+                close = (_distances(np.stack(a_xs), np.stack(b_xs)) <= radius) & (a_ids[:, None] != np.asarray(b_ids)[None, :])
+                yield pd.DataFrame({"event_id": a_ids, "n": close.sum(1).astype(np.int64)})
+
+    held = blocks(points)
+    return _block_pairs(held, held).mapInPandas(run, "event_id long, n long").groupBy("event_id").agg(F.sum("n").alias("n"))
+
+
+def spanning_links(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a closeness table the first row of its component (-1 for columns without a row)."""
+    rows, columns = np.full(close.shape[0], -1), np.full(close.shape[1], -1)
+    for first in range(len(rows)):
+        front = np.array([first]) if rows[first] < 0 else np.zeros(0, int)
+        while len(front):  # each row and column is expanded once
+            rows[front] = first
+            reached = np.flatnonzero(close[front].any(0) & (columns < 0))
+            columns[reached] = first
+            front = np.flatnonzero(close[:, reached].any(1) & (rows < 0))
+    return rows, columns
+
+
+def radius_links(points: DataFrame, radius: float) -> DataFrame:
+    """event_id, other, both ways: links that connect the points within the radius of each other, two rows a point and pair of blocks at most."""
+
+    def run(frames):
+        for f in frames:
+            for a_ids, a_xs, b_ids, b_xs in f.itertuples(index=False):
+                a_ids, b_ids = np.asarray(a_ids), np.asarray(b_ids)
+                if a_ids[0] > b_ids[0]:  # the pair the other way round has the same links
+                    continue
+                rows, columns = spanning_links(_distances(np.stack(a_xs), np.stack(b_xs)) <= radius)
+                ids, to = np.concatenate([a_ids, b_ids[columns >= 0]]), a_ids[np.concatenate([rows, columns[columns >= 0]])]
+                yield pd.DataFrame({"event_id": ids[ids != to], "other": to[ids != to]})
+
+    held = blocks(points)
+    found = _block_pairs(held, held).mapInPandas(run, "event_id long, other long")
+    return found.union(found.select(F.col("other").alias("event_id"), F.col("event_id").alias("other"))).distinct()
+
+
 def local_outlier_factor(events: DataFrame, neighbors: int = 20, contamination: float = 0.10, names=FEATURES) -> DataFrame:
     """event_id, lof_anomaly, lof_score: densities compared with the neighbours', over the whole batch."""
     near = written(nearest(standardise(engineer_features(events), names), neighbors), "near")
@@ -122,21 +168,13 @@ def density_clusters(events: DataFrame, min_samples: int = 10, eps: float | None
         far = nearest(sample, min_samples).select(F.element_at("near", -1)["distance"].alias("d")).toPandas()["d"]
         eps = knee(far.to_numpy(float))
 
-    def close(frames):
-        for f in frames:
-            for a_ids, a_xs, b_ids, b_xs in f.itertuples(index=False):
-                d = _distances(np.stack(a_xs), np.stack(b_xs))
-                i, j = np.nonzero(d <= eps)
-                yield pd.DataFrame({"event_id": np.asarray(a_ids)[i], "other": np.asarray(b_ids)[j], "distance": d[i, j]})
-
-    held = blocks(points)
-    edges = written(_block_pairs(held, held).mapInPandas(close, "event_id long, other long, distance double"), "radius")
-    core = written(edges.groupBy("event_id").count().filter(F.col("count") >= min_samples).select("event_id"), "core")
-    between = edges.join(core, "event_id").join(core.withColumnRenamed("event_id", "other"), "other").filter("event_id <> other")
-    roots = _labels(between.select("event_id", "other"), core)
-    border = (
-        edges.join(roots.withColumnRenamed("event_id", "other"), "other").groupBy("event_id").agg(F.min_by("root", F.struct("distance", "other")).alias("border"))
-    )
+    around = written(radius_counts(points, eps), "radius")
+    core = written(points.join(around.filter(F.col("n") + 1 >= min_samples), "event_id").select("event_id", "x"), "core")
+    rest = points.join(core.select("event_id"), "event_id", "left_anti")
+    roots = _labels(written(radius_links(core, eps), "links"), core)
+    edge = nearest(rest, 1, core).select("event_id", F.element_at("near", 1).alias("e")).filter(F.col("e.distance") <= eps)
+    edge = edge.select("event_id", F.col("e.other").alias("other")).join(roots.withColumnRenamed("event_id", "other"), "other")
+    border = roots.select("event_id", F.col("root").alias("border")).union(edge.select("event_id", "root"))
     order = roots.select("root").distinct().select("root", (F.dense_rank().over(_by("root")) - 1).alias("number"))
     named = points.select("event_id").join(border, "event_id", "left").join(order, F.col("border") == F.col("root"), "left")
     named = written(named.select("event_id", F.coalesce("number", F.lit(-1)).cast("int").alias("dbscan_cluster")), "clusters")

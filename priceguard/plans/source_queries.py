@@ -5,16 +5,18 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.clean import true
-from ..operators import evaluate
+from ..functions.features import FEATURES, engineer_features
+from ..operators import evaluate, neighbors
 from ..operators.forecast import Forecaster, hourly_prices, trimmed
 from ..operators.rules import validate
 from ..sources import experiments, trips
 from ..sources.fixtures import pricing_events as load
 from ..sources.fixtures import trip_records
 from ..sources.generator import write_csv
-from ..sources.scratch import new_folder
+from ..sources.scratch import new_folder, written
 from ..sources.store import PricingStore
 from .benchmark import union_all
+from .core_queries import _FEATURE_SQL as FEATURE_SQL
 from .core_queries import EVENT_COLUMNS
 from .pipeline import read_events
 from .registry import query
@@ -197,3 +199,18 @@ def trip_injection_counts(spark, d):
     both = truth.select("event_id", "anomaly_type", "actual_price", "expected_price").join(events.select("event_id", "surge_multiplier", "base_price"), "event_id")
     some = both.agg(F.count(F.lit(1)).alias("injected"), F.count_if(~right).cast("int").alias("wrong"))
     return all_.join(F.broadcast(some)).select("events", "ids", "injected", "labelled", "wrong")  # one row each
+
+
+_Z = ", ".join(f"(x{i} - avg(x{i}) OVER ()) / coalesce(nullif(stddev_pop(x{i}) OVER (), 0), 1) AS z{i}" for i in range(len(FEATURES)))
+_DISTANCE = " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(len(FEATURES)))
+_POINTS = f"""fx AS (SELECT event_id, {", ".join(f"({FEATURE_SQL[n]})::DOUBLE AS x{i}" for i, n in enumerate(FEATURES))} FROM pe),
+zs AS (SELECT event_id, {_Z} FROM fx),
+ds AS (SELECT a.event_id, sqrt({_DISTANCE}) AS d FROM zs a JOIN zs b ON a.event_id <> b.event_id)"""
+
+
+@query(with_(f"{PE},\n{_POINTS}", "SELECT event_id, round(list_max(min(d, 20)), 5) AS k_distance, count_if(d <= 1.5) AS within FROM ds GROUP BY event_id"))
+def neighbour_distances(spark, d):
+    """Distance of the twentieth nearest point and how many others lie within 1.5 (standardised features)."""
+    points = written(neighbors.standardise(engineer_features(load(spark, d))), "points")
+    far = neighbors.nearest(points, 20).select("event_id", F.round(F.element_at("near", -1)["distance"], 5).alias("k_distance"))
+    return far.join(neighbors.radius_counts(points, 1.5).withColumnRenamed("n", "within"), "event_id")

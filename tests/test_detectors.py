@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,18 @@ def test_band_holds_its_share():
     y = 10 + np.sin(2 * np.pi * h / 24) + rng.normal(0, 0.3, 500)
     _, low, high, *_ = fit_series(h, y, h)
     assert abs(((y >= low) & (y <= high)).mean() - 0.95) < 0.02
+
+
+def test_spanning_links_connect_what_is_close():
+    rng = np.random.default_rng(3)
+    for density in (0.0, 0.02, 0.1, 0.9):
+        close = rng.random((40, 30)) < density
+        rows, columns = neighbors.spanning_links(close)
+        name = {**{("r", i): ("r", i) for i in range(40)}, **{("c", j): ("c", j) for j in range(30)}}
+        for i, j in zip(*np.nonzero(close), strict=True):
+            a, b = name["r", i], name["c", j]
+            name = {k: a if v == b else v for k, v in name.items()}
+        for i in range(40):
+            assert rows[i] <= i and name["r", i] == name["r", rows[i]]
+            assert [rows[k] == rows[i] for k in range(40)] == [name["r", k] == name["r", i] for k in range(40)]
+        assert all((columns[j] < 0) == (not close[:, j].any()) and (columns[j] < 0 or name["c", j] == name["r", columns[j]]) for j in range(30))
