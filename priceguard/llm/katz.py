@@ -7,17 +7,27 @@ that makes every context sum to one.  Unigrams leave their Good-Turing mass to o
 unknown words.  A token is scored recursively: its bigram if seen, else the context's weight
 times its unigram, else times the unknown class.
 
+``train`` writes the model as tables partitioned by kind, whose rows are buckets: ``table``
+(words and counts), ``bigrams`` (contexts, words and counts) and ``weights`` (what a context's
+discounted counts are multiplied by, and its backoff weight).  ``score`` scores any texts from
+these tables; ``score_documents`` does both for one table of documents.
+
 No table of the corpus is broadcast.  Documents are taken in chunks of about ``CHUNK`` tokens
 whose distinct words or bigrams travel as packed arrays to hash buckets and meet the counts of
 all other chunks there; what comes back is one number per word, or one sum per document:
 
 1. words to word buckets: the unigram table, N, V and counts of counts;
 2. counts back to their chunks, which now know each word's unigram probability;
-3. bigrams to the buckets of their contexts, twice: for counts of counts, then for the
-   backoff weights and the scores.
+3. training bigrams to the buckets of their contexts: the bigram table and its counts of counts;
+4. that table, read where it lies: the weights of every context;
+5. all bigrams to the same buckets, where bigrams and weights are looked up: the scores.
+
+Bigram buckets follow the number of chunks, so that one bucket is about two chunks of bigrams.
+A context of more than ``HOT`` training tokens (and more than N / ``MOST_HOT``, so there are
+at most ``MOST_HOT``) is dealt by its next word over as many buckets as its count asks for;
+its parts' sums, a few numbers each, are added on the driver.
 
-The partitioned tables are written in the shared folder; each goes when the next step has what
-it needs of it, so the disk holds one of them and one shuffle.
+Tables are written in the shared folder; each goes when nothing needs it any more.
 
 Defined cases: null and empty texts have the end mark only; a null doc_id counts as held out;
 repeated rows are scored and counted each; without training tokens every token is unknown; an
@@ -26,6 +36,7 @@ empty table gives an empty table; other columns are ignored.
 
 import pickle
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +47,8 @@ from .hashing import BASE, batches_of_bytes, mixed, word_hashes
 from .storage import discard, materialize, sliced
 
 CHUNK = 2_000_000
+HOT = 500_000
+MOST_HOT = 100_000
 K = 5
 END = np.uint64(0x5DEECE66D1234567)
 
@@ -172,22 +185,19 @@ def _chunks(batches, buckets: int):
         yield close()
 
 
+def _each(batches):
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "data")), strict=True)
+
+
 def _by_bucket(batches):
     """(bucket, rows) of whole buckets from batches sorted by bucket."""
-    bucket, held = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "data")), strict=True):
-            if row[0] != bucket and held:
-                yield bucket, held
-                held = []
-            bucket = row[0]
-            held.append(row[1:])
-    if held:
-        yield bucket, held
+    for bucket, rows in groupby(_each(batches), key=lambda r: r[0]):
+        yield bucket, [r[1:] for r in rows]
 
 
 def _count_words(batches):
-    """Counts of each bucket's words: to their chunks, and as counts of counts."""
+    """Counts of each bucket's words: to their chunks, as counts of counts, and as the unigram table."""
     for bucket, rows in _by_bucket(batches):
         parts = [unpack(d) for _, _, d in rows]
         words, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -196,11 +206,41 @@ def _count_words(batches):
         out = [(bucket, chunk, "counts", pack(small(count[code[lo:hi]]))) for (chunk, _, _), lo, hi in zip(rows, cut[:-1], cut[1:], strict=True)]
         out.append((bucket, -1, "totals", pack(np.array([count.sum(), (count > 0).sum(), *np.bincount(count[count <= K + 1], minlength=K + 2)[1:]]))))
         yield _rows(out)
+        words, count = words[count > 0], count[count > 0]
         for lo in range(0, len(words), 100_000):
             keep = slice(lo, lo + 100_000)
             yield _rows([(bucket, -1, "table", pack(words[keep], small(count[keep])))])
 
 
+def _look_up_words(batches):
+    """Counts of the unigram table for the words that chunks of other texts ask for."""
+    for bucket, rows in _by_bucket(batches):
+        table = [unpack(d) for _, kind, d in rows if kind == "table"]
+        words = np.concatenate([t[0] for t in table] or [np.zeros(0, np.uint64)])
+        count = np.concatenate([t[1].astype(np.int64) for t in table] + [np.zeros(1, np.int64)])
+        order = np.argsort(words)
+        for chunk, kind, data in rows:
+            if kind == "words":
+                yield _rows([(bucket, chunk, "counts", pack(small(count[_found(words, order, unpack(data)[0])])))])
+
+
+def _found(keys: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where ``wanted`` stand among ``keys``, which ``order`` sorts; -1 for those not there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.searchsorted(keys, wanted, sorter=order)
+    at = order[np.minimum(at, len(keys) - 1)]
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _hot_words(batches, limit: int):
+    for bucket, chunk, kind, data in _each(batches):
+        words, count = unpack(data)
+        hot = count > limit
+        if hot.any():
+            yield _rows([(bucket, chunk, kind, pack(words[hot], count[hot]))])
+
+
 def _learn_counts(batches):
     """One row per chunk: its words with the counts that came back for them."""
     for chunk, rows in _by_bucket(batches):
@@ -210,103 +250,157 @@ def _learn_counts(batches):
         yield _rows([(chunk, chunk, "known", pack(small(count), *parts))])
 
 
-def _pairs(batches, model: Unigrams, buckets: int, scoring: bool):
-    """Per chunk: its bigrams for the context buckets and, when scoring, a row ``docs`` that passes through.
+# ---------------------------------------------------------------- bigrams
 
-    The words of bigrams travel as 48 bits: they are told apart within one context only.
-    """
-    for chunk, data in (row for b in batches for row in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist(), strict=True)):
+
+@dataclass(frozen=True)
+class Deal:
+    """How bigrams are dealt to buckets: by context, those of the hot contexts by next word too."""
+
+    buckets: int
+    hot: np.ndarray
+    parts: np.ndarray
+
+    def __call__(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        key, at = v, _found(self.hot, np.arange(len(self.hot)), v)
+        if (at >= 0).any():
+            part = (mixed(w) >> np.uint64(32)) * self.parts[at] >> np.uint64(32)
+            key = np.where(at >= 0, mixed(v + part * BASE), v)
+        return ((key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def bigram_parts(context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> list[np.ndarray]:
+    """Bigrams in order of context as arrays that pack well: contexts and their runs, words and their counts, places of words."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(context)), bool), context[1:] != context[:-1]]))
+    words, at, place = np.unique(word, return_index=True, return_inverse=True)
+    return [context[first], small(np.diff(np.append(first, len(context)))), words, small(lower[at]), small(place)]
+
+
+def opened(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, the word's own count) of bigrams packed by ``bigram_parts``."""
+    contexts, runs, words, lower, place = parts[:5]
+    return np.repeat(contexts, runs.astype(np.int64)), words[place], lower[place].astype(np.int64)
+
+
+def bigram_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(context * BASE + mixed(word))
+
+
+def _pairs(batches, model: "Trained", deal: Deal, scoring: bool):
+    """Per chunk: its bigrams for their buckets and, when scoring, a row ``docs`` that passes through."""
+    for _, chunk, _, data in _each(batches):
         count, words, code, lengths, known, ids, held = unpack(data)
         count, code, lengths = count.astype(np.int64), code.astype(np.int64), lengths.astype(np.int64)
         ends = np.cumsum(lengths) - 1
-        end = int(np.searchsorted(words, END))
         before = np.empty(len(code), np.int64)
         before[1:] = code[:-1]
-        before[ends - lengths + 1] = end
+        before[ends - lengths + 1] = int(np.searchsorted(words, END))
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        train = np.repeat(~held, lengths)
+        pair = before * len(words) + code
         if not scoring:
-            before, code, doc = before[train], code[train], doc[train]
-            train = train[train]
-        order = np.argsort(before * len(words) + code, kind="stable")
-        v, w = before[order], code[order]
-        fresh = np.flatnonzero((np.diff(v, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
-        times = np.diff(np.concatenate([fresh, [len(order)]]))
-        trained = np.add.reduceat(train[order].astype(np.int64), fresh) if len(fresh) else np.zeros(0, np.int64)
-        v, w = v[fresh], w[fresh]
-        out = []
+            pair = pair[np.repeat(~held, lengths)]
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        times = np.diff(np.append(first, len(pair)))
+        v, w = np.divmod(pair[first], len(words))
+        bucket = deal(words[v], words[w])
+        moved = np.argsort(bucket, kind="stable")
         if scoring:
             logs = np.log10((count + 0.1) / (model.total_tokens + 0.1 * (model.kinds + 1)))
             base = np.bincount(doc, logs[code], len(lengths))
             seen = np.bincount(doc, count[code] > 0, len(lengths)).astype(np.int64)
-            out.append((chunk, chunk, "docs", pack(known, ids, held, lengths, seen, base)))
-        met, cut = bucket_cuts(words[v], buckets)
-        started = np.concatenate([fresh, [len(order)]])
-        for b, lo, hi in zip(met, cut[:-1], cut[1:], strict=True):
-            contexts, context = np.unique(v[lo:hi], return_inverse=True)
-            parts = [words[contexts], small(context), words[w[lo:hi]] >> np.uint64(16), small(trained[lo:hi])]
+            yield _rows([(chunk, chunk, "docs", pack(known, ids, held, lengths, seen, base))])
+            doc = doc[order][np.argsort(np.repeat(bucket, times), kind="stable")]
+        v, w, times, bucket = v[moved], w[moved], times[moved], bucket[moved]
+        started = np.concatenate([[0], np.cumsum(times)])
+        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        out = []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            parts = [*bigram_parts(words[v[lo:hi]], words[w[lo:hi]], count[w[lo:hi]]), small(times[lo:hi])]
             if scoring:
-                parts += [small(count[w[lo:hi]]), small(times[lo:hi]), small(doc[order[started[lo] : started[hi]]])]
-            out.append((int(b), chunk, "pairs", pack(*parts)))
-        for lo in range(0, len(out), 16):
-            yield _rows(out[lo : lo + 16])
+                parts.append(small(doc[started[lo] : started[hi]]))
+            out.append((int(bucket[lo]), chunk, "pairs", pack(*parts)))
+            if len(out) == 16 or hi == len(bucket):
+                yield _rows(out)
+                out = []
 
 
-def _gather(rows):
-    """All bigrams of a bucket: contexts and words by hash, one code per bigram, and each message's parts."""
-    parts = [unpack(d) for _, _, d in rows]
-    context = np.concatenate([p[0][p[1].astype(np.int64)] for p in parts])
-    word = np.concatenate([p[2] for p in parts])
-    keys, first, code = np.unique(mixed(context * BASE + mixed(word)), return_index=True, return_inverse=True)
-    count = np.bincount(code, np.concatenate([p[3] for p in parts]).astype(np.float64), len(keys))
-    return parts, context, word, first, code, count
+def _count_pairs(batches, model: "Trained", hot: np.ndarray):
+    """The bigram table of each bucket, its counts of counts, and the sums of its parts of hot contexts."""
+    for bucket, rows in _by_bucket(batches):
+        parts = [unpack(d) for _, _, d in rows]
+        context, word, lower = (np.concatenate(x) for x in zip(*(opened(p) for p in parts), strict=True))
+        _, first, code = np.unique(bigram_keys(context, word), return_index=True, return_inverse=True)
+        count = np.bincount(code, np.concatenate([p[5] for p in parts]).astype(np.float64), len(first)).astype(np.int64)
+        del code, parts
+        order = np.argsort(context[first])
+        first, count = first[order], count[order]
+        context, word, lower = context[first], word[first], lower[first]
+        out = [(bucket, -1, "bigrams", pack(*bigram_parts(context, word, lower), small(count)))]
+        out.append((bucket, -1, "totals", pack(np.bincount(count[count <= K + 1], minlength=K + 2)[1:])))
+        mine = _found(hot, np.arange(len(hot)), context)
+        if (mine >= 0).any():
+            at, mine, count = mine[mine >= 0], np.flatnonzero(mine >= 0), count[mine >= 0]
+            names, at = np.unique(at, return_inverse=True)
+            sums = [np.bincount(at, count == r, len(names)) for r in range(1, K + 1)]
+            sums += [np.bincount(at, count * (count > K), len(names)), np.bincount(at, model.probability(lower[mine]), len(names))]
+            out.append((bucket, -1, "parts", pack(hot[names], *sums)))
+        yield _rows(out)
 
 
-def _count_pairs(batches):
-    """Counts of counts of each bucket's bigrams."""
-    for bucket, rows in _by_bucket(batches):
-        count = _gather(rows)[-1].astype(np.int64)
-        yield _rows([(bucket, -1, "totals", pack(np.bincount(count[(count > 0) & (count <= K + 1)], minlength=K + 2)[1:]))])
-
-
-def context_weights(context: np.ndarray, count: np.ndarray, lower: np.ndarray, table: list[float]):
-    """For bigrams with counts over 0: their probabilities, their contexts, and each context's backoff weight."""
-    contexts, code = np.unique(context, return_inverse=True)
-    total = np.bincount(code, count, len(contexts))
-    p = discounted(count, table) / total[code]
-    used = np.bincount(code, p, len(contexts))
-    left = np.maximum(1 - used, 1 / (total + 1))  # a context of high counts alone leaves one count's share
-    p *= ((1 - left) / used)[code]
-    free = np.maximum(1 - np.bincount(code, lower, len(contexts)), 1e-12)
-    return p, contexts, left / free
-
-
-def _score_pairs(batches, model: Unigrams, table: list[float]):
-    """Sums of log10 probabilities per document of each message."""
-    for _bucket, rows in _by_bucket(batches):
-        for row in rows:
-            if row[1] == "docs":
-                yield _rows([(row[0], *row)])
-        rows = [r for r in rows if r[1] == "pairs"]
-        if not rows:
-            continue
-        parts, context, _, first, code, count = _gather(rows)
-        lower = model.probability(np.concatenate([p[4] for p in parts]).astype(np.int64))
-        trained = count > 0
-        p = np.zeros(len(count))
-        at = first[trained]
-        p[trained], contexts, weight = context_weights(context[at], count[trained], lower[at], table)
-        place = np.searchsorted(contexts, context)
-        place[place == len(contexts)] = 0
-        alpha = np.where(contexts[place] == context, weight[place], 1.0) if len(contexts) else np.ones(len(context))
-        logs = np.log10(np.where(p[code] > 0, p[code], alpha * lower))
-        start = 0
-        for (chunk, _, _), part in zip(rows, parts, strict=True):
-            own = logs[start : start + len(part[2])]
-            start += len(part[2])
-            doc, sums = np.unique(part[6].astype(np.int64), return_inverse=True)
-            total = np.bincount(sums, np.repeat(own, part[5].astype(np.int64)), len(doc))
-            yield _rows([(chunk, chunk, "sums", pack(small(doc), total))])
+def context_weights(total: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factor of the discounted counts, and backoff weight, of contexts.
+
+    ``total`` sums a context's counts, ``kept`` its discounted counts, ``lower`` the unigram
+    probabilities of its seen words.  A context of high counts alone leaves one count's share.
+    """
+    left = np.maximum(1 - kept / total, 1 / (total + 1))
+    return (1 - left) / kept, left / np.maximum(1 - lower, 1e-12)
+
+
+def _weigh(batches, model: "Trained", table: list[float], hot: tuple):
+    """Per row of the bigram table: the weights of its contexts; hot contexts bring their sums over all buckets."""
+    for bucket, chunk, _, data in _each(batches):
+        parts = unpack(data)
+        contexts, (context, _, lower), count = parts[0], opened(parts), parts[5].astype(np.int64)
+        at = np.searchsorted(contexts, context)
+        sums = [np.bincount(at, x, len(contexts)) for x in (count, discounted(count.astype(np.float64), table), model.probability(lower))]
+        place = _found(hot[0], np.arange(len(hot[0])), contexts)
+        sums = [np.where(place >= 0, whole[place], own) if len(whole) else own for own, whole in zip(sums, hot[1:], strict=True)]
+        yield _rows([(bucket, chunk, "weights", pack(contexts, *context_weights(*sums)))])
+
+
+def _score_pairs(batches, model: "Trained", table: list[float]):
+    """Sums of log10 probabilities per document of each message, from the bigrams and weights of its bucket.
+
+    Recursive per token: the bigram if it is in the table, else the context's weight times the unigram.
+    """
+    for _bucket, rows in groupby(_each(batches), key=lambda r: r[0]):
+        keys, chance, contexts, weight = (np.zeros(0, np.uint64), np.zeros(1)) * 2
+        stored = {}
+        for _, chunk, kind, data in rows:
+            if kind == "docs":
+                yield _rows([(chunk, chunk, kind, data)])
+            elif kind != "pairs":  # the model's rows come before all chunks
+                stored[kind] = unpack(data)
+                if len(stored) == 2:
+                    context, word, _ = opened(stored["bigrams"])
+                    contexts, factor, weight = stored["weights"]
+                    chance = discounted(stored["bigrams"][5].astype(np.float64), table) * factor[np.searchsorted(contexts, context)]
+                    keys = bigram_keys(context, word)
+                    order = np.argsort(keys)
+                    keys, chance = keys[order], np.append(chance[order], 0.0)
+                    weight, stored = np.append(weight, 1.0), {}
+            else:
+                parts = unpack(data)
+                context, word, lower = opened(parts)
+                p = chance[_found(keys, np.arange(len(keys)), bigram_keys(context, word))]
+                alpha = weight[_found(contexts, np.arange(len(contexts)), context)] if len(contexts) else 1.0
+                logs = np.log10(np.where(p > 0, p, alpha * model.probability(lower)))
+                doc, at = np.unique(parts[6].astype(np.int64), return_inverse=True)
+                total = np.bincount(at, np.repeat(logs, parts[5].astype(np.int64)), len(doc))
+                yield _rows([(chunk, chunk, "sums", pack(small(doc), total))])
 
 
 def _finish(batches, total: int):
@@ -335,39 +429,130 @@ class Trained(Unigrams):
     total_tokens: int = 0
 
 
+@dataclass(frozen=True)
+class Katz:
+    """A trained model: totals and discounts, and the written tables of words, bigrams and weights."""
+
+    totals: Trained
+    discounts: tuple
+    word_buckets: int
+    deal: Deal
+    words: DataFrame
+    bigrams: DataFrame
+    weights: DataFrame
+
+    def discard(self) -> None:
+        """Delete the tables."""
+        for table in (self.words, self.bigrams, self.weights):
+            discard(table)
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "chunk")
 
 
+def _kind(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.filter(F.col("kind") == kind)
+
+
+def _small_rows(rows: DataFrame):
+    """Rows whose number and size have a bound of their own, for the driver."""
+    return (unpack(r["data"]) for r in rows.select("data").toLocalIterator())
+
+
 def _totals(rows: DataFrame) -> list[int]:
     """Sum of the small ``totals`` rows, one of a few numbers for each bucket."""
-    found = [unpack(r["data"])[0].astype(object) for r in rows.filter("kind = 'totals'").select("data").toLocalIterator()]
-    return list(sum(found[1:], start=found[0])) if found else [0] * (K + 3)
+    found = [0] * (K + 3)
+    for (n,) in _small_rows(_kind(rows, "totals")):
+        found = [a + int(b) for a, b in zip(found, n, strict=False)]
+    return found
 
 
-def score_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, learned from the documents not held out."""
+def _cut(docs: DataFrame, buckets: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), "text")
+    return materialize(rows.mapInArrow(lambda b: _chunks(b, buckets), _ROW), "chunks", by="kind")
+
+
+def _with_counts(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+    own = F.struct(F.col("chunk").alias("bucket"), F.col("bucket").alias("chunk"), "kind", "data")
+    parts = _kind(chunks, "chunk").union(_kind(counts, "counts")).select(own.alias("r")).select("r.*")
+    return materialize(_dealt(parts).mapInArrow(_learn_counts, _ROW), "known")
+
+
+def _deal(words: DataFrame, total: int, buckets: int) -> Deal:
+    """Hot contexts and their parts; a word is followed as often as it occurs."""
+    limit = max(HOT, total // MOST_HOT)
+    found = list(_small_rows(_kind(words, "table").mapInArrow(lambda b: _hot_words(b, limit), _ROW)))
+    hot = np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint64)])
+    count = np.concatenate([f[1].astype(np.int64) for f in found] or [np.zeros(0, np.int64)])
+    order = np.argsort(hot)
+    return Deal(buckets, hot[order], (-(-count[order] // limit)).astype(np.uint64))
+
+
+def _hot_sums(bigrams: DataFrame, hot: np.ndarray, table: list[float]) -> tuple:
+    """(contexts, sums of counts, of discounted counts, of unigram probabilities) of the hot contexts."""
+    sums = np.zeros((K + 2, len(hot)))
+    for names, *parts in _small_rows(_kind(bigrams, "parts")):
+        sums[:, np.searchsorted(hot, names)] += parts
+    r = np.arange(1, K + 1)
+    return hot, r @ sums[:K] + sums[K], (r * table[1:]) @ sums[:K] + sums[K], sums[K + 1]
+
+
+def _learn(docs: DataFrame, buckets: int | None) -> tuple[Katz, DataFrame]:
+    """The model of the documents not held out, and all documents as chunks that know their words' counts."""
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), "text")
-    chunks = materialize(rows.mapInArrow(lambda b: _chunks(b, buckets), _ROW), "chunks", by="kind")
-    counted = materialize(_dealt(chunks.filter("kind = 'words'")).mapInArrow(_count_words, _ROW), "unigrams")
+    chunks = _cut(docs, buckets)
+    words = materialize(_dealt(_kind(chunks, "words")).mapInArrow(_count_words, _ROW), "unigrams", by="kind")
     discard(chunks, "kind=words")
-    total, kinds, *n = (int(x) for x in _totals(counted))
+    total, kinds, *n = _totals(words)
     uni = unigram_totals(dict(enumerate(n, 1)), total, kinds)
     model = Trained(uni.total, uni.kinds, uni.table, uni.known_mass, total)
-    own = F.struct(F.col("chunk").alias("bucket"), F.col("bucket").alias("chunk"), "kind", "data")
-    parts = chunks.filter("kind = 'chunk'").union(counted.filter("kind = 'counts'")).select(own.alias("r")).select("r.*")
-    known = materialize(_dealt(parts).mapInArrow(_learn_counts, _ROW), "known")
+    deal = _deal(words, total, max(buckets, _kind(chunks, "chunk").count() // 2))
+    known = _with_counts(chunks, words)
     discard(chunks)
-    discard(counted)
-    pairs = known.mapInArrow(lambda b: _pairs(b, model, buckets, False), _ROW)
-    found = materialize(_dealt(pairs).mapInArrow(_count_pairs, _ROW), "bigram-totals")
-    table = discounts(dict(enumerate((int(x) for x in _totals(found)), 1)))
-    pairs = known.mapInArrow(lambda b: _pairs(b, model, buckets, True), _ROW)
-    sums = materialize(_dealt(pairs).mapInArrow(lambda b: _score_pairs(b, model, table), _ROW), "sums")
+    discard(words, "kind=counts")
+    pairs = known.mapInArrow(lambda b: _pairs(b, model, deal, False), _ROW)
+    bigrams = materialize(_dealt(pairs).mapInArrow(lambda b: _count_pairs(b, model, deal.hot), _ROW), "bigrams", by="kind")
+    table = discounts(dict(enumerate(_totals(bigrams), 1)))
+    hot = _hot_sums(bigrams, deal.hot, table)
+    weights = materialize(_kind(bigrams, "bigrams").mapInArrow(lambda b: _weigh(b, model, table, hot), _ROW), "weights", by="kind")
+    return Katz(model, tuple(table), buckets, deal, words, bigrams, weights), known
+
+
+def _score(known: DataFrame, model: Katz) -> DataFrame:
+    totals, table, deal = model.totals, list(model.discounts), model.deal
+    pairs = known.mapInArrow(lambda b: _pairs(b, totals, deal, True), _ROW)
+    met = pairs.union(_kind(model.bigrams, "bigrams")).union(model.weights)
+    sums = materialize(_dealt(met).mapInArrow(lambda b: _score_pairs(b, totals, table), _ROW), "sums")
     discard(known)
     return _dealt(sums).mapInArrow(
-        lambda b: _finish(b, total),
+        lambda b: _finish(b, totals.total_tokens),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+
+
+def train(docs: DataFrame, buckets: int | None = None) -> Katz:
+    """A model of the documents that are not held out; ``discard()`` deletes its tables."""
+    model, known = _learn(docs, buckets)
+    discard(known)
+    return model
+
+
+def score(docs: DataFrame, model: Katz) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of any documents, from a model's tables."""
+    chunks = _cut(docs, model.word_buckets)
+    met = _kind(chunks, "words").union(_kind(model.words, "table"))
+    counts = materialize(_dealt(met).mapInArrow(_look_up_words, _ROW), "counts")
+    known = _with_counts(chunks, counts)
+    discard(chunks)
+    discard(counts)
+    return _score(known, model)
+
+
+def score_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, learned from the documents not held out."""
+    model, known = _learn(docs, buckets)
+    out = _score(known, model)
+    model.discard()
+    return out

@@ -359,33 +359,55 @@ def test_anchor_runs_hold_every_window_once(texts):
     assert got == collections.Counter((n, p) for n, t in enumerate(raw) for p in range(len(t) - 15))
 
 
-def katz_by_hand(rows):
+def good_turing(counts):
+    """Discounted value of counts 1..5 by Katz's formula, in plain Python; thin counts of counts keep r - 1/2."""
+    n = collections.Counter(counts)
+    out = {}
+    for r in range(1, 6):
+        out[r] = r - 0.5
+        if n[1] and n[r]:
+            common = 6 * n[6] / n[1]
+            if common < 1:
+                d = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common)
+                if 0 < d < 1:
+                    out[r] = r * d
+    return out
+
+
+def katz_by_hand(rows, others=None):
+    """Scores of ``others`` (or of the rows themselves) under a model of the rows, with dictionaries only."""
     end = ("end",)
-    tokens = [(i, WORD.findall((t or "").translate(LOWER)) + [end]) for i, t in rows]
-    held = [i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in tokens]
+
+    def cut(rows):
+        held = [i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+        return [(i, h, WORD.findall((t or "").translate(LOWER)) + [end]) for (i, t), h in zip(rows, held, strict=True)]
+
     uni, bi = collections.Counter(), collections.Counter()
-    for (_, w), h in zip(tokens, held, strict=True):
+    for _, h, w in cut(rows):
         if not h:
             uni.update(w)
             bi.update(zip([end, *w], w, strict=False))
-    total = sum(uni.values())
-    model = katz.unigram_totals(collections.Counter(uni.values()), total, len(uni))
-    lower = lambda w: float(model.probability(np.array([uni[w]]))[0])
-    table, follow = katz.discounts(collections.Counter(bi.values())), collections.defaultdict(dict)
+    total, less = sum(uni.values()), good_turing(uni.values())
+    if sum(c - less.get(c, c) for c in uni.values()) < 0.5:
+        less = {r: r - 0.5 for r in range(1, 6)}
+    mass = {w: less.get(c, c) / total for w, c in uni.items()}
+    unknown = 1 - sum(mass.values())
+    lower = lambda w: mass.get(w, unknown)
+    less, follow = good_turing(bi.values()), collections.defaultdict(dict)
     for (v, w), c in bi.items():
         follow[v][w] = c
     p, alpha = {}, {}
     for v, m in follow.items():
         n = sum(m.values())
-        q = {w: c * (table[c] if c < len(table) else 1) / n for w, c in m.items()}
+        q = {w: less.get(c, c) / n for w, c in m.items()}
         used = sum(q.values())
         left = max(1 - used, 1 / (n + 1))
         p[v] = {w: x * (1 - left) / used for w, x in q.items()}
         alpha[v] = left / (1 - sum(lower(w) for w in m))
-        others = 1 - sum(lower(w) for w in m)
-        assert abs(sum(p[v].values()) + alpha[v] * others - 1) < 1e-9  # exactly normalised
+        free = 1 - sum(lower(w) for w in m)
+        assert abs(sum(p[v].values()) + alpha[v] * free - 1) < 1e-9  # exactly normalised
     out = []
-    for (i, w), h in zip(tokens, held, strict=True):
+    for i, h, w in cut(others or rows):
         base = sum(math.log10((uni[x] + 0.1) / (total + 0.1 * (len(uni) + 1))) for x in w)
         score, v = 0.0, end
         for x in w:
@@ -395,18 +417,41 @@ def katz_by_hand(rows):
     return out
 
 
-def test_katz(corpus, messy, empty, monkeypatch):
+def same_scores(got, want):
+    key = lambda r: tuple((x is None, round(x, 6) if x is not None else 0) for x in r)
+    for g, w in zip(sorted((tuple(r) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5] and np.allclose(g[5:], w[5:], rtol=1e-9)
+
+
+@pytest.mark.parametrize("hot", [10**9, 12])
+def test_katz(corpus, messy, empty, monkeypatch, hot):
     monkeypatch.setattr(katz, "CHUNK", 3000)
+    monkeypatch.setattr(katz, "HOT", hot)
     for docs in (corpus.repartition(3), messy):
         rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-        key = lambda r: tuple((x is None, round(x, 6) if x is not None else 0) for x in r)
-        got = sorted((tuple(r) for r in katz.score_documents(docs).collect()), key=key)
-        want = sorted(katz_by_hand(rows), key=key)
-        for g, w in zip(got, want, strict=True):
-            assert g[:5] == w[:5] and np.allclose(g[5:], w[5:], rtol=1e-9)
+        same_scores(katz.score_documents(docs).collect(), katz_by_hand(rows))
     assert katz.score_documents(empty).count() == 0
 
 
+def test_katz_tables_score_other_texts(spark, corpus, messy, empty, monkeypatch):
+    monkeypatch.setattr(katz, "CHUNK", 3000)
+    monkeypatch.setattr(katz, "HOT", 40)
+    rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
+    model = katz.train(corpus)
+    assert len(model.deal.hot) and model.deal.parts.max() > 1
+    other = [(1, "one two " + rows[3][1]), (2, rows[8][1] + " " + rows[9][1].upper()), (3, None)]
+    for docs in (spark.createDataFrame(other, "doc_id long, text string"), messy):
+        same_scores(katz.score(docs, model).collect(), katz_by_hand(rows, [(r["doc_id"], r["text"]) for r in docs.collect()]))
+    assert katz.score(empty, model).count() == 0
+    words, pairs = collections.Counter(), 0
+    for r in model.words.filter("kind = 'table'").collect():
+        words.update(katz.unpack(r["data"])[1].tolist())
+    for r in model.bigrams.filter("kind = 'bigrams'").collect():
+        pairs += int(katz.unpack(r["data"])[5].sum())
+    assert sum(c * n for c, n in words.items()) == pairs == model.totals.total_tokens
+    model.discard()
+
+
 def test_katz_without_training(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = katz.score_documents(spark.createDataFrame([(held, "a b a")], "doc_id long, text string")).first()
