@@ -16,8 +16,8 @@ No table of the corpus is broadcast.  Documents are taken in chunks of about ``C
 whose distinct words or bigrams travel as packed arrays to hash buckets and meet the counts of
 all other chunks there; what comes back is one number per word, or one sum per document:
 
-1. words to word buckets: the unigram table, N, V and counts of counts;
-2. counts back to their chunks, which now know each word's unigram probability;
+1. words to word buckets: the unigram table, which numbers the words, N, V and counts of counts;
+2. counts and numbers back to their chunks, which now know each word's unigram probability;
 3. training bigrams to the buckets of their contexts: the bigram table and its counts of counts;
 4. that table, read where it lies: the weights of every context;
 5. all bigrams to the same buckets, where bigrams and weights are looked up: the scores.
@@ -202,26 +202,35 @@ def _count_words(batches):
         parts = [unpack(d) for _, _, d in rows]
         words, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         count = np.bincount(code, np.concatenate([p[1] for p in parts]).astype(np.float64), len(words)).astype(np.int64)
+        order = np.argsort(-count, kind="stable")[: (count > 0).sum()]
+        place = np.zeros(len(words), np.int64)
+        place[order] = np.arange(1, len(order) + 1)
         cut = np.cumsum([0] + [len(p[0]) for p in parts])
-        out = [(bucket, chunk, "counts", pack(small(count[code[lo:hi]]))) for (chunk, _, _), lo, hi in zip(rows, cut[:-1], cut[1:], strict=True)]
+        out = [(bucket, chunk, "counts", pack(small(count[code[lo:hi]]), small(place[code[lo:hi]]))) for (chunk, _, _), lo, hi in zip(rows, cut[:-1], cut[1:], strict=True)]
         out.append((bucket, -1, "totals", pack(np.array([count.sum(), (count > 0).sum(), *np.bincount(count[count <= K + 1], minlength=K + 2)[1:]]))))
         yield _rows(out)
-        words, count = words[count > 0], count[count > 0]
-        for lo in range(0, len(words), 100_000):
-            keep = slice(lo, lo + 100_000)
-            yield _rows([(bucket, -1, "table", pack(words[keep], small(count[keep])))])
+        for lo in range(0, len(order), 100_000):
+            keep = order[lo : lo + 100_000]
+            yield _rows([(bucket, -1, "table", pack(words[keep], small(count[keep]), np.array([lo])))])
+
+
+def word_numbers(place: np.ndarray, bucket, buckets: int) -> np.ndarray:
+    """Number of the word at a place (from 1) of its bucket's table, small for frequent words; 0 if it is in no table."""
+    return np.where(place > 0, (place.astype(np.uint64) - np.uint64(1)) * np.uint64(buckets) + np.uint64(bucket) + np.uint64(1), np.uint64(0))
 
 
 def _look_up_words(batches):
-    """Counts of the unigram table for the words that chunks of other texts ask for."""
+    """Counts and places of the unigram table for the words that chunks of other texts ask for."""
     for bucket, rows in _by_bucket(batches):
         table = [unpack(d) for _, kind, d in rows if kind == "table"]
         words = np.concatenate([t[0] for t in table] or [np.zeros(0, np.uint64)])
         count = np.concatenate([t[1].astype(np.int64) for t in table] + [np.zeros(1, np.int64)])
+        place = np.concatenate([t[2][0] + np.arange(1, len(t[0]) + 1) for t in table] + [np.zeros(1, np.int64)])
         order = np.argsort(words)
         for chunk, kind, data in rows:
             if kind == "words":
-                yield _rows([(bucket, chunk, "counts", pack(small(count[_found(words, order, unpack(data)[0])])))])
+                at = _found(words, order, unpack(data)[0])
+                yield _rows([(bucket, chunk, "counts", pack(small(count[at]), small(place[at])))])
 
 
 def _found(keys: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -233,21 +242,23 @@ def _found(keys: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _hot_words(batches, limit: int):
+def _hot_words(batches, limit: int, buckets: int):
     for bucket, chunk, kind, data in _each(batches):
-        words, count = unpack(data)
-        hot = count > limit
-        if hot.any():
-            yield _rows([(bucket, chunk, kind, pack(words[hot], count[hot]))])
+        _, count, (start,) = unpack(data)
+        hot = np.flatnonzero(count > limit)
+        if len(hot):
+            yield _rows([(bucket, chunk, kind, pack(word_numbers(start + hot + 1, bucket, buckets), count[hot]))])
 
 
-def _learn_counts(batches):
-    """One row per chunk: its words with the counts that came back for them."""
+def _learn_counts(batches, buckets: int):
+    """One row per chunk: its words as numbers with the counts that came back for them; the unknown ones become one."""
     for chunk, rows in _by_bucket(batches):
-        parts = next(unpack(d) for _, kind, d in rows if kind == "chunk")
-        counts = [(b, unpack(d)[0]) for b, kind, d in rows if kind == "counts"]
-        count = np.concatenate([c.astype(np.int64) for _, c in sorted(counts, key=lambda x: x[0])])
-        yield _rows([(chunk, chunk, "known", pack(small(count), *parts))])
+        words, code, *parts = next(unpack(d) for _, kind, d in rows if kind == "chunk")
+        came = sorted((b, unpack(d)) for b, kind, d in rows if kind == "counts")
+        count = np.concatenate([c.astype(np.int64) for _, (c, _) in came])
+        number, first, own = np.unique(np.concatenate([word_numbers(p, b, buckets) for b, (_, p) in came]), return_index=True, return_inverse=True)
+        end = own[np.searchsorted(words, END)]
+        yield _rows([(chunk, chunk, "known", pack(small(steps(number)), small(count[first]), np.array([end]), small(own[code]), *parts))])
 
 
 # ---------------------------------------------------------------- bigrams
@@ -262,62 +273,71 @@ class Deal:
     parts: np.ndarray
 
     def __call__(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        key, at = v, _found(self.hot, np.arange(len(self.hot)), v)
+        key, at = mixed(v * BASE), _found(self.hot, np.arange(len(self.hot)), v)
         if (at >= 0).any():
-            part = (mixed(w) >> np.uint64(32)) * self.parts[at] >> np.uint64(32)
-            key = np.where(at >= 0, mixed(v + part * BASE), v)
+            part = (mixed(w * BASE) >> np.uint64(32)) * self.parts[at] >> np.uint64(32)
+            key = np.where(at >= 0, mixed(key + part * BASE), key)
         return ((key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
 def bigram_parts(context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> list[np.ndarray]:
-    """Bigrams in order of context as arrays that pack well: contexts and their runs, words and their counts, places of words."""
+    """Bigrams in order of context as arrays that pack well: steps between contexts, their runs, words and the words' counts."""
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(context)), bool), context[1:] != context[:-1]]))
-    words, at, place = np.unique(word, return_index=True, return_inverse=True)
-    return [context[first], small(np.diff(np.append(first, len(context)))), words, small(lower[at]), small(place)]
+    return [small(steps(context[first])), small(np.diff(np.append(first, len(context)))), small(word), small(lower)]
 
 
 def opened(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, word, the word's own count) of bigrams packed by ``bigram_parts``."""
-    contexts, runs, words, lower, place = parts[:5]
-    return np.repeat(contexts, runs.astype(np.int64)), words[place], lower[place].astype(np.int64)
+    contexts, runs, word, lower = parts[:4]
+    return np.repeat(np.cumsum(contexts.astype(np.uint64)), runs.astype(np.int64)), word.astype(np.uint64), lower.astype(np.int64)
 
 
 def bigram_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mixed(context * BASE + mixed(word))
+    return mixed(context * BASE + mixed(word + np.uint64(1)))
 
 
 def _pairs(batches, model: "Trained", deal: Deal, scoring: bool):
-    """Per chunk: its bigrams for their buckets and, when scoring, a row ``docs`` that passes through."""
+    """Per chunk: its bigrams for their buckets and, when scoring, a row ``docs`` that passes through.
+
+    Unknown contexts weigh one, so what follows them is scored here.
+    """
     for _, chunk, _, data in _each(batches):
-        count, words, code, lengths, known, ids, held = unpack(data)
+        number, count, (end,), code, lengths, known, ids, held = unpack(data)
+        number = np.cumsum(number.astype(np.uint64))
         count, code, lengths = count.astype(np.int64), code.astype(np.int64), lengths.astype(np.int64)
         ends = np.cumsum(lengths) - 1
         before = np.empty(len(code), np.int64)
         before[1:] = code[:-1]
-        before[ends - lengths + 1] = int(np.searchsorted(words, END))
+        before[ends - lengths + 1] = end
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        pair = before * len(words) + code
-        if not scoring:
-            pair = pair[np.repeat(~held, lengths)]
+        after_unknown = number[before] == 0
+        if scoring:
+            logs = np.log10((count + 0.1) / (model.total_tokens + 0.1 * (model.kinds + 1)))
+            base = np.bincount(doc, logs[code], len(lengths))
+            seen = np.bincount(doc, count[code] > 0, len(lengths)).astype(np.int64)
+            own = np.bincount(doc[after_unknown], np.log10(model.probability(count[code[after_unknown]])), len(lengths))
+            yield _rows([(chunk, chunk, "docs", pack(known, ids, held, lengths, seen, base, own))])
+        taken = np.flatnonzero(~after_unknown if scoring else np.repeat(~held, lengths))
+        pair = before[taken] * len(number) + code[taken]
         order = np.argsort(pair, kind="stable")
         pair = pair[order]
         first = np.flatnonzero(np.diff(pair, prepend=-1))
         times = np.diff(np.append(first, len(pair)))
-        v, w = np.divmod(pair[first], len(words))
-        bucket = deal(words[v], words[w])
+        v, w = np.divmod(pair[first], len(number))
+        bucket = deal(number[v], number[w])
         moved = np.argsort(bucket, kind="stable")
         if scoring:
-            logs = np.log10((count + 0.1) / (model.total_tokens + 0.1 * (model.kinds + 1)))
-            base = np.bincount(doc, logs[code], len(lengths))
-            seen = np.bincount(doc, count[code] > 0, len(lengths)).astype(np.int64)
-            yield _rows([(chunk, chunk, "docs", pack(known, ids, held, lengths, seen, base))])
-            doc = doc[order][np.argsort(np.repeat(bucket, times), kind="stable")]
+            doc = doc[taken[order]][np.argsort(np.repeat(bucket, times), kind="stable")]
         v, w, times, bucket = v[moved], w[moved], times[moved], bucket[moved]
         started = np.concatenate([[0], np.cumsum(times)])
         cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         out = []
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            parts = [*bigram_parts(words[v[lo:hi]], words[w[lo:hi]], count[w[lo:hi]]), small(times[lo:hi])]
+            parts = [*bigram_parts(number[v[lo:hi]], number[w[lo:hi]], count[w[lo:hi]]), small(times[lo:hi])]
             if scoring:
                 parts.append(small(doc[started[lo] : started[hi]]))
             out.append((int(bucket[lo]), chunk, "pairs", pack(*parts)))
@@ -332,9 +352,9 @@ def _count_pairs(batches, model: "Trained", hot: np.ndarray):
         parts = [unpack(d) for _, _, d in rows]
         context, word, lower = (np.concatenate(x) for x in zip(*(opened(p) for p in parts), strict=True))
         _, first, code = np.unique(bigram_keys(context, word), return_index=True, return_inverse=True)
-        count = np.bincount(code, np.concatenate([p[5] for p in parts]).astype(np.float64), len(first)).astype(np.int64)
+        count = np.bincount(code, np.concatenate([p[4] for p in parts]).astype(np.float64), len(first)).astype(np.int64)
         del code, parts
-        order = np.argsort(context[first])
+        order = np.lexsort((word[first], context[first]))
         first, count = first[order], count[order]
         context, word, lower = context[first], word[first], lower[first]
         out = [(bucket, -1, "bigrams", pack(*bigram_parts(context, word, lower), small(count)))]
@@ -363,21 +383,23 @@ def _weigh(batches, model: "Trained", table: list[float], hot: tuple):
     """Per row of the bigram table: the weights of its contexts; hot contexts bring their sums over all buckets."""
     for bucket, chunk, _, data in _each(batches):
         parts = unpack(data)
-        contexts, (context, _, lower), count = parts[0], opened(parts), parts[5].astype(np.int64)
-        at = np.searchsorted(contexts, context)
+        (context, _, lower), count = opened(parts), parts[4].astype(np.int64)
+        contexts, at = np.unique(context, return_inverse=True)
         sums = [np.bincount(at, x, len(contexts)) for x in (count, discounted(count.astype(np.float64), table), model.probability(lower))]
         place = _found(hot[0], np.arange(len(hot[0])), contexts)
         sums = [np.where(place >= 0, whole[place], own) if len(whole) else own for own, whole in zip(sums, hot[1:], strict=True)]
         yield _rows([(bucket, chunk, "weights", pack(contexts, *context_weights(*sums)))])
 
 
-def _score_pairs(batches, model: "Trained", table: list[float]):
+def _score_pairs(batches, model: "Trained", table: list[float], hot: np.ndarray, hot_weight: np.ndarray):
     """Sums of log10 probabilities per document of each message, from the bigrams and weights of its bucket.
 
+    A bucket may hold no bigram of a hot context, part of which it is; that context's weight comes along.
+
     Recursive per token: the bigram if it is in the table, else the context's weight times the unigram.
     """
     for _bucket, rows in groupby(_each(batches), key=lambda r: r[0]):
-        keys, chance, contexts, weight = (np.zeros(0, np.uint64), np.zeros(1)) * 2
+        keys, chance, contexts, weight = np.zeros(0, np.uint64), np.zeros(1), np.zeros(0, np.uint64), np.ones(1)
         stored = {}
         for _, chunk, kind, data in rows:
             if kind == "docs":
@@ -387,7 +409,7 @@ def _score_pairs(batches, model: "Trained", table: list[float]):
                 if len(stored) == 2:
                     context, word, _ = opened(stored["bigrams"])
                     contexts, factor, weight = stored["weights"]
-                    chance = discounted(stored["bigrams"][5].astype(np.float64), table) * factor[np.searchsorted(contexts, context)]
+                    chance = discounted(stored["bigrams"][4].astype(np.float64), table) * factor[np.searchsorted(contexts, context)]
                     keys = bigram_keys(context, word)
                     order = np.argsort(keys)
                     keys, chance = keys[order], np.append(chance[order], 0.0)
@@ -396,17 +418,19 @@ def _score_pairs(batches, model: "Trained", table: list[float]):
                 parts = unpack(data)
                 context, word, lower = opened(parts)
                 p = chance[_found(keys, np.arange(len(keys)), bigram_keys(context, word))]
-                alpha = weight[_found(contexts, np.arange(len(contexts)), context)] if len(contexts) else 1.0
+                alpha = weight[_found(contexts, np.arange(len(contexts)), context)]
+                at = _found(hot, np.arange(len(hot)), context)
+                alpha[at >= 0] = hot_weight[at[at >= 0]]
                 logs = np.log10(np.where(p > 0, p, alpha * model.probability(lower)))
-                doc, at = np.unique(parts[6].astype(np.int64), return_inverse=True)
-                total = np.bincount(at, np.repeat(logs, parts[5].astype(np.int64)), len(doc))
+                doc, at = np.unique(parts[5].astype(np.int64), return_inverse=True)
+                total = np.bincount(at, np.repeat(logs, parts[4].astype(np.int64)), len(doc))
                 yield _rows([(chunk, chunk, "sums", pack(small(doc), total))])
 
 
 def _finish(batches, total: int):
     for _chunk, rows in _by_bucket(batches):
-        known, ids, held, lengths, seen, base = next(unpack(d) for _, kind, d in rows if kind == "docs")
-        score = np.zeros(len(lengths))
+        known, ids, held, lengths, seen, base, score = next(unpack(d) for _, kind, d in rows if kind == "docs")
+        score = score.astype(np.float64)
         for _, kind, data in sorted(rows, key=lambda r: r[2]):
             if kind == "sums":
                 doc, sums = unpack(data)
@@ -437,6 +461,7 @@ class Katz:
     discounts: tuple
     word_buckets: int
     deal: Deal
+    hot_weights: np.ndarray
     words: DataFrame
     bigrams: DataFrame
     weights: DataFrame
@@ -473,16 +498,16 @@ def _cut(docs: DataFrame, buckets: int) -> DataFrame:
     return materialize(rows.mapInArrow(lambda b: _chunks(b, buckets), _ROW), "chunks", by="kind")
 
 
-def _with_counts(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+def _with_counts(chunks: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
     own = F.struct(F.col("chunk").alias("bucket"), F.col("bucket").alias("chunk"), "kind", "data")
     parts = _kind(chunks, "chunk").union(_kind(counts, "counts")).select(own.alias("r")).select("r.*")
-    return materialize(_dealt(parts).mapInArrow(_learn_counts, _ROW), "known")
+    return materialize(_dealt(parts).mapInArrow(lambda b: _learn_counts(b, buckets), _ROW), "known")
 
 
-def _deal(words: DataFrame, total: int, buckets: int) -> Deal:
+def _deal(words: DataFrame, total: int, word_buckets: int, buckets: int) -> Deal:
     """Hot contexts and their parts; a word is followed as often as it occurs."""
     limit = max(HOT, total // MOST_HOT)
-    found = list(_small_rows(_kind(words, "table").mapInArrow(lambda b: _hot_words(b, limit), _ROW)))
+    found = list(_small_rows(_kind(words, "table").mapInArrow(lambda b: _hot_words(b, limit, word_buckets), _ROW)))
     hot = np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint64)])
     count = np.concatenate([f[1].astype(np.int64) for f in found] or [np.zeros(0, np.int64)])
     order = np.argsort(hot)
@@ -508,8 +533,8 @@ def _learn(docs: DataFrame, buckets: int | None) -> tuple[Katz, DataFrame]:
     total, kinds, *n = _totals(words)
     uni = unigram_totals(dict(enumerate(n, 1)), total, kinds)
     model = Trained(uni.total, uni.kinds, uni.table, uni.known_mass, total)
-    deal = _deal(words, total, max(buckets, _kind(chunks, "chunk").count() // 2))
-    known = _with_counts(chunks, words)
+    deal = _deal(words, total, buckets, max(buckets, _kind(chunks, "chunk").count() // 2))
+    known = _with_counts(chunks, words, buckets)
     discard(chunks)
     discard(words, "kind=counts")
     pairs = known.mapInArrow(lambda b: _pairs(b, model, deal, False), _ROW)
@@ -517,14 +542,14 @@ def _learn(docs: DataFrame, buckets: int | None) -> tuple[Katz, DataFrame]:
     table = discounts(dict(enumerate(_totals(bigrams), 1)))
     hot = _hot_sums(bigrams, deal.hot, table)
     weights = materialize(_kind(bigrams, "bigrams").mapInArrow(lambda b: _weigh(b, model, table, hot), _ROW), "weights", by="kind")
-    return Katz(model, tuple(table), buckets, deal, words, bigrams, weights), known
+    return Katz(model, tuple(table), buckets, deal, context_weights(*hot[1:])[1], words, bigrams, weights), known
 
 
 def _score(known: DataFrame, model: Katz) -> DataFrame:
-    totals, table, deal = model.totals, list(model.discounts), model.deal
+    totals, table, deal, hot_weights = model.totals, list(model.discounts), model.deal, model.hot_weights
     pairs = known.mapInArrow(lambda b: _pairs(b, totals, deal, True), _ROW)
     met = pairs.union(_kind(model.bigrams, "bigrams")).union(model.weights)
-    sums = materialize(_dealt(met).mapInArrow(lambda b: _score_pairs(b, totals, table), _ROW), "sums")
+    sums = materialize(_dealt(met).mapInArrow(lambda b: _score_pairs(b, totals, table, deal.hot, hot_weights), _ROW), "sums")
     discard(known)
     return _dealt(sums).mapInArrow(
         lambda b: _finish(b, totals.total_tokens),
@@ -544,7 +569,7 @@ def score(docs: DataFrame, model: Katz) -> DataFrame:
     chunks = _cut(docs, model.word_buckets)
     met = _kind(chunks, "words").union(_kind(model.words, "table"))
     counts = materialize(_dealt(met).mapInArrow(_look_up_words, _ROW), "counts")
-    known = _with_counts(chunks, counts)
+    known = _with_counts(chunks, counts, model.word_buckets)
     discard(chunks)
     discard(counts)
     return _score(known, model)

@@ -447,7 +447,7 @@ def test_katz_tables_score_other_texts(spark, corpus, messy, empty, monkeypatch)
     for r in model.words.filter("kind = 'table'").collect():
         words.update(katz.unpack(r["data"])[1].tolist())
     for r in model.bigrams.filter("kind = 'bigrams'").collect():
-        pairs += int(katz.unpack(r["data"])[5].sum())
+        pairs += int(katz.unpack(r["data"])[4].sum())
     assert sum(c * n for c, n in words.items()) == pairs == model.totals.total_tokens
     model.discard()
 
