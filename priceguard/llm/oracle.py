@@ -27,7 +27,7 @@ SELECT d.doc_id, d.digest, k.license, coalesce(m.notices, '') AS notices FROM d
 
 _R = quality.LineRules()
 _BOILER = quality.BOILERPLATE.removeprefix("(?i)")
-_LINE = f"""(len(l) = 0 OR (regexp_matches(l, '[.!?…,;:]') AND NOT (l = upper(l) AND l <> lower(l)) AND len(l) - len(regexp_replace(l, '[#*$%&|<>]', '', 'g')) <= len(l) * {_R.symbol_share}
+_LINE = f"""(len(l) = 0 OR (regexp_matches(l, '[.!?…,;:。！？，、；：।॥؟،؛։።၊။៕]') AND NOT (l = upper(l) AND l <> lower(l)) AND len(l) - len(regexp_replace(l, '[#*$%&|<>]', '', 'g')) <= len(l) * {_R.symbol_share}
   AND NOT (len(l) - len(regexp_replace(l, '[|>»•]', '', 'g')) >= {_R.min_separators} AND (len(l) - len(regexp_replace(l, '[|>»•]', '', 'g'))) * 40 >= len(l))
   AND NOT (len(l) <= {_R.boilerplate_chars} AND regexp_matches(l, '(?i){_BOILER}'))))"""
 OP3 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .text import BLANKS, count_of, let, whole, words
 
 SYMBOLS = "#*$%&|<>"
+#: Marks of sentences and clauses: Latin, Chinese and Japanese, Devanagari, Arabic, Armenian, Ethiopic, Burmese, Khmer.
+MARKS = ".!?…,;:。！？，、；：।॥؟،؛։።၊။៕"
 BOILERPLATE = (
     r"(?i)(javascript|cookie|terms of (use|service)|privacy policy|all rights reserved"
     r"|lorem ipsum|click here|sign (in|up)|log ?in|subscribe|share (this|on))"
@@ -83,7 +85,7 @@ def line_passes(line: Column, rules: LineRules) -> Column:
     shouted = (line == F.upper(line)) & (line != F.lower(line))
     navigation = marked & (separators >= rules.min_separators) & (separators * 40 >= size)
     boilerplate = (size <= rules.boilerplate_chars) & line.rlike(BOILERPLATE)
-    punctuated = line.rlike(r"[.!?…,;:]")
+    punctuated = line.rlike(f"[{MARKS}]")
     return (size == 0) | (
         punctuated & ~shouted & (symbols <= size * rules.symbol_share) & ~navigation & ~boilerplate
     )

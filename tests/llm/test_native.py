@@ -35,6 +35,7 @@ def test_quality_counts(corpus, messy, empty):
 def test_line_verdicts(spark):
     prose = "The cat sat on the mat, and the dog lay by the door of the old house near the river bank. " * 2
     cases = {prose: True, "HOME | NEWS | SPORT | CONTACT US": False, "This site uses cookies.": False, "SHOUTED!! ALL!! OF!! IT!!": False, "word*** and&&& other$$$ things%%% here.": False, "no punctuation at all": False, "": True}
+    cases |= {"彼は毎朝、川のそばを歩きます。": True, "今天天气很好！": True, "यह एक वाक्य है।": True, "هل وصل القطار؟": True, "首页 新闻 体育": False}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "line string, want boolean")
     for r in df.select("*", quality.line_passes(F.col("line"), quality.LineRules()).alias("got")).collect():
         assert r["got"] == r["want"], r
