@@ -66,10 +66,44 @@ q AS (SELECT *, CASE WHEN p IS NULL THEN 1.0 ELSE ((u / (1 - u)) * ((1 - p) / p)
 e AS (SELECT *, coalesce(sum(CASE WHEN key < 1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
 SELECT doc_id, size, source_size, round(target, 6) AS target, (copies * size + CASE WHEN key < 1 THEN greatest(least(size, rest - before), 0) ELSE 0 END)::BIGINT AS taken FROM e"""
 
+_FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+_LEAF = lambda n: "sha256(" + " || ".join(_FIELD(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+_CRC32 = "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce(range(8), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, b)), 4294967295), 4294967295)"
+_TREE = lambda name, leaves, by: f"""{name} AS ({leaves} UNION ALL
+  SELECT {by}, level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), max(n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY {by}, level, place // 2)"""
+_SIDES = lambda tree: f"""(SELECT a.g, a.level, a.place, coalesce(CASE WHEN a.place % 2 = 1 THEN b.h END, '') AS l, coalesce(CASE WHEN a.place % 2 = 0 THEN b.h END, '') AS r
+  FROM {tree} a LEFT JOIN {tree} b ON a.g IS NOT DISTINCT FROM b.g AND a.level = b.level AND b.place = xor(a.place, 1) WHERE a.n > 1)"""
+OP12 = f"""WITH RECURSIVE d AS (SELECT doc_id, lang AS g, {_LEAF("n_chars")} AS leaf, CASE WHEN {_CRC32} % 7 = 0 THEN {_LEAF("(n_chars + 1)")} ELSE {_LEAF("n_chars")} END AS used FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_TREE("t", "SELECT g, 0::BIGINT AS level, place, leaf AS h, n FROM p", "g")},
+s AS (SELECT g AS name, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1),
+{_TREE("u", "SELECT 0 AS g, 0::BIGINT AS level, place, h, n FROM s", "g")},
+e AS (SELECT g, level, place, l, r FROM {_SIDES("t")} x), f AS (SELECT level, place, l, r FROM {_SIDES("u")} x),
+lower AS (SELECT p.g, p.place, list(struct_pack(l := l, r := r) ORDER BY level) AS path FROM p JOIN e ON p.g IS NOT DISTINCT FROM e.g AND e.place = p.place >> e.level::INTEGER GROUP BY ALL),
+upper AS (SELECT s.name, list(struct_pack(l := l, r := r) ORDER BY level) AS path FROM s JOIN f ON f.place = s.place >> f.level::INTEGER GROUP BY ALL),
+j AS (SELECT p.*, s.h AS subroot, list_concat(coalesce(lower.path, []), coalesce(upper.path, [])) AS path FROM p JOIN s ON p.g IS NOT DISTINCT FROM s.name
+  LEFT JOIN lower ON p.g IS NOT DISTINCT FROM lower.g AND p.place = lower.place LEFT JOIN upper ON p.g IS NOT DISTINCT FROM upper.name),
+k AS (SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.l || x.r), ''), '')) AS proof_sha256,
+  list_reduce(list_prepend(struct_pack(l := used, r := ''), path), lambda a, x: struct_pack(l := sha256(x.l || a.l || x.r), r := '')).l AS folded_root FROM j)
+SELECT *, folded_root = root AS verified FROM k"""
+OP13 = f"""WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, {_CRC32} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c),
+d AS (SELECT row_number() OVER () AS row, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM a),
+x AS (SELECT row, i, hash(array_to_string(w[i + 1:i + 6], ' ')) AS s FROM (SELECT row, w, unnest(range(n - 5)) AS i FROM d WHERE n >= 12) y),
+m AS (SELECT l.row, l.i, r.i - l.i AS q FROM x l JOIN x r ON l.row = r.row AND l.s = r.s AND l.i < r.i),
+o AS (SELECT row, q, min(i) AS start, max(i) + 6 + q AS stop FROM (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM m) z GROUP BY row, q, island),
+r AS (SELECT row, start, stop - start AS length, min(q) AS period FROM o WHERE stop - start >= greatest(12, 2 * q) GROUP BY row, start, stop),
+b AS (SELECT row, count(*) AS n_runs, list(struct_pack(start := start, length := length, period := period) ORDER BY length DESC, start, period)[1] AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines, list(struct_pack(a := start + period, b := start + length)) AS gone FROM r GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: len(list_filter(gone, lambda y: y.a < i AND i <= y.b)) = 0) END, ' ')) AS collapsed_sha256 FROM d LEFT JOIN b ON b.row = d.row"""
+
 ORACLE_SQL = {
     "op1_license_scan": OP1,
     "op3_line_quality": OP3,
     "op4_warc_dictionary": OP4,
     "op6_count_rtree_join": OP6,
     "op7_pareto_mix": OP7,
+    "op12_merkle_versions": OP12,
+    "op13_lyndon_runs": OP13,
 }

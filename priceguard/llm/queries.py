@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, katz, licenses, mixing, ngram_join, packing, quality, suffix_dedup, warc
+from . import ann, classifier, fingerprints, katz, licenses, merkle, mixing, ngram_join, packing, quality, runs, suffix_dedup, warc
 from .oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -76,6 +76,19 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_multiprobe_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_merkle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.documents_manifest(table(spark, sf_dir, "documents")))
+
+
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), tails=True, digests=True)
+    return out.select("doc_id", "runs.*")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -87,4 +100,7 @@ QUERIES = {
     "op8_katz_backoff": op8_katz_backoff,
     "op9_suffix_family": op9_suffix_family,
     "op10_closed_syncmers": op10_closed_syncmers,
+    "op11_multiprobe_hashing": op11_multiprobe_hashing,
+    "op12_merkle_versions": op12_merkle_versions,
+    "op13_lyndon_runs": op13_lyndon_runs,
 }
