@@ -39,7 +39,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     n = F.greatest(q["n_words"], F.lit(1)).cast("double")
     chars = F.greatest(F.length(t), F.lit(1)).cast("double")
     stats = {
-        "words": F.least(q["n_words"], F.lit(10_000)),
+        "words": q["n_words"],
         "word_length": q["word_chars"] / n,
         "symbols": q["n_symbols"] / chars,
         "repeated_lines": q["n_dup_lines"] / m[2],

@@ -26,8 +26,9 @@ Components are the result, so pairs inside a component need no further look.  Sh
 frequent in a bounded sample come last in the global order, which keeps shared passages out of
 the cells; any order is exact.
 
-Defined cases: null and empty texts have empty sets and link with nothing; rows that share a
-doc_id are one document, linked with whatever one of its texts is linked with; rows without a
+Defined cases: doc_ids are integers; null and empty texts have empty sets and link with nothing;
+in ``near_copies``, rows that share a doc_id are one document, linked with whatever one of its
+texts is linked with, and in ``keep_one`` each of their texts is judged by itself; rows without a
 doc_id link with nothing and have no component; repeated rows repeat in the result; an empty
 table gives an empty table; other columns are ignored.
 """
@@ -36,13 +37,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import batches_of_bytes, mixed, shingle_hashes, word_hashes
 from .storage import discard, materialize, sliced
-from .text import whole
+from .text import stripped, whole
 
 GROUPS = 64
 CELL = 2048
@@ -256,8 +257,13 @@ def frequent_shingles(docs: DataFrame, shingle: int, rows: int = SAMPLE_DOCS, mo
     return values[hot]
 
 
+def text_digest(docs: DataFrame) -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(whole(docs["text"]).cast("binary")))
+
+
 def signatures(docs: DataFrame, percent: int, shingle: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, rep (the set's name), counts (point), keys (minimum hashes), prefix (first shingles in the global order)."""
+    """doc_id, digest (of the text), n, rep (the set's name), counts (point), keys (minimum hashes), prefix (first shingles in the global order)."""
     salts = mixed(np.arange(1, KEYS + 1, dtype=np.uint64)) | np.uint64(1)
     names = np.sort(hot)
     place = np.argsort(hot)
@@ -285,14 +291,14 @@ def signatures(docs: DataFrame, percent: int, shingle: int, hot: np.ndarray) ->
                 out["prefix"].append(s[:first].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["rep"], pa.int64()), pa.array(out["counts"], pa.binary()),
+                    batch.column("doc_id"), batch.column("digest"), pa.array(out["n"], pa.int64()), pa.array(out["rep"], pa.int64()), pa.array(out["counts"], pa.binary()),
                     pa.array(out["keys"], pa.list_(pa.int64())), pa.array(out["prefix"], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", *out],
+                names=["doc_id", "digest", *out],
             )
 
-    schema = "doc_id long, n long, rep long, counts binary, keys array<long>, prefix array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema)
+    schema = "doc_id long, digest binary, n long, rep long, counts binary, keys array<long>, prefix array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(docs).alias("digest"), "text").mapInArrow(sign, schema)
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -381,14 +387,17 @@ def _same_document(rows: DataFrame) -> DataFrame:
     return named.join(several, "doc_id").select(F.col("rep").alias("u"), "v").distinct()
 
 
-def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of at least ``percent`` per cent)."""
+def _connected(docs: DataFrame, percent: int, shingle: int, one_document: bool) -> tuple[DataFrame, DataFrame]:
+    """Written tables: rows (doc_id, digest, n_shingles, rep), and the sets' names with their least doc_id and the root of their component.
+
+    ``one_document``: the sets of one doc_id are linked with each other.
+    """
     signed = materialize(signatures(docs, percent, shingle, frequent_shingles(docs, shingle)), "signatures")
     usable = signed.filter("n > 0 and doc_id is not null")
     fields = F.struct("doc_id", "n", "counts", "keys", "prefix")
     vertices = usable.groupBy("rep").agg(F.min_by(fields, "doc_id").alias("r")).select("rep", "r.*")
     vertices = materialize(vertices, "vertices")
-    rows = materialize(signed.select("doc_id", F.col("n").alias("n_shingles"), "rep"), "rows")
+    rows = materialize(signed.select("doc_id", "digest", F.col("n").alias("n_shingles"), "rep"), "rows")
     discard(signed)
 
     # near copies, by minimum hashes
@@ -400,7 +409,7 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     wanted = cells.select("rep").distinct().join(vertices.select("rep", "doc_id"), "rep")
     held = _with_sets(docs, wanted, shingle)
     first = _dealt(cells.withColumn("part", F.col("rep")).join(held, "rep")).mapInArrow(lambda b: _connect(b, percent), "u long, v long")
-    parts = connected_components(first.unionByName(_same_document(rows)))
+    parts = connected_components(first.unionByName(_same_document(rows)) if one_document else first)
     discard(cells)
 
     # the rest, by prefix shingles
@@ -432,21 +441,38 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
     discard(found)
 
     labelled = names.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("root", "rep").alias("root"))
+    labelled = materialize(labelled, "labelled")
+    for table in (names, parts):
+        discard(table)
+    return rows, labelled
+
+
+def near_copies(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of at least ``percent`` per cent)."""
+    rows, labelled = _connected(docs, percent, shingle, one_document=True)
     least = materialize(labelled.groupBy("root").agg(F.min("doc_id").alias("component")), "least")  # tables: so hot keys can be split in the joins
     roots = materialize(labelled.join(least, "root").select("rep", "component"), "roots")
-    for table in (least, names, parts):
+    for table in (least, labelled):
         discard(table)
     part = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.join(roots, "rep", "left").select("doc_id", "n_shingles", part.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """One row of each component, of the document that names it (of its rows, the one with the least text).
+    """One row of each component of texts: of its least doc_id, and of that document's texts in it the one with most shingles.
 
-    Rows without an id stay.
+    Texts of one doc_id that do not link are in components of their own, so each is represented.
+    Rows without an id or without words link with nothing and stay.
     """
-    names = near_copies(docs, percent, shingle)
-    lost = names.filter("component_id <> doc_id").select("doc_id").distinct()
+    rows, labelled = _connected(docs, percent, shingle, one_document=False)
+    usable = rows.filter("n_shingles > 0 and doc_id is not null").join(labelled.select("rep", "root"), "rep")
+    first = usable.groupBy("root").agg(F.min(F.struct("doc_id", (-F.col("n_shingles")).alias("less"), "digest")).alias("r"))
+    stays = materialize(first.select(F.col("r.doc_id").alias("__id"), F.col("r.digest").alias("__text")), "stays")
+    for table in (rows, labelled):
+        discard(table)
+    linkable = F.col("doc_id").isNotNull() & (stripped(docs["text"]) != "")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, whole(docs["text"])).alias("row"))
-    return one.join(lost, "doc_id", "left_anti").select("row.*").unionByName(docs.filter("doc_id is null"))
+    keyed = docs.filter(linkable).select(row.alias("row"), F.col("doc_id").cast("long").alias("__doc"), text_digest(docs).alias("__digest"))
+    kept = keyed.join(stays, (F.col("__doc") == F.col("__id")) & (F.col("__digest") == F.col("__text")), "left_semi")
+    one = kept.groupBy("__doc", "__digest").agg(F.min("row").alias("row")).select("row.*")  # repeated rows are one
+    return one.unionByName(docs.filter(~linkable))

@@ -161,7 +161,7 @@ def test_scores_are_the_rules_applied_one_by_one(spark, corpus, messy):
         w = WORD.findall(t)
         n, chars = max(1, len(w)), max(1, len(t))
         plain = {
-            "words": min(len(w), 10_000), "word_length": sum(map(len, w)) / n, "symbols": sum(c in "#*$%&|<>" for c in t) / chars, "distinct": len(set(w)) / n,
+            "words": len(w), "word_length": sum(map(len, w)) / n, "symbols": sum(c in "#*$%&|<>" for c in t) / chars, "distinct": len(set(w)) / n,
             "echo": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, "sentences": len(re.findall(r"[.!?]+(?:\s|$)", t)) / n, "shouts": t.count("!") / n,
         }
         assert all(abs(x[name] - v) < 1e-9 for name, v in plain.items()), (r["doc_id"], plain, x)
@@ -227,11 +227,56 @@ def test_texts_of_one_document_keep_all_their_links(spark):
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.near_copies(docs, 85, 4).collect())
     assert got == [(0, None), (2, 2), (3, 2), (4, 4), (4, 4), (4, 4), (5, 2), (5, 2)]
     kept = ngram_join.keep_one(docs, 85, 4).collect()
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept if r["doc_id"] != 4) == [(0, " ".join(a)), (2, near[0])]
-    assert [r["text"] for r in kept if r["doc_id"] == 4] == [None]
+    text = {"a": " ".join(a), "b": " ".join(b)}
+    want = [(0, text["a"]), (2, near[0]), (3, near[1]), (4, ""), (4, prose(63, 90))]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted(want)
     assert connected_components(docs.selectExpr("doc_id u", "doc_id v").filter("u < 0")).count() == 0
 
 
+def brute_keep_one(rows, percent, size):
+    """Components of texts, by all pairs; of each the row with the least id, then the most shingles."""
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+        return frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+
+    usable = sorted({(i, t) for i, t in rows if i is not None and shingles(t)})
+    rest, out = usable, [(i, t) for i, t in rows if i is None or not shingles(t)]
+    while rest:
+        front, group = [rest[0]], {rest[0]}
+        while front:
+            s = shingles(front.pop()[1])
+            more = {r for r in rest if r not in group and 100 * len(s & shingles(r[1])) >= percent * len(s | shingles(r[1]))}
+            group |= more
+            front += more
+        out.append(group)
+        rest = [r for r in rest if r not in group]
+    return [g if isinstance(g, tuple) else {r for r in g if (r[0], -len(shingles(r[1]))) == min((x[0], -len(shingles(x[1]))) for x in g)} for g in out]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_keep_one_on_repeated_ids_and_nulls(spark, messy, corpus, seed):
+    """Every text stays or has a copy that stays, whatever ids repeat, against all pairs."""
+    rng = np.random.default_rng(seed)
+    a, b = prose(81, 90), prose(82, 90)
+    cut = " ".join(b.split()[:-2])
+    planted = [(1, a), (1, None), (2, a), (2, b), (3, b), (4, cut)]
+    texts = [None, "", " \n", "one", "One", *(prose(300 + k % 6, 60 + k % 3) for k in range(12))]
+    drawn = [(int(rng.integers(0, 12)), texts[rng.integers(0, len(texts))]) for _ in range(50)] + [(None, a), (None, None)]
+    tables = [planted, drawn, [(r["doc_id"], r["text"]) for r in messy.collect()], [(r["doc_id"], r["text"]) for r in corpus.limit(220).collect()]]
+    for rows in tables:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [tuple(r) for r in ngram_join.keep_one(docs, 80, 5).collect()]
+        want = brute_keep_one(rows, 80, 5)
+        assert len(got) == len(want)
+        for one in want:
+            match = [g for g in got if (g in one if isinstance(one, set) else g == one)]
+            assert match, one
+            got.remove(match[0])
+    kept = [tuple(r) for r in ngram_join.keep_one(spark.createDataFrame(planted, "doc_id long, text string"), 80, 5).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, None), (2, b)], key=str)
+
+
 def test_large_cells_and_keep_one(spark, monkeypatch):
     """Cells over the part size: every member is still linked; one document of the group stays."""
     monkeypatch.setattr(ngram_join, "CELL", 8)
