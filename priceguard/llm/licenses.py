@@ -59,14 +59,15 @@ SPELLINGS = [
     ("https", "http"),
     ("version", "v"),
 ]
-#: Read by the SQL only: it also takes lines of a licence's body that begin with 'copyright'.
-COPYRIGHT_LINE = r"(?m)^[^\S\n]*(copyright|©|\(c\)|all rights reserved)[^\n]*$"
 _BODY = "notice|holder|owner|licen[sc]e|law|statement|interest|disclaimer|treat(?:y|ie)|permission|protection|right|work|claim|and|or|on|in|is|to|of|as|under|for|that|the above"
-#: A line that states a year, a sign or a holder, and not a line of a body that happens to begin with these words.
-COPYRIGHT_STATEMENT = (
-    rf"(?m)^[^\S\n]*(copyright\b(?=[^\S\n]*[^\s,;.-])(?![^\S\n]+(?:{_BODY})s?\b)|©"
-    r"|\(c\)(?![^\S\n]+(?:you|if|any|to|for|such|this|in|each|no|all|where|when)\b)|all rights reserved)[^\n]*$"
-)
+#: A line that states a year, a sign or a holder, and not a line of a body that happens to begin with these words:
+#: what a statement begins with, and what the first two must not go on with (they are apart, as not every engine looks ahead).
+STATED = [
+    (r"copyright\b[^\S\n]*[^\s,;.-]", rf"copyright[^\S\n]+(?:{_BODY})s?\b"),
+    (r"\(c\)", r"\(c\)[^\S\n]+(?:you|if|any|to|for|such|this|in|each|no|all|where|when)\b"),
+    ("©|all rights reserved", None),
+]
+COPYRIGHT_STATEMENT = r"(?m)^[^\S\n]*(?:" + "|".join((f"(?!{no})" if no else "") + f"(?:{yes})" for yes, no in STATED) + r")[^\n]*$"
 
 
 def normalised(text: Column) -> Column:

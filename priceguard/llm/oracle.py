@@ -10,14 +10,20 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _states(line: str) -> str:
+    """Whether a line is a copyright statement (no engine-side look-ahead is needed)."""
+    begins = lambda p: f"regexp_matches({line}, {_quoted(r'^[^\S\n]*(?:' + p + ')')})"
+    return " OR ".join(f"({begins(yes)}" + (f" AND NOT {begins(no)})" if no else ")") for yes, no in licenses.STATED)
+
+
 def _normalised(text: str) -> str:
-    t = f"regexp_replace(lower({text}), '(?m){licenses.COPYRIGHT_LINE.removeprefix('(?m)')}', ' ', 'g')"
+    t = f"array_to_string(list_transform(string_split(lower({text}), chr(10)), lambda line: CASE WHEN {_states('line')} THEN ' ' ELSE line END), chr(10))"
     for old, new in licenses.SPELLINGS:
         t = f"replace({t}, '{old}', '{new}')"
     return f"trim(regexp_replace({t}, '[^a-z0-9]+', ' ', 'g'), ' ')"
 
 
-_KNOWN = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.LICENSES)
+_KNOWN = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.LICENSES + licenses.WHOLE)
 OP1 = f"""WITH known AS (SELECT sha256({_normalised("t")}) AS digest, min(n) AS license FROM (VALUES {_KNOWN}) k(n, t) GROUP BY 1),
 d AS (SELECT doc_id, coalesce(text, '') AS t, sha256({_normalised("coalesce(text, '')")}) AS digest FROM documents),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),

@@ -208,3 +208,24 @@ def test_license_texts_hard_wrapped_and_whole(spark):
     got = {r["doc_id"]: r["scan"]["license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(n, t[:60]) for i, (n, t) in enumerate(cases) if got[i] != n] == []
     assert {"Apache-2.0", "BSD-3-Clause", "GPL-3.0-or-later", "Unlicense"} <= {n for n, _ in licenses.WHOLE}
+
+
+def test_license_sql_knows_the_same_texts_and_rule(spark):
+    """The registered SQL against the operator on planted licences, whole, wrapped and stated, and on lines that only begin like a statement."""
+    import textwrap
+
+    import duckdb
+
+    from priceguard.llm import oracle, queries
+
+    whole = licenses.LICENSES + licenses.WHOLE
+    texts = [t for _, t in whole] + ["\n\n".join(textwrap.fill(x, 60, break_long_words=False) for x in t.split("\n\n")) for _, t in whole]
+    texts += [f"{head}\n\n{t}" for head in ("Copyright (c) 2020, Some One", "© 2019 X", "(c) 2021 Some One\nAll rights reserved.") for _, t in whole[:6]]
+    texts += ["copyright notice and this permission notice appear in all copies.", "Copyright 2020", "(c) you may\ncopy it", "copyright holders, or else", None, "", "Released under the MIT Licence."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = licenses.scan_licenses(docs).select("doc_id", "scan.digest", "scan.license", F.array_join("scan.notices", ",").alias("notices"))
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    got = {tuple(r) for r in out.collect()}
+    assert got == set(con.execute(oracle.ORACLE_SQL["op1_license_scan"]).fetchall())
+    assert {r[2] for r in got if r[0] < len(whole)} == {n for n, _ in whole} and queries.QUERIES["op1_license_scan"]
