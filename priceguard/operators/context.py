@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..config import TUNED, Settings
 from ..functions.clean import clip, true
 from ..functions.features import is_weekend
+from .quantiles import percentiles
 
 KEYS = ["category", "hour_block", "is_weekend"]
 
@@ -19,11 +20,19 @@ def baselines(events: DataFrame) -> DataFrame:
     """One row per context."""
     p, s = F.col("final_price"), F.col("surge_multiplier")
     return with_context(events).groupBy(*KEYS).agg(
-        F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.percentile(p, F.lit(0.5)).alias("median"),
-        F.avg(s).alias("surge_mean"), F.stddev_samp(s).alias("surge_std"), F.count(F.lit(1)).alias("n"),
+        F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.avg(s).alias("surge_mean"), F.stddev_samp(s).alias("surge_std"), F.count(F.lit(1)).alias("n"),
     )
 
 
+def baselines_with_medians(events: DataFrame) -> DataFrame:
+    """The same with each context's median price."""
+    medians = percentiles(with_context(events), {"final_price": [0.5]}, KEYS).select(*[F.col(k).alias(f"m_{k}") for k in KEYS], F.col("final_price")[0].alias("median"))
+    same = F.lit(True)
+    for k in KEYS:
+        same &= F.col(k).eqNullSafe(F.col(f"m_{k}"))
+    return baselines(events).join(medians, same).drop(*[f"m_{k}" for k in KEYS])
+
+
 def score(events: DataFrame, base: DataFrame, settings: Settings = TUNED) -> DataFrame:
     """``events`` with ctx_anomaly and ctx_score; contexts of fewer than five rows have no baseline.
 

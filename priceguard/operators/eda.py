@@ -6,8 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clean import at_least
+from .quantiles import percentiles
+from .ranks import ranked
 
-ID_BLOCK = 1 << 16
 CORRELATED = [
     "final_price", "surge_multiplier", "demand_level", "supply_level", "price_to_base_ratio",
     "price_per_mile", "demand_supply_gap", "surge_demand_ratio", "distance_miles", "duration_minutes",
@@ -24,8 +25,9 @@ def with_ratios(events: DataFrame) -> DataFrame:
 
 def describe_by(events: DataFrame, by: str, column: str = "final_price") -> DataFrame:
     v = F.col(column)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = events.groupBy(by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
+    q = percentiles(events, {column: [0.25, 0.5, 0.75]}, [by]).select(F.col(by).alias("g"), F.col(column).alias("q"))
+    rows = events.groupBy(by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    rows = rows.join(q, F.col(by).eqNullSafe(F.col("g")))
     quarters = [F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
     return rows.select(by, "count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min")], *quarters, F.round("max", 6).alias("max"))
 
@@ -74,18 +76,19 @@ def shape(rows: DataFrame, by: str = "category", column: str = "final_price") ->
     return rows.groupBy(by).agg(F.round(F.kurtosis(column), 5).alias("kurtosis"), F.round(F.skewness(column), 5).alias("skewness"))
 
 
-def anomaly_runs(events: DataFrame) -> DataFrame:
-    """run, start_id, length, run_type: islands of consecutive labelled rows (the last type seen names a run).
+def anomaly_runs(events: DataFrame, order: tuple = ("timestamp", "event_id")) -> DataFrame:
+    """start_id, length, run_type: islands of consecutive labelled rows in the order (the last type seen names a run).
 
-    ``event_id`` is dense and in time order.  Labelled rows are ranked within blocks of ids, after
-    running sums of the blocks' counts.
+    Ids need not be dense or ordered.  A row's place among all rows less its place among the
+    labelled ones is the same within an island and differs between islands; both places come
+    from range-partitioned sorts, so no task ranks all rows, and an island is summed up before it
+    is shuffled.
     """
-    hits = events.filter("label_is_anomaly").select("event_id", "label_type", F.floor(F.col("event_id") / ID_BLOCK).alias("block"))
-    upto = F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, 0))
-    blocks = hits.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", (upto - F.col("n")).alias("before"))
-    island = F.col("event_id") - F.col("before") - F.row_number().over(W.partitionBy("block").orderBy("event_id"))
-    return hits.join(blocks, "block").withColumn("island", island).groupBy("island").agg(
-        F.min("event_id").alias("start_id"), F.count(F.lit(1)).alias("length"), F.max_by("label_type", F.when(F.col("label_type").isNotNull(), F.col("event_id"))).alias("run_type")
+    slim = events.select(*dict.fromkeys([*order, "event_id"]), "label_is_anomaly", "label_type")
+    hits = ranked(slim, list(order), name="place", write=False).filter("label_is_anomaly").select("event_id", "label_type", "place")
+    numbered = ranked(hits, ["place"], name="among")
+    return numbered.groupBy((F.col("place") - F.col("among")).alias("island")).agg(
+        F.min_by("event_id", "place").alias("start_id"), F.count(F.lit(1)).alias("length"), F.max_by("label_type", F.when(F.col("label_type").isNotNull(), F.col("place"))).alias("run_type")
     ).drop("island")
 
 

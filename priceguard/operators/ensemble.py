@@ -42,7 +42,7 @@ class EnsembleDetector:
         self.stats = self.base = self.forest = None
 
     def fit(self, events: DataFrame) -> "EnsembleDetector":
-        self.stats, self.base = stats.category_stats(events), context.baselines(events)
+        self.stats, self.base = stats.category_stats(events, surge_tails=False), context.baselines(events)
         if self.use_forest:
             s = self.settings
             self.forest = forest.IsolationForest(s.contamination, s.trees, s.seed).fit(events)

@@ -1,20 +1,33 @@
-"""Neighbour-based detectors: local outlier factor and density clustering.
+"""Neighbour-based detectors: local outlier factor and density clustering, over an exact join that prunes.
 
-Points are standardised features in blocks of ``BLOCK`` rows.  Pairs of blocks are the unit of
-work, so memory is bounded by two blocks whatever the table's size; the work is quadratic, as
-the exact definitions are, and spreads over all tasks.
+Points are standardised features.  Each is assigned to its nearest of a bounded number of
+pivots, so a pivot's cell is known by its count and its radius.  The triangle inequality and
+the bisector between two pivots bound from below how near a cell's points can be, so a query is
+sent only to the cells that its bound reaches: the distance of its k-th neighbour so far, which
+a first look at its own cell gives, or the radius asked for.  Cells of more than ``BLOCK``
+points are split, so a task holds two blocks whatever the table's size.
+
+Distances are compared to nine decimals, ties go to the smaller id.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.features import FEATURES, engineer_features
-from ..sources.scratch import written
+from ..sources.scratch import dropped, written
+from .quantiles import percentiles
+from .ranks import ranked
 
-BLOCK = 2048
+BLOCK = 1024
+PIVOTS = 4096  # at most; they and their counts are what the driver and every task know
+PIVOT_SAMPLE = 20_000
 EPS_SAMPLE = 10_000
+SLACK = 1e-6  # for the last digits of distances by products
 
 
 def standardise(features: DataFrame, names=FEATURES, fitted: DataFrame | None = None) -> DataFrame:
@@ -25,60 +38,257 @@ def standardise(features: DataFrame, names=FEATURES, fitted: DataFrame | None =
     return features.crossJoin(F.broadcast(moments)).select("event_id", F.array(*scaled).alias("x"))
 
 
-def blocks(points: DataFrame) -> DataFrame:
-    """block, ids (ascending), xs: about ``BLOCK`` points a row."""
-    n = max(1, -(-points.count() // BLOCK))
-    dealt = points.withColumn("block", F.pmod(F.xxhash64("event_id"), F.lit(n)).cast("int"))
-    held = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("event_id", "x"))).alias("p"))
-    return held.select("block", F.col("p.event_id").alias("ids"), F.col("p.x").alias("xs"))
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By products: right up to the last digits only."""
+    square = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
+    return np.sqrt(np.maximum(square, 0))
 
 
-def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every block of ``left`` beside every block of ``right``: a block join, one row per pair of blocks."""
-    a = left.select(F.col("ids").alias("a_ids"), F.col("xs").alias("a_xs"))
-    b = right.select(F.col("ids").alias("b_ids"), F.col("xs").alias("b_xs"))
-    n = max(2, a.sparkSession.sparkContext.defaultParallelism)
-    return a.repartition(n).crossJoin(b)
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.round(np.sqrt(((a - b) ** 2).sum(-1)), 9)
+
+
+@dataclass(frozen=True)
+class Pivots:
+    """Centres of the cells, and of each its number of points and the largest distance to its centre."""
+
+    centres: np.ndarray
+    counts: np.ndarray
+    radii: np.ndarray
+
+    @property
+    def parts(self) -> np.ndarray:
+        return np.maximum(1, -(-self.counts // BLOCK))
+
+    def least(self, x: np.ndarray, cell: int) -> np.ndarray:
+        """For points of a cell and each cell: no point of it is nearer than that."""
+        gap = distances(x, self.centres)
+        between = distances(self.centres[cell : cell + 1], self.centres)[0]
+        beyond = (gap**2 - gap[:, cell : cell + 1] ** 2) / np.maximum(2 * between, 1e-12)
+        beyond[:, cell] = 0
+        out = np.maximum(gap - self.radii, beyond)
+        out[:, self.counts == 0] = np.inf
+        return out - SLACK
+
+    def most(self, x: np.ndarray) -> np.ndarray:
+        """For points and each cell: no point of it is farther than that."""
+        return distances(x, self.centres) + self.radii + SLACK
+
+    def within(self, x: np.ndarray, k: int) -> np.ndarray:
+        """A distance within which each point has k others for sure (infinite if there are none)."""
+        far = self.most(x)
+        order = np.argsort(far, axis=1)
+        upto = np.cumsum(self.counts[order], axis=1)
+        place = (upto < k).sum(1)
+        ends = np.take_along_axis(far, order, 1)
+        return np.where(place < far.shape[1], np.take_along_axis(ends, np.minimum(place, far.shape[1] - 1)[:, None], 1)[:, 0], np.inf)
+
+
+def _centres(points: DataFrame, n: int) -> np.ndarray:
+    """Pivots from a bounded hash-chosen sample: means of a few rounds of nearest-centre assignment."""
+    sample = np.stack(points.orderBy(F.xxhash64("event_id"), "event_id").limit(PIVOT_SAMPLE).select("x").toPandas()["x"].to_numpy())
+    centres = np.unique(sample[: min(PIVOTS, max(1, n // BLOCK), len(sample))], axis=0)
+    for _ in range(4):
+        own = np.concatenate([distances(sample[k : k + 4096], centres).argmin(1) for k in range(0, len(sample), 4096)])
+        held = np.bincount(own, minlength=len(centres))
+        sums = np.stack([np.bincount(own, sample[:, f], len(centres)) for f in range(sample.shape[1])], 1)
+        centres = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], centres)
+    return np.unique(centres, axis=0)
+
+
+def _assigned(points: DataFrame, centres: np.ndarray) -> DataFrame:
+    def assign(frames):
+        for f in frames:
+            if len(f):
+                gap = distances(np.stack(f["x"]), centres)
+                yield f.assign(cell=gap.argmin(1).astype(np.int32), gap=gap.min(1) + SLACK)
 
+    return written(points.select("event_id", "x").mapInPandas(assign, "event_id long, x array<double>, cell int, gap double"), "cells")
+
+
+def _blocks(assigned: DataFrame, parts: np.ndarray) -> DataFrame:
+    """cell, block, ids, xs (packed): the points of a cell, dealt to blocks of about ``BLOCK`` points."""
+    several = pd.DataFrame({"c": np.flatnonzero(parts > 1).astype(np.int32), "parts": parts[parts > 1].astype(np.int32)})
+    several = assigned.sparkSession.createDataFrame(several, "c int, parts int")
+    dealt = assigned.join(F.broadcast(several), F.col("cell") == F.col("c"), "left")  # at most a row per pivot
+    block = F.pmod(F.xxhash64("event_id"), F.coalesce("parts", F.lit(1))).cast("int")
+
+    def pack(key, f):
+        f = f.sort_values("event_id")
+        return pd.DataFrame([{"cell": key[0], "block": key[1], "ids": f["event_id"].to_numpy(np.int64).tobytes(), "xs": _stacked(f["x"]).tobytes()}])
+
+    packed = dealt.withColumn("block", block).groupBy("cell", "block").applyInPandas(pack, "cell int, block int, ids binary, xs binary")
+    return written(packed, "blocks")
+
+
+def _stacked(xs) -> np.ndarray:
+    return np.stack(list(xs)).astype(float)
+
+
+def _open(ids: bytes, xs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(xs, float).reshape(len(ids), -1)
+
+
+class Cells:
+    """A table of points, dealt to the cells of its pivots; ``asked`` are the queries by the same pivots (the points themselves, if not given)."""
+
+    def __init__(self, points: DataFrame, asked: DataFrame | None = None):
+        self.spark, self.pivots = points.sparkSession, None
+        n = points.count()
+        if n:
+            self.centres = _centres(points, n)
+            self.blocks, counts, radii = self._dealt(points)
+            self.pivots = Pivots(self.centres, counts, radii)
+            self.asked = self.blocks if asked is None else self._dealt(asked)[0]
+
+    def _dealt(self, points: DataFrame):
+        assigned = _assigned(points, self.centres)
+        stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("r")).toPandas()  # a row per pivot
+        counts, radii = np.zeros(len(self.centres), np.int64), np.zeros(len(self.centres))
+        counts[stats["cell"]], radii[stats["cell"]] = stats["n"], stats["r"]
+        blocks = _blocks(assigned, np.maximum(1, -(-counts // BLOCK)))
+        dropped(assigned)
+        return blocks, counts, radii
+
+    def beside(self) -> DataFrame:
+        return self.blocks.select(F.col("cell").alias("cell"), F.col("block").alias("block"), F.col("ids").alias("b_ids"), F.col("xs").alias("b_xs"))
+
+    def pairs(self, sent: DataFrame, columns: list[str]) -> DataFrame:
+        """What was sent to cells, beside every block of the cell: a row per pack of queries and block."""
+        return sent.filter("cell >= 0").select(*columns).join(self.beside(), "cell").select(*columns, "block", "b_ids", "b_xs")
+
+    def drop(self) -> None:
+        if self.pivots is not None:
+            dropped(self.blocks, self.asked)
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    square = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.maximum(square, 0))
+
+def _top(a_ids, a, b_ids, b, k: int, bound: np.ndarray):
+    """(place in a, id of b, distance): the k nearest within the bound, equal ids left out."""
+    rough = distances(a, b)
+    rough[a_ids[:, None] == b_ids[None, :]] = np.inf
+    last = min(k, len(b_ids)) - 1
+    cut = np.partition(rough, last, axis=1)[:, last]
+    i, j = np.nonzero(rough <= np.minimum(cut, bound)[:, None] + SLACK)
+    i, j = i[np.isfinite(rough[i, j])], j[np.isfinite(rough[i, j])]
+    d = exact(a[i], b[j])
+    order = np.lexsort((b_ids[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    few = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[few], b_ids[j][few], d[few]
+
+
+def _close(a: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
+    """Which pairs lie within the radius."""
+    rough = distances(a, b)
+    out = rough <= radius
+    i, j = np.nonzero(np.abs(rough - radius) <= SLACK)
+    out[i, j] = exact(a[i], b[j]) <= radius
+    return out
+
+
+_SENT = "source int, part int, cell int, ids binary, xs binary, bounds binary"
+
+
+def _pack(source, part, cell, ids, xs, bounds) -> dict:
+    return {"source": source, "part": part, "cell": cell, "ids": ids.tobytes(), "xs": np.ascontiguousarray(xs).tobytes(), "bounds": bounds.tobytes()}
 
 
 def nearest(points: DataFrame, k: int, others: DataFrame | None = None) -> DataFrame:
-    """event_id, near (array of (distance, id), ascending): the k nearest other points, ties by id."""
+    """event_id, near (array of (distance, other), ascending): the k nearest other points, ties by id.
+
+    First look: every block of queries against one block of its own cell, which bounds the k-th
+    distance.  Then queries go to the cells within their bound.
+    """
+    held = Cells(points if others is None else others, None if others is None else points)
+    pivots = held.pivots
+    if pivots is None:
+        return points.limit(0).select("event_id", F.lit(None).cast("array<struct<distance:double,other:bigint>>").alias("near"))
+    parts = pivots.parts
+
+    def first(frames):
+        """Rows for cells within reach; and, for cell -1, the neighbours seen (packed as xs: other ids, bounds: distances)."""
+        for f in frames:
+            for cell, block, ids, xs, b_ids, b_xs in f.itertuples(index=False):
+                ids, x = _open(ids, xs)
+                bound, seen = pivots.within(x, k + 1), b_ids is not None
+                if seen:
+                    i, other, d = _top(ids, x, *_open(b_ids, b_xs), k, bound)
+                    full = np.flatnonzero(np.bincount(i, minlength=len(ids)) >= k)
+                    bound[full] = np.minimum(bound[full], d[np.searchsorted(i, full, side="right") - 1])
+                    yield pd.DataFrame([_pack(cell, block, -1, ids[i], other, d)])
+                reach = pivots.least(x, cell) <= bound[:, None]
+                reach[:, cell] &= not seen or parts[cell] > 1
+                rows = [_pack(cell, block, c, ids[reach[:, c]], x[reach[:, c]], bound[reach[:, c]]) for c in np.flatnonzero(reach.any(0))]
+                if rows:
+                    yield pd.DataFrame(rows)
+
+    def second(frames):
+        for f in frames:
+            for source, part, cell, ids, xs, bounds, block, b_ids, b_xs in f.itertuples(index=False):
+                if source != cell or part % parts[cell] != block:  # else the first look has seen it
+                    ids, x = _open(ids, xs)
+                    i, other, d = _top(ids, x, *_open(b_ids, b_xs), k, np.frombuffer(bounds, float))
+                    yield pd.DataFrame({"event_id": ids[i], "other": other, "distance": d})
 
-    def run(frames):
+    def opened(frames):
         for f in frames:
-            for a_ids, a_xs, b_ids, b_xs in f.itertuples(index=False):
-                a_ids, b_ids = np.asarray(a_ids), np.asarray(b_ids)
-                d = _distances(np.stack(a_xs), np.stack(b_xs))
-                d[a_ids[:, None] == b_ids[None, :]] = np.inf
-                take = np.argsort(d, axis=1, kind="stable")[:, :k]
-                rows, dist = np.repeat(np.arange(len(a_ids)), take.shape[1]), np.take_along_axis(d, take, 1).ravel()
-                ok = np.isfinite(dist)
-                yield pd.DataFrame({"event_id": a_ids[rows][ok], "other": b_ids[take.ravel()][ok], "distance": dist[ok]})
-
-    left = blocks(points)
-    pairs = _block_pairs(left, left if others is None else blocks(others))
-    found = pairs.mapInPandas(run, "event_id long, other long, distance double")
-    near = F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k)
-    return found.groupBy("event_id").agg(near.alias("near"))
+            for ids, xs, bounds in f.itertuples(index=False):
+                yield pd.DataFrame({"event_id": np.frombuffer(ids, np.int64), "other": np.frombuffer(xs, np.int64), "distance": np.frombuffer(bounds, float)})
+
+    numbers = held.spark.createDataFrame(pd.DataFrame({"c": np.arange(len(parts), dtype=np.int32), "parts": parts.astype(np.int32)}), "c int, parts int")
+    looks = held.asked.join(F.broadcast(numbers), F.col("cell") == F.col("c")).select("cell", F.col("block").alias("part"), F.pmod("block", "parts").alias("block"), "ids", "xs")
+    looks = looks.join(held.beside(), ["cell", "block"], "left").select("cell", "part", "ids", "xs", "b_ids", "b_xs")
+    sent = written(looks.mapInPandas(first, _SENT), "sent")
+    found = "event_id long, other long, distance double"
+    more = held.pairs(sent, ["source", "part", "cell", "ids", "xs", "bounds"])
+    more = more.select("source", "part", "cell", "ids", "xs", "bounds", "block", "b_ids", "b_xs").mapInPandas(second, found)
+    both = sent.filter("cell < 0").select("ids", "xs", "bounds").mapInPandas(opened, found).unionByName(more)
+    best = F.row_number().over(W.partitionBy("event_id").orderBy("distance", "other"))
+    kept = both.withColumn("place", best).filter(F.col("place") <= k)
+    out = written(kept.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("near")), "near")
+    dropped(sent)
+    held.drop()
+    return out
 
 
 def radius_counts(points: DataFrame, radius: float) -> DataFrame:
-    """event_id, n: how many other points lie within the radius; a pair of blocks gives a row per point, not per pair."""
+    """event_id, n: how many other points lie within the radius; a cell that lies within it as a whole is counted without a pair."""
+    held = Cells(points)
+    pivots = held.pivots
+    if pivots is None:
+        return points.limit(0).select("event_id", F.lit(0).cast("long").alias("n"))
 
-    def run(frames):
+    def first(frames):
         for f in frames:
-            for a_ids, a_xs, b_ids, b_xs in f.itertuples(index=False):
-                a_ids = np.asarray(a_ids)
-                close = (_distances(np.stack(a_xs), np.stack(b_xs)) <= radius) & (a_ids[:, None] != np.asarray(b_ids)[None, :])
-                yield pd.DataFrame({"event_id": a_ids, "n": close.sum(1).astype(np.int64)})
+            for cell, block, ids, xs in f.itertuples(index=False):
+                ids, x = _open(ids, xs)
+                whole = pivots.most(x) <= radius
+                reach = (pivots.least(x, cell) <= radius) & ~whole
+                known = whole @ pivots.counts - whole[:, cell]
+                rows = [_pack(cell, block, -1, ids, known, np.zeros(0))]
+                rows += [_pack(cell, block, c, ids[reach[:, c]], x[reach[:, c]], np.zeros(0)) for c in np.flatnonzero(reach.any(0))]
+                yield pd.DataFrame(rows)
+
+    def second(frames):
+        for f in frames:
+            for ids, xs, b_ids, b_xs in f.itertuples(index=False):
+                (ids, x), (other, y) = _open(ids, xs), _open(b_ids, b_xs)
+                close = _close(x, y, radius) & (ids[:, None] != other[None, :])
+                yield pd.DataFrame({"event_id": ids, "n": close.sum(1).astype(np.int64)})
+
+    def opened(frames):
+        for f in frames:
+            for ids, xs in f.itertuples(index=False):
+                yield pd.DataFrame({"event_id": np.frombuffer(ids, np.int64), "n": np.frombuffer(xs, np.int64)})
 
-    held = blocks(points)
-    return _block_pairs(held, held).mapInPandas(run, "event_id long, n long").groupBy("event_id").agg(F.sum("n").alias("n"))
+    sent = written(held.asked.select("cell", "block", "ids", "xs").mapInPandas(first, _SENT), "sent")
+    known = sent.filter("cell < 0").select("ids", "xs").mapInPandas(opened, "event_id long, n long")
+    more = held.pairs(sent, ["cell", "ids", "xs"]).select("ids", "xs", "b_ids", "b_xs").mapInPandas(second, "event_id long, n long")
+    out = written(known.unionByName(more).groupBy("event_id").agg(F.sum("n").alias("n")), "counts")
+    dropped(sent)
+    held.drop()
+    return out
 
 
 def spanning_links(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,26 +305,56 @@ def spanning_links(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def radius_links(points: DataFrame, radius: float) -> DataFrame:
-    """event_id, other, both ways: links that connect the points within the radius of each other, two rows a point and pair of blocks at most."""
+    """event_id, other, both ways: links that connect the points within the radius of each other, a few rows a point and cell it reaches.
 
-    def run(frames):
+    Of the points that are near to all of a cell, one meets the cell and the rest are linked with that one.
+    """
+    held = Cells(points)
+    pivots = held.pivots
+    if pivots is None:
+        return points.limit(0).select("event_id", F.col("event_id").alias("other"))
+
+    def first(frames):
+        for f in frames:
+            for cell, block, ids, xs in f.itertuples(index=False):
+                ids, x = _open(ids, xs)
+                whole, least = pivots.most(x) <= radius, pivots.least(x, cell)
+                for c in range(cell, len(pivots.counts)):
+                    every = np.flatnonzero(whole[:, c]) if pivots.counts[c] else []
+                    reach = least[:, c] <= radius
+                    if len(every):
+                        reach[every[1:]] = False
+                        yield pd.DataFrame([_pack(cell, block, -1, ids[every], np.full(len(every), ids[every[0]]), np.zeros(0))])
+                    if reach.any():
+                        yield pd.DataFrame([_pack(cell, block, c, ids[reach], x[reach], np.zeros(0))])
+
+    def second(frames):
         for f in frames:
-            for a_ids, a_xs, b_ids, b_xs in f.itertuples(index=False):
-                a_ids, b_ids = np.asarray(a_ids), np.asarray(b_ids)
-                if a_ids[0] > b_ids[0]:  # the pair the other way round has the same links
-                    continue
-                rows, columns = spanning_links(_distances(np.stack(a_xs), np.stack(b_xs)) <= radius)
-                ids, to = np.concatenate([a_ids, b_ids[columns >= 0]]), a_ids[np.concatenate([rows, columns[columns >= 0]])]
-                yield pd.DataFrame({"event_id": ids[ids != to], "other": to[ids != to]})
+            for source, cell, ids, xs, b_ids, b_xs in f.itertuples(index=False):
+                (ids, x), (other, y) = _open(ids, xs), _open(b_ids, b_xs)
+                rows, columns = spanning_links(_close(x, y, radius))
+                a, to = np.concatenate([ids, other[columns >= 0]]), ids[np.concatenate([rows, columns[columns >= 0]])]
+                yield pd.DataFrame({"event_id": a[a != to], "other": to[a != to]})
 
-    held = blocks(points)
-    found = _block_pairs(held, held).mapInPandas(run, "event_id long, other long")
-    return found.union(found.select(F.col("other").alias("event_id"), F.col("event_id").alias("other"))).distinct()
+    def opened(frames):
+        for f in frames:
+            for ids, xs in f.itertuples(index=False):
+                a, to = np.frombuffer(ids, np.int64), np.frombuffer(xs, np.int64)
+                yield pd.DataFrame({"event_id": a[a != to], "other": to[a != to]})
+
+    sent = written(held.asked.select("cell", "block", "ids", "xs").mapInPandas(first, _SENT), "sent")
+    kinds = "event_id long, other long"
+    more = held.pairs(sent, ["source", "cell", "ids", "xs"]).select("source", "cell", "ids", "xs", "b_ids", "b_xs").mapInPandas(second, kinds)
+    found = written(sent.filter("cell < 0").select("ids", "xs").mapInPandas(opened, kinds).unionByName(more).distinct(), "found")
+    out = written(found.union(found.select(F.col("other").alias("event_id"), F.col("event_id").alias("other"))).distinct(), "links")
+    dropped(sent, found)
+    held.drop()
+    return out
 
 
 def local_outlier_factor(events: DataFrame, neighbors: int = 20, contamination: float = 0.10, names=FEATURES) -> DataFrame:
     """event_id, lof_anomaly, lof_score: densities compared with the neighbours', over the whole batch."""
-    near = written(nearest(standardise(engineer_features(events), names), neighbors), "near")
+    near = nearest(standardise(engineer_features(events), names), neighbors)
     edges = near.select("event_id", F.explode("near").alias("e")).select("event_id", "e.other", "e.distance")
     reach = near.select(F.col("event_id").alias("other"), F.element_at("near", -1)["distance"].alias("k_distance"))
     density = (
@@ -127,7 +367,9 @@ def local_outlier_factor(events: DataFrame, neighbors: int = 20, contamination:
         edges.join(around, "other").groupBy("event_id").agg(F.avg("near_lrd").alias("m")).join(density, "event_id")
         .select("event_id", (-F.col("m") / F.col("lrd")).alias("factor"))
     )
-    ends = factor.agg(F.min("factor").alias("lo"), F.max("factor").alias("hi"), F.percentile("factor", F.lit(contamination)).alias("cut"))
+    factor = written(factor, "factor")
+    cut = percentiles(factor, {"factor": [contamination]}).select(F.col("factor")[0].alias("cut"))
+    ends = factor.agg(F.min("factor").alias("lo"), F.max("factor").alias("hi")).crossJoin(F.broadcast(cut))
     score = 1.0 - (F.col("factor") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-10)
     scored = factor.crossJoin(F.broadcast(ends)).select("event_id", (F.col("factor") < F.col("cut")).alias("lof_anomaly"), score.alias("lof_score"))
     return events.select("event_id").join(scored, "event_id", "left").select(
@@ -143,41 +385,45 @@ def knee(distances: np.ndarray) -> float:
     return float(np.clip(np.sort(distances)[int(bend.argmax()) + 1], 0.5, 5.0))
 
 
-def _labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """event_id, root: least id reachable, by label propagation with pointer jumps; each round is written."""
+def _labels(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
+    """event_id, root: least id reachable, by label propagation with pointer jumps; each round is written, and the last one's table dropped."""
     state = written(nodes.select("event_id", F.col("event_id").alias("root")), "labels")
-    while True:
+    for _ in range(rounds):
         offered = edges.join(state.withColumnRenamed("event_id", "other"), "other").groupBy("event_id").agg(F.min("root").alias("seen"))
         lower = state.join(offered, "event_id", "left").select("event_id", F.least("root", "seen").alias("root"))
         jump = lower.select(F.col("event_id").alias("root"), F.col("root").alias("far"))
         new = written(lower.join(jump, "root", "left").select("event_id", F.coalesce("far", "root").alias("root")), "labels")
         moved = new.join(state.withColumnRenamed("root", "old"), "event_id").filter("root <> old").limit(1).count()
+        dropped(state)
         state = new
         if not moved:
             return state
+    raise RuntimeError("labels did not settle")
 
 
 def density_clusters(events: DataFrame, min_samples: int = 10, eps: float | None = None, names=FEATURES) -> DataFrame:
     """event_id, dbscan_anomaly, dbscan_score, dbscan_cluster (-1: noise).
 
-    ``eps`` is tuned on at most ``EPS_SAMPLE`` hash-chosen points when not given.
+    Clusters are numbered by their least core id; a border point joins the cluster of its nearest
+    core point.  ``eps`` is tuned on at most ``EPS_SAMPLE`` hash-chosen points when not given.
     """
     points = written(standardise(engineer_features(events), names), "points")
     if eps is None:
         sample = points.orderBy(F.xxhash64("event_id"), "event_id").limit(EPS_SAMPLE)
-        far = nearest(sample, min_samples).select(F.element_at("near", -1)["distance"].alias("d")).toPandas()["d"]
+        far = nearest(written(sample, "sample"), min_samples).select(F.element_at("near", -1)["distance"].alias("d")).toPandas()["d"]
         eps = knee(far.to_numpy(float))
 
-    around = written(radius_counts(points, eps), "radius")
+    around = radius_counts(points, eps)
     core = written(points.join(around.filter(F.col("n") + 1 >= min_samples), "event_id").select("event_id", "x"), "core")
     rest = points.join(core.select("event_id"), "event_id", "left_anti")
-    roots = _labels(written(radius_links(core, eps), "links"), core)
+    roots = _labels(radius_links(core, eps), core)
     edge = nearest(rest, 1, core).select("event_id", F.element_at("near", 1).alias("e")).filter(F.col("e.distance") <= eps)
     edge = edge.select("event_id", F.col("e.other").alias("other")).join(roots.withColumnRenamed("event_id", "other"), "other")
     border = roots.select("event_id", F.col("root").alias("border")).union(edge.select("event_id", "root"))
-    order = roots.select("root").distinct().select("root", (F.dense_rank().over(_by("root")) - 1).alias("number"))
+    order = ranked(roots.select("root").distinct(), ["root"], name="number")
     named = points.select("event_id").join(border, "event_id", "left").join(order, F.col("border") == F.col("root"), "left")
     named = written(named.select("event_id", F.coalesce("number", F.lit(-1)).cast("int").alias("dbscan_cluster")), "clusters")
+    dropped(around, core, roots, order)
     noise, rest = named.filter("dbscan_cluster = -1"), named.filter("dbscan_cluster <> -1")
     if noise.isEmpty() or rest.isEmpty():
         scored = named.withColumn("gap", F.lit(0.0))
@@ -188,9 +434,3 @@ def density_clusters(events: DataFrame, min_samples: int = 10, eps: float | None
     return scored.crossJoin(F.broadcast(top)).select(
         "event_id", (F.col("dbscan_cluster") == -1).alias("dbscan_anomaly"), F.coalesce(F.col("gap") / F.col("top"), F.lit(0.0)).alias("dbscan_score"), "dbscan_cluster"
     )
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SEVERITIES
+from .quantiles import percentiles
 
 
 def hour_text(ts) -> Column:
@@ -101,11 +102,12 @@ def _rate() -> Column:
 
 def category_summary(events: DataFrame) -> DataFrame:
     p = F.col("final_price")
-    return events.groupBy("category").agg(
-        F.count(F.lit(1)).alias("events"), _mean("final_price", "avg_price", 2), F.round(F.percentile(p, F.lit(0.5)), 2).alias("median_price"),
-        F.round(F.stddev_samp(p), 2).alias("std_price"), F.round(F.min(p), 2).alias("min_price"), F.round(F.max(p), 2).alias("max_price"),
+    medians = percentiles(events, {"final_price": [0.5]}, ["category"]).select(F.col("category").alias("c"), F.round(F.col("final_price")[0], 2).alias("median_price"))
+    rows = events.groupBy("category").agg(
+        F.count(F.lit(1)).alias("events"), _mean("final_price", "avg_price", 2), F.round(F.stddev_samp(p), 2).alias("std_price"), F.round(F.min(p), 2).alias("min_price"), F.round(F.max(p), 2).alias("max_price"),
         _mean("surge_multiplier", "avg_surge", 2), F.round(F.max("surge_multiplier"), 2).alias("max_surge"), _anomalies("anomalies"), _rate(),
     )
+    return rows.join(medians, F.col("category").eqNullSafe(F.col("c"))).drop("c")
 
 
 def region_summary(events: DataFrame) -> DataFrame:
@@ -147,7 +149,7 @@ def coverage(events: DataFrame, truth_count: Column, alerts: DataFrame) -> DataF
 
 def quartiles(events: DataFrame, by: list) -> DataFrame:
     """Box-plot numbers: quartiles and the 1.5 IQR whisker ends."""
-    q = F.percentile("final_price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = events.groupBy(*by).agg(q.alias("q")).select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    q = percentiles(events, {"final_price": [0.25, 0.5, 0.75]}, by)
+    rows = q.select(*by, *[F.col("final_price")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     width = 1.5 * (F.col("q3") - F.col("q1"))
     return rows.select(*by, *[F.round(c, 6).alias(n) for n, c in (("q1", F.col("q1")), ("median", F.col("median")), ("q3", F.col("q3")), ("low", F.col("q1") - width), ("high", F.col("q3") + width))])

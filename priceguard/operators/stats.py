@@ -6,26 +6,27 @@ from pyspark.sql import functions as F
 
 from ..config import TUNED, Settings
 from ..functions.clean import clip, true
+from .quantiles import percentiles
+from .ranks import ranked
 
+UNIT = 8192
 
-def category_stats(events: DataFrame) -> DataFrame:
-    """One row per category; the MAD takes a second pass over prices joined to their medians."""
+
+def category_stats(events: DataFrame, surge_tails: bool = True) -> DataFrame:
+    """One row per category; the MAD is a percentile of the distances from the medians.  ``surge_tails``: with surge_p95 and surge_p99."""
     p, s = F.col("final_price"), F.col("surge_multiplier")
-    quart = F.percentile(p, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    tail = F.percentile(s, F.array(F.lit(0.95), F.lit(0.99)))
-    first = events.groupBy("category").agg(
-        F.avg(p).alias("price_mean"), F.stddev_samp(p).alias("price_std"), quart.alias("q"),
-        F.avg(s).alias("surge_mean"), F.stddev_samp(s).alias("surge_std"), tail.alias("t"), F.count(F.lit(1)).alias("n"),
-    )
-    medians = first.select("category", F.col("q")[1].alias("m"))
-    mad = (
-        events.select("category", "final_price").join(F.broadcast(medians), "category")
-        .groupBy("category").agg(F.percentile(F.abs(p - F.col("m")), F.lit(0.5)).alias("price_mad"))
+    moments = events.groupBy("category").agg(
+        F.avg(p).alias("price_mean"), F.stddev_samp(p).alias("price_std"), F.avg(s).alias("surge_mean"), F.stddev_samp(s).alias("surge_std"), F.count(F.lit(1)).alias("n"),
     )
-    return first.join(mad, "category").select(
+    wanted = {"final_price": [0.25, 0.5, 0.75]} | ({"surge_multiplier": [0.95, 0.99]} if surge_tails else {})
+    cuts = percentiles(events, wanted, ["category"]).withColumnsRenamed({"category": "c", "final_price": "q", "surge_multiplier": "t"})
+    gaps = events.join(F.broadcast(cuts), F.col("category").eqNullSafe(F.col("c"))).select("c", F.abs(p - F.col("q")[1]).alias("price_mad"))  # a row per category
+    mad = percentiles(gaps, {"price_mad": [0.5]}, ["c"]).select(F.col("c").alias("mc"), F.col("price_mad")[0].alias("price_mad"))
+    tails = [F.col("t")[0].alias("surge_p95"), F.col("t")[1].alias("surge_p99")] if surge_tails else []
+    ends = cuts.join(mad, F.col("c").eqNullSafe(F.col("mc")))
+    return moments.filter(F.col("category").isNotNull()).join(F.broadcast(ends), F.col("category") == F.col("c")).select(
         "category", "price_mean", "price_std", F.col("q")[1].alias("price_median"), "price_mad",
-        F.col("q")[0].alias("price_q1"), F.col("q")[2].alias("price_q3"), (F.col("q")[2] - F.col("q")[0]).alias("price_iqr"),
-        "surge_mean", "surge_std", F.col("t")[0].alias("surge_p95"), F.col("t")[1].alias("surge_p99"), "n",
+        F.col("q")[0].alias("price_q1"), F.col("q")[2].alias("price_q3"), (F.col("q")[2] - F.col("q")[0]).alias("price_iqr"), "surge_mean", "surge_std", *tails, "n",
     )
 
 
@@ -67,26 +68,17 @@ def _deviation(by: list[str], order: list[str], settings: Settings) -> Column:
 def rolling_deviations(events: DataFrame, settings: Settings = TUNED) -> DataFrame:
     """``events`` with roll_dev: the largest deviation from the category's last 10, 30 and 120 rows (null for under 10 rows).
 
-    The unit of work is a day of a category.  A day also gets the rows that lie less than 120
-    places before its first one; which days a row serves is worked out on the counts per day, so
-    a row is copied to those days alone.
+    The unit of work is ``UNIT`` rows in a row of a category, by their places in (timestamp,
+    event_id) order; a unit also gets the 119 rows before it.  So a task has so many rows however
+    the rows are spread over days, minutes or categories.
     """
     halo = max(settings.rolling_rows) - 1
-    day = F.to_date("timestamp")
-    sizes = events.groupBy("category", day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
-    by = W.partitionBy("category").orderBy(F.col("__day").asc_nulls_first())
-    upto = F.sum("__n").over(by.rowsBetween(W.unboundedPreceding, 0))
-    days = sizes.withColumn("__upto", upto).withColumn("__total", F.sum("__n").over(W.partitionBy("category"))).withColumn("__before", F.col("__upto") - F.col("__n"))
-    later = F.collect_list(F.struct(F.col("__day").alias("unit"), F.col("__before").alias("lo"))).over(by.rowsBetween(1, halo))  # each day has a row
-    days = days.withColumn("__later", F.filter(later, lambda u: u["lo"] < F.col("__upto") + halo)).withColumnRenamed("category", "__category")
-    same = F.col("category").eqNullSafe(F.col("__category")) & F.col("__own").eqNullSafe(F.col("__day"))
-    local = W.partitionBy("category", "__own").orderBy("timestamp", "event_id")
-    placed = events.withColumn("__own", day).join(days, same).withColumn("__place", F.col("__before") + F.row_number().over(local))
-    own = F.array(F.struct(F.col("__own").alias("unit"), F.lit(True).alias("mine")))
-    serves = F.transform(F.filter("__later", lambda u: u["lo"] - F.col("__place") < halo), lambda u: F.struct(u["unit"].alias("unit"), F.lit(False).alias("mine")))
-    spread = placed.select(*[F.col(f"`{c}`") for c in events.columns], "__place", "__total", F.explode(F.concat(own, serves)).alias("__for")).withColumn("__unit", F.col("__for")["unit"])
-    found = spread.withColumn("roll_dev", F.when(F.col("__total") >= 10, _deviation(["category", "__unit"], ["__place"], settings))).filter(F.col("__for")["mine"])
-    return found.select(*[F.col(f"`{c}`") for c in events.columns], "roll_dev")
+    placed = ranked(events, ["timestamp", "event_id"], ["category"], "__place", total="__total", write=False)
+    unit = F.floor(F.col("__place") / UNIT)
+    serves = F.when(F.col("__place") % UNIT >= UNIT - halo, F.array(unit, unit + 1)).otherwise(F.array(unit))
+    spread = placed.withColumn("__unit", F.explode(serves))
+    found = spread.withColumn("roll_dev", F.when(F.col("__total") >= 10, _deviation(["category", "__unit"], ["__place"], settings)))
+    return found.filter(F.col("__unit") == unit).select(*[F.col(f"`{c}`") for c in events.columns], "roll_dev")
 
 
 def rolling_flags(events: DataFrame, settings: Settings = TUNED) -> DataFrame:

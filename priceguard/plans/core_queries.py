@@ -82,7 +82,7 @@ _STAT_SQL = f"{PE},\n{TRAIN},\n{stats_cte('tr')},\n{stat_cte('pe')}"
 def _stat_scored(spark, d):
     events = load(spark, d)
     train = evaluate.train_test(events).filter("split = 'train'").drop("split")
-    return stats.score(events, stats.category_stats(train))
+    return stats.score(events, stats.category_stats(train, surge_tails=False))
 
 
 @query(with_(PE, """SELECT id AS event_id, CASE WHEN row_number() OVER (ORDER BY "timestamp", id) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM (SELECT (event_id * 7919) % 1000003 AS id, "timestamp" FROM pe) t"""))
@@ -114,12 +114,23 @@ def rolling_flags_by_day(spark, d):
     return stats.rolling_flags(load(spark, d)).select("event_id", "stat_rolling")
 
 
+_ONE_DAY = """od AS (SELECT event_id, category, final_price, TIMESTAMP '2024-06-03' + ("timestamp" - date_trunc('day', "timestamp")) AS "timestamp" FROM pe)"""
+
+
+@query(with_(f"{PE},\n{_ONE_DAY}", f"SELECT event_id, {rolling_sql(Z, 'stat_rolling')} FROM od"))
+def rolling_flags_one_day(spark, d):
+    """The rolling test where all events fall on one day: no task grows with a day's rows."""
+    ts = F.col("timestamp")
+    moved = load(spark, d).withColumn("timestamp", F.timestamp_micros(F.unix_micros(F.lit("2024-06-03 00:00:00").cast("timestamp")) + F.unix_micros(ts.cast("timestamp")) - F.unix_micros(F.date_trunc("day", ts).cast("timestamp"))))
+    return stats.rolling_flags(moved).select("event_id", "stat_rolling")
+
+
 _CTX = ["mean", "std", "median", "surge_mean", "surge_std"]
 
 
 @query(with_(f"{PE},\n{context_cte('pe')}", f"SELECT category, hour_block, is_weekend, {', '.join(f'round({c}, 6) AS {c}' for c in _CTX)}, n FROM cb"))
 def context_baselines(spark, d):
-    return context.baselines(load(spark, d)).select(*context.KEYS, *[F.round(c, 6).alias(c) for c in _CTX], "n")
+    return context.baselines_with_medians(load(spark, d)).select(*context.KEYS, *[F.round(c, 6).alias(c) for c in _CTX], "n")
 
 
 @query(with_(f"{PE},\n{TRAIN},\n{context_cte('tr')},\n{CTX.format(src='pe')}", "SELECT event_id, ctx_anomaly, round(ctx_score, 6) AS ctx_score FROM cs"))

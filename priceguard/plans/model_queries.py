@@ -27,11 +27,6 @@ def isolation_forest(spark, d):
     return forest.IsolationForest(TUNED.contamination, TUNED.trees, TUNED.seed).fit(events).predict(events)
 
 
-@query()
-def lof(spark, d):
-    return neighbors.local_outlier_factor(load(spark, d))
-
-
 @query()
 def dbscan(spark, d):
     return neighbors.density_clusters(load(spark, d))
@@ -94,7 +89,7 @@ def _drained(rows, mode: str):
 @query()
 def stream_rules(spark, d):
     events = load(spark, d)
-    st, base = written(stats.category_stats(events), "stats"), written(context.baselines(events), "baselines")
+    st, base = written(stats.category_stats(events, surge_tails=False), "stats"), written(context.baselines(events), "baselines")
     maxima = written(stats.batch_maxima(stats.with_stats(events, st)), "maxima")
     source = written(events, "stream").inputFiles()[0].rsplit("/", 1)[0]
     scored = stream.score_stream(stream.read_stream(spark, source), st, base, maxima)

@@ -6,6 +6,7 @@ from ..config import TUNED
 from ..operators import alerts, eda, reports
 from ..operators.ensemble import EnsembleDetector
 from ..operators.evaluate import train_test
+from ..operators.quantiles import percentiles
 from ..operators.rules import validate
 from ..sources.fixtures import pricing_events as load
 from .registry import query
@@ -208,11 +209,12 @@ def hour_demand_supply(spark, d):
 
 @query(with_(PE, "SELECT region, round(avg(final_price), 6) AS mean, round(quantile_cont(final_price, 0.5), 6) AS median, round(stddev_samp(final_price), 6) AS std, round(avg(CASE WHEN label_is_anomaly THEN 1.0 ELSE 0.0 END), 6) AS anomaly_rate, round(avg(distance_miles), 6) AS avg_miles FROM pe GROUP BY 1"))
 def region_price_stats(spark, d):
-    p = F.col("final_price")
-    return load(spark, d).groupBy("region").agg(
-        F.round(F.avg(p), 6).alias("mean"), F.round(F.percentile(p, F.lit(0.5)), 6).alias("median"), F.round(F.stddev_samp(p), 6).alias("std"),
+    events, p = load(spark, d), F.col("final_price")
+    medians = percentiles(events, {"final_price": [0.5]}, ["region"]).select(F.col("region").alias("r"), F.round(F.col("final_price")[0], 6).alias("median"))
+    return events.groupBy("region").agg(
+        F.round(F.avg(p), 6).alias("mean"), F.round(F.stddev_samp(p), 6).alias("std"),
         F.round(F.avg(F.col("label_is_anomaly").cast("double")), 6).alias("anomaly_rate"), F.round(F.avg("distance_miles"), 6).alias("avg_miles"),
-    )
+    ).join(medians, F.col("region").eqNullSafe(F.col("r"))).drop("r")
 
 
 _RATIOS = """ra AS (SELECT *, final_price / greatest(base_price, 0.01) AS price_to_base_ratio, final_price / greatest(distance_miles, 0.1) AS price_per_mile,
@@ -249,6 +251,17 @@ def anomaly_runs(spark, d):
     return eda.anomaly_runs(load(spark, d))
 
 
+_SPARSE_RUNS = f"""{PE},
+al AS (SELECT (event_id * 7919) % 1000003 AS id, label_type, label_is_anomaly AS hit, row_number() OVER (ORDER BY {TS}, (event_id * 7919) % 1000003) AS place FROM pe),
+h AS (SELECT *, place - row_number() OVER (ORDER BY place) AS island FROM al WHERE hit)"""
+
+
+@query(with_(_SPARSE_RUNS, "SELECT arg_min(id, place) AS start_id, count(*) AS length, arg_max(label_type, place) AS run_type FROM h GROUP BY island"))
+def sparse_runs(spark, d):
+    """Runs in time order where ids are neither dense nor in that order."""
+    return eda.anomaly_runs(load(spark, d).withColumn("event_id", F.col("event_id") * 7919 % 1000003))
+
+
 @query(with_(_RUNS, "SELECT max(length) AS longest, round(avg(length), 6) AS mean_length, count_if(length = 1) AS single, count_if(length >= 2) AS two_or_more, count_if(length >= 5) AS five_or_more FROM runs"))
 def run_summary(spark, d):
     return eda.run_summary(eda.anomaly_runs(load(spark, d)))

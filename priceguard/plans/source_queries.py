@@ -208,9 +208,41 @@ zs AS (SELECT event_id, {_Z} FROM fx),
 ds AS (SELECT a.event_id, sqrt({_DISTANCE}) AS d FROM zs a JOIN zs b ON a.event_id <> b.event_id)"""
 
 
-@query(with_(f"{PE},\n{_POINTS}", "SELECT event_id, round(list_max(min(d, 20)), 5) AS k_distance, count_if(d <= 1.5) AS within FROM ds GROUP BY event_id"))
+@query(with_(f"{PE},\n{_POINTS}", "SELECT event_id, round(list_max(min(d, 20)), 9) AS k_distance, count_if(d <= 1.5) AS within FROM ds GROUP BY event_id"))
 def neighbour_distances(spark, d):
     """Distance of the twentieth nearest point and how many others lie within 1.5 (standardised features)."""
     points = written(neighbors.standardise(engineer_features(load(spark, d))), "points")
-    far = neighbors.nearest(points, 20).select("event_id", F.round(F.element_at("near", -1)["distance"], 5).alias("k_distance"))
+    far = neighbors.nearest(points, 20).select("event_id", F.element_at("near", -1)["distance"].alias("k_distance"))
     return far.join(neighbors.radius_counts(points, 1.5).withColumnRenamed("n", "within"), "event_id")
+
+
+_NEAR = _POINTS.rsplit("ds AS", 1)[0] + f"""ds AS (SELECT a.event_id, b.event_id AS other, round(sqrt({_DISTANCE}), 9) AS d FROM zs a JOIN zs b ON a.event_id <> b.event_id)"""
+_LOF = f"""{PE},\n{_NEAR},
+nb AS MATERIALIZED (SELECT event_id, x.o AS other, x.d AS d FROM (SELECT event_id, unnest(min({{'d': d, 'o': other}}, 20)) AS x FROM ds GROUP BY event_id) t),
+kd AS (SELECT event_id, max(d) AS k FROM nb GROUP BY 1),
+ld AS MATERIALIZED (SELECT nb.event_id, 1 / (avg(greatest(nb.d, k)) + 1e-10) AS lrd FROM nb JOIN kd ON kd.event_id = nb.other GROUP BY 1),
+fa AS (SELECT nb.event_id, -avg(o.lrd) / any_value(l.lrd) AS f FROM nb JOIN ld o ON o.event_id = nb.other JOIN ld l ON l.event_id = nb.event_id GROUP BY 1)"""
+
+
+@query(with_(_LOF, "SELECT event_id, f < (SELECT quantile_cont(f, 0.1) FROM fa) AS lof_anomaly, round(1 - (f - (SELECT min(f) FROM fa)) / ((SELECT max(f) - min(f) FROM fa) + 1e-10), 6) AS lof_score FROM fa"))
+def lof(spark, d):
+    return neighbors.local_outlier_factor(load(spark, d)).select("event_id", "lof_anomaly", F.round("lof_score", 6).alias("lof_score"))
+
+
+_EPS = 1.5
+_DBSCAN = f"""{PE},\n{_NEAR},
+cl AS MATERIALIZED (SELECT event_id, other FROM ds WHERE d <= {_EPS}),
+co AS MATERIALIZED (SELECT event_id FROM cl GROUP BY 1 HAVING count(*) + 1 >= 10),
+e AS MATERIALIZED (SELECT cl.event_id AS a, cl.other AS b FROM cl SEMI JOIN co ON co.event_id = cl.event_id SEMI JOIN co c2 ON c2.event_id = cl.other),
+r(n, root) USING KEY (n) AS (SELECT event_id, event_id FROM co UNION SELECT e.a, min(r.root) FROM e JOIN r ON r.n = e.b JOIN recurring.r o ON o.n = e.a WHERE r.root < o.root GROUP BY e.a),
+nc AS (SELECT ds.event_id, min({{'d': ds.d, 'o': ds.other}}) AS x FROM ds SEMI JOIN co ON co.event_id = ds.other ANTI JOIN co c2 ON c2.event_id = ds.event_id GROUP BY 1),
+lb AS (SELECT n AS event_id, root FROM r UNION ALL SELECT nc.event_id, r.root FROM nc JOIN r ON r.n = nc.x.o WHERE nc.x.d <= {_EPS}),
+nm AS MATERIALIZED (SELECT event_id, dense_rank() OVER (ORDER BY root) - 1 AS c FROM lb),
+gp AS (SELECT ds.event_id, min(ds.d) AS gap FROM ds ANTI JOIN nm ON nm.event_id = ds.event_id SEMI JOIN nm n2 ON n2.event_id = ds.other GROUP BY 1)"""
+
+
+@query(with_(_DBSCAN, "SELECT pe.event_id, c IS NULL AS dbscan_anomaly, round(coalesce(gap / (SELECT coalesce(nullif(max(gap), 0), 1) FROM gp), 0), 6) AS dbscan_score, coalesce(c, -1)::INT AS dbscan_cluster FROM pe LEFT JOIN nm USING (event_id) LEFT JOIN gp USING (event_id)").replace("WITH ", "WITH RECURSIVE ", 1))
+def dbscan_fixed_radius(spark, d):
+    """Clusters for a stated radius (``dbscan`` tunes its own)."""
+    found = neighbors.density_clusters(load(spark, d), eps=_EPS)
+    return found.select("event_id", "dbscan_anomaly", F.round("dbscan_score", 6).alias("dbscan_score"), "dbscan_cluster")

@@ -14,7 +14,7 @@ def grid_input(events: DataFrame, settings: Settings = TUNED, use_forest: bool =
     Contamination moves only the forest's threshold, so one forest serves all its values.
     """
     train = evaluate.train_test(events).filter("split = 'train'").drop("split")
-    st, base = stats.category_stats(train), context.baselines(train)
+    st, base = stats.category_stats(train, surge_tails=False), context.baselines(train)
     rows = stats.rolling_deviations(context.score(events, base, settings), settings)
     raw = stats.with_stats(rows, st)
     both = raw.crossJoin(F.broadcast(stats.batch_maxima(stats.with_stats(events, st))))

@@ -18,7 +18,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in a new folder."""
+    """``df`` as a Parquet table in a new folder, which ``dropped`` deletes."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned, once nothing reads them any more."""
+    for table in tables:
+        path = getattr(table, "written_at", None) if "written_at" in vars(table) else None
+        if path:
+            jvm = table.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

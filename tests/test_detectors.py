@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from priceguard.config import TUNED
 from priceguard.functions.clean import ingest
 from priceguard.functions.features import FEATURES, engineer_features
-from priceguard.operators import context, forest, neighbors, stats, svm
+from priceguard.operators import context, forest, neighbors, quantiles, ranks, stats, svm
 from priceguard.operators.ensemble import EnsembleDetector, fuse
 from priceguard.operators.forecast import Forecaster, fit_series, without_forecast
 
@@ -59,8 +59,6 @@ def test_unseen_category_and_single_row(spark):
 
 
 def test_rolling_by_hand_and_by_day(spark):
-    import numpy as np
-
     changes = hourly(400, categories=("x", "y"), outliers={k: dict(final_price=60.0) for k in (37, 120, 121, 300)})
     e = events(spark, *changes)
     got = {r["event_id"]: r["stat_rolling"] for r in stats.rolling_flags(e).collect()}
@@ -123,17 +121,137 @@ def test_neighbours_and_svm(spark):
     assert got.filter("event_id = 9").first()["svm_anomaly"]
 
 
-def test_neighbours_against_numpy(spark, monkeypatch):
-    import numpy as np
+def plain_points(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "event_id long, x array<double>")
+
 
-    monkeypatch.setattr(neighbors, "BLOCK", 16)
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(60, 3))
-    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "event_id long, x array<double>")
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+def plain_distances(x):
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
     np.fill_diagonal(d, np.inf)
-    for r in neighbors.nearest(points, 5).collect():
-        assert [n["other"] for n in r["near"]] == list(np.argsort(d[r["event_id"]])[:5])
+    return d
+
+
+def uneven(n, seed=0):
+    """Points of several densities, a tenth of them twice."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 4)) * (1 + 3 * (rng.random((n, 1)) < 0.1)) + 8 * rng.integers(0, 3, (n, 1))
+    x[n // 2 : n // 2 + n // 10] = x[: n // 10]
+    return x
+
+
+@pytest.mark.parametrize("block", [16, 100, 4096])
+def test_neighbours_against_numpy(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbors, "BLOCK", block)
+    x = uneven(300)
+    points, d = plain_points(spark, x), plain_distances(x)
+    got = {r["event_id"]: [n["other"] for n in r["near"]] for r in neighbors.nearest(points, 5).collect()}
+    assert got == {i: np.lexsort((np.arange(300), d[i]))[:5].tolist() for i in range(300)}
+    some = points.filter("event_id % 7 = 0")
+    among = {r["event_id"]: [n["other"] for n in r["near"]] for r in neighbors.nearest(some, 3, points.filter("event_id % 2 = 1")).collect()}
+    for i in range(0, 300, 7):
+        odd = [j for j in np.lexsort((np.arange(300), d[i])) if j % 2 and j != i]
+        assert among[i] == odd[:3]
+    for radius in (0.4, 1.5, 40.0):
+        assert {r["event_id"]: r["n"] for r in neighbors.radius_counts(points, radius).collect()} == {i: int((d[i] <= radius).sum()) for i in range(300)}
+    assert neighbors.nearest(points.limit(0), 3).count() == 0 and neighbors.nearest(points.limit(2), 3).selectExpr("size(near) n").first()["n"] == 1
+
+
+@pytest.mark.parametrize("radius", [0.3, 0.8, 3.0])
+def test_links_join_what_lies_within_the_radius(spark, monkeypatch, radius):
+    monkeypatch.setattr(neighbors, "BLOCK", 24)
+    x = uneven(250, 1)
+    points, d = plain_points(spark, x), plain_distances(x)
+    links = neighbors.radius_links(points, radius)
+    roots = {r["event_id"]: r["root"] for r in neighbors._labels(links, points).collect()}
+    want = list(range(250))
+    while True:
+        new = [min([want[i], *(want[j] for j in np.flatnonzero(d[i] <= radius))]) for i in range(250)]
+        if new == want:
+            break
+        want = new
+    assert [roots[i] for i in range(250)] == want
+
+
+def plain_dbscan(x, eps, least):
+    d = plain_distances(x)
+    near = d <= eps
+    core = near.sum(1) + 1 >= least
+    label, number = np.full(len(x), -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            front = [i]
+            while front:
+                k = front.pop()
+                if label[k] < 0:
+                    label[k] = number
+                    front += np.flatnonzero(near[k] & core & (label < 0)).tolist()
+            number += 1
+    for i in np.flatnonzero(~core):
+        order = [j for j in np.lexsort((np.arange(len(x)), d[i])) if core[j]]
+        if order and d[i, order[0]] <= eps:
+            label[i] = label[order[0]]
+    return label
+
+
+def test_clusters_equal_plain_numpy_on_ten_thousand_rows(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, s, (n, 2)) for c, s, n in (((0, 0), 0.3, 4000), ((5, 5), 0.4, 3000), ((0, 6), 0.2, 2000), ((9, 0), 3.0, 1000))])
+    x = rng.permutation(x)
+    e = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "event_id long, a double, b double")
+    scaled = (x - x.mean(0)) / x.std(0)
+    monkey = neighbors.engineer_features
+    neighbors.engineer_features = lambda events: events
+    try:
+        got = {r["event_id"]: r["dbscan_cluster"] for r in neighbors.density_clusters(e, eps=0.08, names=["a", "b"]).collect()}
+    finally:
+        neighbors.engineer_features = monkey
+    want = plain_dbscan(scaled, 0.08, 10)
+    assert [got[i] for i in range(len(x))] == want.tolist() and want.max() >= 2 and (want < 0).sum() > 50
+
+
+@pytest.mark.parametrize("case", ["plain", "sorted_brackets", "many_groups", "missed"])
+def test_percentiles_are_exact(spark, monkeypatch, case):
+    if case == "sorted_brackets":
+        monkeypatch.setattr(quantiles, "INSIDE", 5)
+        monkeypatch.setattr(quantiles, "SMALL", 100)
+    if case == "many_groups":
+        monkeypatch.setattr(quantiles, "GROUPS", 1)
+    if case == "missed":
+        monkeypatch.setattr(quantiles, "SMALL", 0)  # brackets so narrow for so few rows that some miss
+    rng = np.random.default_rng(2)
+    rows = [(k % 3 if k % 10 else None, float(v), float(round(v))) for k, v in enumerate(np.concatenate([rng.normal(0, 1, 900), rng.lognormal(0, 8, 300), np.zeros(300)]))]
+    rows += [(7, None, 1.0), (7, float("nan"), 2.0), (8, 5.0, None)]
+    df = spark.createDataFrame(rows, "g int, a double, b double").repartition(4)
+    fractions = {"a": [0.0, 0.1, 0.5, 0.95, 1.0], "b": [0.25, 0.5]}
+    got = {r["g"]: (r["a"], r["b"]) for r in quantiles.percentiles(df, fractions, ["g"]).collect()}
+    clean = df.withColumn("a", F.when(~F.isnan("a"), F.col("a")))
+    cells = [F.percentile(c, F.array(*[F.lit(x) for x in f])).alias(c) for c, f in fractions.items()]
+    want = {r["g"]: (r["a"], r["b"]) for r in clean.groupBy("g").agg(*cells).collect()}
+    assert set(got) == set(want)
+    for g in want:
+        for x, y in zip(got[g], want[g], strict=True):
+            assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-12, abs=1e-12)), (g, x, y)
+    assert quantiles.percentiles(df, {"a": [0.5]}).first()["a"] == pytest.approx(clean.agg(F.percentile("a", F.array(F.lit(0.5))).alias("p")).first()["p"])
+    assert quantiles.percentiles(df.limit(0), {"a": [0.5]}, ["g"]).count() == 0
+
+
+def test_places_in_an_order(spark):
+    rows = [(k % 2 if k % 5 else None, (k * 37) % 101, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "g int, v int, k int").repartition(5)
+    for r in ranks.ranked(df, ["v", "k"], ["g"], total="n").collect():
+        same = sorted((v, k) for g, v, k in rows if g == r["g"])
+        assert r["place"] == same.index((r["v"], r["k"])) and r["n"] == len(same)
+    assert sorted(r["place"] for r in ranks.ranked(df, [F.desc("v")], write=False).collect()) == list(range(200))
+
+
+def test_rolling_units_and_halos(spark, monkeypatch):
+    """Small units, all rows on one instant or one day, null times: the same flags as one window per category."""
+    monkeypatch.setattr(stats, "UNIT", 128)
+    changes = hourly(700, categories=("x", "x", "y"), outliers={k: dict(final_price=60.0) for k in (37, 120, 121, 300, 500)})
+    for change in ({}, {"timestamp": dt.datetime(2024, 6, 3)}, {"timestamp": None}):
+        e = events(spark, *[{**c, **change} for c in changes])
+        one = {r["event_id"]: r["stat_rolling"] for r in stats.rolling_flags_by_category(e).collect()}
+        assert {r["event_id"]: r["stat_rolling"] for r in stats.rolling_flags(e).collect()} == one and any(one.values())
 
 
 def test_forecast(spark):
@@ -157,8 +275,6 @@ def test_forecast(spark):
 
 
 def test_band_holds_its_share():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     h = np.arange(500.0)
     y = 10 + np.sin(2 * np.pi * h / 24) + rng.normal(0, 0.3, 500)
