@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import TUNED, Settings
 from ..functions.clean import clip, true
+from .quantiles import percentiles
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -100,8 +101,18 @@ def pr_auc(sweep: DataFrame) -> DataFrame:
 GRID = {"contamination": [0.05, 0.10, 0.15, 0.20], "zscore_threshold": [2.0, 2.5, 2.8, 3.0], "ensemble_threshold": [0.15, 0.20, 0.25, 0.30, 0.35, 0.40]}
 
 
-def grid_search(scored: DataFrame, thresholds=None, z_values=None, settings: Settings = TUNED) -> DataFrame:
-    """zscore_threshold, ensemble_threshold, precision, recall, f1 without refitting anything.
+def time_folds(rows: DataFrame, folds: int, like: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``fold``, from 0: parts of about equal size that follow each other in time (rows of one instant stay together, those without a time come first).
+
+    ``like``: a table with the same times that is cheaper to read twice.
+    """
+    at = F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(-(2**62))).cast("double")
+    cuts = percentiles((rows if like is None else like).select(at.alias("at")), {"at": [k / folds for k in range(1, folds)]}).first()["at"] or []
+    return rows.withColumn("fold", sum([(at >= c).cast("int") for c in cuts], F.lit(0)))
+
+
+def grid_search(scored: DataFrame, thresholds=None, z_values=None, settings: Settings = TUNED, by: tuple = ()) -> DataFrame:
+    """``by``, zscore_threshold, ensemble_threshold, precision, recall, f1 without refitting anything, from one histogram of all rows.
 
     ``scored`` carries raw deviations divided by their maxima (z_part, mad_part, iqr_part), the raw
     z_dev, mad_dev, iqr_dev, the largest rolling deviation roll_dev, ctx and label columns, and
@@ -122,15 +133,24 @@ def grid_search(scored: DataFrame, thresholds=None, z_values=None, settings: Set
             if level is not None:
                 total, n = total + settings.forest_weight * F.col("if_score"), n + F.col(f"`if_{level}`").cast("int")
             configs.append(F.struct(F.lit(level).cast("double").alias("c"), F.lit(float(z)).alias("z"), F.round(clip(total, 0.0, 1.0), 9).alias("s"), n.alias("n")))
-    hist = scored.select(true(F.col("label_is_anomaly")).alias("y"), F.explode(F.array(*configs)).alias("g")).groupBy("y", "g").agg(F.count(F.lit(1)).alias("m"))
+    hist = scored.select(*by, true(F.col("label_is_anomaly")).alias("y"), F.explode(F.array(*configs)).alias("g")).groupBy(*by, "y", "g").agg(F.count(F.lit(1)).alias("m"))
     rows = hist.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     flag = (F.col("g.s") > F.col("t")) | (F.col("g.n") >= 2)
     sums = [F.sum(F.when(c, F.col("m")).otherwise(0)).alias(k) for c, k in ((flag & F.col("y"), "tp"), (flag & ~F.col("y"), "fp"), (~flag & F.col("y"), "fn"))]
-    grid = with_prf(rows.groupBy(F.col("g.c").alias("contamination"), F.col("g.z").alias("zscore_threshold"), F.col("t").alias("ensemble_threshold")).agg(*sums))
-    out = grid.select("contamination", "zscore_threshold", "ensemble_threshold", "precision", "recall", "f1")
+    grid = with_prf(rows.groupBy(*by, F.col("g.c").alias("contamination"), F.col("g.z").alias("zscore_threshold"), F.col("t").alias("ensemble_threshold")).agg(*sums))
+    out = grid.select(*by, "contamination", "zscore_threshold", "ensemble_threshold", "precision", "recall", "f1")
     return out if levels != [None] else out.drop("contamination")
 
 
+def tuned_and_reported(folds: DataFrame, report: int) -> DataFrame:
+    """One row: the settings with the best mean F1 over the folds before ``report``, that mean, and their figures on that fold, which chose nothing."""
+    keys = [c for c in ("contamination", "zscore_threshold", "ensemble_threshold") if c in folds.columns]
+    means = folds.filter(F.col("fold") < report).groupBy(*keys).agg(F.round(F.avg("f1"), 6).alias("tune_f1"))
+    best = means.orderBy(F.desc("tune_f1"), *keys).limit(1)
+    figures = [F.col(c).alias(f"report_{c}") for c in ("precision", "recall", "f1")]
+    return folds.filter(F.col("fold") == report).select(*keys, *figures).join(F.broadcast(best), keys).select(*keys, "tune_f1", *[f"report_{c}" for c in ("precision", "recall", "f1")])
+
+
 def type_recall(scored: DataFrame) -> DataFrame:
     """anomaly_type, total and the recall of each method."""
     rows = scored.filter(F.col("label_type").isNotNull()).groupBy(F.col("label_type").alias("anomaly_type"))

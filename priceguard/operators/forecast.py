@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import clip, true
+from ..sources.scratch import written
+from .quantiles import percentiles
 
 MIN_HOURS = 48
 KNOTS = 25
-BANDS = "category string, hour timestamp_ntz, ts_expected double, ts_lower double, ts_upper double, trend double, daily double, weekly double"
+BANDS = "category, hour, ts_expected, ts_lower, ts_upper, trend, daily, weekly"
 
 
 def hourly_prices(events: DataFrame) -> DataFrame:
@@ -39,52 +41,90 @@ def design(hours: np.ndarray, start: float, end: float):
     return trend, waves(24.0, 4), waves(168.0, 3)
 
 
-def fit_series(hours: np.ndarray, y: np.ndarray, at: np.ndarray, width: float = 0.95):
-    """Expected, lower, upper, trend, daily, weekly at the hours ``at``; the band holds ``width`` of the residuals."""
-    start, end = hours.min(), hours.max()
-    parts = design(hours, start, end)
-    x = np.column_stack(parts)
-    penalty = np.concatenate([[1e-6, 1e-6], np.full(KNOTS, 20.0), np.full(x.shape[1] - KNOTS - 2, 0.1)])
-    beta = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ y)
-    residual = y - x @ beta
-    low, high = np.quantile(residual, [(1 - width) / 2, (1 + width) / 2])
-    cut = np.cumsum([p.shape[1] for p in parts])
-    pieces = [p @ b for p, b in zip(design(at, start, end), np.split(beta, cut[:-1]), strict=True)]
-    expected = sum(pieces)
-    return expected, expected + low, expected + high, *pieces
+PENALTY = np.concatenate([[1e-6, 1e-6], np.full(KNOTS, 20.0), np.full(14, 0.1)])  # of intercept and slope, bends, waves
+SIZE = len(PENALTY)
+
+
+def _hours(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[s]").astype(np.int64) / 3600.0
+
+
+def _outer_products(frames):
+    """X'X and X'y of the rows of a task, by category, as one array each."""
+    for f in frames:
+        for (category, start, end), g in f.groupby(["s_category", "start", "end"], dropna=False):
+            x = np.column_stack(design(_hours(g["hour"]), start, end))
+            both = np.concatenate([(x.T @ x).ravel(), x.T @ g["mean"].to_numpy(float)])
+            yield pd.DataFrame({"s_category": [category], "start": [start], "end": [end], "sums": [both]})
+
+
+def _solved(frames):
+    for f in frames:
+        for category, start, end, sums in f.itertuples(index=False):
+            sums = np.asarray(sums, float)
+            beta = np.linalg.solve(sums[: SIZE * SIZE].reshape(SIZE, SIZE) + np.diag(PENALTY), sums[SIZE * SIZE :])
+            yield pd.DataFrame({"s_category": [category], "start": [start], "end": [end], "beta": [beta]})
+
+
+def _evaluated(frames):
+    """Rows with a model's columns beside them: the trend and the seasons at their hours."""
+    for f in frames:
+        out = []
+        for _, g in f.groupby("s_category", dropna=False):
+            parts = design(_hours(g["hour"]), g["start"].iloc[0], g["end"].iloc[0])
+            cut = np.cumsum([p.shape[1] for p in parts])
+            pieces = [p @ b for p, b in zip(parts, np.split(np.asarray(g["beta"].iloc[0], float), cut[:-1]), strict=True)]
+            out.append(g.drop(columns=["start", "end", "beta"]).assign(**dict(zip(("trend", "daily", "weekly"), pieces, strict=True))))
+        if out:
+            yield pd.concat(out)
 
 
 class Forecaster:
-    """Fit keeps the trimmed hourly series; bands are computed where they are asked for, one category a group.
+    """A ridge per category from sums of outer products, and a band that holds a share of its residuals.
 
-    A group is a category's hours, 8 760 a year, so it is bounded by time and not by events.
+    The hours of all categories are read as they lie; a task sends one array of sums for each
+    category it meets, the sums are added up place by place, and each category's system is solved
+    from its row.  The band comes from exact percentiles of the residuals.  No task needs all hours
+    of a category.
     """
 
     def __init__(self, interval_width: float = 0.95):
         self.width = interval_width
         self.series: DataFrame | None = None
+        self.models: DataFrame | None = None
 
     def fit(self, events: DataFrame) -> "Forecaster":
-        self.series = trimmed(hourly_prices(events))
+        self.series = written(trimmed(hourly_prices(events)), "series")
+        seconds = F.unix_seconds(F.col("hour").cast("timestamp")) / 3600.0
+        ends = self.series.groupBy(F.col("category").alias("s_category")).agg(F.min(seconds).alias("start"), F.max(seconds).alias("end"))
+        rows = self.series.join(ends, F.col("category") == F.col("s_category")).select("s_category", "start", "end", "hour", "mean")
+        partial = rows.mapInPandas(_outer_products, "s_category string, start double, end double, sums array<double>")
+        summed = partial.select("s_category", "start", "end", F.posexplode("sums").alias("place", "v")).groupBy("s_category", "start", "end", "place").agg(F.sum("v").alias("v"))
+        lists = summed.groupBy("s_category", "start", "end").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("s"))  # a place for each sum
+        systems = lists.select("s_category", "start", "end", F.transform("s", lambda x: x["v"]).alias("sums"))
+        models = written(systems.mapInPandas(_solved, "s_category string, start double, end double, beta array<double>"), "models")
+        fitted = self._at(self.series.select("category", "hour", "mean"), models)
+        residuals = fitted.select("category", (F.col("mean") - F.col("trend") - F.col("daily") - F.col("weekly")).alias("r"))
+        share = (1 - self.width) / 2
+        ranges = percentiles(residuals, {"r": [share, 1 - share]}, ["category"])
+        self.models = models.join(ranges.select(F.col("category").alias("r_category"), F.col("r")[0].alias("low"), F.col("r")[1].alias("high")), F.col("s_category") == F.col("r_category")).drop("r_category")
         return self
 
+    @staticmethod
+    def _at(rows: DataFrame, models: DataFrame) -> DataFrame:
+        """``rows`` (category, hour, others) of modelled categories with trend, daily and weekly."""
+        joined = rows.join(models, F.col("category") == F.col("s_category"))
+        left = [c for c in joined.columns if c not in ("start", "end", "beta")]
+        schema = joined.select(*left, *[F.lit(0.0).alias(c) for c in ("trend", "daily", "weekly")]).schema
+        return joined.select(*left, "start", "end", "beta").mapInPandas(_evaluated, schema).drop("s_category")
+
     def bands(self, wanted: DataFrame) -> DataFrame:
         """``BANDS`` for the wanted (category, hour); categories without a model give no rows."""
-        if self.series is None:
+        if self.models is None:
             raise RuntimeError("the forecaster is not fitted")
-        width = self.width
-
-        def run(series: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            hours = lambda c: c.to_numpy("datetime64[s]").astype(np.int64) / 3600.0
-            if not len(series) or not len(asked):
-                kinds = {"string": "object", "timestamp_ntz": "datetime64[ns]", "double": "float64"}
-                return pd.DataFrame({n: pd.Series(dtype=kinds[k]) for n, k in (c.split() for c in BANDS.split(", "))})
-            series = series.sort_values("s_hour")
-            cols = fit_series(hours(series["s_hour"]), series["mean"].to_numpy(float), hours(asked["hour"]), width)
-            return pd.DataFrame({"category": asked["category"], "hour": asked["hour"], **dict(zip(("ts_expected", "ts_lower", "ts_upper", "trend", "daily", "weekly"), cols, strict=True))})
-
-        left = self.series.select(F.col("category").alias("s_category"), F.col("hour").alias("s_hour"), "mean").groupBy("s_category")
-        return left.cogroup(wanted.select("category", "hour").distinct().groupBy("category")).applyInPandas(run, BANDS)
+        found = self._at(wanted.select("category", "hour").distinct(), self.models)
+        expected = F.col("trend") + F.col("daily") + F.col("weekly")
+        return found.select("category", "hour", expected.alias("ts_expected"), (expected + F.col("low")).alias("ts_lower"), (expected + F.col("high")).alias("ts_upper"), "trend", "daily", "weekly")
 
     def predict(self, events: DataFrame) -> DataFrame:
         """``events`` with ts_anomaly, ts_score, ts_expected, ts_lower, ts_upper (defaults for unmodelled categories)."""

@@ -1,7 +1,6 @@
 """Queries that SQL cannot express: models, generator, pipeline and stream."""
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,13 +11,15 @@ from ..operators.rules import validate
 from ..sources import trips
 from ..sources.fixtures import pricing_events as load
 from ..sources.fixtures import trip_records
-from ..sources.scratch import written
+from ..sources.scratch import new_folder, written
 from ..streaming import alerts as stream
-from . import tuning
+from ..streaming import rolling, rollups
+from . import core_queries, report_queries, tuning  # noqa: F401  their SQL is reused
 from .benchmark import compare_detectors, ranked
 from .pipeline import detect
+from .registry import ORACLE as QUERY_SQL
 from .registry import query
-from .sql import PE, RULED, with_
+from .sql import CTX, DEV, PE, RULED, Z, context_cte, stats_cte, with_
 
 
 @query()
@@ -78,30 +79,68 @@ def synthetic_truth(spark, d):
     return generate(spark, dt.datetime(2024, 6, 15, 12))[1]
 
 
-def _drained(rows, mode: str):
-    """All a stream gives for what there is, as a table."""
-    name = "stream_" + uuid.uuid4().hex
-    run = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _drained(rows):
+    """All a stream appends for what there is, by way of files."""
+    folder = new_folder(rows.sparkSession, "streamed")
+    run = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return rows.sparkSession.table(name)
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
-@query()
+def _in_parts(spark, d, parts: int = 3) -> str:
+    """The events as files that come one after the other, by time."""
+    events, folder = load(spark, d), new_folder(spark, "stream")
+    ts = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    lo, hi = events.agg(F.min(ts), F.max(ts)).first()  # one row
+    part = F.least(F.floor((ts - (lo or 0)) * parts / ((hi or 0) - (lo or 0) + 1)), F.lit(parts - 1))
+    for k in range(parts):
+        events.filter(F.coalesce(part, F.lit(0)) == k).write.mode("append").parquet(folder)
+    return folder
+
+
+_FROZEN = f"""{PE},\n{RULED},\n{stats_cte("pe")},\n{context_cte("pe")},\n{DEV.format(src="ruled")},
+s3 AS (SELECT *, z_dev > {Z} OR mad_dev > {Z} OR iqr_dev > 0 AS stat_anomaly, least(greatest(0.35 * z_dev / (SELECT coalesce(nullif(max(z_dev), 0), 1) FROM dv) + 0.35 * mad_dev / (SELECT coalesce(nullif(max(mad_dev), 0), 1) FROM dv)
+  + 0.20 * iqr_dev / (SELECT coalesce(nullif(max(iqr_dev), 0), 1) FROM dv), 0), 1) AS stat_score FROM dv),
+{CTX.format(src="s3")}"""
+
+
+@query(with_(_FROZEN, "SELECT event_id, rule_anomaly, round(rule_score, 6) AS rule_score, stat_anomaly, ctx_anomaly, round(stat_score, 6) AS stat_score FROM cs"))
 def stream_rules(spark, d):
     events = load(spark, d)
     st, base = written(stats.category_stats(events, surge_tails=False), "stats"), written(context.baselines(events), "baselines")
     maxima = written(stats.batch_maxima(stats.with_stats(events, st)), "maxima")
-    source = written(events, "stream").inputFiles()[0].rsplit("/", 1)[0]
-    scored = stream.score_stream(stream.read_stream(spark, source), st, base, maxima)
-    rows = _drained(scored, "append")
-    return rows.select("event_id", "rule_anomaly", "rule_score", "stat_anomaly", "ctx_anomaly", F.round("stat_score", 6).alias("stat_score"))
+    source = written(events, "stream").written_at
+    rows = _drained(stream.score_stream(stream.read_stream(spark, source), st, base, maxima))
+    return rows.select("event_id", "rule_anomaly", F.round("rule_score", 6).alias("rule_score"), "stat_anomaly", "ctx_anomaly", F.round("stat_score", 6).alias("stat_score"))
 
 
 @query(with_(f"{PE},\n{RULED}", "SELECT strftime(date_trunc('hour', \"timestamp\"), '%Y-%m-%d %H:00:00') AS hour, category, count(*) AS events, count_if(rule_anomaly) AS violations FROM ruled GROUP BY ALL"))
 def stream_hourly_counts(spark, d):
-    source = written(load(spark, d), "stream").inputFiles()[0].rsplit("/", 1)[0]
-    counts = _drained(stream.hourly_counts(validate(stream.read_stream(spark, source))), "complete")
-    return counts.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:00:00"))
+    """Counts of a stream of rows in any order, from rollups that each micro-batch adds to."""
+    kept = rollups.Rollups(spark, new_folder(spark, "rollups"))
+    kept.start(validate(stream.read_stream(spark, _in_parts(spark, d), 1))).awaitTermination()
+    return kept.read().select(F.date_format("hour", "yyyy-MM-dd HH:00:00").alias("hour"), "category", "events", "violations")
+
+
+@query(QUERY_SQL["hourly_stats"])
+def rollup_hourly_stats(spark, d):
+    """The hourly statistics from rollups after three appends, a late batch, and a compaction in between."""
+    events, kept = load(spark, d), rollups.Rollups(spark, new_folder(spark, "rollups"))
+    part = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    for k in range(4):
+        kept.append(events.filter(part == k), k)
+        if k == 2:
+            kept.compact()
+    return rollups.hourly_stats(kept.read())
+
+
+@query(QUERY_SQL["rolling_flags"])
+def stream_rolling_flags(spark, d):
+    """The rolling test on a stream that comes in several micro-batches."""
+    run = rolling.RollingStream(spark, new_folder(spark, "rolling"))
+    run.start(stream.read_stream(spark, _in_parts(spark, d), 4)).awaitTermination()
+    run.finish()
+    return run.flags().select("event_id", "stat_rolling")
 
 
 @query()

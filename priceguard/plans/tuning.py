@@ -31,13 +31,13 @@ def grid_input(events: DataFrame, settings: Settings = TUNED, use_forest: bool =
 
 
 def analyse(events: DataFrame, scored: DataFrame, settings: Settings = TUNED, use_forest: bool = True) -> dict:
-    """sweep, pr_auc, grid (on the first half of the held-out rows) and its best row judged on the second."""
+    """sweep, pr_auc, grid (on the earlier half of the held-out rows, by time) and its settings judged on the later half, which chose nothing."""
     test = scored.filter("split = 'test'")
     sweep = evaluate.threshold_sweep(test)
-    table = grid_input(events, settings, use_forest).filter("split = 'test'")
-    tune, judge = table.filter(F.pmod("event_id", F.lit(2)) == 0), table.filter(F.pmod("event_id", F.lit(2)) == 1)
-    grid = evaluate.grid_search(tune, settings=settings)
-    return {"sweep": sweep, "pr_auc": evaluate.pr_auc(sweep), "grid": grid, "best": evaluate.best_row(grid), "judged": evaluate.grid_search(judge, settings=settings)}
+    table = evaluate.time_folds(grid_input(events, settings, use_forest).filter("split = 'test'"), 2, evaluate.train_test(events).filter("split = 'test'"))
+    both = evaluate.grid_search(table, settings=settings, by=("fold",))
+    grid, judged = both.filter("fold = 0").drop("fold"), both.filter("fold = 1").drop("fold")
+    return {"sweep": sweep, "pr_auc": evaluate.pr_auc(sweep), "grid": grid, "best": evaluate.best_row(grid), "judged": judged}
 
 
 def save_results(results: dict[str, DataFrame], folder: str) -> None:
@@ -47,7 +47,7 @@ def save_results(results: dict[str, DataFrame], folder: str) -> None:
 
 
 def optimised_run(events: DataFrame, results: dict, settings: Settings = TUNED, use_forest: bool = True) -> tuple[Settings, DataFrame]:
-    """Settings of the grid's best row, and the evaluation of a run with them on the held-out rows."""
+    """Settings of the grid's best row, and the evaluation of a run with them on the later half of the held-out rows, which chose nothing."""
     from dataclasses import replace
 
     from .pipeline import detect
@@ -57,7 +57,8 @@ def optimised_run(events: DataFrame, results: dict, settings: Settings = TUNED,
         settings, zscore_threshold=best["zscore_threshold"], ensemble_threshold=best["ensemble_threshold"],
         contamination=best["contamination"] if "contamination" in results["best"].columns else settings.contamination,
     )
-    return chosen, evaluate.prf_by_method(detect(events, chosen, use_forest).filter("split = 'test'"))
+    later = evaluate.time_folds(detect(events, chosen, use_forest).filter("split = 'test'"), 2, evaluate.train_test(events).filter("split = 'test'")).filter("fold = 1")
+    return chosen, evaluate.prf_by_method(later)
 
 
 def main(args: list[str] | None = None) -> None:

@@ -29,8 +29,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that ``written`` returned, once nothing reads them any more."""
     for table in tables:
-        path = getattr(table, "written_at", None) if "written_at" in vars(table) else None
-        if path:
-            jvm = table.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        if "written_at" in vars(table):
+            deleted(table.sparkSession, table.written_at)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

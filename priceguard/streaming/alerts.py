@@ -1,8 +1,8 @@
 """Structured Streaming: stateless rules and frozen baselines per event, and hourly counts.
 
 Baselines and maxima are frozen tables of an earlier batch, so an event's score does not depend
-on the micro-batch it came in.  The rolling test needs earlier rows of a category and is left
-to the batch path.
+on the micro-batch it came in.  The rolling test, which needs earlier rows of a category, is in
+``rolling``; sums that late rows may still change are in ``rollups``.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +35,7 @@ def score_stream(events: DataFrame, category_stats: DataFrame, baselines: DataFr
 
 
 def hourly_counts(scored: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Events and rule violations per hour and category; rows later than ``delay`` are dropped."""
+    """Events and rule violations per hour and category; in append mode an hour comes once the watermark has passed it, and later rows are dropped."""
     timed = scored.withColumn("event_time", F.col("timestamp").cast("timestamp"))
     return (
         timed.withWatermark("event_time", delay)

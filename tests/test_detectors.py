@@ -10,7 +10,7 @@ from priceguard.functions.clean import ingest
 from priceguard.functions.features import FEATURES, engineer_features
 from priceguard.operators import context, forest, neighbors, quantiles, ranks, stats, svm
 from priceguard.operators.ensemble import EnsembleDetector, fuse
-from priceguard.operators.forecast import Forecaster, fit_series, without_forecast
+from priceguard.operators.forecast import PENALTY, Forecaster, design, without_forecast
 
 from .helpers import events, hourly
 
@@ -274,12 +274,36 @@ def test_forecast(spark):
         Forecaster().predict(e)
 
 
-def test_band_holds_its_share():
-    rng = np.random.default_rng(1)
-    h = np.arange(500.0)
-    y = 10 + np.sin(2 * np.pi * h / 24) + rng.normal(0, 0.3, 500)
-    _, low, high, *_ = fit_series(h, y, h)
-    assert abs(((y >= low) & (y <= high)).mean() - 0.95) < 0.02
+def plain_bands(hours, y, at, width=0.95):
+    """The whole series at once: ridge by NumPy and a residual quantile."""
+    x = np.column_stack(design(hours, hours.min(), hours.max()))
+    beta = np.linalg.solve(x.T @ x + np.diag(PENALTY), x.T @ y)
+    low, high = np.quantile(y - x @ beta, [(1 - width) / 2, (1 + width) / 2])
+    expected = np.column_stack(design(at, hours.min(), hours.max())) @ beta
+    return expected, expected + low, expected + high
+
+
+def test_bands_equal_numpy_and_hold_their_share(spark):
+    rng, changes = np.random.default_rng(1), []
+    for c, level in (("ride_pool", 8.0), ("ride_standard", 20.0)):
+        for h in range(500 if c == "ride_pool" else 90):
+            changes.append(dict(category=c, timestamp=dt.datetime(2024, 6, 1) + dt.timedelta(hours=h), final_price=level + math.sin(2 * math.pi * h / 24) + float(rng.normal(0, 0.3))))
+    e = events(spark, *changes).repartition(3)
+    f = Forecaster().fit(e)
+    series = {c: sorted((r["hour"], r["mean"]) for r in f.series.collect() if r["category"] == c) for c in ("ride_pool", "ride_standard")}
+    got = {(r["category"], r["hour"]): r for r in f.bands(f.series).collect()}
+    ahead = {(r["category"], r["hour"]): r for c in series for r in f.forecast(c, 12).collect()}
+    for c, rows in series.items():
+        hours = np.array([(t - dt.datetime(1970, 1, 1)).total_seconds() / 3600 for t, _ in rows])
+        y = np.array([m for _, m in rows])
+        at = np.concatenate([hours, hours.max() + np.arange(1, 13)])
+        want = plain_bands(hours, y, at)
+        times = [t for t, _ in rows] + [rows[-1][0] + dt.timedelta(hours=k) for k in range(1, 13)]
+        for k, t in enumerate(times):
+            r = got[c, t] if k < len(rows) else ahead[c, t]
+            assert (r["ts_expected"], r["ts_lower"], r["ts_upper"]) == pytest.approx(tuple(w[k] for w in want), abs=1e-6)
+        inside = np.mean([got[c, t]["ts_lower"] <= m <= got[c, t]["ts_upper"] for t, m in rows])
+        assert abs(inside - 0.95) < 0.03
 
 
 def test_spanning_links_connect_what_is_close():
