@@ -7,6 +7,7 @@ from ..config import TUNED, Settings
 from ..functions.clean import clip, true
 from ..functions.features import is_weekend
 from .quantiles import percentiles
+from .small import held, hinted
 
 KEYS = ["category", "hour_block", "is_weekend"]
 
@@ -19,9 +20,9 @@ def with_context(events: DataFrame) -> DataFrame:
 def baselines(events: DataFrame) -> DataFrame:
     """One row per context."""
     p, s = F.col("final_price"), F.col("surge_multiplier")
-    return with_context(events).groupBy(*KEYS).agg(
+    return held(with_context(events).groupBy(*KEYS).agg(
         F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.avg(s).alias("surge_mean"), F.stddev_samp(s).alias("surge_std"), F.count(F.lit(1)).alias("n"),
-    )
+    ))
 
 
 def baselines_with_medians(events: DataFrame) -> DataFrame:
@@ -36,14 +37,14 @@ def baselines_with_medians(events: DataFrame) -> DataFrame:
 def score(events: DataFrame, base: DataFrame, settings: Settings = TUNED) -> DataFrame:
     """``events`` with ctx_anomaly and ctx_score; contexts of fewer than five rows have no baseline.
 
-    At most 12 contexts exist per category, so the baselines are broadcast.
+    At most 12 contexts exist per category; the baselines are broadcast if they are known to be few.
     """
     n_std = settings.context_deviation
     used = base.filter(F.col("n") >= settings.context_min_count).select(
         *KEYS, F.col("mean").alias("b_mean"), F.greatest("std", F.lit(0.01)).alias("b_std"),
         F.col("surge_mean").alias("b_smean"), F.greatest("surge_std", F.lit(0.01)).alias("b_sstd"),
     )
-    joined = with_context(events).join(F.broadcast(used), KEYS, "left")
+    joined = with_context(events).join(hinted(base, used), KEYS, "left")
     price = F.abs(F.col("final_price") - F.col("b_mean")) / F.col("b_std")
     surge = F.abs(F.col("surge_multiplier") - F.col("b_smean")) / F.col("b_sstd")
     total = F.coalesce(0.6 * price / (2 * n_std), F.lit(0.0)) + F.coalesce(0.4 * surge / (2 * n_std), F.lit(0.0))

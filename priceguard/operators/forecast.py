@@ -26,7 +26,7 @@ def trimmed(hourly: DataFrame) -> DataFrame:
     """Hours whose mean lies strictly within three standard deviations of the category's."""
     ends = hourly.groupBy("category").agg(F.avg("mean").alias("m"), F.stddev_samp("mean").alias("s"), F.count(F.lit(1)).alias("hours"))
     return (
-        hourly.join(F.broadcast(ends), "category")
+        hourly.join(ends, "category")
         .filter((F.col("hours") >= MIN_HOURS) & (F.col("mean") > F.col("m") - 3 * F.col("s")) & (F.col("mean") < F.col("m") + 3 * F.col("s")))
         .drop("m", "s", "hours")
     )

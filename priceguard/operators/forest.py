@@ -1,4 +1,4 @@
-"""Isolation forest: trees grown on the driver from small samples, scoring in Arrow batches."""
+"""Isolation forest: trees grown in tasks from small samples, scoring in Arrow batches."""
 
 import numpy as np
 import pandas as pd
@@ -87,13 +87,27 @@ class IsolationForest:
         x = pool[self.names].to_numpy(float)
         self.size = min(SAMPLE, max(len(x), 1))
         self.height = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
-        rng = np.random.default_rng(self.seed)
-        draw = lambda: x[rng.choice(len(x), self.size, replace=False)] if len(x) else np.zeros((0, len(self.names)))
-        self.trees = [grow_tree(draw(), rng, self.height) for _ in range(self.n_trees)]
+        self.trees = self._grown(events.sparkSession, x)
         cut = self._scored(features).agg(F.percentile_approx("sample_score", self.contamination, 100_000)).first()[0]
         self.offset = -0.5 if cut is None else float(cut)
         return self
 
+    def _grown(self, spark, x: np.ndarray) -> list:
+        """The trees, each from its own seed; the pool is at most ``POOL`` rows, so every task may have it."""
+        held, seed, size, height = spark.sparkContext.broadcast(x), self.seed, self.size, self.height
+
+        def grow(frames):
+            for f in frames:
+                for k in f["id"]:
+                    rng, x = np.random.default_rng([seed, int(k)]), held.value
+                    drawn = x[rng.choice(len(x), size, replace=False)] if len(x) else x
+                    feature, cut, left, path = grow_tree(drawn, rng, height)
+                    yield pd.DataFrame({"k": [k], "feature": [feature], "cut": [cut], "left": [left], "path": [path]})
+
+        tasks = max(1, min(self.n_trees, spark.sparkContext.defaultParallelism))
+        grown = spark.range(0, self.n_trees, 1, tasks).mapInPandas(grow, "k long, feature array<int>, cut array<double>, left array<int>, path array<double>").toPandas().sort_values("k")
+        return [(np.asarray(r.feature, np.int32), np.asarray(r.cut), np.asarray(r.left, np.int32), np.asarray(r.path)) for r in grown.itertuples()]
+
     def _scored(self, features: DataFrame) -> DataFrame:
         held = features.sparkSession.sparkContext.broadcast((self.trees, self.height, self.names, self.size))
 

@@ -8,6 +8,7 @@ from ..config import TUNED, Settings
 from ..functions.clean import clip, true
 from .quantiles import percentiles
 from .ranks import ranked
+from .small import held, hinted
 
 UNIT = 8192
 
@@ -19,15 +20,16 @@ def category_stats(events: DataFrame, surge_tails: bool = True) -> DataFrame:
         F.avg(p).alias("price_mean"), F.stddev_samp(p).alias("price_std"), F.avg(s).alias("surge_mean"), F.stddev_samp(s).alias("surge_std"), F.count(F.lit(1)).alias("n"),
     )
     wanted = {"final_price": [0.25, 0.5, 0.75]} | ({"surge_multiplier": [0.95, 0.99]} if surge_tails else {})
-    cuts = percentiles(events, wanted, ["category"]).withColumnsRenamed({"category": "c", "final_price": "q", "surge_multiplier": "t"})
-    gaps = events.join(F.broadcast(cuts), F.col("category").eqNullSafe(F.col("c"))).select("c", F.abs(p - F.col("q")[1]).alias("price_mad"))  # a row per category
+    cuts = held(percentiles(events, wanted, ["category"]).withColumnsRenamed({"category": "c", "final_price": "q", "surge_multiplier": "t"}))
+    gaps = events.join(hinted(cuts), F.col("category").eqNullSafe(F.col("c"))).select("c", F.abs(p - F.col("q")[1]).alias("price_mad"))
     mad = percentiles(gaps, {"price_mad": [0.5]}, ["c"]).select(F.col("c").alias("mc"), F.col("price_mad")[0].alias("price_mad"))
     tails = [F.col("t")[0].alias("surge_p95"), F.col("t")[1].alias("surge_p99")] if surge_tails else []
     ends = cuts.join(mad, F.col("c").eqNullSafe(F.col("mc")))
-    return moments.filter(F.col("category").isNotNull()).join(F.broadcast(ends), F.col("category") == F.col("c")).select(
+    found = moments.filter(F.col("category").isNotNull()).join(ends, F.col("category") == F.col("c")).select(
         "category", "price_mean", "price_std", F.col("q")[1].alias("price_median"), "price_mad",
         F.col("q")[0].alias("price_q1"), F.col("q")[2].alias("price_q3"), (F.col("q")[2] - F.col("q")[0]).alias("price_iqr"), "surge_mean", "surge_std", *tails, "n",
     )
+    return held(found)
 
 
 def _spread(c: Column) -> Column:
@@ -38,10 +40,10 @@ def _spread(c: Column) -> Column:
 def with_stats(events: DataFrame, stats: DataFrame) -> DataFrame:
     """``events`` with raw deviations z, mad and iqr; an unseen category has mean 0 and spread 1.
 
-    ``stats`` has one row per category, a closed enumeration, so it is broadcast.
+    ``stats`` has one row per category; it is broadcast if it is known to be small.
     """
     names = ["price_mean", "price_std", "price_median", "price_mad", "price_q1", "price_q3", "price_iqr"]
-    joined = events.join(F.broadcast(stats.select("category", *names)), "category", "left")
+    joined = events.join(hinted(stats, stats.select("category", *names)), "category", "left")
     p = F.col("final_price")
     zero = {n: F.coalesce(F.col(n), F.lit(0.0)) for n in ("price_mean", "price_median", "price_q1", "price_q3")}
     iqr = F.coalesce(F.col("price_iqr"), F.lit(1.0))
