@@ -8,7 +8,7 @@ occurrence, as ``hash@position`` in hexadecimal.  Likeness is the bottom-sketch
 the Jaccard similarity of the anchor sets, counting only shared anchors whose displacement
 agrees with the median displacement (positional matching).
 
-Defined cases: null text counts as empty; the fingerprint of a text without words is the
+Defined cases: doc_ids are integers; null text counts as empty; the fingerprint of a text without words is the
 empty string, and two such fingerprints are alike with 1.0; texts of fewer than ``k`` words
 have one anchor, the whole; an empty table gives an empty table.  In ``with_successor``, rows
 with a null id come last, equal ids follow their texts, and a lone row succeeds itself.

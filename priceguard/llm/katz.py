@@ -22,14 +22,14 @@ all other chunks there; what comes back is one number per word, or one sum per d
 4. that table, read where it lies: the weights of every context;
 5. all bigrams to the same buckets, where bigrams and weights are looked up: the scores.
 
-Bigram buckets follow the number of chunks, so that one bucket is about two chunks of bigrams.
+Word buckets follow the bytes of text; bigram buckets follow the number of chunks, so that one bucket is about two chunks of bigrams.
 A context of more than ``HOT`` training tokens (and more than N / ``MOST_HOT``, so there are
 at most ``MOST_HOT``) is dealt by its next word over as many buckets as its count asks for;
 its parts' sums, a few numbers each, are added on the driver.
 
 Tables are written in the shared folder; each goes when nothing needs it any more.
 
-Defined cases: null and empty texts have the end mark only; a null doc_id counts as held out;
+Defined cases: doc_ids are integers; null and empty texts have the end mark only; a null doc_id counts as held out;
 repeated rows are scored and counted each; without training tokens every token is unknown; an
 empty table gives an empty table; other columns are ignored.
 """
@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from .hashing import BASE, batches_of_bytes, mixed, word_hashes
 from .storage import discard, materialize, sliced
 
+BUCKET_BYTES = 16 << 20  # of text, whose words go to one word bucket on average
 CHUNK = 2_000_000
 HOT = 500_000
 MOST_HOT = 100_000
@@ -523,10 +524,15 @@ def _hot_sums(bigrams: DataFrame, hot: np.ndarray, table: list[float]) -> tuple:
     return hot, r @ sums[:K] + sums[K], (r * table[1:]) @ sums[:K] + sums[K], sums[K + 1]
 
 
+def _word_buckets(docs: DataFrame) -> int:
+    """So many that a bucket gets the words of ``BUCKET_BYTES`` of text at most, on average, whatever the session's partitions are."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
 def _learn(docs: DataFrame, buckets: int | None) -> tuple[Katz, DataFrame]:
     """The model of the documents not held out, and all documents as chunks that know their words' counts."""
-    spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or _word_buckets(docs)
     chunks = _cut(docs, buckets)
     words = materialize(_dealt(_kind(chunks, "words")).mapInArrow(_count_words, _ROW), "unigrams", by="kind")
     discard(chunks, "kind=words")

@@ -8,7 +8,7 @@ smallest page id is a response and the others are revisits of it.
 Archives are written by the tasks under names of their own and take effect through a manifest
 that Spark commits: a task that is lost or run twice leaves files no manifest names.
 
-Defined cases: null html is an empty payload; a null url leaves the target out; null page ids
+Defined cases: page_ids are integers; null html is an empty payload; a null url leaves the target out; null page ids
 are never referred to, and equal payloads without any page id are all responses; rows equal in
 page id and payload are all responses or all revisits; an empty table gives no archives and no
 records; other columns are ignored.
