@@ -5,6 +5,8 @@ pass counts what lies below a bracket and the values inside it, a few thousandth
 rows, which settles the ranks exactly.  A bracket is checked by its counts (one that misses its
 rank is widened to all values), and brackets that hold too many rows for the driver are sorted
 over the cluster.  So neither many distinct values nor one group need memory in one task.
+Tables of at most ``BUFFER`` values go to the exact aggregate, whose buffers that bounds; the
+results are the same.
 """
 
 from math import ceil, floor
@@ -19,6 +21,7 @@ ACCURACY = 10_000  # of the sketch
 MARGIN = 0.001  # of the rows, on either side of a rank
 SMALL = 3000  # a group of fewer rows is looked at whole
 GROUPS = 2000  # tables of more groups are sorted as a whole
+BUFFER = 1_000_000  # values that the exact aggregate may hold
 INSIDE = 200_000  # rows (values with counts) that the driver takes
 
 
@@ -36,18 +39,46 @@ def _between(at: float, lo: int, hi: int, low: float, high: float) -> float:
     return low if lo == hi else (hi - at) * low + (at - lo) * high
 
 
-def percentiles(rows: DataFrame, fractions: dict[str, list[float]], by: list[str] = ()) -> DataFrame:
+def percentiles(rows: DataFrame, fractions: dict[str, list[float]], by: list[str] = (), more: dict[str, Column] | None = None, n: int | None = None) -> DataFrame:
     """``by`` and for each column an array of its percentiles under its own name, interpolated between neighbouring ranks.
 
     Null and NaN values are left out; a group without values has nulls.  Without ``by`` there is one row.
+    ``more`` are other aggregates, by name, that the first pass takes along; ``n``, if known, is the number of rows.
     """
-    by, spark = list(by), rows.sparkSession
+    by, more = list(by), more or {}
+    if n is None or n > BUFFER or more:
+        counts = [a for a in (F.count(_value(c)) for c in fractions)]
+        groups = rows.groupBy(*by).agg(*counts, *[c.alias(k) for k, c in more.items()]).limit(GROUPS + 1).toArrow()
+        if groups.num_rows > GROUPS:
+            found = _by_sorting(rows, fractions, by)
+            return _beside(found, rows.groupBy(*by).agg(*[c.alias(k) for k, c in more.items()]), by) if more else found
+        n = sum(sum(groups.column(len(by) + k).to_pylist()) for k in range(len(fractions)))
+    if n <= BUFFER:  # so the exact aggregate's buffers hold no more values than that
+        cells = [F.percentile(_value(c), F.array(*[F.lit(float(f)) for f in fractions[c]])).alias(c) for c in fractions]
+        found = rows.groupBy(*by).agg(*cells)
+    else:
+        found = _bracketed(rows, fractions, by)
+    if not more:
+        return found
+    kinds = rows.groupBy(*by).agg(*[c.alias(k) for k, c in more.items()]).schema
+    held = rows.sparkSession.createDataFrame(groups.select([*range(len(by)), *range(len(by) + len(fractions), groups.num_columns)]), kinds)
+    return _beside(found, held, by)
+
+
+def _beside(found: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    renamed = other.withColumnsRenamed({c: f"__by{k}" for k, c in enumerate(by)})
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"__by{k}"))
+    return found.join(renamed, same).drop(*[f"__by{k}" for k in range(len(by))])
+
+
+def _bracketed(rows: DataFrame, fractions: dict[str, list[float]], by: list[str]) -> DataFrame:
+    spark = rows.sparkSession
     wanted = [(c, f) for c in fractions for f in fractions[c]]
     ends = {c: [g for f in fractions[c] for g in (max(0.0, f - MARGIN), min(1.0, f + MARGIN))] for c in fractions}
     sketches = [a for c in fractions for a in (F.count(_value(c)), F.percentile_approx(_value(c), F.array(*map(F.lit, ends[c])), ACCURACY))]
-    groups = rows.groupBy(*by).agg(*sketches).limit(GROUPS + 1).collect()
-    if len(groups) > GROUPS:
-        return _by_sorting(rows, fractions, by)
+    groups = rows.groupBy(*by).agg(*sketches).collect()
     sizes, brackets = {}, {}
     for g, row in enumerate(groups):
         for k, c in enumerate(fractions):

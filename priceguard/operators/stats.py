@@ -16,18 +16,20 @@ UNIT = 8192
 def category_stats(events: DataFrame, surge_tails: bool = True) -> DataFrame:
     """One row per category; the MAD is a percentile of the distances from the medians.  ``surge_tails``: with surge_p95 and surge_p99."""
     p, s = F.col("final_price"), F.col("surge_multiplier")
-    moments = events.groupBy("category").agg(
-        F.avg(p).alias("price_mean"), F.stddev_samp(p).alias("price_std"), F.avg(s).alias("surge_mean"), F.stddev_samp(s).alias("surge_std"), F.count(F.lit(1)).alias("n"),
-    )
+    moments = {
+        "price_mean": F.avg(p), "price_std": F.stddev_samp(p), "surge_mean": F.avg(s), "surge_std": F.stddev_samp(s), "n": F.count(F.lit(1)),
+    }
     wanted = {"final_price": [0.25, 0.5, 0.75]} | ({"surge_multiplier": [0.95, 0.99]} if surge_tails else {})
-    cuts = held(percentiles(events, wanted, ["category"]).withColumnsRenamed({"category": "c", "final_price": "q", "surge_multiplier": "t"}))
-    gaps = events.join(hinted(cuts), F.col("category").eqNullSafe(F.col("c"))).select("c", F.abs(p - F.col("q")[1]).alias("price_mad"))
-    mad = percentiles(gaps, {"price_mad": [0.5]}, ["c"]).select(F.col("c").alias("mc"), F.col("price_mad")[0].alias("price_mad"))
-    tails = [F.col("t")[0].alias("surge_p95"), F.col("t")[1].alias("surge_p99")] if surge_tails else []
-    ends = cuts.join(mad, F.col("c").eqNullSafe(F.col("mc")))
-    found = moments.filter(F.col("category").isNotNull()).join(ends, F.col("category") == F.col("c")).select(
-        "category", "price_mean", "price_std", F.col("q")[1].alias("price_median"), "price_mad",
-        F.col("q")[0].alias("price_q1"), F.col("q")[2].alias("price_q3"), (F.col("q")[2] - F.col("q")[0]).alias("price_iqr"), "surge_mean", "surge_std", *tails, "n",
+    cuts = held(percentiles(events.select("category", "final_price", "surge_multiplier").filter("category is not null"), wanted, ["category"], moments))
+    rows = cuts.agg(F.sum("n")).first()[0] or 0
+    medians = cuts.select(F.col("category").alias("c"), F.col("final_price")[1].alias("m"))
+    gaps = events.join(hinted(cuts, medians), F.col("category") == F.col("c")).select("c", F.abs(p - F.col("m")).alias("price_mad"))
+    mad = percentiles(gaps, {"price_mad": [0.5]}, ["c"], n=rows).select(F.col("c").alias("mc"), F.col("price_mad")[0].alias("price_mad"))
+    q, t = F.col("final_price"), F.col("surge_multiplier")
+    tails = [t[0].alias("surge_p95"), t[1].alias("surge_p99")] if surge_tails else []
+    found = cuts.join(mad, F.col("category") == F.col("mc")).select(
+        "category", "price_mean", "price_std", q[1].alias("price_median"), "price_mad",
+        q[0].alias("price_q1"), q[2].alias("price_q3"), (q[2] - q[0]).alias("price_iqr"), "surge_mean", "surge_std", *tails, "n",
     )
     return held(found)
 

@@ -209,8 +209,9 @@ def test_clusters_equal_plain_numpy_on_ten_thousand_rows(spark):
     assert [got[i] for i in range(len(x))] == want.tolist() and want.max() >= 2 and (want < 0).sum() > 50
 
 
-@pytest.mark.parametrize("case", ["plain", "sorted_brackets", "many_groups", "missed"])
+@pytest.mark.parametrize("case", ["small", "plain", "sorted_brackets", "many_groups", "missed"])
 def test_percentiles_are_exact(spark, monkeypatch, case):
+    monkeypatch.setattr(quantiles, "BUFFER", 10**6 if case == "small" else 0)
     if case == "sorted_brackets":
         monkeypatch.setattr(quantiles, "INSIDE", 5)
         monkeypatch.setattr(quantiles, "SMALL", 100)
@@ -233,6 +234,8 @@ def test_percentiles_are_exact(spark, monkeypatch, case):
             assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-12, abs=1e-12)), (g, x, y)
     assert quantiles.percentiles(df, {"a": [0.5]}).first()["a"] == pytest.approx(clean.agg(F.percentile("a", F.array(F.lit(0.5))).alias("p")).first()["p"])
     assert quantiles.percentiles(df.limit(0), {"a": [0.5]}, ["g"]).count() == 0
+    beside = {r["g"]: (r["a"][0], r["n"]) for r in quantiles.percentiles(df.filter("g < 3"), {"a": [0.5]}, ["g"], {"n": F.count(F.lit(1))}).collect()}
+    assert beside == {g: (want[g][0][2], df.filter(F.col("g") == g).count()) for g in (0, 1, 2)}
 
 
 def test_places_in_an_order(spark):
