@@ -19,7 +19,7 @@ def compare_detectors(events: DataFrame, settings: Settings = DEFAULT, slow: boo
     flags = evaluate.flags_of(scored)
     if slow:
         scored = scored.join(neighbors.local_outlier_factor(split.drop("split")), "event_id").join(neighbors.density_clusters(split.drop("split")), "event_id")
-        scored = scored.join(svm.OneClassSVM(max_train=20_000).fit(train).predict(test), "event_id")
+        scored = scored.join(svm.OneClassSVM().fit(train).predict(test), "event_id")
         flags |= {"lof": F.col("lof_anomaly"), "dbscan": F.col("dbscan_anomaly"), "one_class_svm": F.col("svm_anomaly")}
     scored = written(scored, "compared")
     return evaluate.prf_by_method(scored, flags).orderBy(F.col("f1").desc(), "method"), evaluate.type_recall(scored)

@@ -121,6 +121,42 @@ def test_neighbours_and_svm(spark):
     assert got.filter("event_id = 9").first()["svm_anomaly"]
 
 
+@pytest.mark.parametrize("nu, parts", [(0.1, 1), (0.1, 7), (0.3, 4)])
+def test_svm_against_a_solver_in_numpy(spark, nu, parts):
+    e = events(spark, *hourly(700, outliers={9: dict(final_price=300.0, surge_multiplier=15.0), 50: dict(final_price=None)}))
+    one = svm.OneClassSVM(nu=nu, components=64).fit(e.repartition(parts))
+    mean, spread, freq, phase, w, rho = one.model
+    x = engineer_features(e).orderBy("event_id").toPandas()[FEATURES].to_numpy(float)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(spread, np.where(x.std(0) > 0, x.std(0), 1))
+    m = svm.fourier(x, mean, spread, freq, phase)
+    assert ((m**2).sum(1) <= 2 + 1e-9).all()
+    best, n, share_left = m.mean(0), nu * len(m), 2e-3
+    for _ in range(50_000):  # steps with an exact line search towards the mean of the lowest rows
+        order = np.argsort(m @ best)
+        share = np.clip(n - np.arange(len(m)), 0, 1)
+        way = best - (share @ m[order]) / n
+        if best @ way <= share_left * (best @ best):
+            break
+        best = best - min(1.0, best @ way / (way @ way)) * way
+    assert best @ way <= share_left * (best @ best)
+    assert len(one.gaps) <= svm.STEPS and one.gaps[-1] <= one.tolerance
+    order = np.argsort(m @ w)
+    assert w @ (w - (share @ m[order]) / n) <= 1.5 * one.tolerance * (w @ w)  # with the exact lowest rows, not a bin's
+    assert np.abs(m @ (w - best)).max() <= np.sqrt(2) * (np.sqrt(1.5 * one.tolerance) + np.sqrt(share_left)) * np.linalg.norm(best)
+    assert rho == pytest.approx(np.quantile(m @ w, nu), abs=1e-9)
+    got = one.predict(e).orderBy("event_id").toPandas()
+    assert abs(got["svm_anomaly"].mean() - nu) < 2 / 700
+    assert (got["svm_anomaly"].to_numpy() == (m @ w - rho < -1e-12)).mean() > 0.997
+
+
+def test_svm_on_odd_tables(spark):
+    none = svm.OneClassSVM(components=8).fit(events(spark, {}).limit(0))
+    assert none.predict(events(spark, {}, {})).filter("svm_anomaly").count() == 0
+    same = svm.OneClassSVM(components=8).fit(events(spark, *[{}] * 30))
+    assert same.predict(events(spark, *[{}] * 5)).filter("svm_anomaly").count() in (0, 5) and same.gaps[-1] <= same.tolerance
+    assert same.predict(events(spark, {}).limit(0)).count() == 0
+
+
 def plain_points(spark, x):
     return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "event_id long, x array<double>")
 
