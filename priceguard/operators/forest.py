@@ -81,13 +81,16 @@ class IsolationForest:
         self.trees: list | None = None
         self.offset = -0.5
 
-    def fit(self, events: DataFrame) -> "IsolationForest":
+    def fit(self, events: DataFrame, threshold: bool = True) -> "IsolationForest":
+        """Trees, and the threshold that ``contamination`` gives; without ``threshold`` no row is scored for it, and the offset stays -0.5."""
         features = engineer_features(events)
         pool = features.orderBy(F.xxhash64("event_id", F.lit(self.seed)), "event_id").limit(POOL).toPandas()
         x = pool[self.names].to_numpy(float)
         self.size = min(SAMPLE, max(len(x), 1))
         self.height = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
         self.trees = self._grown(events.sparkSession, x)
+        if not threshold:
+            return self
         cut = self._scored(features).agg(F.percentile_approx("sample_score", self.contamination, 100_000)).first()[0]
         self.offset = -0.5 if cut is None else float(cut)
         return self
