@@ -20,6 +20,7 @@ from .quantiles import percentiles
 
 BINS = 32  # of margins in a step, inside the range where the nu quantile must lie
 STEPS = 25
+ROUNDING = 1e-12  # margins of equal rows differ by as much, by where they stand in a batch
 
 
 def fourier(x: np.ndarray, mean, spread, freq, phase) -> np.ndarray:
@@ -133,4 +134,4 @@ class OneClassSVM:
         raw = self._margins(engineer_features(events), self.model, ["event_id"])
         ends = raw.agg(F.min("margin").alias("lo"), F.max("margin").alias("hi"))
         score = 1.0 - (F.col("margin") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-10)
-        return raw.crossJoin(F.broadcast(ends)).select("event_id", (F.col("margin") < 0).alias("svm_anomaly"), score.alias("svm_score"))
+        return raw.crossJoin(F.broadcast(ends)).select("event_id", (F.col("margin") < -ROUNDING).alias("svm_anomaly"), score.alias("svm_score"))
