@@ -358,3 +358,27 @@ def test_spanning_links_connect_what_is_close():
             assert rows[i] <= i and name["r", i] == name["r", rows[i]]
             assert [rows[k] == rows[i] for k in range(40)] == [name["r", k] == name["r", i] for k in range(40)]
         assert all((columns[j] < 0) == (not close[:, j].any()) and (columns[j] < 0 or name["c", j] == name["r", columns[j]]) for j in range(30))
+
+
+def test_copies_are_searched_once(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    x = uneven(120, 5)
+    x[20:110] = x[3]
+    points, d = plain_points(spark, x), plain_distances(x)
+    held = neighbors.Cells(points, 6)
+    assert held.classes.count() == len(np.unique(x, axis=0)) and held.members.count() == 120
+    near = {r["event_id"]: [n["other"] for n in r["near"]] for r in neighbors.nearest(points, 5, limit=2.0).collect()}
+    want = {i: [j for j in np.lexsort((np.arange(120), d[i]))[:5].tolist() if d[i, j] <= 2.0] for i in range(120)}
+    assert near == {i: js for i, js in want.items() if js}
+    roots = {r["event_id"]: r["root"] for r in neighbors._roots(points, 0.5).collect()}
+    assert len(roots) == 120 and all(roots[i] == roots[j] for i, j in zip(*np.nonzero(d <= 0.5), strict=True))
+
+
+def test_forest_without_a_threshold_scores_no_row_for_it(spark, monkeypatch):
+    e = events(spark, *hourly(60))
+    whole, bare = forest.IsolationForest(0.1, 5).fit(e), forest.IsolationForest(0.1, 5)
+    monkeypatch.setattr(forest.IsolationForest, "_scored", lambda *_: pytest.fail("scored"))
+    bare.fit(e, threshold=False)
+    monkeypatch.undo()
+    a, b = (m.predict(e).orderBy("event_id").toPandas() for m in (whole, bare))
+    assert bare.offset == -0.5 and np.allclose(a["if_score"], b["if_score"]) and np.allclose(a["if_raw_score"] + whole.offset, b["if_raw_score"] - 0.5)
