@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.clean import true
-from ..functions.features import FEATURES, engineer_features
+from ..functions.features import FEATURES
 from ..operators import evaluate, neighbors
 from ..operators.forecast import Forecaster, hourly_prices, trimmed
 from ..operators.rules import validate
@@ -13,7 +13,7 @@ from ..sources import experiments, trips
 from ..sources.fixtures import pricing_events as load
 from ..sources.fixtures import trip_records
 from ..sources.generator import write_csv
-from ..sources.scratch import new_folder, written
+from ..sources.scratch import dropped, new_folder
 from ..sources.store import PricingStore
 from .benchmark import union_all
 from .core_queries import _FEATURE_SQL as FEATURE_SQL
@@ -211,9 +211,10 @@ ds AS (SELECT a.event_id, sqrt({_DISTANCE}) AS d FROM zs a JOIN zs b ON a.event_
 @query(with_(f"{PE},\n{_POINTS}", "SELECT event_id, round(list_max(min(d, 20)), 9) AS k_distance, count_if(d <= 1.5) AS within FROM ds GROUP BY event_id"))
 def neighbour_distances(spark, d):
     """Distance of the twentieth nearest point and how many others lie within 1.5 (standardised features)."""
-    points = written(neighbors.standardise(engineer_features(load(spark, d))), "points")
-    far = neighbors.nearest(points, 20).select("event_id", F.element_at("near", -1)["distance"].alias("k_distance"))
-    return far.join(neighbors.radius_counts(points, 1.5).withColumnRenamed("n", "within"), "event_id")
+    points, features = neighbors.standardised(load(spark, d))
+    out = neighbors.distances_and_counts(points, 20, 1.5).withColumnRenamed("n", "within")
+    dropped(features)
+    return out
 
 
 _NEAR = _POINTS.rsplit("ds AS", 1)[0] + f"""ds AS (SELECT a.event_id, b.event_id AS other, round(sqrt({_DISTANCE}), 9) AS d FROM zs a JOIN zs b ON a.event_id <> b.event_id)"""

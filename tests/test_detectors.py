@@ -414,6 +414,15 @@ def test_outlier_factors_of_copies_take_a_row_a_point(spark, monkeypatch, tables
     assert [tuple(r) for r in neighbors.local_outlier_factor(e.limit(1), names=["a", "b"]).collect()] == [(0, False, 0.0)]
 
 
+def test_distances_and_counts_take_a_row_a_point(spark, tables):
+    x = uneven(120, 5)
+    x[20:110] = x[3]
+    points, d = plain_points(spark, x), plain_distances(x)
+    got = {r["event_id"]: (r["k_distance"], r["n"]) for r in neighbors.distances_and_counts(points, 5, 1.5).collect()}
+    assert got == {i: (np.sort(d[i])[4], int((d[i] <= 1.5).sum())) for i in range(120)}
+    assert tables["near"] == tables["counts"] == len(np.unique(x, axis=0)) and neighbors.distances_and_counts(points.limit(1), 5, 1.5).count() == 0
+
+
 def test_forest_without_a_threshold_scores_no_row_for_it(spark, monkeypatch):
     e = events(spark, *hourly(60))
     whole, bare = forest.IsolationForest(0.1, 5).fit(e), forest.IsolationForest(0.1, 5)
