@@ -13,7 +13,7 @@ from ..sources import experiments, trips
 from ..sources.fixtures import pricing_events as load
 from ..sources.fixtures import trip_records
 from ..sources.generator import write_csv
-from ..sources.scratch import dropped, new_folder
+from ..sources.scratch import dropped, new_folder, written
 from ..sources.store import PricingStore
 from .benchmark import union_all
 from .core_queries import _FEATURE_SQL as FEATURE_SQL
@@ -78,10 +78,12 @@ def store_alerts(spark, d):
     """Alerts saved and cleared, then saved in two appends."""
     store = _store(spark)
     found = validate(load(spark, d)).filter("rule_anomaly").select("event_id", "timestamp", "category", F.col("rule_violations").alias("anomaly_type"), F.col("rule_severity").alias("severity"), "final_price")
+    found = written(found, "found")  # saved three times, worked out once
     store.save_detected_anomalies(found)
     store.clear_detected_anomalies()
     for severity in ("critical", "high"):
         store.save_detected_anomalies(found.filter(F.col("severity") == severity))
+    dropped(found)
     return store.table("detected_anomalies").select("event_id", "category", "anomaly_type", "severity", "final_price")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from . import schemas
+from .scratch import dropped, written
 
 TABLES = {
     "pricing_events": schemas.EVENTS, "anomaly_ground_truth": schemas.TRUTH, "detected_anomalies": schemas.ALERTS,
@@ -74,12 +75,13 @@ class PricingStore:
         return self.table("anomaly_ground_truth").count()
 
     def save_detected_anomalies(self, alerts: DataFrame) -> int:
-        """Append alerts; none is no write."""
-        shaped = self._shaped(alerts, "detected_anomalies")
-        n = shaped.count()
+        """Append alerts, which are worked out once; none is no write."""
+        found = written(self._shaped(alerts, "detected_anomalies"), "alerts")
+        n = found.count()
         self._forget("detected_anomalies")
         if n:
-            shaped.write.mode("append").parquet(self._path("detected_anomalies"))
+            found.write.mode("append").parquet(self._path("detected_anomalies"))
+        dropped(found)
         return n
 
     def clear_detected_anomalies(self) -> None:

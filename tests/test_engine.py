@@ -130,6 +130,18 @@ def test_trips(spark, tmp_path):
     assert e.count() == 4 and truth.count() == 1
 
 
+def test_alerts_are_worked_out_once(spark, tmp_path):
+    store, seen = PricingStore(spark, f"file://{tmp_path}/db"), spark.sparkContext.accumulator(0)
+
+    def look(i):
+        seen.add(1)
+        return i % 2 == 0
+
+    e = events(spark, *[{}] * 20)
+    assert store.save_detected_anomalies(e.filter(F.udf(look, "boolean")("event_id"))) == 10 and seen.value == 20
+    assert store.table("detected_anomalies").count() == 10
+
+
 def test_store_and_runs(spark, tmp_path):
     store = PricingStore(spark, f"file://{tmp_path}/db")
     e = events(spark, {}, {}, dict(label_is_anomaly=True, label_type="flash_crash", final_price=0.01))
