@@ -14,9 +14,13 @@ cells by those shingles miss no link.  Four steps keep groups of copies from mul
 1. documents with equal sets become one vertex, named by a 64-bit hash of the set;
 2. cells by four minimum hashes join near copies early: members are linked in their cell until
    they are connected, never pair by pair.  Larger cells are dealt into parts of ``CELL`` members;
-   this step may miss links, the next ones may not;
+   this step may miss links, the next ones may not.  Members without another of like size in
+   their cell do not fetch their sets;
 3. cells by prefix shingles are looked at only where they hold more than one component, and only
-   for members of different components, in blocks where a cell is large.  A cell reports its
+   for members of different components, in blocks where a cell is large.  Linked documents meet
+   in the cell of the first shingle that they share, where sizes and places bound their overlap,
+   so members are first told apart by those: unrelated texts share ever more shingles as a
+   corpus grows, and counts are fetched by the members that are left.  A cell reports its
    members that pass the bound with another component, and which components they connect: no
    more rows than members;
 4. the reported members of connected components meet once, with their sets, in one group (in
@@ -38,6 +42,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -140,28 +145,32 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
 
 
 class LeafBounds:
-    """The bound between the points of two leaves over the finest groups that all of them have."""
+    """The bound between the points of two leaves, of each pair over the finest groups that both have."""
 
     def __init__(self, tree: CountTree, fine: list[np.ndarray]):
         self.tree, self.held = tree, {}
         self.fine = [fine[k] for k in tree.order]
+        self.groups = np.array([len(f) for f in self.fine])
 
-    def _leaf(self, leaf: int, groups: int | None = None) -> np.ndarray:
-        own = self.fine[self.tree.members(leaf)]
-        most = min(len(f) for f in own)
-        groups = most if groups is None else groups
+    def _leaf(self, leaf: int, groups: int) -> np.ndarray:
+        """Of the members that have so many groups."""
         if (leaf, groups) not in self.held:
             if len(self.held) > 4096:
                 self.held.clear()
-            self.held[leaf, groups] = np.array([folded(f, groups) for f in own], np.int32)
+            self.held[leaf, groups] = np.array([folded(f, groups) for f in self.fine[self.tree.members(leaf)] if len(f) >= groups], np.int32)
         return self.held[leaf, groups]
 
     def passing(self, a: int, b: int, percent: int) -> np.ndarray:
-        groups = min(self._leaf(a).shape[1], self._leaf(b).shape[1])
-        x, y = self._leaf(a, groups), self._leaf(b, groups)
-        bound = np.minimum(x[:, None, :], y[None, :, :]).sum(2)
+        x, y = self.groups[self.tree.members(a)], self.groups[self.tree.members(b)]
         sizes = self.tree.sizes
-        return bound >= needed(sizes[self.tree.members(a)][:, None], sizes[self.tree.members(b)][None, :], percent)
+        need = needed(sizes[self.tree.members(a)][:, None], sizes[self.tree.members(b)][None, :], percent)
+        finest = np.minimum(x[:, None], y[None, :])
+        out = np.zeros(finest.shape, bool)
+        for groups in np.unique(finest):
+            at = np.ix_(x >= groups, y >= groups)
+            bound = np.minimum(self._leaf(a, groups)[:, None, :], self._leaf(b, groups)[None, :, :]).sum(2)
+            out[at] |= (finest[at] == groups) & (bound >= need[at])
+        return out
 
 
 def connect_cell(ids: np.ndarray, sets: list[np.ndarray], percent: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -330,6 +339,45 @@ def _connect(batches, percent: int):
             yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def _of_like_size(cells: DataFrame, percent: int) -> DataFrame:
+    """key, rep: the members with another in their cell (of about ``CELL`` members at most) that they can link with by size."""
+    by_size = W.partitionBy("key").orderBy("n", "rep")
+    near = (percent * F.col("n") <= 100 * F.lag("n").over(by_size)) | (percent * F.lead("n").over(by_size) <= 100 * F.col("n"))
+    return cells.withColumn("near", near).filter("near").select("key", "rep")
+
+
+def _meeting(batches, percent: int):
+    """The members that can link with one of another part if the cell's shingle is the first that both share.
+
+    Then they share at most the smaller ``rest``, the number of shingles from that one on.
+    A cell gets a key that names these members, so cells of the same members become one.
+    """
+    for t in _runs(batches, ["key", "rep", "part", "n", "rest"]):
+        keys, reps, parts, n, rest = (t.column(c).to_numpy() for c in ("key", "rep", "part", "n", "rest"))
+
+        def can(a, b):
+            return (parts[a] != parts[b]) & ((100 + percent) * np.minimum(rest[a], rest[b]) >= percent * (n[a] + n[b]))  # noqa: B023  called in this round
+
+        at = _bounds(keys)
+        size = np.diff(at)
+        flags = np.zeros(len(keys), bool)
+        for s in np.unique(size[(size > 1) & (size <= 16)]):
+            rows = at[:-1][size == s][:, None] + np.arange(s)
+            for k in range(0, len(rows), 4096):
+                some = rows[k : k + 4096]
+                flags[some] = can(some[:, :, None], some[:, None, :]).any(2)
+        for lo, hi in zip(at[:-1][size > 16], at[1:][size > 16], strict=True):
+            left, k = np.arange(lo, hi), lo
+            while len(left) and k < hi:  # most find one among the first they are held against
+                step = max(16, (1 << 18) // len(left))
+                hit = can(left[:, None], np.arange(k, min(hi, k + step))[None, :]).any(1)
+                flags[left[hit]] = True
+                left, k = left[~hit], k + step
+        if flags.any():
+            names = np.repeat(np.add.reduceat(np.where(flags, mixed(reps.view(np.uint64)), np.uint64(0)), at[:-1]), size).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(names[flags]), "rep": pa.array(reps[flags]), "part": pa.array(parts[flags])})
+
+
 def _suspects(batches, percent: int):
     """Rows (suspect, rep, part) and (edge, part, part): no more than members in each cell."""
     for t in _runs(batches, ["key", "rep", "part", "n", "counts"]):
@@ -371,13 +419,13 @@ def _dealt(cells: DataFrame) -> DataFrame:
     return cells.repartition("key").sortWithinPartitions("key")
 
 
-def _met(rows: DataFrame, size: int) -> DataFrame:
-    """key, rep, part where keys of more than ``size`` rows (column m) are split into blocks, and any two blocks meet."""
+def _met(rows: DataFrame, size: int, *more: str) -> DataFrame:
+    """key, rep, part (and ``more``) where keys of more than ``size`` rows (column m) are split into blocks, and any two blocks meet."""
     blocks = F.ceil(F.col("m") / size).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: (b != own) | (blocks == 1))
     meets = F.transform(others, lambda b: F.struct(F.least(b, own).alias("x"), F.greatest(b, own).alias("y")))
-    return rows.withColumn("meet", F.explode(meets)).select(F.xxhash64("key", "meet").alias("key"), "rep", "part")
+    return rows.withColumn("meet", F.explode(meets)).select(F.xxhash64("key", "meet").alias("key"), "rep", "part", *more)
 
 
 def _same_document(rows: DataFrame) -> DataFrame:
@@ -401,29 +449,35 @@ def _connected(docs: DataFrame, percent: int, shingle: int, one_document: bool)
     discard(signed)
 
     # near copies, by minimum hashes
-    cells = vertices.select("rep", F.posexplode("keys").alias("k", "key")).select("rep", F.xxhash64("k", "key").alias("key"))
+    cells = vertices.select("rep", "n", F.posexplode("keys").alias("k", "key")).select("rep", "n", F.xxhash64("k", "key").alias("key"))
     shape = cells.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).filter("m > 1")
     once = shape.groupBy("m", "who").agg(F.min("key").alias("key"))  # cells of the same members: one is enough
     split = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("m") / CELL))
-    cells = materialize(cells.join(once.select("key", "m"), "key").select(F.xxhash64("key", split).alias("key"), "rep"), "cells")
+    cells = cells.join(once.select("key", "m"), "key").select(F.xxhash64("key", split).alias("key"), "rep", "n")
+    cells = materialize(_of_like_size(cells, percent), "cells")
     wanted = cells.select("rep").distinct().join(vertices.select("rep", "doc_id"), "rep")
-    held = _with_sets(docs, wanted, shingle)
+    held = materialize(_with_sets(docs, wanted, shingle), "sets")  # a table: so the shuffles of the texts and of the cells are not on disk together
     first = _dealt(cells.withColumn("part", F.col("rep")).join(held, "rep")).mapInArrow(lambda b: _connect(b, percent), "u long, v long")
     parts = connected_components(first.unionByName(_same_document(rows)) if one_document else first)
     discard(cells)
+    discard(held)
 
     # the rest, by prefix shingles
     placed = vertices.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("root", "rep"))
-    posted = placed.select("rep", "part", F.explode("prefix").alias("key"))
-    mixed_cells = posted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
+    posted = placed.select("rep", "part", "n", F.posexplode("prefix").alias("at", "key")).select("rep", "part", "n", (F.col("n") - F.col("at")).alias("rest"), "key")
+    shape = [F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("rest").alias("rest"), F.sum("n").alias("both")]
+    can = (F.col("m") > 2) | ((100 + percent) * F.col("rest") >= percent * F.col("both"))  # two members: what ``_meeting`` asks
+    mixed_cells = posted.groupBy("key").agg(*shape).filter("lo < hi").filter(can)
     mixed_cells = materialize(mixed_cells.select("key", "m"), "mixed-cells")  # a job of its own: its shuffle is gone before the next
-    table = posted = materialize(posted.join(mixed_cells, "key"), "postings")
+    posted = materialize(posted.join(mixed_cells, "key"), "postings")
     discard(mixed_cells)
-    posted = _met(posted, 4 * CELL)
-    points = posted.join(vertices.select("rep", "n", "counts"), "rep")
+    met = _met(posted, 4 * CELL, "n", "rest")
+    meeting = materialize(_dealt(met).mapInArrow(lambda b: _meeting(b, percent), "key long, rep long, part long").distinct(), "meeting")
+    discard(posted)
+    points = meeting.join(vertices.select("rep", "n", "counts"), "rep")
     found = _dealt(points).mapInArrow(lambda b: _suspects(b, percent), "edge boolean, u long, v long").distinct()
     found = materialize(found, "suspects")
-    discard(table)
+    discard(meeting)
     names = materialize(vertices.select("rep", "doc_id"), "names")
     discard(vertices)
     if not found.isEmpty():

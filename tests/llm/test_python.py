@@ -313,6 +313,44 @@ def test_families_without_their_root(spark, monkeypatch):
     assert 3 < len(set(got.values())) < 120
 
 
+def test_unrelated_texts_of_all_sizes_in_one_cell_are_no_suspects():
+    """Each pair is held against the bound by the finest groups of the two, whatever else is in their leaf."""
+    rng = np.random.default_rng(4)
+    sizes = [40] * 12 + [5000] * 6
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in sizes]
+    sets.append(np.unique(np.concatenate([sets[-1][:-100], sets[0]])))  # near the last one
+    fine = [ngram_join.fine_counts(s) for s in sets]
+    points = np.array([ngram_join.folded(f, ngram_join.GROUPS) for f in fine])
+    n = np.array([len(s) for s in sets])
+    flags, edges = ngram_join.cell_suspects(np.arange(len(sets)), points, n, fine, 80)
+    assert np.flatnonzero(flags).tolist() == [17, 18] and [set(e) for e in edges] == [{17, 18}]
+
+
+def test_shared_passages_of_unrelated_texts_fetch_no_counts(spark, monkeypatch):
+    """Members of a cell whose sizes and places rule out a link go before counts and sets are joined; links stay exact."""
+    from .conftest import prose
+
+    rows = [(100 * k + j, f"{prose(3000 + 2 * k + j, 70 if j else 500)} {prose(2900 + k, 40)}") for k in range(12) for j in range(2)]
+    rows += [(5000 + k, f"{prose(3900, 40)} {prose(3901 + k, 60 * 2**k)}") for k in range(6)]
+    for i in range(8):
+        w = prose(77, 200).split()
+        w[5 + 20 * i] = f"edit{i}"
+        rows.append((9000 + i, " ".join(w)))
+    held, real = {}, ngram_join.materialize
+
+    def noted(df, name, by=None):
+        out = real(df, name, by)
+        held[name] = max(held.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    monkeypatch.setattr(ngram_join, "KEYS", 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_copies(docs, 80, 5).collect()}
+    assert got == brute_components(rows, 80, 5) and len(set(got.values())) == 31
+    assert held["meeting"] < held["postings"] < 60 and held["meeting"] <= 16 and held.get("sets", 0) <= 8, held
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=2, max_size=90))
 def test_tree_bound_loses_no_link(sets):
